@@ -25,3 +25,12 @@ def keep_if(record: Column, condition: Callable[[Column], Column]) -> Column:
     expression into a filter below the projection, so it is computed once.
     """
     return F.inline(F.filter(F.array(record), condition))
+
+
+def record(**fields: Column) -> Column:
+    """Struct with the given field names.
+
+    The names are part of the expression, unlike aliases inside ``struct``, which
+    are dropped when a generator stands in the same ``select``.
+    """
+    return F.named_struct(*[part for name, value in fields.items() for part in (F.lit(name), value)])

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from entitylake.functions import text as X
-from entitylake.functions.binding import let
+from entitylake.functions.binding import let, record
 from entitylake.rules import INFOBOX_FIELDS
 
 # The markup patterns that results depend on.
@@ -103,13 +103,13 @@ def infobox_fields(
     value = FIELD_VALUE_WITH_TEMPLATES if whole_templates else FIELD_VALUE
 
     def read(block: Column) -> Column:
-        return F.struct(
-            *[
-                clean_value(
+        return record(
+            **{
+                name: clean_value(
                     X.strip(X.first_match(block, rf"(?iU)\|\s*(?:{names})\s*=\s*{value}"))
-                ).alias(name)
+                )
                 for name, names in fields.items()
-            ]
+            }
         )
 
     return let(infobox(c), read)
@@ -132,7 +132,7 @@ def abstract(c: Column | str) -> Column:
     """
 
     def state(depth: Column, done: Column, text: Column) -> Column:
-        return F.struct(depth.alias("depth"), done.alias("done"), text.alias("text"))
+        return record(depth=depth, done=done, text=text)
 
     def add_line(s: Column, depth: Column, line: Column) -> Column:
         def decide(clean: Column) -> Column:

@@ -13,7 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from entitylake.functions.binding import let
+from entitylake.functions.binding import let, record
 
 # The key and token rules that results depend on.
 LEADING_ARTICLE = r"(?i)^(the|a|an)\s+"
@@ -167,9 +167,9 @@ def term_counts(token_list: Column) -> Column:
             first_of_run,
             lambda starts: F.transform(
                 starts,
-                lambda at, n: F.struct(
-                    F.element_at(ordered, at).alias("term"),
-                    (F.coalesce(F.get(starts, n + 1), F.size(ordered) + 1) - at).alias("tf"),
+                lambda at, n: record(
+                    term=F.element_at(ordered, at),
+                    tf=F.coalesce(F.get(starts, n + 1), F.size(ordered) + 1) - at,
                 ),
             ),
         )

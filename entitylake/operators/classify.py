@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from entitylake.functions import text as X
-from entitylake.functions.binding import keep_if, let
+from entitylake.functions.binding import keep_if, let, record
 from entitylake.rules import FalseMatchRules, TypeRules
 
 OFF_TOPIC = "off_topic"
@@ -48,9 +48,8 @@ def entity_decision(
             reason,
             lambda r: let(
                 F.when(r.isNull(), kind),
-                lambda k: F.struct(
-                    k.alias("type"),
-                    F.when(k.isNull(), F.coalesce(r, F.lit(NO_TYPE))).alias("reason"),
+                lambda k: record(
+                    type=k, reason=F.when(k.isNull(), F.coalesce(r, F.lit(NO_TYPE)))
                 ),
             ),
         )

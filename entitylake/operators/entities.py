@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from entitylake.functions import markup
-from entitylake.functions.binding import keep_if, let
+from entitylake.functions.binding import keep_if, let, record
 from entitylake.functions.text import col
 from entitylake.operators.classify import entity_decision
 from entitylake.rules import TypeRules
@@ -49,7 +49,7 @@ def extract_entities(
     def decision(cats: Column) -> Column:
         return let(
             entity_decision(F.col("title"), F.col("text"), cats, rules),
-            lambda d: F.struct(d["type"].alias("type"), cats.alias("categories")),
+            lambda d: record(type=d["type"], categories=cats),
         )
 
     accepted = pages.select(

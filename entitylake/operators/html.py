@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from entitylake import rules as R
 from entitylake.functions import text as X
-from entitylake.functions.binding import let
+from entitylake.functions.binding import let, record
 from entitylake.schemas import PERSON, RELATIONSHIPS
 
 
@@ -26,9 +26,8 @@ def rating(html: Column | str) -> Column:
     """Struct (rating_percent STRING, rating_value DOUBLE), read inside the rating block only."""
 
     def read(values: Column) -> Column:
-        return F.struct(
-            F.get(values, 0).alias("rating_percent"),
-            F.get(values, 1).try_cast("double").alias("rating_value"),
+        return record(
+            rating_percent=F.get(values, 0), rating_value=F.get(values, 1).try_cast("double")
         )
 
     block = F.regexp_extract(X.col(html), R.RATING_BLOCK, 0)
@@ -141,10 +140,10 @@ def relationships(html: Column | str, site: str) -> Column:
         def entry(link: Column) -> Column:
             return let(
                 X.match_groups(link, R.RELATION_PERSON, 2),
-                lambda g: F.struct(
-                    X.strip(F.get(g, 1)).alias("name"),
-                    detail.alias("details"),
-                    F.concat(F.lit(site), F.get(g, 0)).alias("url"),
+                lambda g: record(
+                    name=X.strip(F.get(g, 1)),
+                    details=detail,
+                    url=F.concat(F.lit(site), F.get(g, 0)),
                 ),
             )
 
@@ -153,7 +152,7 @@ def relationships(html: Column | str, site: str) -> Column:
     def labelled(row: Column) -> Column:
         return let(
             X.match_groups(row, R.RELATION_ROW, 2),
-            lambda g: F.struct(X.label_key(F.get(g, 0)).alias("label"), F.get(g, 1).alias("cell")),
+            lambda g: record(label=X.label_key(F.get(g, 0)), cell=F.get(g, 1)),
         )
 
     nobody = F.array().cast(RELATIONSHIPS["members"].dataType)
@@ -164,12 +163,12 @@ def relationships(html: Column | str, site: str) -> Column:
             found = F.flatten(F.transform(cells, lambda r: people(r["cell"])))
             return F.coalesce(found, nobody)
 
-        lists = F.struct(*[of(label).alias(label) for label in R.RELATION_LABELS])
+        lists = record(**{label: of(label) for label in R.RELATION_LABELS})
 
         def with_summary(p: Column) -> Column:
             names = F.transform(F.concat(*[p[n] for n in R.RELATION_LABELS]), lambda x: x["name"])
             text = F.when(X.col(html).isNotNull(), F.array_join(names, " "))
-            return F.struct(*[p[n].alias(n) for n in R.RELATION_LABELS], text.alias("text_summary"))
+            return record(**{n: p[n] for n in R.RELATION_LABELS}, text_summary=text)
 
         return let(lists, with_summary)
 
@@ -180,16 +179,15 @@ def relationship_rows(pages: DataFrame, site: str, html: str = "html") -> DataFr
     """Edge list: one row per person with ``label``, ``name``, ``details`` and ``url``."""
     others = [c for c in pages.columns if c != html]
     found = pages.select(*others, relationships(html, site).alias("r"))
-    tagged = [
-        F.transform(
-            f"r.{label}",
-            lambda p, label=label: F.struct(
-                F.lit(label).alias("label"), *[p[f].alias(f) for f in PERSON.fieldNames()]
-            ),
+
+    def tagged(label: str) -> Column:
+        fields = PERSON.fieldNames()
+        return F.transform(
+            f"r.{label}", lambda p: record(label=F.lit(label), **{f: p[f] for f in fields})
         )
-        for label in R.RELATION_LABELS
-    ]
-    return found.select(*others, F.inline(F.concat(*tagged)))
+
+    lists = [tagged(label) for label in R.RELATION_LABELS]
+    return found.select(*others, F.inline(F.concat(*lists)))
 
 
 def parse_stats(pages: DataFrame, profile: str = "profile") -> DataFrame:

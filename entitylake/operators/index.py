@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from entitylake.functions import text as X
-from entitylake.functions.binding import let
+from entitylake.functions.binding import let, record
 
 Tokenizer = Callable[[Column], Column]
 
@@ -31,9 +31,7 @@ def postings(
         tokenizer(F.col(text)),
         lambda t: F.transform(
             X.term_counts(t),
-            lambda c: F.struct(
-                c["term"].alias("term"), c["tf"].alias("tf"), F.size(t).alias("doc_len")
-            ),
+            lambda c: record(term=c["term"], tf=c["tf"], doc_len=F.size(t)),
         ),
     )
     return docs.select(*label, F.col(doc_id), F.inline(counted))
@@ -48,10 +46,10 @@ def field_postings(
 ) -> DataFrame:
     """Postings of several fields in one pass; an exact field is a single term as it is."""
     sides = [
-        F.struct(F.lit(f).alias("field"), tokenizer(F.coalesce(f, F.lit(""))).alias("tokens"))
+        record(field=F.lit(f), tokens=tokenizer(F.coalesce(f, F.lit(""))))
         for f in fields
     ] + [
-        F.struct(F.lit(f).alias("field"), F.array(F.col(f).cast("string")).alias("tokens"))
+        record(field=F.lit(f), tokens=F.array(F.col(f).cast("string")))
         for f in exact_fields
     ]
     each = docs.select(doc_id, F.inline(F.array(*sides)))

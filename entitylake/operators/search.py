@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from entitylake.functions import text as X
-from entitylake.functions.binding import let
+from entitylake.functions.binding import let, record
 from entitylake.operators.index import Tokenizer
 from entitylake.rules import BM25_B, BM25_K1, MAX_EDITS
 
@@ -95,7 +95,7 @@ def _asked(spark: SparkSession, queries: Sequence[str], tokenizer: Tokenizer) ->
     """Scalar struct: the tokenised queries and all their distinct terms."""
     parsed = F.transform(
         F.array_distinct(_literals(queries)),
-        lambda q: F.struct(q.alias("query"), tokenizer(q).alias("tokens")),
+        lambda q: record(query=q, tokens=tokenizer(q)),
     )
     both = spark.range(1).select(parsed.alias("queries"))
     return both.select(
@@ -112,9 +112,9 @@ def _matches(
     tokenised = docs.select(F.col(doc_id), tokenizer(F.col(text)).alias("t"), asked.alias("asked"))
     found = let(
         F.col("t"),
-        lambda t: F.struct(
-            F.size(t).alias("doc_len"),
-            F.filter(t, lambda x: F.array_contains(F.col("asked.terms"), x)).alias("hits"),
+        lambda t: record(
+            doc_len=F.size(t),
+            hits=F.filter(t, lambda x: F.array_contains(F.col("asked.terms"), x)),
         ),
     )
     return (
@@ -257,10 +257,10 @@ def phrase_search(
             F.transform(t, lambda w, i: F.when(w == F.get("p", 0), i + 1)),
             lambda i: i.isNotNull() & (F.slice(t, i, F.size("p")) == F.col("p")),
         )
-        return F.struct(
-            F.size(t).alias("doc_len"),
-            F.array_intersect(F.col("asked.terms"), t).alias("terms"),
-            F.size(starts).alias("phrase_freq"),
+        return record(
+            doc_len=F.size(t),
+            terms=F.array_intersect(F.col("asked.terms"), t),
+            phrase_freq=F.size(starts),
         )
 
     found = tokenised.select(

@@ -6,11 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_STRINGS = T.ArrayType(T.StringType())
+TYPES = {
+    "STRING": T.StringType(),
+    "INT": T.IntegerType(),
+    "DOUBLE": T.DoubleType(),
+    "ARRAY<STRING>": T.ArrayType(T.StringType()),
+}
 
 
 def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """A flat struct from ``name TYPE, ...``; unlike DDL parsing it needs no session."""
+    fields = (f.split() for f in spec.split(","))
+    return T.StructType([T.StructField(name, TYPES[kind]) for name, kind in fields])
 
 
 RELEASE = _struct(

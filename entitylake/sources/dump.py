@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from entitylake.functions import text as X
-from entitylake.functions.binding import keep_if, let
+from entitylake.functions.binding import keep_if, let, record
 
 PAGE_START = "<page>"
 PAGE_END = "</page>"
@@ -59,9 +59,9 @@ def _page(xml: Column) -> Column:
 
     def pick(parsed: Column) -> Column:
         text = F.coalesce(parsed["revision"]["text"], _unescape(X.first_match(xml, LOOSE_TEXT)))
-        return F.struct(
-            F.coalesce(parsed["title"], _unescape(X.first_match(xml, LOOSE_TITLE))).alias("title"),
-            F.when(~xml.rlike(EMPTY_TEXT), text).alias("text"),
+        return record(
+            title=F.coalesce(parsed["title"], _unescape(X.first_match(xml, LOOSE_TITLE))),
+            text=F.when(~xml.rlike(EMPTY_TEXT), text),
         )
 
     return let(strict, pick)
