@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("linking", "cleaning", "extraction", "records")
+MODULES = ("linking", "cleaning", "extraction", "records", "retrieval", "planning")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from entitylake.functions.binding import record
+
 TYPES = {
     "STRING": T.StringType(),
     "INT": T.IntegerType(),
@@ -67,11 +71,23 @@ TRUTH = _struct("query STRING, relevant STRING")
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """The schema's columns in its order; absent ones become nulls of the right type."""
-    present = set(df.columns)
+    """The schema's columns in its order; absent ones, nested ones too, become typed nulls."""
+    return df.select(
+        *[_field(df.schema, F.col, f).alias(f.name) for f in schema.fields]
+    )
+
+
+def _field(have: T.StructType, get: Callable[[str], Column], want: T.StructField) -> Column:
+    if want.name not in have.fieldNames():
+        return F.lit(None).cast(want.dataType)
+    return _fit(get(want.name), have[want.name].dataType, want.dataType)
 
-    def pick(f: T.StructField) -> Column:
-        value = F.col(f.name) if f.name in present else F.lit(None)
-        return value.cast(f.dataType).alias(f.name)
 
-    return df.select(*[pick(f) for f in schema.fields])
+def _fit(value: Column, have: T.DataType, want: T.DataType) -> Column:
+    if isinstance(want, T.ArrayType) and isinstance(have, T.ArrayType):
+        if isinstance(want.elementType, T.StructType):
+            return F.transform(value, lambda v: _fit(v, have.elementType, want.elementType))
+    elif isinstance(want, T.StructType) and isinstance(have, T.StructType):
+        fields = {f.name: _field(have, value.getField, f) for f in want.fields}
+        return F.when(value.isNotNull(), record(**fields))
+    return value.cast(want)

@@ -61,7 +61,7 @@ def main() -> int:
             names = [d[0] for d in result.description]
             expected = result.fetchall()
         except Exception as e:  # report and go on with the next query
-            print(f"ERROR {name}: {str(e)[:1500]}")
+            print(f"ERROR {name}: {str(e)[:500]}")
             bad += 1
             continue
         ours, theirs = canonical(rows, df.columns), canonical(expected, names)
