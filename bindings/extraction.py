@@ -18,6 +18,7 @@ from bindings.derived import (
 )
 from entitylake.functions import text as X
 from entitylake.operators import html, rollup
+from entitylake.sources.readers import spread_by
 
 NAVIGATION = r"(?s)<nav>(.*?)</nav>"
 
@@ -169,6 +170,7 @@ def item_rows(spark, sf) -> DataFrame:
     items = table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount", "l_returnflag", "l_linestatus", "l_shipdate"
     )
+    items = spread_by(items, "l_orderkey")
     parts = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     return items.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("p_brand").alias("entity_id"),

@@ -33,12 +33,40 @@ HEADING_START = "=="
 ABSTRACT_LENGTH = 500
 
 
+# What a text must contain for the pattern to match: a byte search that spares most texts the pattern.
+NEEDED = {
+    LINK: "[[",
+    TEMPLATE: "{{",
+    TAG: "<",
+    REFERENCE: "<ref",
+    CITATION: "{{",
+    FOOTNOTE: "{{",
+    EMPHASIS: "''",
+    HORIZONTAL_LIST: "{{",
+    FLAT_LIST: "{{",
+    LEFTOVER_BRACES: "}}",
+}
+
+
+def _replace(c: Column, pattern: str, replacement: str) -> Column:
+    return let(
+        c,
+        lambda v: F.when(
+            F.contains(v, F.lit(NEEDED[pattern])), F.regexp_replace(v, pattern, replacement)
+        ).otherwise(v),
+    )
+
+
 def _drop(c: Column, *patterns: str) -> Column:
-    return reduce(lambda value, pattern: F.regexp_replace(value, pattern, ""), patterns, c)
+    return reduce(lambda value, pattern: _replace(value, pattern, ""), patterns, c)
 
 
 def _link_labels(c: Column) -> Column:
-    return F.regexp_replace(c, LINK, LINK_LABEL)
+    return _replace(c, LINK, LINK_LABEL)
+
+
+def _body(c: Column, pattern: str) -> Column:
+    return F.when(F.contains(c, F.lit(NEEDED[pattern])), X.first_match(c, pattern))
 
 
 def tagged_values(c: Column | str, pattern: str) -> Column:
@@ -58,7 +86,7 @@ def clean_value(c: Column | str) -> Column:
     """
 
     def plain(raw: Column) -> Column:
-        flat = F.coalesce(X.first_match(raw, FLAT_LIST), raw)
+        flat = F.coalesce(_body(raw, FLAT_LIST), raw)
         return X.blank_to_null(X.squeeze(_drop(_link_labels(flat), TEMPLATE, TAG, REFERENCE)))
 
     return let(X.col(c), plain)
@@ -78,7 +106,7 @@ def clean_list(c: Column | str) -> Column:
 
     def either(raw: Column) -> Column:
         values = F.coalesce(
-            let(X.first_match(raw, HORIZONTAL_LIST), items),
+            let(_body(raw, HORIZONTAL_LIST), items),
             F.filter(F.array(clean_value(raw)), lambda v: v.isNotNull()),
         )
         return let(values, lambda v: F.when(F.size(v) > 0, v))
@@ -168,5 +196,5 @@ def abstract(c: Column | str) -> Column:
         F.split(X.col(c), "\n"),
         state(F.lit(0), F.lit(False), F.lit("")),
         step,
-        lambda s: X.strip(F.regexp_replace(s["text"], LEFTOVER_BRACES, "")),
+        lambda s: X.strip(_drop(s["text"], LEFTOVER_BRACES)),
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from entitylake import rules as R
 from entitylake.functions import text as X
-from entitylake.functions.binding import let, record
+from entitylake.functions.binding import keep_if, let, record
 from entitylake.schemas import PERSON, RELATIONSHIPS
 
 
@@ -61,6 +61,11 @@ def profiles(
     return found
 
 
+def _matched(groups: Column) -> Column:
+    """Generator of ``g``, the groups, for rows that match."""
+    return keep_if(record(g=groups), lambda r: r["g"].isNotNull())
+
+
 def release_rows(pages: DataFrame, site: str, html: str = "html") -> DataFrame:
     """One row per release table row that has the expected cells.
 
@@ -71,8 +76,7 @@ def release_rows(pages: DataFrame, site: str, html: str = "html") -> DataFrame:
     cells = (
         pages.select(*others, F.posexplode(X.all_matches(html, R.TABLE_ROW, 0)).alias("row_no", "tr"))
         .where(F.contains("tr", F.lit(R.RECORDING_ROW_MARK)))
-        .select(*others, "row_no", X.match_groups("tr", R.RELEASE_ROW, 10).alias("g"))
-        .where("g IS NOT NULL")
+        .select(*others, "row_no", _matched(X.match_groups("tr", R.RELEASE_ROW, 10)))
     )
 
     def cell(i: int) -> Column:
@@ -108,11 +112,10 @@ def recording_rows(pages: DataFrame, site: str, html: str = "html") -> DataFrame
         .select(
             *others,
             "row_no",
-            X.match_groups(
-                F.concat(F.lit(R.RECORDING_ROW_START), "tr"), R.RECORDING_ROW, 6
-            ).alias("g"),
+            _matched(
+                X.match_groups(F.concat(F.lit(R.RECORDING_ROW_START), "tr"), R.RECORDING_ROW, 6)
+            ),
         )
-        .where("g IS NOT NULL")
     )
     return cells.select(
         *others,

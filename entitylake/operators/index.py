@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from entitylake.functions import text as X
-from entitylake.functions.binding import let, record
+from entitylake.functions.binding import keep_if, let, record
 
 Tokenizer = Callable[[Column], Column]
 
@@ -72,7 +72,8 @@ def doc_lengths(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: Tokenizer = X.tokens
 ) -> DataFrame:
     """Kept tokens per document; documents without any are left out."""
-    return docs.select(doc_id, F.size(tokenizer(F.col(text))).alias("doc_len")).where("doc_len > 0")
+    length = record(doc_len=F.size(tokenizer(F.col(text))))
+    return docs.select(doc_id, keep_if(length, lambda r: r["doc_len"] > 0))
 
 
 def term_table(postings: DataFrame, n_docs: Column, by: list[str] = ("term",)) -> DataFrame:
@@ -95,17 +96,25 @@ def terms_of_texts(
     """``term_table`` straight from texts, in one scan.
 
     Every document adds one row for each distinct term and one for the empty
-    term, whose count is the number of documents; the empty term is then read as
-    a scalar from the aggregated vocabulary.
+    term, whose count is the number of documents.  That count and the terms are
+    both read from the same exchange of partial counts; no filter stands between,
+    which would be pushed below it and make two different scans of them.
     """
-    rows = docs.select(let(tokenizer(F.col(text)), F.array_distinct).alias("t")).where("size(t) > 0")
+
+    def with_total(terms: Column) -> Column:
+        return F.when(F.size(terms) > 0, F.concat(terms, F.array(F.lit(""))))
+
+    distinct = let(let(tokenizer(F.col(text)), F.array_distinct), with_total)
     counts = (
-        rows.select(F.explode(F.concat("t", F.array(F.lit("")))).alias("term"))
+        docs.select(F.explode(distinct).alias("term"))
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"))
     )
-    n_docs = counts.where("term = ''").agg(F.max("df")).scalar()
-    return counts.where("term != ''").select(
+    n_docs = counts.agg(F.max(F.when(F.col("term") == "", F.col("df")))).scalar()
+    real = counts.select(
+        keep_if(record(term=F.col("term"), df=F.col("df")), lambda r: r["term"] != "")
+    )
+    return real.select(
         "term",
         "df",
         F.log10(n_docs / F.col("df")).alias("idf_basic"),

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from entitylake.functions import text as X
-from entitylake.functions.binding import let, record
+from entitylake.functions.binding import keep_if, let, record
 from entitylake.operators.index import Tokenizer
 from entitylake.rules import BM25_B, BM25_K1, MAX_EDITS
 
@@ -108,7 +108,11 @@ def _asked(spark: SparkSession, queries: Sequence[str], tokenizer: Tokenizer) ->
 def _matches(
     docs: DataFrame, asked: Column, doc_id: str, text: str, tokenizer: Tokenizer
 ) -> DataFrame:
-    """(doc_id, doc_len, tfs, asked) per document with tokens; ``tfs`` has query terms only."""
+    """(doc_id, doc_len, tfs) per document with tokens; ``tfs`` has query terms only.
+
+    These few numbers per document are exchanged once, so that statistics and
+    scores, which both need them, share one scan of the texts.
+    """
     tokenised = docs.select(F.col(doc_id), tokenizer(F.col(text)).alias("t"), asked.alias("asked"))
     found = let(
         F.col("t"),
@@ -118,19 +122,23 @@ def _matches(
         ),
     )
     return (
-        tokenised.select(doc_id, "asked", F.inline(F.array(found)))
-        .where("doc_len > 0")
-        .select(doc_id, "asked", "doc_len", F.map_from_entries(X.term_counts(F.col("hits"))).alias("tfs"))
+        tokenised.select(doc_id, keep_if(found, lambda r: r["doc_len"] > 0))
+        .select(doc_id, "doc_len", F.map_from_entries(X.term_counts(F.col("hits"))).alias("tfs"))
+        .repartition(doc_id)
     )
 
 
-def _statistics(matches: DataFrame) -> Column:
-    """Scalar map: term -> (documents with it, their total length), bounded by the query terms."""
+def _statistics(matches: DataFrame, doc_id: str) -> Column:
+    """Scalar map: term -> (documents with it, their total length), bounded by the query terms.
+
+    Documents are counted by their id: reading all columns of ``matches`` keeps
+    its exchange the same here and in the scores.
+    """
     rows = matches.select(
-        F.explode(F.concat(F.map_keys("tfs"), F.array(F.lit(NO_TERM)))).alias("term"), "doc_len"
+        doc_id, "doc_len", F.explode(F.concat(F.map_keys("tfs"), F.array(F.lit(NO_TERM)))).alias("term")
     )
     per_term = rows.groupBy("term").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("doc_len").alias("len")
+        F.count(doc_id).alias("n"), F.sum("doc_len").alias("len")
     )
     return per_term.agg(
         F.map_from_entries(F.collect_list(F.struct("term", F.struct("n", "len"))))
@@ -149,6 +157,16 @@ def top_ranked(scores: DataFrame, top: int, doc_id: str = "doc_id", by: Sequence
     return ranked.select(*by, "rank", doc_id, "score")
 
 
+def _concerned() -> Column:
+    """The queries that share a term with the document."""
+    return let(
+        F.map_keys("tfs"),
+        lambda have: F.filter(
+            F.col("asked.queries"), lambda q: F.arrays_overlap(q["tokens"], have)
+        ),
+    )
+
+
 def score_texts(
     docs: DataFrame,
     queries: Sequence[str],
@@ -165,11 +183,11 @@ def score_texts(
     weigh = WEIGHTS[weight] if isinstance(weight, str) else weight
     asked = _asked(docs.sparkSession, queries, tokenizer)
     matches = _matches(docs, asked, doc_id, text, tokenizer)
-    stats = _statistics(matches)
-    rows = matches.where(F.size("tfs") > 0).select(
-        doc_id, "doc_len", "tfs", F.explode("asked.queries").alias("q"), stats.alias("stats")
+    stats = _statistics(matches, doc_id)
+    paired = matches.select("*", asked.alias("asked")).select(
+        doc_id, "doc_len", "tfs", F.explode(_concerned()).alias("q")
     )
-    rows = rows.where(F.arrays_overlap("q.tokens", F.map_keys("tfs")))
+    rows = paired.select("*", stats.alias("stats"))
 
     def add(total: Column, term: Column) -> Column:
         tf = F.element_at(F.col("tfs"), term)
@@ -216,8 +234,8 @@ def boolean_search(
     asked = docs.sparkSession.range(1).select(
         F.struct(_literals(list(dict.fromkeys([*wanted, *must_not]))).alias("terms"))
     ).scalar()
-    matches = _matches(docs, asked, doc_id, text, tokenizer).drop("asked")
-    stats = _statistics(matches)
+    matches = _matches(docs, asked, doc_id, text, tokenizer)
+    stats = _statistics(matches, doc_id)
     have = F.map_keys("tfs")
     hit = F.forall(F.array(*map(F.lit, must)), lambda t: F.array_contains(have, t)) if must else (
         F.arrays_overlap(have, F.array(*map(F.lit, should)))
@@ -264,15 +282,17 @@ def phrase_search(
         )
 
     found = tokenised.select(
-        doc_id, "p", F.inline(F.array(let(F.col("t"), examine)))
-    ).where("doc_len > 0")
-    stats = _statistics(
-        found.select(
-            "doc_len",
-            F.map_from_arrays("terms", F.transform("terms", lambda _: F.lit(1))).alias("tfs"),
-        )
+        doc_id, keep_if(let(F.col("t"), examine), lambda r: r["doc_len"] > 0)
+    ).repartition(doc_id)
+    counted = found.select(
+        doc_id,
+        "doc_len",
+        F.map_from_arrays("terms", F.transform("terms", lambda _: F.col("phrase_freq"))).alias("tfs"),
     )
-    kept = found.where("phrase_freq > 0").withColumn("stats", stats)
+    stats = _statistics(counted, doc_id)
+    kept = found.select(
+        doc_id, "doc_len", "terms", keep_if(record(phrase_freq=F.col("phrase_freq")), lambda r: r["phrase_freq"] > 0)
+    ).select("*", stats.alias("stats"), F.get(asked["queries"], 0)["tokens"].alias("p"))
     totals = _totals(F.col("stats"))
     idf = F.aggregate(
         "p",
