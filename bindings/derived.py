@@ -28,7 +28,7 @@ def numbers(n: Column, most: int) -> Column:
 
 def documents(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     """Columns of the documents, spread over the cores when the file is small."""
-    return spread_by(table(spark, sf, "documents").select("doc_id", *columns), "doc_id")
+    return spread_by(table(spark, sf, "documents").select("doc_id", *columns), F.hash("doc_id"))
 
 
 # --- dump pages from documents ------------------------------------------------

@@ -26,7 +26,9 @@ from entitylake.rules import BM25_B, BM25_K1, MAX_EDITS
 
 DECIMALS = 6
 MAX_LITERAL_QUERIES = 10_000
-NO_TERM = ""  # tokens are never empty: this entry holds the totals of the collection
+# Tokens are neither empty nor blank, so these keys can stand beside terms.
+NO_TERM = ""  # a document's length, the collection's totals
+PHRASE = " "  # a phrase's frequency
 
 
 @dataclass(frozen=True)
@@ -91,51 +93,68 @@ def query_terms(spark: SparkSession, queries: Sequence[str], tokenizer: Tokenize
 # --- on texts ---------------------------------------------------------------
 
 
-def _asked(spark: SparkSession, queries: Sequence[str], tokenizer: Tokenizer) -> Column:
-    """Scalar struct: the tokenised queries and all their distinct terms."""
+def _parse(spark: SparkSession, queries: Sequence[str], tokenizer: Tokenizer) -> list[tuple[str, list[str]]]:
+    """The caller's query texts with their tokens, cut by the same expression as documents."""
     parsed = F.transform(
-        F.array_distinct(_literals(queries)),
-        lambda q: record(query=q, tokens=tokenizer(q)),
+        F.array_distinct(_literals(queries)), lambda q: record(query=q, tokens=tokenizer(q))
     )
-    both = spark.range(1).select(parsed.alias("queries"))
-    return both.select(
-        F.struct(
-            "queries", F.array_distinct(F.flatten("queries.tokens")).alias("terms")
-        )
-    ).scalar()
+    return [(q["query"], list(q["tokens"])) for q in spark.range(1).select(parsed).first()[0]]
+
 
+def _string_array(values: Sequence[str]) -> Column:
+    return F.array(*map(F.lit, values)).cast("array<string>")
 
-def _matches(
-    docs: DataFrame, asked: Column, doc_id: str, text: str, tokenizer: Tokenizer
+
+def _term_maps(
+    docs: DataFrame,
+    terms: Sequence[str],
+    doc_id: str,
+    text: str,
+    tokenizer: Tokenizer,
+    phrase: Sequence[str] = (),
 ) -> DataFrame:
-    """(doc_id, doc_len, tfs) per document with tokens; ``tfs`` has query terms only.
+    """(doc_id, tfs) per document with tokens: how often it has each of ``terms``.
 
-    These few numbers per document are exchanged once, so that statistics and
-    scores, which both need them, share one scan of the texts.
+    ``tfs`` holds the document's length under ``NO_TERM`` and, where it occurs, the
+    frequency of ``phrase`` under ``PHRASE``.  This small map per document is
+    exchanged once: statistics and scores both read it from there, so the texts
+    are scanned and cut once.
     """
-    tokenised = docs.select(F.col(doc_id), tokenizer(F.col(text)).alias("t"), asked.alias("asked"))
-    found = let(
-        F.col("t"),
-        lambda t: record(
-            doc_len=F.size(t),
-            hits=F.filter(t, lambda x: F.array_contains(F.col("asked.terms"), x)),
-        ),
-    )
+    wanted = list(dict.fromkeys(terms))
+
+    def occurrences(t: Column) -> Column:
+        starts = F.filter(
+            F.transform(t, lambda w, i: F.when(w == phrase[0], i + 1)),
+            lambda i: i.isNotNull() & (F.slice(t, i, len(phrase)) == _string_array(phrase)),
+        )
+        found = F.size(starts)
+        return F.filter(F.array(record(term=F.lit(PHRASE), tf=found)), lambda e: e["tf"] > 0)
+
+    def entries(t: Column) -> Column:
+        counts = [
+            F.array(record(term=F.lit(NO_TERM), tf=F.size(t))),
+            X.term_counts(F.filter(t, lambda x: x.isin(wanted))),
+        ]
+        if phrase:
+            counts.append(occurrences(t))
+        return record(tfs=F.map_from_entries(F.concat(*counts)), doc_len=F.size(t))
+
+    found = let(tokenizer(F.col(text)), entries)
     return (
-        tokenised.select(doc_id, keep_if(found, lambda r: r["doc_len"] > 0))
-        .select(doc_id, "doc_len", F.map_from_entries(X.term_counts(F.col("hits"))).alias("tfs"))
+        docs.select(doc_id, keep_if(found, lambda r: r["doc_len"] > 0))
+        .select(doc_id, "tfs")
         .repartition(doc_id)
     )
 
 
-def _statistics(matches: DataFrame, doc_id: str) -> Column:
+def _statistics(maps: DataFrame, doc_id: str) -> Column:
     """Scalar map: term -> (documents with it, their total length), bounded by the query terms.
 
-    Documents are counted by their id: reading all columns of ``matches`` keeps
-    its exchange the same here and in the scores.
+    Documents are counted by their id so that all columns of ``maps`` are read
+    here as in the scores; otherwise its exchange would be built twice.
     """
-    rows = matches.select(
-        doc_id, "doc_len", F.explode(F.concat(F.map_keys("tfs"), F.array(F.lit(NO_TERM)))).alias("term")
+    rows = maps.select(
+        doc_id, F.element_at("tfs", F.lit(NO_TERM)).alias("doc_len"), F.explode(F.map_keys("tfs")).alias("term")
     )
     per_term = rows.groupBy("term").agg(
         F.count(doc_id).alias("n"), F.sum("doc_len").alias("len")
@@ -150,6 +169,18 @@ def _totals(stats: Column) -> Totals:
     return Totals(whole["n"], whole["len"])
 
 
+def _sum_of_weights(terms: Column, weigh: Weight) -> Column:
+    """Sum over ``terms`` of their weights in the row's ``tfs``; absent terms add nothing."""
+
+    def add(total: Column, term: Column) -> Column:
+        tf = F.element_at(F.col("tfs"), term)
+        df = F.element_at(F.col("stats"), term)["n"]
+        doc_len = F.element_at(F.col("tfs"), F.lit(NO_TERM))
+        return total + F.coalesce(weigh(tf, df, doc_len, _totals(F.col("stats"))), F.lit(0.0))
+
+    return F.round(F.aggregate(terms, F.lit(0.0), add), DECIMALS)
+
+
 def top_ranked(scores: DataFrame, top: int, doc_id: str = "doc_id", by: Sequence[str] = ("query",)) -> DataFrame:
     """The best ``top`` rows per query with their ``rank``; limited before the shuffle too."""
     order = Window.partitionBy(*by).orderBy(F.desc("score"), F.col(doc_id))
@@ -157,16 +188,6 @@ def top_ranked(scores: DataFrame, top: int, doc_id: str = "doc_id", by: Sequence
     return ranked.select(*by, "rank", doc_id, "score")
 
 
-def _concerned() -> Column:
-    """The queries that share a term with the document."""
-    return let(
-        F.map_keys("tfs"),
-        lambda have: F.filter(
-            F.col("asked.queries"), lambda q: F.arrays_overlap(q["tokens"], have)
-        ),
-    )
-
-
 def score_texts(
     docs: DataFrame,
     queries: Sequence[str],
@@ -181,23 +202,17 @@ def score_texts(
     listed even with score 0.
     """
     weigh = WEIGHTS[weight] if isinstance(weight, str) else weight
-    asked = _asked(docs.sparkSession, queries, tokenizer)
-    matches = _matches(docs, asked, doc_id, text, tokenizer)
-    stats = _statistics(matches, doc_id)
-    paired = matches.select("*", asked.alias("asked")).select(
-        doc_id, "doc_len", "tfs", F.explode(_concerned()).alias("q")
+    parsed = _parse(docs.sparkSession, queries, tokenizer)
+    maps = _term_maps(docs, [t for _, ts in parsed for t in ts], doc_id, text, tokenizer)
+    asked = F.array(*[F.struct(F.lit(q).alias("query"), _string_array(ts).alias("tokens")) for q, ts in parsed])
+    concerned = let(
+        F.map_keys("tfs"),
+        lambda have: F.filter(asked, lambda q: F.arrays_overlap(q["tokens"], have)),
     )
-    rows = paired.select("*", stats.alias("stats"))
-
-    def add(total: Column, term: Column) -> Column:
-        tf = F.element_at(F.col("tfs"), term)
-        df = F.element_at(F.col("stats"), term)["n"]
-        one = weigh(tf, df, F.col("doc_len"), _totals(F.col("stats")))
-        return total + F.coalesce(one, F.lit(0.0))
-
-    score = F.aggregate("q.tokens", F.lit(0.0), add)
+    pairs = maps.select(doc_id, "tfs", F.explode(concerned).alias("q"))
+    rows = pairs.select("*", _statistics(maps, doc_id).alias("stats"))
     return rows.select(
-        F.col("q.query").alias("query"), doc_id, F.round(score, DECIMALS).alias("score")
+        F.col("q.query").alias("query"), doc_id, _sum_of_weights(F.col("q.tokens"), weigh).alias("score")
     )
 
 
@@ -231,26 +246,18 @@ def boolean_search(
     wanted = [*must, *should]
     if not wanted:
         raise ValueError("give at least one must or should term")
-    asked = docs.sparkSession.range(1).select(
-        F.struct(_literals(list(dict.fromkeys([*wanted, *must_not]))).alias("terms"))
-    ).scalar()
-    matches = _matches(docs, asked, doc_id, text, tokenizer)
-    stats = _statistics(matches, doc_id)
+    maps = _term_maps(docs, [*wanted, *must_not], doc_id, text, tokenizer)
     have = F.map_keys("tfs")
-    hit = F.forall(F.array(*map(F.lit, must)), lambda t: F.array_contains(have, t)) if must else (
-        F.arrays_overlap(have, F.array(*map(F.lit, should)))
+    hit = (
+        F.forall(_string_array(must), lambda t: F.array_contains(have, t))
+        if must
+        else F.arrays_overlap(have, _string_array(should))
     )
     if must_not:
-        hit = hit & ~F.arrays_overlap(have, F.array(*map(F.lit, must_not)))
-    kept = matches.where(hit).withColumn("stats", stats)
-
-    def add(total: Column, term: Column) -> Column:
-        tf = F.element_at(F.col("tfs"), term)
-        df = F.element_at(F.col("stats"), term)["n"]
-        return total + F.coalesce(bm25(tf, df, F.col("doc_len"), _totals(F.col("stats"))), F.lit(0.0))
-
-    score = F.aggregate(F.array(*map(F.lit, wanted)), F.lit(0.0), add)
-    return kept.select(doc_id, F.round(score, DECIMALS).alias("score"))
+        hit = hit & ~F.arrays_overlap(have, _string_array(must_not))
+    kept = maps.select(doc_id, keep_if(record(tfs=F.col("tfs"), hit=hit), lambda r: r["hit"]))
+    scored = kept.select(doc_id, "tfs", _statistics(maps, doc_id).alias("stats"))
+    return scored.select(doc_id, _sum_of_weights(_string_array(wanted), bm25).alias("score"))
 
 
 def phrase_search(
@@ -265,43 +272,21 @@ def phrase_search(
     Scored by BM25 with the phrase's frequency and the sum of its terms' weights.
     The words of the phrase are compared at the positions of its first word only.
     """
-    asked = _asked(docs.sparkSession, [phrase], tokenizer)
-    tokenised = docs.select(
-        F.col(doc_id), tokenizer(F.col(text)).alias("t"), asked.alias("asked")
-    ).withColumn("p", F.get("asked.queries", 0)["tokens"])
-
-    def examine(t: Column) -> Column:
-        starts = F.filter(
-            F.transform(t, lambda w, i: F.when(w == F.get("p", 0), i + 1)),
-            lambda i: i.isNotNull() & (F.slice(t, i, F.size("p")) == F.col("p")),
-        )
-        return record(
-            doc_len=F.size(t),
-            terms=F.array_intersect(F.col("asked.terms"), t),
-            phrase_freq=F.size(starts),
-        )
-
-    found = tokenised.select(
-        doc_id, keep_if(let(F.col("t"), examine), lambda r: r["doc_len"] > 0)
-    ).repartition(doc_id)
-    counted = found.select(
+    ((_, terms),) = _parse(docs.sparkSession, [phrase], tokenizer)
+    if not terms:
+        raise ValueError("the phrase holds no word")
+    maps = _term_maps(docs, terms, doc_id, text, tokenizer, phrase=terms)
+    frequency = F.element_at("tfs", F.lit(PHRASE))
+    kept = maps.select(
         doc_id,
-        "doc_len",
-        F.map_from_arrays("terms", F.transform("terms", lambda _: F.col("phrase_freq"))).alias("tfs"),
-    )
-    stats = _statistics(counted, doc_id)
-    kept = found.select(
-        doc_id, "doc_len", "terms", keep_if(record(phrase_freq=F.col("phrase_freq")), lambda r: r["phrase_freq"] > 0)
-    ).select("*", stats.alias("stats"), F.get(asked["queries"], 0)["tokens"].alias("p"))
-    totals = _totals(F.col("stats"))
-    idf = F.aggregate(
-        "p",
-        F.lit(0.0),
-        lambda total, term: total
-        + F.coalesce(bm25_idf(F.element_at("stats", term)["n"], totals.n_docs), F.lit(0.0)),
+        keep_if(record(tfs=F.col("tfs"), phrase_freq=frequency), lambda r: r["phrase_freq"].isNotNull()),
     )
-    score = idf * bm25_norm(F.col("phrase_freq"), F.col("doc_len"), totals)
-    return kept.select(doc_id, "phrase_freq", F.round(score, DECIMALS).alias("score"))
+    scored = kept.select(doc_id, "tfs", "phrase_freq", _statistics(maps, doc_id).alias("stats"))
+
+    def weigh(tf: Column, df: Column, doc_len: Column, totals: Totals) -> Column:
+        return bm25_idf(df, totals.n_docs) * bm25_norm(F.col("phrase_freq"), doc_len, totals)
+
+    return scored.select(doc_id, "phrase_freq", _sum_of_weights(_string_array(terms), weigh).alias("score"))
 
 
 # --- on index tables --------------------------------------------------------
@@ -358,10 +343,13 @@ def fuzzy_terms(
     precedes the edit distance, which stops at the bound.  A swap of neighbours
     counts as two edits.  ``boost`` falls with the edits relative to the shorter word.
     """
-    asked = _asked(terms.sparkSession, queries, tokenizer)
-    each = terms.select("term", F.explode(asked["queries"]).alias("q")).select(
-        "term", F.col("q.query").alias("query"), F.explode(F.array_distinct("q.tokens")).alias("query_term")
-    )
+    parsed = _parse(terms.sparkSession, queries, tokenizer)
+    pairs = [
+        F.struct(F.lit(q).alias("query"), F.lit(t).alias("query_term"))
+        for q, ts in parsed
+        for t in dict.fromkeys(ts)
+    ]
+    each = terms.select("term", F.inline(F.array(*pairs)))
     close = F.abs(F.length("term") - F.length("query_term")) <= max_edits
     edits = F.levenshtein("term", "query_term", max_edits)
     shorter = F.least(F.length("term"), F.length("query_term"))

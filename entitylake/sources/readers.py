@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -61,7 +61,7 @@ def limited(df: DataFrame, n: int | None, order_by: list[str] | None = None) ->
     return (df.orderBy(*order_by) if order_by else df).limit(n)
 
 
-def spread_by(df: DataFrame, *keys: str) -> DataFrame:
+def spread_by(df: DataFrame, *keys: str | Column) -> DataFrame:
     """Use all cores when the scan has fewer partitions than there are cores.
 
     A small file in one block would be processed by one task.  Large inputs have
