@@ -131,13 +131,11 @@ def infobox_fields(
     value = FIELD_VALUE_WITH_TEMPLATES if whole_templates else FIELD_VALUE
 
     def read(block: Column) -> Column:
-        return record(
-            **{
-                name: clean_value(
-                    X.strip(X.first_match(block, rf"(?iU)\|\s*(?:{names})\s*=\s*{value}"))
-                )
-                for name, names in fields.items()
-            }
+        raw = [X.first_match(block, rf"(?iU)\|\s*(?:{names})\s*=\s*{value}") for names in fields.values()]
+        # One cleaning expression for all fields keeps the plan small.
+        cleaned = F.transform(F.array(*raw), lambda v: clean_value(X.strip(v)))
+        return let(
+            cleaned, lambda values: record(**{name: F.get(values, i) for i, name in enumerate(fields)})
         )
 
     return let(infobox(c), read)

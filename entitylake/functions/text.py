@@ -42,7 +42,8 @@ def squeeze(c: Column | str) -> Column:
 
 
 def blank_to_null(c: Column | str) -> Column:
-    return F.nullif(col(c), F.lit(""))
+    """``nullif(c, '')``, which would evaluate ``c`` twice."""
+    return let(col(c), lambda v: F.when(v != "", v))
 
 
 def first_match(c: Column | str, pattern: str, group: int = 1) -> Column:
