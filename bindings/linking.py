@@ -53,7 +53,7 @@ def normalize_names(spark, sf):
 
 def linked(spark: SparkSession, sf: str) -> DataFrame:
     left, right = sources(spark, sf)
-    return link.link(left, right, spread_by=["page_id"])
+    return link.link(left, right, spread_left_by=["page_id"], spread_right_by=["other_id"])
 
 
 @query("entity_join", f"WITH {SOURCES_SQL} SELECT * FROM linked")

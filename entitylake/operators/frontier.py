@@ -113,10 +113,10 @@ def top_ids_per_tag(
     """Ids new to ``known`` among the first entries of the chosen tags' listings.
 
     ``listings(slug, position, key)``; the cut per tag comes before the comparison
-    with known ids.  ``tags`` is at most ``MAX_TAGS`` rows, hence broadcast; the cut
-    is applied on the map side as well, so a long listing is not moved.
+    with known ids and is applied on the map side as well, so a long listing is
+    not moved.  Spark broadcasts ``tags`` when it is small, as ``popular_tags`` is.
     """
-    chosen = listings.join(F.broadcast(tags.select("slug")), "slug", "left_semi")
+    chosen = listings.join(tags.select("slug"), "slug", "left_semi")
     order = Window.partitionBy("slug").orderBy("position", key)
     first = chosen.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max_per_tag)
     return new_ids(first.select(key).distinct(), known, key)

@@ -22,7 +22,8 @@ def link(
     left_key: str = "name_norm",
     right_key: str = "title_norm",
     rename_right: dict[str, str] | None = None,
-    spread_by: list[str] | None = None,
+    spread_left_by: list[str] | None = None,
+    spread_right_by: list[str] | None = None,
     drop_empty_keys: bool = False,
 ) -> DataFrame:
     """Inner join, many to many, on the normalised names; null names drop out.
@@ -30,8 +31,8 @@ def link(
     All columns of both sides are kept; ``rename_right`` resolves collisions
     (``type`` and ``url`` by default).  Names without any ASCII letter or digit
     share the key ``''`` and match each other; ``drop_empty_keys`` leaves them out.
-    Rows of a hot key (such as ``''``) are spread over slices by ``spread_by``,
-    by default the left name.
+    Rows of a hot key (such as ``''``) are spread over slices by ``spread_..._by``,
+    by default all plain columns of the side.
     """
     renames = {"type": "wiki_type", "url": "wiki_url"} if rename_right is None else rename_right
     a = with_name_key(left, left_name, left_key)
@@ -41,7 +42,14 @@ def link(
     if drop_empty_keys:
         a = a.where(F.col(left_key) != "")
         b = b.where(F.col(right_key) != "")
-    return join_skewed(a, b, left_key, right_key, spread_by or [left_name])
+    return join_skewed(
+        a, b, left_key, right_key, spread_left_by or _plain(a), spread_right_by or _plain(b)
+    )
+
+
+def _plain(df: DataFrame) -> list[str]:
+    """Columns of string and number types: enough to tell rows of one key apart."""
+    return [name for name, kind in df.dtypes if kind in ("string", "bigint", "int", "double")]
 
 
 def link_stats(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from entitylake.operators.skew import SHARE, join_skewed
+from entitylake.operators.skew import lookup_skewed
 
 DEFAULT_TYPES = ("artist", "band")
 MISSING_TYPE = "unknown"
@@ -55,8 +55,8 @@ def dedupe_status(df: DataFrame, key: str, order_by: list[str], is_wrong: Column
     duplicate.  A null key is one ordinary key.  ``order_by`` must be unique.
 
     The first acceptable position is a minimum per key (merged on the map side),
-    joined back to the rows.  No window gathers a key's rows in one task, and hot
-    keys are spread over slices.
+    joined back to the rows.  No window gathers a key's rows in one task; the
+    rows of hot keys get theirs by broadcast.
     """
     order = F.struct(*order_by)
     present = F.struct(F.col(key).isNull().alias("missing"), F.col(key).alias("value"))
@@ -64,9 +64,8 @@ def dedupe_status(df: DataFrame, key: str, order_by: list[str], is_wrong: Column
     firsts = rows.groupBy("_key").agg(
         F.min(F.when(~F.col("_wrong"), order)).alias("_first"), F.count(F.lit(1)).alias("_n")
     )
-    hot = _hot(firsts)
-    firsts = firsts.select(F.col("_key").alias("_first_key"), "_first")
-    judged = join_skewed(rows, firsts, "_key", "_first_key", order_by, how="left", hot=hot)
+    total = df.agg(F.count(F.lit(1))).scalar()
+    judged = lookup_skewed(rows, firsts, "_key", "_first", "_n", total, order_by)
     status = (
         F.when(order > F.col("_first"), F.lit("duplicate"))
         .when(F.col("_wrong"), F.lit("filtered"))
@@ -75,11 +74,6 @@ def dedupe_status(df: DataFrame, key: str, order_by: list[str], is_wrong: Column
     return judged.withColumn("status", status).select(*df.columns, "status")
 
 
-def _hot(firsts: DataFrame) -> DataFrame:
-    total = firsts.agg(F.sum("_n")).scalar()
-    return firsts.where(F.col("_n") * SHARE > total).select(F.col("_key").alias("_hot_key"))
-
-
 def dedupe(df: DataFrame, key: str, order_by: list[str], is_wrong: Column) -> DataFrame:
     """The kept rows only: the first acceptable row of each key.
 

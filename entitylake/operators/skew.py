@@ -2,8 +2,9 @@
 
 A key is *hot* when it holds more than one row in ``SHARE`` of its side.  By that
 definition a side has fewer than ``SHARE`` hot keys, so their list is safe to
-broadcast whatever the data size.  Rows of hot keys are spread over ``SLICES``
-slices of the key; all other rows are joined as usual.
+broadcast whatever the data size.  Rows of hot keys are spread over many hash
+buckets; all other rows are joined as usual.  Adaptive skew handling remains the
+second line of defence.
 """
 
 from __future__ import annotations
@@ -14,33 +15,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SHARE = 256
-SLICES = 64
+SLICES = 512  # slices a key with all rows would get; others in proportion
+LOOKUP_SLICES = 4096
 
 
-def hot_keys(rows: DataFrame, key: str, share: int = SHARE) -> DataFrame:
-    """Keys (null left out) that hold more than 1/share of the rows: fewer than ``share`` rows.
+def hot_keys(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """(<name>_key, <name>_slices) of the hot keys, null left out.
 
-    Counting is pre-aggregated on the map side and reads the key column only.
+    Counting reads the key column only and is pre-aggregated before the shuffle.
     """
     counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n")).scalar()
-    return counts.where(F.col("n") * share > total).select(F.col(key).alias("_hot_key"))
+    return counts.where(F.col("n") * SHARE > total).select(
+        F.col(key).alias(f"{name}_key"),
+        F.ceil(F.col("n") * SLICES / total).cast("int").alias(f"{name}_slices"),
+    )
 
 
-def _spread(rows: DataFrame, key: str, hot: DataFrame, slice_name: str, by: Sequence[str]) -> DataFrame:
-    """Put each hot row into one slice chosen by a hash of ``by``; others into slice 0."""
-    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
-    one = F.when(F.col("_hot_key").isNotNull(), F.pmod(F.xxhash64(*by), F.lit(SLICES))).otherwise(0)
-    return marked.withColumn(slice_name, one.cast("int")).drop("_hot_key")
-
-
-def _replicate(rows: DataFrame, key: str, hot: DataFrame, slice_name: str) -> DataFrame:
-    """Put each row of a hot key into every slice; others into slice 0."""
-    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
-    everywhere: Column = F.when(
-        F.col("_hot_key").isNotNull(), F.sequence(F.lit(0), F.lit(SLICES - 1))
-    ).otherwise(F.array(F.lit(0)))
-    return marked.withColumn(slice_name, F.explode(everywhere)).drop("_hot_key")
+def _sliced(rows: DataFrame, key: str, hot: DataFrame, name: str, by: Sequence[str] | None, slice_name: str) -> DataFrame:
+    """Add the slice number within the key: one chosen by a hash of ``by``, or all of them."""
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col(f"{name}_key"), "left")
+    slices = F.col(f"{name}_slices")
+    number: Column
+    if by is not None:
+        number = F.when(slices.isNotNull(), F.pmod(F.xxhash64(*by), slices)).otherwise(0).cast("int")
+    else:
+        number = F.explode(
+            F.when(slices.isNotNull(), F.sequence(F.lit(0), slices - 1)).otherwise(F.array(F.lit(0)))
+        )
+    return marked.withColumn(slice_name, number).drop(f"{name}_key", f"{name}_slices")
 
 
 def join_skewed(
@@ -48,18 +51,63 @@ def join_skewed(
     right: DataFrame,
     left_key: str,
     right_key: str,
+    spread_left_by: Sequence[str],
+    spread_right_by: Sequence[str],
+) -> DataFrame:
+    """Inner join, many to many, with hot keys of either side cut into slices.
+
+    The column names of both sides must differ; ``spread_..._by`` names columns
+    that vary among the rows of one key.  A row of a hot key sits in one slice of
+    its own side and is copied to all slices of the other side, so every pair
+    meets exactly once.  A key that is hot on one side only has few rows on the
+    other: all copies together are at most twice that side.
+    """
+    hot_left = hot_keys(left, left_key, "_hot_left")
+    hot_right = hot_keys(right, right_key, "_hot_right")
+    a = _sliced(left, left_key, hot_left, "_hot_left", spread_left_by, "_l1")
+    a = _sliced(a, left_key, hot_right, "_hot_right", None, "_l2")
+    b = _sliced(right, right_key, hot_left, "_hot_left", None, "_r1")
+    b = _sliced(b, right_key, hot_right, "_hot_right", spread_right_by, "_r2")
+    meet = (
+        (F.col(left_key) == F.col(right_key))
+        & (F.col("_l1") == F.col("_r1"))
+        & (F.col("_l2") == F.col("_r2"))
+    )
+    return a.join(b, meet, "inner").drop("_l1", "_l2", "_r1", "_r2")
+
+
+def lookup_skewed(
+    rows: DataFrame,
+    per_key: DataFrame,
+    key: str,
+    value: str,
+    n: str,
+    total: Column,
     spread_by: Sequence[str],
-    how: str = "inner",
-    hot: DataFrame | None = None,
 ) -> DataFrame:
-    """``left`` joined with ``right``, hot keys of the left side spread over slices.
+    """``rows`` with the ``value`` that ``per_key`` (one row per key) holds for their key.
 
-    The column names of both sides must differ.  ``spread_by`` names left columns
-    that vary among rows of one key.  Every pair that the plain join yields is
-    yielded once: a left row sits in one slice, a right row of a hot key in all.
+    ``per_key(key, value, n)`` has the number of rows per key and ``total`` is their
+    sum.  The values of hot keys are broadcast: those rows need no partner and are
+    spread evenly instead of meeting in one task.  Keys must not be null.
     """
-    hot = hot_keys(left, left_key) if hot is None else hot
-    sliced_left = _spread(left, left_key, hot, "_slice", spread_by)
-    sliced_right = _replicate(right, right_key, hot, "_right_slice")
-    matches = (F.col(left_key) == F.col(right_key)) & (F.col("_slice") == F.col("_right_slice"))
-    return sliced_left.join(sliced_right, matches, how).drop("_slice", "_right_slice")
+    hot = per_key.where(F.col(n) * SHARE > total).select(
+        F.col(key).alias("_hot_key"), F.struct(value).alias("_hot_value")
+    )
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left").withColumn(
+        "_slice",
+        F.when(
+            F.col("_hot_key").isNotNull(), F.pmod(F.xxhash64(*spread_by), F.lit(LOOKUP_SLICES))
+        ).otherwise(F.lit(-1).cast("long")),
+    )
+    # Read off a column so that the slice stays a join key: a literal would become a mere
+    # filter on the left and leave all rows of a hot key in one bucket.
+    no_slice = F.when(F.col(n) > 0, F.lit(-1)).otherwise(F.lit(-2)).cast("long")
+    others = per_key.select(
+        F.col(key).alias("_other_key"), F.struct(value).alias("_other_value"), no_slice.alias("_no_slice")
+    )
+    meet = (F.col(key) == F.col("_other_key")) & (F.col("_slice") == F.col("_no_slice"))
+    found = marked.join(others, meet, "left")
+    return found.withColumn(value, F.coalesce("_hot_value", "_other_value")[value]).drop(
+        "_hot_key", "_hot_value", "_slice", "_other_key", "_other_value", "_no_slice"
+    )
