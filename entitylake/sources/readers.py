@@ -44,7 +44,7 @@ def read_json_lines_checked(spark: SparkSession, path: str, schema: StructType)
 
 def read_page_store(spark: SparkSession, path: str) -> DataFrame:
     """``PAGE_STORE`` rows of HTML files ``<path>/<entity id>/<kind>[-pN].html``."""
-    files = spark.read.option("wholetext", True).text(f"{path}/*/*.html")
+    files = spark.read.text(f"{path}/*/*.html", wholetext=True)
     where = F.col("_metadata.file_path")
     return files.select(
         F.regexp_extract(where, PAGE_PATH, 1).alias("entity_id"),
