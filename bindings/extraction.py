@@ -225,6 +225,16 @@ def release_rollup(spark, sf):
     return rolled.withColumns({c: F.array_join(c, "|") for c in LISTS})
 
 
+@query(
+    "release_values",
+    f"""WITH {ITEMS_SQL} SELECT DISTINCT entity_id, title_key, list, value FROM keyed
+  CROSS JOIN LATERAL (VALUES ('formats', format), ('labels', label), ('countries', country), ('dates', date),
+    ('catalogs', catalog), ('variants', title)) AS v(list, value) WHERE value IS NOT NULL""",
+)
+def release_values(spark, sf):
+    return rollup.value_rows(item_rows(spark, sf))
+
+
 @query("recording_rollup", f"WITH {ITEMS_SQL} {RECORDINGS_SQL}")
 def recording_rollup(spark, sf):
     return rollup.roll_up_recordings(item_rows(spark, sf), order_by=ITEM_ORDER).drop("seen", "variants")

@@ -14,8 +14,11 @@ from entitylake.functions import text as X
 
 
 def new_ids(candidates: DataFrame, done: DataFrame, key: str = "entity_id") -> DataFrame:
-    """Candidates that are not done yet."""
-    return candidates.join(done.select(key), key, "left_anti")
+    """Candidates that are not done yet, each once: a repeated one is done by then.
+
+    Both sides are reduced to distinct ids before they meet, so no id is hot.
+    """
+    return candidates.select(key).distinct().join(done.select(key).distinct(), key, "left_anti")
 
 
 def merge_ids(known: DataFrame, new: DataFrame, key: str = "entity_id") -> DataFrame:
@@ -119,7 +122,7 @@ def top_ids_per_tag(
     chosen = listings.join(tags.select("slug"), "slug", "left_semi")
     order = Window.partitionBy("slug").orderBy("position", key)
     first = chosen.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max_per_tag)
-    return new_ids(first.select(key).distinct(), known, key)
+    return new_ids(first, known, key)
 
 
 def frontier_batch(
@@ -150,4 +153,4 @@ def frontier_batch(
         .orderBy("_order", source, position, key)
         .limit(cap)
     )
-    return new_ids(first.select(key), done, key)
+    return new_ids(first, done, key)

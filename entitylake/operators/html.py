@@ -215,6 +215,17 @@ def listed_ids(pages: DataFrame, pattern: str, html: str = "html", id_name: str
     )
 
 
+def sitemaps(indexes: DataFrame, site: str, body: str = "html") -> DataFrame:
+    """The entity sitemaps listed in sitemap index documents (column ``sitemap``)."""
+    pattern = f"<loc>({X.java_literal(site)}/sitemap-artist-[^<]+)</loc>"
+    return listed_ids(indexes, pattern, body, "sitemap")
+
+
+def sitemap_ids(documents: DataFrame, site: str, body: str = "html") -> DataFrame:
+    """The entity ids listed in sitemap documents."""
+    return listed_ids(documents, X.java_literal(site) + R.ENTITY_LINK, body)
+
+
 def tag_counts(pages: DataFrame, pattern: str = R.LISTED_TAG, html: str = "html") -> DataFrame:
     """(slug, name, uses) of each tag listed; ``1,234`` becomes 1234."""
     others = [c for c in pages.columns if c != html]

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from entitylake.functions import text as X
+from entitylake.functions.binding import record
 from entitylake.schemas import RECORDING, RELEASE
 
 # Output list -> input column of the release roll-up.
@@ -65,6 +66,25 @@ def roll_up_releases(
     )
 
 
+def value_rows(
+    rows: DataFrame, entity: list[str] = ("entity_id",), sets: dict[str, str] = RELEASE_SETS
+) -> DataFrame:
+    """The sets of the release roll-up in long form: (entity, title_key, list, value), each once.
+
+    The form to keep where an entity may have any number of rows: nothing is
+    gathered per entity, and repeated values are dropped before the shuffle.
+    """
+    listed = {**sets, "variants": "title"}
+    values = F.array(
+        *[record(list=F.lit(name), value=F.col(column).cast("string")) for name, column in listed.items()]
+    )
+    return (
+        rows.select(*entity, X.variant_key("title").alias("title_key"), F.inline(values))
+        .where(F.col("value").isNotNull())
+        .distinct()
+    )
+
+
 def roll_up_recordings(
     rows: DataFrame,
     entity: list[str] = ("entity_id",),

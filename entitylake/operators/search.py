@@ -225,8 +225,15 @@ def search_texts(
     text: str = "text",
     tokenizer: Tokenizer = X.tokens,
 ) -> DataFrame:
-    """(query, rank, doc_id, score): the best ``top`` documents of each query."""
-    return top_ranked(score_texts(docs, queries, weight, doc_id, text, tokenizer), top, doc_id)
+    """(query, rank, doc_id, score): the best ``top`` documents of each query.
+
+    A single query is cut to its best rows by a distributed top-n, without sorting
+    all of its matches; only those few rows are then numbered.
+    """
+    scores = score_texts(docs, queries, weight, doc_id, text, tokenizer)
+    if len(set(queries)) == 1:
+        scores = scores.orderBy(F.desc("score"), doc_id).limit(top)
+    return top_ranked(scores, top, doc_id)
 
 
 def boolean_search(

@@ -9,6 +9,9 @@ REQUIRED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # The operators build large expressions; recording the call site of each part
+    # would double the time to build them.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

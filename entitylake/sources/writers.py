@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from entitylake.functions.text import tokens
 from entitylake.operators.entities import lookup_rows
+from entitylake.operators.evaluate import compare, summary
 from entitylake.operators.index import postings, term_table
 
 
@@ -30,17 +31,28 @@ def write_lookup(entities: DataFrame, path: str) -> None:
 
 
 def write_ids(ids: DataFrame, path: str, key: str = "entity_id") -> None:
-    """Sorted id list: range-partitioned, so the parts in name order are the sorted list."""
+    """Sorted id list: range-partitioned, so the parts in name order are the sorted list.
+
+    A list merged with its successor is written to a new folder, not over itself.
+    """
     ids.select(key).distinct().orderBy(key).write.mode("overwrite").json(path)
 
 
+def write_evaluation(judged: DataFrame, path: str, base: str, other: str) -> None:
+    """Judged queries, the summary per method and the comparison, below ``path``."""
+    write_json_lines(judged, f"{path}/queries")
+    write_json_lines(summary(judged), f"{path}/methods")
+    write_json_lines(compare(judged, base, other), f"{path}/comparison")
+
+
 def write_index(docs: DataFrame, path: str) -> None:
     """Index tables of ``docs(doc_id, name, text, ...)`` below ``path``.
 
-    Postings are written once, ordered by term and document: a query reads only
-    the row groups of its terms, and a very frequent term spans several files
-    instead of filling one.  Term statistics are then computed from the written
-    postings, not from the texts again.
+    Postings are written in ranges of term and document: a query reads only the
+    files and row groups of its terms, and a very frequent term spans several
+    files instead of filling one.  Finding the range bounds samples the postings,
+    which costs a second pass over the texts; the index is built once and read
+    often.  Term statistics are computed from the written postings.
     """
     spark = docs.sparkSession
     laid_out = (

@@ -20,7 +20,7 @@ def id_table(spark, values):
 
 def test_id_lists(spark):
     a, b = id_table(spark, ["x", "y", "y", "z"]), id_table(spark, ["z", "w", "w"])
-    assert sorted(ids(frontier.new_ids(a, b))) == ["x", "y", "y"]
+    assert sorted(ids(frontier.new_ids(a, b))) == ["x", "y"]
     assert ids(frontier.merge_ids(a, b)) == ["w", "x", "y", "z"]
     got = {r.entity_id: r.status for r in frontier.compare_ids(a, b).collect()}
     assert got == {"x": "missing", "y": "missing", "z": "both", "w": "extra"}
@@ -59,6 +59,15 @@ def test_progress(pages):
     assert got == {"a": (2, 0, 2), "b": (1, 1, 5), "c": (0, 1, 1)}
 
 
+def test_sitemaps(spark):
+    site, uuid = "https://m.example.org", "0000000a-0000-0000-0000-00000000000f"
+    text = f"<loc>{site}/sitemap-artist-1.xml.gz</loc><loc>{site}/sitemap-area-1.xml.gz</loc><loc>https://mXexample.org/sitemap-artist-2</loc>"
+    index = spark.createDataFrame([(text,)], "html string")
+    assert ids(html.sitemaps(index, site), "sitemap") == [f"{site}/sitemap-artist-1.xml.gz"]
+    body = spark.createDataFrame([(f"<loc>{site}/artist/{uuid}</loc><loc>{site}/area/{uuid}</loc>",)], "html string")
+    assert [(r.position, r.entity_id) for r in html.sitemap_ids(body, site).collect()] == [(0, uuid)]
+
+
 TAGS = """<li><a href="/tag/rock">rock</a> <i>has been used 1,200,300 times</i></li>
 <li><a href="/tag/hip-hop"> hip hop </a> <i>has been used 150,000 times</i></li>
 <li><a href="/tag/few">few</a> <i>has been used 149,999 times</i></li>"""

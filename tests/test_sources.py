@@ -86,6 +86,17 @@ def test_sorted_id_file(spark, tmp_path):
     assert [json.loads(x)["entity_id"] for x in lines] == ["a", "b"]
 
 
+def test_evaluation_files(spark, tmp_path):
+    judged = spark.createDataFrame(
+        [("a", "q", "x", 1, True), ("b", "q", "y", 1, False)],
+        "method string, query string, first_result string, total_relevant long, correct boolean",
+    )
+    writers.write_evaluation(judged, str(tmp_path / "e"), "b", "a")
+    assert spark.read.json(str(tmp_path / "e/queries")).count() == 2
+    assert {r.method: r.accuracy for r in spark.read.json(str(tmp_path / "e/methods")).collect()} == {"a": 1.0, "b": 0.0}
+    assert spark.read.json(str(tmp_path / "e/comparison")).first().winner == "a"
+
+
 def test_limits(spark):
     df = spark.range(100)
     assert readers.limited(df, None) is df
