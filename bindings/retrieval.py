@@ -170,15 +170,8 @@ def indexed(spark, sf, weight: str, queries, tokenizer=X.tokens, top: int = 10)
     docs = documents(spark, sf, "text")
     posts = index.postings(docs, tokenizer=tokenizer)
     totals = search.collection_totals(index.doc_lengths(docs, tokenizer=tokenizer))
-    asked = search.query_terms(spark, queries, tokenizer)
-    # Only the terms asked for need a document frequency.
-    terms = (
-        posts.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"))
-    )
-    scores = search.score_index(posts, terms, totals, asked, weight, small_query_table=True)
-    return search.top_ranked(scores, top)
+    terms = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return search.search_index(posts, terms, totals, queries, weight, top, tokenizer=tokenizer)
 
 
 @query("index_search", f"WITH {ranked_sql('bm25', S.words, QUERIES)} SELECT * FROM ranked")
@@ -257,7 +250,7 @@ close AS (SELECT query, asked.term AS query_term, df.term, levenshtein(df.term,
 def fuzzy_terms(spark, sf):
     vocabulary = index.terms_of_texts(documents(spark, sf, "text"))
     close = search.fuzzy_terms(vocabulary, FUZZY, tokenizer=X.tokens)
-    return close.withColumn("boost", F.round("boost", 6))
+    return close.drop("df").withColumn("boost", F.round("boost", 6))
 
 
 @query(
@@ -289,9 +282,8 @@ def field_search(spark, sf):
     docs = build_field_documents(records(spark, sf))
     posts = index.field_postings(docs, ["genres"])
     totals = search.collection_totals(index.doc_lengths(docs, text="genres", tokenizer=X.words))
-    asked = search.query_terms(spark, ["cat 12 brand"], X.words)
     terms = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return search.top_ranked(search.score_index(posts, terms, totals, asked, "bm25", small_query_table=True), 10)
+    return search.search_index(posts, terms, totals, ["cat 12 brand"], "bm25", tokenizer=X.words)
 
 
 COMPARED = QUERIES[:2]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from entitylake.functions.text import blank_to_null
+from entitylake.functions.text import blank_to_null, strip
 from entitylake.rules import RELATION_LABELS
 from entitylake.schemas import JOINED, conform
 
@@ -55,7 +55,7 @@ def build_documents(records: DataFrame, site: str) -> DataFrame:
     people = [_field_texts(f"relationships.{label}", "name") for label in RELATION_LABELS]
     return r.select(
         F.col("uuid").alias("doc_id"),
-        F.trim(name).alias("name"),
+        strip(name).alias("name"),
         joined_text(
             name,
             F.array_join(genres, " "),

@@ -17,6 +17,13 @@ from entitylake.functions.binding import keep_if, let, record
 
 Tokenizer = Callable[[Column], Column]
 
+BUCKETS = 256  # folders of the stored postings
+
+
+def bucket_of(term: Column | str, buckets: int = BUCKETS) -> Column:
+    """The folder of the stored postings that holds a term."""
+    return F.pmod(F.xxhash64(X.col(term)), F.lit(buckets)).cast("int")
+
 
 def postings(
     docs: DataFrame,

@@ -21,11 +21,12 @@ from pyspark.sql import functions as F
 
 from entitylake.functions import text as X
 from entitylake.functions.binding import keep_if, let, record
-from entitylake.operators.index import Tokenizer
+from entitylake.operators.index import BUCKETS, Tokenizer, bucket_of
 from entitylake.rules import BM25_B, BM25_K1, MAX_EDITS
 
 DECIMALS = 6
 MAX_LITERAL_QUERIES = 10_000
+MAX_BROADCAST_TERMS = 100_000
 # Tokens are neither empty nor blank, so these keys can stand beside terms.
 NO_TERM = ""  # a document's length, the collection's totals
 PHRASE = " "  # a phrase's frequency
@@ -313,22 +314,28 @@ def score_index(
     weight: str | Weight = "tfidf_smooth",
     doc_id: str = "doc_id",
     small_query_table: bool = False,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """(query, doc_id, score) from ``postings(term, doc_id, tf, doc_len)`` and ``terms(term, df)``.
 
     ``asked`` is a (query, term, qtf) table; an optional ``boost`` column scales a
-    term's part.  With ``small_query_table`` it is broadcast: set it only for
-    tables made by ``query_terms``, whose size is checked.  Otherwise Spark picks
-    the join by size and splits hot terms.
+    term's part and an optional ``df`` saves looking it up in ``terms``.  With
+    ``small_query_table`` it is broadcast: set it only for a table whose size is
+    checked, such as those made by ``query_terms``.  Otherwise Spark picks
+    the join by size and splits hot terms.  Stored postings are joined by bucket
+    and term, so that a small set of terms prunes the folders to read.
     """
     weigh = WEIGHTS[weight] if isinstance(weight, str) else weight
-    if small_query_table:
-        asked = F.broadcast(asked)
     boost = F.col("boost") if "boost" in asked.columns else F.lit(1.0)
-    weighted = asked.join(terms.select("term", "df"), "term")
-    if small_query_table:
-        weighted = F.broadcast(weighted)
-    hits = postings.join(weighted, "term")
+    weighted = asked
+    if "df" not in asked.columns:
+        few = F.broadcast(asked) if small_query_table else asked
+        weighted = few.join(terms.select("term", "df"), "term")
+    keys = ["term"]
+    if "bucket" in postings.columns:
+        keys = ["bucket", "term"]
+        weighted = weighted.withColumn("bucket", bucket_of("term", buckets))
+    hits = postings.join(F.broadcast(weighted) if small_query_table else weighted, keys)
     part = F.col("qtf") * boost * weigh(F.col("tf"), F.col("df"), F.col("doc_len"), totals)
     return (
         hits.groupBy("query", doc_id)
@@ -337,13 +344,41 @@ def score_index(
     )
 
 
+def search_index(
+    postings: DataFrame,
+    terms: DataFrame,
+    totals: Totals,
+    queries: Sequence[str],
+    weight: str | Weight = "tfidf_smooth",
+    top: int = 10,
+    doc_id: str = "doc_id",
+    tokenizer: Tokenizer = X.tokens,
+    buckets: int = BUCKETS,
+) -> DataFrame:
+    """(query, rank, doc_id, score) of given query texts from index tables.
+
+    The terms are literals in the filters of both tables: of stored tables only
+    the folders and row groups that hold them are read.
+    """
+    spark = postings.sparkSession
+    wanted = sorted({t for _, ts in _parse(spark, queries, tokenizer) for t in ts})
+    here = F.col("term").isin(wanted)
+    posts = postings.where(here)
+    if "bucket" in postings.columns and wanted:
+        # Constant, hence computed while planning: only these folders are listed.
+        posts = posts.where(F.col("bucket").isin([bucket_of(F.lit(t), buckets) for t in wanted]))
+    asked = query_terms(spark, queries, tokenizer)
+    scores = score_index(posts, terms.where(here), totals, asked, weight, doc_id, True, buckets)
+    return top_ranked(scores, top, doc_id)
+
+
 def fuzzy_terms(
     terms: DataFrame,
     queries: Sequence[str],
     max_edits: int = MAX_EDITS,
     tokenizer: Tokenizer = X.words,
 ) -> DataFrame:
-    """(query, query_term, term, edits, boost): vocabulary terms within the edit distance.
+    """(query, query_term, term, df, edits, boost): vocabulary terms within the edit distance.
 
     The query terms are a short literal list checked against each vocabulary row
     in place: the vocabulary is neither shuffled nor joined.  The length test
@@ -356,7 +391,7 @@ def fuzzy_terms(
         for q, ts in parsed
         for t in dict.fromkeys(ts)
     ]
-    each = terms.select("term", F.inline(F.array(*pairs)))
+    each = terms.select("term", "df", F.inline(F.array(*pairs)))
     close = F.abs(F.length("term") - F.length("query_term")) <= max_edits
     edits = F.levenshtein("term", "query_term", max_edits)
     shorter = F.least(F.length("term"), F.length("query_term"))
@@ -364,7 +399,7 @@ def fuzzy_terms(
         each.where(close)
         .withColumn("edits", edits)
         .where("edits >= 0")
-        .select("query", "query_term", "term", "edits", (1 - F.col("edits") / shorter).alias("boost"))
+        .select("query", "query_term", "term", "df", "edits", (1 - F.col("edits") / shorter).alias("boost"))
         .where("boost > 0")
     )
 
@@ -378,10 +413,18 @@ def fuzzy_search(
     top: int = 10,
     doc_id: str = "doc_id",
     tokenizer: Tokenizer = X.words,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
-    """BM25 over all close terms, each scaled by its boost; none of them is cut off."""
+    """BM25 over all close terms, each scaled by its boost; none of them is cut off.
+
+    On stored postings the close terms are counted first: few of them are
+    broadcast, which lets the join prune the folders to read; many are joined as
+    Spark decides by size.
+    """
     close = fuzzy_terms(terms, queries, max_edits, tokenizer).withColumn("qtf", F.lit(1))
-    return top_ranked(score_index(postings, terms, totals, close, "bm25", doc_id), top, doc_id)
+    few = "bucket" in postings.columns and close.limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS
+    scores = score_index(postings, terms, totals, close, "bm25", doc_id, few, buckets)
+    return top_ranked(scores, top, doc_id)
 
 
 def phrase_postings(

@@ -14,7 +14,7 @@ from entitylake.functions.binding import keep_if, let, record
 
 PAGE_START = "<page>"
 PAGE_END = "</page>"
-PAGE_TYPE = "title STRING, revision STRUCT<text: STRING>"
+PAGE_TYPE = "title STRING, revision ARRAY<STRUCT<text: STRING>>"
 
 # Used only where the page is not well-formed XML.
 LOOSE_TITLE = r"(?s)<title>(.*?)</title>"
@@ -58,7 +58,8 @@ def _page(xml: Column) -> Column:
     strict = F.from_xml(xml, PAGE_TYPE, {"ignoreSurroundingSpaces": "false"})
 
     def pick(parsed: Column) -> Column:
-        text = F.coalesce(parsed["revision"]["text"], _unescape(X.first_match(xml, LOOSE_TEXT)))
+        first = F.get(parsed["revision"], 0)["text"]
+        text = F.coalesce(first, _unescape(X.first_match(xml, LOOSE_TEXT)))
         return record(
             title=F.coalesce(parsed["title"], _unescape(X.first_match(xml, LOOSE_TITLE))),
             text=F.when(~xml.rlike(EMPTY_TEXT), text),

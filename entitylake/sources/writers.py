@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from entitylake.functions.text import tokens
 from entitylake.operators.entities import lookup_rows
 from entitylake.operators.evaluate import compare, summary
-from entitylake.operators.index import postings, term_table
+from entitylake.operators.index import BUCKETS, bucket_of, postings, term_table
 
 
 def write_json_lines(df: DataFrame, path: str, parts: int | None = None, mode: str = "overwrite") -> None:
@@ -45,22 +45,26 @@ def write_evaluation(judged: DataFrame, path: str, base: str, other: str) -> Non
     write_json_lines(compare(judged, base, other), f"{path}/comparison")
 
 
-def write_index(docs: DataFrame, path: str) -> None:
+def write_index(docs: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Index tables of ``docs(doc_id, name, text, ...)`` below ``path``.
 
-    Postings are written in ranges of term and document: a query reads only the
-    files and row groups of its terms, and a very frequent term spans several
-    files instead of filling one.  Finding the range bounds samples the postings,
-    which costs a second pass over the texts; the index is built once and read
-    often.  Term statistics are computed from the written postings.
+    Postings lie in one folder per bucket of terms, sorted by term and document:
+    a query with given terms, or a join with a few terms, reads the folders and
+    row groups of those terms only.  Tasks get ranges of bucket, term and
+    document, so a very frequent term spans several files instead of filling one.
+    Finding the range bounds samples the postings, which costs a second pass over
+    the texts; the index is built once and read often.  Term statistics are
+    computed from the written postings.
     """
     spark = docs.sparkSession
+    order = ["bucket", "term", "doc_id"]
     laid_out = (
         postings(docs)
-        .repartitionByRange("term", "doc_id")
-        .sortWithinPartitions("term", "doc_id")
+        .withColumn("bucket", bucket_of("term", buckets))
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
     )
-    laid_out.write.mode("overwrite").parquet(f"{path}/postings")
+    laid_out.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     measured = docs.withColumn("doc_len", F.size(tokens("text"))).where("doc_len > 0").drop("text")
     measured.write.mode("overwrite").parquet(f"{path}/docs")
     stored_docs = spark.read.parquet(f"{path}/docs")

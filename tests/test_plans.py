@@ -58,12 +58,12 @@ def test_extraction_is_one_narrow_pass(spark):
     assert "Exchange" not in plan_of(extract_entities(docs))
 
 
-@pytest.mark.parametrize("name", ["tfidf_smooth", "batch_search", "bm25"])
+@pytest.mark.parametrize("name", ["batch_search", "bm25", "eval_top1"])
 def test_top_k_is_limited_before_the_shuffle(spark, name):
     assert plan_of(QUERIES[name](spark, SF)).count("WindowGroupLimit") >= 2
 
 
-@pytest.mark.parametrize("name", ["limit_scan", "random_sample", "join_sample"])
+@pytest.mark.parametrize("name", ["limit_scan", "random_sample", "join_sample", "tfidf_smooth"])
 def test_limits_are_top_n(spark, name):
     assert "TakeOrderedAndProject" in plan_of(QUERIES[name](spark, SF))
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 
 import pytest
@@ -10,6 +11,7 @@ from entitylake.functions import text as X
 from entitylake.operators import evaluate, index, search
 from entitylake.operators.documents import build_documents, build_field_documents
 from entitylake.sources import writers
+from tests.test_plans import plan_of
 
 # The relevance queries and the names that answer them.
 TRUTH = {
@@ -202,13 +204,23 @@ def test_unknown_is_a_token(spark):
 
 
 def test_index_tables_on_disk(spark, docs, tmp_path):
-    writers.write_index(docs, str(tmp_path))
+    writers.write_index(docs, str(tmp_path), buckets=16)
     stored, posts, terms = writers.read_index(spark, str(tmp_path))
     assert posts.count() == index.postings(docs).count() and stored.columns == ["doc_id", "name", "meta", "doc_len"]
     assert {r.term: r.df for r in terms.collect()} == {r.term: r.df for r in index.terms_of_texts(docs).collect()}
-    asked = search.query_terms(spark, ["pink floyd"])
-    ranked = search.top_ranked(search.score_index(posts, terms, search.collection_totals(stored), asked, small_query_table=True), 3)
-    assert ranked.exceptAll(search.search_texts(docs, ["pink floyd"], top=3)).count() == 0
+    totals = search.collection_totals(stored)
+    ranked = search.search_index(posts, terms, totals, ["pink floyd"], top=3, buckets=16)
+    assert ranked.exceptAll(search.search_texts(docs, ["pink floyd"], top=3)).count() == 0 and ranked.count() > 0
+    # Given terms select folders while planning, and row groups by their values.
+    plan = plan_of(ranked)
+    assert re.search(r"PartitionFilters: \[bucket#\d+ IN \(\d+,\d+\)", plan)
+    assert "PushedFilters: [In(term, [floyd,pink])" in plan
+    # Terms found by a join select folders at run time.
+    fuzzy = search.fuzzy_search(posts, terms, totals, ["beetles"], top=1, tokenizer=X.tokens, buckets=16)
+    fuzzy.collect()
+    final = plan_of(fuzzy).split("\n+- == Initial Plan ==")[0]
+    assert "dynamicpruningexpression(bucket" in final and "dynamicpruningexpression(true)" not in final
+    assert [r.name for r in names_of(fuzzy, docs).collect()] == ["The Beatles"]
 
 
 def test_upsert_replaces_whole_documents(spark):

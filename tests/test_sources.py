@@ -46,6 +46,12 @@ def test_dump_pages(spark, dump):
     assert decode_quality(read_dump(spark, dump)).first().asDict() == {"chunks": 6, "pages": 5, "decoded": 3, "rejected": 2}
 
 
+def test_first_revision_counts(spark):
+    chunk = "<page><title>T</title><revision><text>one</text></revision><revision><text>two</text></revision>"
+    row = decode_pages(spark.createDataFrame([(chunk,)], "value string")).first()
+    assert (row.title, row.text) == ("T", "one")
+
+
 def test_extract_job(spark, dump, tmp_path):
     out, lookup = str(tmp_path / "entities"), str(tmp_path / "lookup")
     assert jobs.extract(spark, dump, out, lookup) == {"entities": 2, "artist": 1, "band": 1}
