@@ -17,16 +17,19 @@ from pyspark.sql import functions as F
 SHARE = 256
 SLICES = 512  # slices a key with all rows would get; others in proportion
 LOOKUP_SLICES = 4096
+HOT_FROM = 100_000  # a key with fewer rows than this never needs slices
 
 
-def hot_keys(rows: DataFrame, key: str, name: str) -> DataFrame:
+def hot_keys(rows: DataFrame, key: str, name: str, hot_from: int = HOT_FROM) -> DataFrame:
     """(<name>_key, <name>_slices) of the hot keys, null left out.
 
     Counting reads the key column only and is pre-aggregated before the shuffle.
+    ``hot_from`` keeps a small table, in which every key has a large share, from
+    having its partner copied.
     """
     counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n")).scalar()
-    return counts.where(F.col("n") * SHARE > total).select(
+    return counts.where((F.col("n") >= hot_from) & (F.col("n") * SHARE > total)).select(
         F.col(key).alias(f"{name}_key"),
         F.ceil(F.col("n") * SLICES / total).cast("int").alias(f"{name}_slices"),
     )
@@ -53,17 +56,18 @@ def join_skewed(
     right_key: str,
     spread_left_by: Sequence[str],
     spread_right_by: Sequence[str],
+    hot_from: int = HOT_FROM,
 ) -> DataFrame:
     """Inner join, many to many, with hot keys of either side cut into slices.
 
     The column names of both sides must differ; ``spread_..._by`` names columns
     that vary among the rows of one key.  A row of a hot key sits in one slice of
     its own side and is copied to all slices of the other side, so every pair
-    meets exactly once.  A key that is hot on one side only has few rows on the
-    other: all copies together are at most twice that side.
+    meets exactly once.  A key that is hot on one side only has less than 1/SHARE
+    of the rows of the other: all copies together are at most three times that side.
     """
-    hot_left = hot_keys(left, left_key, "_hot_left")
-    hot_right = hot_keys(right, right_key, "_hot_right")
+    hot_left = hot_keys(left, left_key, "_hot_left", hot_from)
+    hot_right = hot_keys(right, right_key, "_hot_right", hot_from)
     a = _sliced(left, left_key, hot_left, "_hot_left", spread_left_by, "_l1")
     a = _sliced(a, left_key, hot_right, "_hot_right", None, "_l2")
     b = _sliced(right, right_key, hot_left, "_hot_left", None, "_r1")
