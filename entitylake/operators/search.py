@@ -1,11 +1,12 @@
 """Ranked retrieval on texts and on index tables.
 
 *On texts* (``search_texts``, ``boolean_search``, ``phrase_search``): each document
-is matched and scored inside its row against all queries at once.  Nothing but
-one short list of term statistics and the best ``top`` rows per query is shuffled.
+is matched and scored inside its row against all queries at once.  What is shuffled
+is a few numbers per document, once, and the best ``top`` rows per query.
 
-*On index tables* (``search_index``, ``fuzzy_search``): postings are joined with the
-query terms, scores summed per (query, document).
+*On index tables* (``search_index``, ``fuzzy_search``, ``score_index``): postings are
+joined with the query terms, scores summed per (query, document).  ``score_index``
+takes the queries as a table of any size.
 
 Scores are rounded to ``DECIMALS`` so that ties do not depend on summation order;
 ties are broken by document id.
@@ -25,7 +26,7 @@ from entitylake.operators.index import BUCKETS, Tokenizer, bucket_of
 from entitylake.rules import BM25_B, BM25_K1, MAX_EDITS
 
 DECIMALS = 6
-MAX_LITERAL_QUERIES = 10_000
+MAX_LITERAL_QUERIES = 1_000
 MAX_BROADCAST_TERMS = 100_000
 # Tokens are neither empty nor blank, so these keys can stand beside terms.
 NO_TERM = ""  # a document's length, the collection's totals
