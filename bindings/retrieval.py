@@ -12,6 +12,7 @@ from bindings.records import DOCUMENT_SQL
 from entitylake.functions import text as X
 from entitylake.operators import evaluate, index, search
 from entitylake.operators.documents import build_field_documents
+from entitylake.sources.stage import staged
 
 QUERIES = ("the and that", "les des pour les", "der die und", "thereat other ertion", "nowhere zzz", "los las para")
 FUZZY = ("therat", "mentoi")
@@ -166,10 +167,10 @@ def bm25(spark, sf):
 
 
 def indexed(spark, sf, weight: str, queries, tokenizer=X.tokens, top: int = 10) -> DataFrame:
-    """Ranked retrieval through index tables made on the way."""
-    docs = documents(spark, sf, "text")
-    posts = index.postings(docs, tokenizer=tokenizer)
-    totals = search.collection_totals(index.doc_lengths(docs, tokenizer=tokenizer))
+    """Ranked retrieval through index tables made on the way, in one pass over the texts."""
+    counted = staged(index.count_terms(documents(spark, sf, "text"), tokenizer=tokenizer))
+    posts = index.postings_of(counted)
+    totals = search.collection_totals(counted)
     terms = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return search.search_index(posts, terms, totals, queries, weight, top, tokenizer=tokenizer)
 
@@ -261,10 +262,11 @@ SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id)
 FROM scores QUALIFY rank <= 10""",
 )
 def fuzzy_search(spark, sf):
-    docs = documents(spark, sf, "text")
-    posts = index.postings(docs)
-    totals = search.collection_totals(index.doc_lengths(docs))
-    return search.fuzzy_search(posts, index.terms_of_texts(docs), totals, FUZZY, tokenizer=X.tokens)
+    counted = staged(index.count_terms(documents(spark, sf, "text")))
+    posts = index.postings_of(counted)
+    terms = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    totals = search.collection_totals(counted)
+    return search.fuzzy_search(posts, terms, totals, FUZZY, tokenizer=X.tokens)
 
 
 @query(

@@ -25,23 +25,33 @@ def bucket_of(term: Column | str, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(X.col(term)), F.lit(buckets)).cast("int")
 
 
-def postings(
-    docs: DataFrame,
-    doc_id: str = "doc_id",
-    text: str = "text",
-    tokenizer: Tokenizer = X.tokens,
-    field: str | None = None,
+def count_terms(
+    docs: DataFrame, text: str = "text", tokenizer: Tokenizer = X.tokens
 ) -> DataFrame:
-    """One row per term and document; documents without tokens have none."""
-    label = [F.lit(field).alias("field")] if field else []
+    """Documents with ``doc_len`` and ``counts`` (array of term, tf) in place of the text.
+
+    All index tables derive from this one pass over the texts; documents without
+    tokens are left out.
+    """
     counted = let(
-        tokenizer(F.col(text)),
-        lambda t: F.transform(
-            X.term_counts(t),
-            lambda c: record(term=c["term"], tf=c["tf"], doc_len=F.size(t)),
-        ),
+        tokenizer(F.col(text)), lambda t: record(doc_len=F.size(t), counts=X.term_counts(t))
+    )
+    others = [c for c in docs.columns if c != text]
+    return docs.select(*others, keep_if(counted, lambda r: r["doc_len"] > 0))
+
+
+def postings_of(counted: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """One row per term and document out of ``count_terms``."""
+    return counted.select(doc_id, "doc_len", F.inline("counts")).select(
+        doc_id, "term", "tf", "doc_len"
     )
-    return docs.select(*label, F.col(doc_id), F.inline(counted))
+
+
+def postings(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: Tokenizer = X.tokens
+) -> DataFrame:
+    """One row per term and document; documents without tokens have none."""
+    return postings_of(count_terms(docs.select(doc_id, text), text, tokenizer), doc_id)
 
 
 def field_postings(

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entitylake.functions.text import tokens
 from entitylake.operators.entities import lookup_rows
 from entitylake.operators.evaluate import compare, summary
-from entitylake.operators.index import BUCKETS, bucket_of, postings, term_table
+from entitylake.operators.index import BUCKETS, bucket_of, count_terms, postings_of, term_table
+from entitylake.sources.stage import staged
 
 
 def write_json_lines(df: DataFrame, path: str, parts: int | None = None, mode: str = "overwrite") -> None:
@@ -52,21 +52,21 @@ def write_index(docs: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     a query with given terms, or a join with a few terms, reads the folders and
     row groups of those terms only.  Tasks get ranges of bucket, term and
     document, so a very frequent term spans several files instead of filling one.
-    Finding the range bounds samples the postings, which costs a second pass over
-    the texts; the index is built once and read often.  Term statistics are
-    computed from the written postings.
+    The texts are scanned once, for a staged table of term counts; postings (whose
+    range bounds take a sample first) and document table are made from that, term
+    statistics from the written postings.
     """
     spark = docs.sparkSession
+    counted = staged(count_terms(docs))
     order = ["bucket", "term", "doc_id"]
     laid_out = (
-        postings(docs)
+        postings_of(counted)
         .withColumn("bucket", bucket_of("term", buckets))
         .repartitionByRange(*order)
         .sortWithinPartitions(*order)
     )
     laid_out.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    measured = docs.withColumn("doc_len", F.size(tokens("text"))).where("doc_len > 0").drop("text")
-    measured.write.mode("overwrite").parquet(f"{path}/docs")
+    counted.drop("counts").write.mode("overwrite").parquet(f"{path}/docs")
     stored_docs = spark.read.parquet(f"{path}/docs")
     stored_postings = spark.read.parquet(f"{path}/postings")
     n_docs = stored_docs.agg(F.count(F.lit(1))).scalar()

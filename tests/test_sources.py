@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from entitylake.plans import jobs
 from entitylake.schemas import ENTITY, TRUTH
-from entitylake.sources import readers, writers
+from entitylake.sources import readers, stage, writers
 from entitylake.sources.dump import decode_pages, decode_quality, read_dump
 
 HEAD = "<mediawiki>\n  <siteinfo><sitename>S</sitename></siteinfo>\n"
@@ -103,6 +103,12 @@ def test_evaluation_files(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "e/comparison")).first().winner == "a"
 
 
+def test_staged_tables_lie_in_the_shared_folder(spark):
+    df = stage.staged(spark.range(5).withColumn("x", F.col("id") * 2))
+    assert [r.x for r in df.orderBy("id").collect()] == [0, 2, 4, 6, 8]
+    assert all(spark.conf.get("spark.checkpoint.dir") in f for f in df.inputFiles())
+
+
 def test_limits(spark):
     df = spark.range(100)
     assert readers.limited(df, None) is df
