@@ -281,9 +281,10 @@ SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id)
 FROM scores QUALIFY rank <= 10""",
 )
 def field_search(spark, sf):
-    docs = build_field_documents(records(spark, sf))
-    posts = index.field_postings(docs, ["genres"])
-    totals = search.collection_totals(index.doc_lengths(docs, text="genres", tokenizer=X.words))
+    docs = build_field_documents(records(spark, sf)).select("doc_id", "genres")
+    counted = staged(index.count_terms(docs, "genres", X.words))
+    posts = index.postings_of(counted)
+    totals = search.collection_totals(counted)
     terms = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return search.search_index(posts, terms, totals, ["cat 12 brand"], "bm25", tokenizer=X.words)
 

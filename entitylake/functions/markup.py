@@ -25,7 +25,7 @@ HORIZONTAL_LIST = r"(?iU)\{\{hlist\s*\|([^}]+)\}\}"
 FLAT_LIST = r"(?iU)\{\{flatlist\s*\|([^}]+)\}\}"
 INFOBOX = r"(?is)\{\{Infobox[^{]+?\n(.*?)\n\}\}"
 FIELD_VALUE = r"([^\n|]+)"
-FIELD_VALUE_WITH_TEMPLATES = r"((?:\{\{[^{}]*\}\}|\[\[[^\[\]]*\]\]|[^\n|])+)"
+FIELD_VALUE_WITH_TEMPLATES = r"((?:\{\{[^{}]*\}\}|\[\[[^\[\]]*\]\]|[^\n|])++)"
 LEFTOVER_BRACES = r"\}\}+"
 SKIPPED_LINE_STARTS = ("{{", "[[", "|", "#")
 SKIPPED_CLEAN_STARTS = ("}}", "|")

@@ -21,7 +21,8 @@ NOT_NAME_KEY = r"[^a-zA-Z0-9 ]"
 PARENTHESISED = r"(?dU)\s*\(.*?\)\s*"
 TOKEN_SEPARATOR = r"[^a-z0-9]+"
 MIN_TOKEN_LENGTH = 3
-WORD = r"[\p{L}\p{N}]+(?:['.][\p{L}\p{N}]+)*"
+# Possessive repeats: the same words, found without a stack that grows with the word.
+WORD = r"[\p{L}\p{N}]++(?:['.][\p{L}\p{N}]++)*+"
 CLOCK = r"^(\d+):(\d+)"
 OUTER_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
 INNER_SPACE = r"(?U)[\s\x1c-\x1f]+"

@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from entitylake.functions import markup
 from entitylake.functions import text as X
 from entitylake.functions.binding import keep_if, let, record
 
@@ -83,6 +84,15 @@ def test_literal_words_are_not_patterns(spark):
     assert values(spark, lambda v: X.starts_with_any(v, ["{{", "|"]), ["{{a", "|x", "a{{", ""]) == [True, True, False, False]
 
 
+def test_long_junk_does_not_exhaust_the_stack(spark):
+    n = 200_000
+    assert len(values(spark, X.words, ["a." * n + "b"])[0][0]) == 2 * n + 1
+    assert values(spark, lambda v: F.size(X.tokens(v)), ["ab " * n + "abc"]) == [1]
+    box = "{{Infobox x\n| genre = " + "y" * n + "\n}}"
+    field = markup.infobox_fields(F.lit(box), whole_templates=True)
+    assert spark.range(1).select(F.length(field["genre"]).alias("n")).first().n == n
+
+
 def test_count_of(spark):
     assert values(spark, lambda v: X.count_of(v, "{{"), ["{{a}} {{b", "{{{", ""]) == [2, 1, 0]
 
