@@ -7,7 +7,15 @@ from pyspark.sql import functions as F
 
 from entitylake.operators.entities import lookup_rows
 from entitylake.operators.evaluate import compare, summary
-from entitylake.operators.index import BUCKETS, bucket_of, count_terms, postings_of, term_table
+from entitylake.operators.index import (
+    BUCKETS,
+    bucket_of,
+    count_terms,
+    postings_of,
+    term_table,
+    upsert_documents,
+    upsert_stats,
+)
 from entitylake.sources.stage import staged
 
 
@@ -56,17 +64,35 @@ def write_index(docs: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     range bounds take a sample first) and document table are made from that, term
     statistics from the written postings.
     """
-    spark = docs.sparkSession
     counted = staged(count_terms(docs))
+    _write_tables(counted.drop("counts"), postings_of(counted), path, buckets)
+
+
+def update_index(docs: DataFrame, old: str, path: str, buckets: int = BUCKETS) -> dict[str, int]:
+    """The index below ``old`` with ``docs`` added or wholly replaced, written below ``path``.
+
+    Only the new documents' texts are read; postings of replaced documents are
+    dropped by id.  A new version without tokens is not indexed: the old one stays.
+    Returns the numbers of added and replaced documents and the total.
+    """
+    stored, posts, _ = read_index(docs.sparkSession, old)
+    counted = staged(count_terms(docs))
+    merged = upsert_documents(posts.drop("bucket"), postings_of(counted))
+    kept = upsert_documents(stored, counted.drop("counts"))
+    _write_tables(kept, merged, path, buckets)
+    return upsert_stats(stored, counted).first().asDict()
+
+
+def _write_tables(docs: DataFrame, posts: DataFrame, path: str, buckets: int) -> None:
+    spark = docs.sparkSession
     order = ["bucket", "term", "doc_id"]
     laid_out = (
-        postings_of(counted)
-        .withColumn("bucket", bucket_of("term", buckets))
+        posts.withColumn("bucket", bucket_of("term", buckets))
         .repartitionByRange(*order)
         .sortWithinPartitions(*order)
     )
     laid_out.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    counted.drop("counts").write.mode("overwrite").parquet(f"{path}/docs")
+    docs.write.mode("overwrite").parquet(f"{path}/docs")
     stored_docs = spark.read.parquet(f"{path}/docs")
     stored_postings = spark.read.parquet(f"{path}/postings")
     n_docs = stored_docs.agg(F.count(F.lit(1))).scalar()

@@ -231,6 +231,22 @@ def test_upsert_replaces_whole_documents(spark):
     assert index.upsert_stats(old, new).first().asDict() == {"added": 1, "replaced": 1, "total": 3}
 
 
+def test_stored_index_is_updated(spark, tmp_path):
+    def table(*rows):
+        return spark.createDataFrame(rows, "doc_id int, name string, text string")
+
+    old, new = str(tmp_path / "old"), str(tmp_path / "new")
+    writers.write_index(table((1, "a", "old words"), (2, "b", "kept words"), (4, "d", "emptied words")), old, buckets=4)
+    counts = writers.update_index(table((1, "A", "new words"), (3, "c", "more"), (4, "d", "- -")), old, new, buckets=4)
+    assert counts == {"added": 1, "replaced": 1, "total": 4}
+    docs, posts, terms = writers.read_index(spark, new)
+    assert {(r.doc_id, r.name, r.doc_len) for r in docs.collect()} == {(1, "A", 2), (2, "b", 2), (3, "c", 1), (4, "d", 2)}
+    assert {(r.doc_id, r.term) for r in posts.collect()} == {
+        (1, "new"), (1, "words"), (2, "kept"), (2, "words"), (3, "more"), (4, "emptied"), (4, "words"),
+    }
+    assert {r.term: r.df for r in terms.collect()} == {"new": 1, "words": 3, "kept": 1, "more": 1, "emptied": 1}
+
+
 def test_fields(spark):
     docs = spark.createDataFrame([("d1", "U2", None, "Group one")], "doc_id string, name string, area string, type string")
     rows = {(r.field, r.term, r.tf, r.doc_len) for r in index.field_postings(docs, ["name", "area"], ["type"]).collect()}
