@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def worker_state(name: str, make: Callable[[], Any]) -> Any:
@@ -43,6 +44,14 @@ def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
+def widened(df: DataFrame, **fields: str) -> StructType:
+    """The schema of ``df`` with further fields; ``df`` keeps its own."""
+    schema = StructType(list(df.schema.fields))
+    for name, kind in fields.items():
+        schema = schema.add(name, kind)
+    return schema
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """start, start+1, ... of each run, one after the other."""
     total = int(lengths.sum())

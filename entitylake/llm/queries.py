@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from entitylake.llm import tokens
+from entitylake.llm import packing, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,3 +26,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def op2_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return tokens.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+
+
+@query
+def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))

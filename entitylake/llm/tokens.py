@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entitylake.llm.common import column, file_bytes, map_batches, worker_state
+from entitylake.llm.common import column, file_bytes, map_batches, widened, worker_state
 
 #: Rows from which the table of frequent pre-tokens is fitted, and its entries.
 SAMPLE_ROWS, FREQUENT = 1_000, 50_000
@@ -107,5 +107,4 @@ def token_counts(docs: DataFrame, model_path: str, *, text: str = "text", token_
         out = out.append_column("n_tokens", pa.array(n_tokens, pa.int64()))
         return out.append_column("over_limit", pa.array([n > token_limit for n in n_tokens]))
 
-    schema = docs.schema.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
-    return map_batches(docs, count, schema)
+    return map_batches(docs, count, widened(docs, n_bytes="long", n_tokens="long", over_limit="boolean"))
