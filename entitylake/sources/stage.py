@@ -2,26 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
 SHARED_FOLDER = "spark.checkpoint.dir"
 
-
-_own: dict[str, str] = {}  # application -> folder, where the session names none
+_written: dict[str, list[str]] = {}  # application -> tables not yet removed
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a new temporary one where none is set, as in local tests."""
+    """The folder that driver and executors share, as the session names it.
+
+    Where ``spark.checkpoint.dir`` is unset, a folder below the warehouse serves, which
+    all executors see as well; a folder of the local machine never does.
+    """
     named = spark.conf.get(SHARED_FOLDER, None)
     if named:
         return named
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="run-")
-    return _own[app]
+    warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
+    if not warehouse:
+        raise ValueError(f"set {SHARED_FOLDER} to a folder that driver and executors share")
+    return f"{warehouse.rstrip('/')}/.staged"
 
 
 def staged(df: DataFrame) -> DataFrame:
@@ -29,9 +32,24 @@ def staged(df: DataFrame) -> DataFrame:
 
     For a small extract of large texts that is needed more than once: the texts
     are then scanned once, columns are still pruned, and a lost executor costs a
-    read, not a new computation.  The table stays in the shared folder until that
-    is cleared.
+    read, not a new computation.  ``release`` removes the tables of an application
+    when its results are written; the end of the program does so too.
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/stage-{uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/stage-{uuid4().hex}"
+    tables = _written.setdefault(spark.sparkContext.applicationId, [])
+    if not _written[spark.sparkContext.applicationId]:
+        atexit.register(release, spark)
+    tables.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the application's staged tables; frames that read them are void then."""
+    context = spark.sparkContext
+    if context._jsc is None:  # the session has ended
+        return
+    for path in _written.pop(context.applicationId, []):
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
