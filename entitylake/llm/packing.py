@@ -12,6 +12,7 @@ windows and partitions without a task that sees a whole queue.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -26,9 +27,9 @@ from entitylake.sources.stage import staged
 #: Tokens of a part of a document in its queue: long documents do not fill a window alone.
 PART_TOKENS = 256
 #: Rows that one task orders, and the most blocks whose sums one task adds up.
-BLOCK_ROWS, MOST_BLOCKS = 20_000, 8_192
+BLOCK_ROWS, MOST_BLOCKS = 4_000, 8_192
 #: Entries of a worker's cache of encoded words, and the longest word it keeps.
-CACHED, CACHED_LENGTH = 500_000, 48
+CACHED, CACHED_LENGTH = 400_000, 48
 
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!&%$#*|?;:]*)")
 
@@ -50,7 +51,8 @@ class Encoded(dict):
 
     def __init__(self, tokenizer, kind: str):
         super().__init__()
-        self.tokenizer, self.kind, self.room = tokenizer, kind, CACHED
+        self.tokenizer, self.room = tokenizer, CACHED
+        self.pack = lambda n, ids: struct.pack(f"<{n}{'H' if kind == '<u2' else 'I'}", *ids)
         self.bytes_as = byte_level()
         self[""] = b""
 
@@ -59,10 +61,11 @@ class Encoded(dict):
             word, marks = found[1].lower(), found[2]
             if marks or word != part:
                 return self.keep(part, self[word] + (self[marks] if marks else b""))
-            ids = [t.id for t in self.tokenizer.model.tokenize("".join(self.bytes_as[b] for b in word.encode()))]
+            mapped = word if word.isascii() else "".join(self.bytes_as[b] for b in word.encode())
+            ids = [t.id for t in self.tokenizer.model.tokenize(mapped)]
         else:
             ids = self.tokenizer.encode(part, add_special_tokens=False).ids
-        return self.keep(part, np.array(ids, self.kind).tobytes())
+        return self.keep(part, self.pack(len(ids), ids))
 
     def keep(self, part: str, ids: bytes) -> bytes:
         if self.room and len(part) <= CACHED_LENGTH:

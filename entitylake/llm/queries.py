@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from entitylake.llm import packing, tokens
+from entitylake.llm import lines, packing, quality, simhash, tokens, topk, toxicity, wrappers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,3 +32,50 @@ def op2_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op3_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op1_top_k_search(spark: SparkSession, sf: str) -> DataFrame:
+    return topk.top_k(table(spark, sf, "embeddings"))
+
+
+ORACLES["op1_top_k_search"] = """
+    WITH whole AS (
+        SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v
+        FROM embeddings
+        WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), scored AS (
+        SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+        FROM whole q JOIN whole c ON q.vec_id <> c.vec_id
+        WHERE q.vec_id % 100 = 0
+    )
+    SELECT query_id, rank::INTEGER AS rank, vec_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+    WHERE rank <= 10
+"""
+
+
+@query
+def op6_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op9_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    return wrappers.main_text(table(spark, sf, "pages").select("page_id", "url", "html"))
+
+
+@query
+def op4_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return lines.without_repeats(table(spark, sf, "documents").select("doc_id", "text"))
