@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructType
 
 
 def worker_state(name: str, make: Callable[[], Any]) -> Any:
@@ -24,6 +24,22 @@ def worker_state(name: str, make: Callable[[], Any]) -> Any:
     return getattr(held, name)
 
 
+#: Words whose hashes a worker keeps.
+HASHES_KEPT = 400_000
+
+
+class Hashes(dict):
+    """64-bit hashes of words."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        if len(self) < HASHES_KEPT:
+            self[word] = h
+        return h
+
+
 def file_bytes(path: str) -> bytes:
     """A vocabulary file of fixed size, read on the driver and sent to the executors."""
     return Path(path).read_bytes()
@@ -48,7 +64,7 @@ def widened(df: DataFrame, **fields: str) -> StructType:
     """The schema of ``df`` with further fields; ``df`` keeps its own."""
     schema = StructType(list(df.schema.fields))
     for name, kind in fields.items():
-        schema = schema.add(name, kind)
+        schema = schema.add(name, DataType.fromDDL(kind))
     return schema
 
 

@@ -3,9 +3,13 @@
 A line is its set of words.  Words are ordered by rarity in the whole corpus; two sets of
 a Jaccard similarity of at least the threshold share a word of their prefixes.  Equal
 sets meet first, by a signature.  For the others, prefix words are the join key, and
-length, position in the prefix and a bitmap of the words bound the overlap before texts
+length, position in the prefix and a bitmap of the words bound the overlap before words
 are compared.  A line needs only one earlier match to go, so each line is verified
 against its most promising earlier line; only where that fails are all others tried.
+
+Words are runs of bytes other than ASCII white space, with A-Z in lower case.  They are
+hashed by one pass of array operations over the bytes of many texts; what is removed is
+decided on the words themselves.
 """
 
 from __future__ import annotations
@@ -14,10 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from entitylake.llm.common import column, group_bounds, ragged, whole_groups, widened
+from entitylake.llm.common import column, group_bounds, ragged, whole_groups, widened, worker_state
 from entitylake.sources.stage import staged
 
 #: Cells of the table of word counts; words that share one are taken as equally rare.
@@ -26,40 +30,36 @@ RARITY_BITS = 17
 HASH_BITS, CLASS_BITS = 38, 6
 #: Rows of a prefix word, beyond which its rows are sliced and the slices meet pairwise.
 SLICE_ROWS = 2_048
-#: Pairs compared at a time, and entries of a worker's table of word hashes.
-PAIRS, CACHED = 2_000_000, 400_000
-
+#: Pairs compared at a time, and bytes of text hashed at a time (a longer text at once).
+PAIRS, CHUNK_BYTES = 2_000_000, 2_000_000
+#: Bits of the maps that say which words or lines can have a partner (2 MB, whatever the data).
+MAP_BITS = 24
 
-class Hashes(dict):
-    """64-bit hashes of words."""
+FACTOR = 0x9E3779B97F4A7C15
 
-    def __missing__(self, word: str) -> int:
-        import xxhash
 
-        h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(self) < CACHED:
-            self[word] = h
-        return h
+def lower_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint8)
+    table[65:91] += 32
+    return table
 
 
-def words_of(line: str) -> list[str]:
-    return line.lower().split()
+def space_table() -> np.ndarray:
+    table = np.zeros(256, bool)
+    table[[9, 10, 11, 12, 13, 32]] = True
+    return table
 
 
-def hashed(texts: list[str | None], hashes: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All words of some texts as hashes with the number of their line; for each line its text and number there."""
-    flat: list[int] = []
-    counts, of_text, number = [], [], []
-    for k, text in enumerate(texts):
-        if text:
-            for at, line in enumerate(text.split("\n")):
-                words = words_of(line)
-                flat.extend(map(hashes.__getitem__, words))
-                counts.append(len(words))
-                of_text.append(k)
-                number.append(at)
-    lines = np.repeat(np.arange(len(counts)), counts)
-    return np.array(flat, np.uint64), lines, np.array(of_text, np.int64), np.array(number, np.int64)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the factor and of its inverse modulo 2**64."""
+    held = worker_state("line_powers", lambda: [np.empty(0, np.uint64)] * 2)
+    if len(held[0]) < n:
+        inverse = pow(FACTOR, -1, 1 << 64)
+        for k, base in enumerate((FACTOR, inverse)):
+            steps = np.full(n + n // 2, base, np.uint64)
+            steps[0] = 1
+            held[k] = np.multiply.accumulate(steps)
+    return held[0][:n], held[1][:n]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -67,19 +67,59 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(27))
 
 
+def chunks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The bytes of some texts together, the ends of each, and their numbers in the column."""
+    texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, side="right")) - 1)
+        yield data[offsets[at] : offsets[end]], offsets[at + 1 : end + 1] - offsets[at], np.arange(at, end)
+        at = end
+
+
+def hashed(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words with their line, and for each line its text and number there."""
+    if not len(raw):
+        return np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3))
+    space = space_table()[raw]
+    first = np.append(True, space[:-1])
+    begins = np.concatenate([[0], ends[:-1]])
+    first[begins[begins < len(raw)]] = True  # a text does not go on in the next
+    starts = np.flatnonzero(first & ~space)
+    last = np.append(space[1:], True)
+    last[ends[ends > 0] - 1] = True
+    stops = np.flatnonzero(last & ~space)
+    up, down = powers(len(raw) + 1)
+    total = np.cumsum((lower_table()[raw].astype(np.uint64) + np.uint64(1)) * up[: len(raw)], dtype=np.uint64)
+    before = np.where(starts > 0, total[starts - 1], np.uint64(0))
+    words = mixed((total[stops] - before) * down[starts])
+    breaks = np.flatnonzero(raw == 10)
+    # lines begin at the beginning of a text and behind a line break
+    heads = np.unique(np.concatenate([begins[begins < len(raw)], breaks[breaks + 1 < len(raw)] + 1]))
+    line = np.searchsorted(heads, starts, side="right") - 1
+    of_text = np.searchsorted(ends, heads, side="right")
+    broken = np.searchsorted(breaks, heads)
+    number = broken - np.searchsorted(breaks, begins)[of_text]
+    return words, line, of_text, number
+
+
 def rarity(docs: DataFrame, text: str) -> np.ndarray:
     """Occurrences of the words of all documents, by the last bits of their hash."""
     cells = 1 << RARITY_BITS
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, total = Hashes(), np.zeros(cells, np.int64)
+        total = np.zeros(cells, np.int64)
         for batch in batches:
-            h = hashed(column(batch, text), hashes)[0]
-            total += np.bincount((h & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+            for raw, ends, _ in chunks(batch.column(0)):
+                h = hashed(raw, ends)[0]
+                total += np.bincount((h & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"cell": found.astype(np.int32), "n": total[found]})
 
-    counts = docs.select(text).mapInArrow(tally, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    texts = docs.select(F.coalesce(text, F.lit("")).alias("text"))
+    counts = texts.mapInArrow(tally, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(cells, np.int64)
     table[counts.column("cell").to_numpy()] = counts.column("n").to_numpy()
     return table
@@ -92,56 +132,102 @@ def overlap(similarity: float, total):
 
 
 def line_sets(docs: DataFrame, id_col: str, text: str, similarity: float, least_words: int) -> DataFrame:
-    """``doc, line, sig, bits, n, prefix`` for each line of at least ``least_words`` different words."""
+    """``doc, line, sig, bits, n, gone, prefix`` for each line of at least ``least_words`` different words.
+
+    Of equal sets in one batch all lines but the first are ``gone`` and have no prefix.
+    """
     table = rarity(docs, text)
     classes = np.minimum(2 * np.log2(table + 1), (1 << CLASS_BITS) - 1).astype(np.uint64)
     sent = docs.sparkSession.sparkContext.broadcast(classes)
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2_000):
-                batch = whole.slice(at, 2_000)
-                yield from sets(column(batch, "doc"), column(batch, "text"), hashes)
-
-    def sets(ids: list, texts: list, hashes: Hashes) -> Iterator[pa.RecordBatch]:
-        h, line, of_text, number = hashed(texts, hashes)
-        for low in range(0, len(of_text), 1 << (64 - HASH_BITS - CLASS_BITS)):
-            high = low + (1 << (64 - HASH_BITS - CLASS_BITS))
-            mine = (line >= low) & (line < high)
+        for batch in batches:
+            found = [rows for raw, ends, which in chunks(batch.column(1)) for rows in sets(raw, ends, which)]
+            if not found:
+                continue
+            text_at, number, sig, bits, n, length, tokens = (np.concatenate([r[k] for r in found]) for k in range(7))
+            doc = batch.column(0).to_numpy()[text_at]
+            order = np.lexsort((number, doc, bits, sig))
+            s, b, d, k = sig[order], bits[order], doc[order], number[order]
+            head = np.append(True, (s[1:] != s[:-1]) | (b[1:] != b[:-1]))
+            of = np.maximum.accumulate(np.where(head, np.arange(len(s)), 0))
+            gone, twice = np.zeros(len(s), bool), np.zeros(len(s), bool)
+            gone[order] = (d != d[of]) | (k != k[of])
+            twice[order] = ~head  # a repeated row has its lines at the same places
+            keep = gone | ~twice
+            starts = np.cumsum(length) - length
+            mine = np.where(gone, 0, length)[keep]
+            tokens = tokens[ragged(starts[keep], mine)]
+            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(mine)]).astype(np.int32)), pa.array(tokens))
+            columns = (doc, number.astype(np.int32), sig.view(np.int64), bits.view(np.int64), n.astype(np.int32), gone)
+            arrays = [*(pa.array(c[keep]) for c in columns), prefix]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc", "line", "sig", "bits", "n", "gone", "prefix"])
+
+    def sets(raw: np.ndarray, ends: np.ndarray, which: np.ndarray) -> Iterator[tuple]:
+        h, line, of_text, number = hashed(raw, ends)
+        step = 1 << (64 - HASH_BITS - CLASS_BITS)
+        for low in range(0, len(of_text), step):
+            mine = slice(*np.searchsorted(line, [low, low + step]))
             key = (line[mine] - low).astype(np.uint64) << np.uint64(HASH_BITS + CLASS_BITS)
             key |= sent.value[(h[mine] & np.uint64((1 << RARITY_BITS) - 1)).astype(np.int64)] << np.uint64(HASH_BITS)
-            key |= mixed(h[mine]) & np.uint64((1 << HASH_BITS) - 1)
+            key |= h[mine] >> np.uint64(64 - HASH_BITS)
+            if not len(key):
+                continue
             key.sort()
-            key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
+            key = key[np.append(True, key[1:] != key[:-1])]
             where = (key >> np.uint64(HASH_BITS + CLASS_BITS)).astype(np.int64) + low
-            starts = np.flatnonzero(np.append(True, where[1:] != where[:-1])) if len(key) else np.empty(0, np.int64)
-            if not len(starts):
-                continue
+            starts = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
             n = np.diff(np.append(starts, len(key)))
             word = key & np.uint64((1 << HASH_BITS) - 1)
-            sig = np.add.reduceat(mixed(word * np.uint64(0x9E3779B97F4A7C15)), starts)
-            bits = np.bitwise_or.reduceat(np.uint64(1) << (word >> np.uint64(32)), starts)
+            sig = np.add.reduceat(mixed(word * np.uint64(FACTOR)), starts)
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (word & np.uint64(63)), starts)
             keep = n >= least_words
-            starts, n, sig, bits, which = starts[keep], n[keep], sig[keep], bits[keep], where[starts[keep]]
+            starts, n, sig, bits, at = starts[keep], n[keep], sig[keep], bits[keep], where[starts[keep]]
             length = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
-            tokens = (word[ragged(starts, length)] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-            offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
-            yield pa.RecordBatch.from_pydict({
-                "doc": pa.array([ids[k] for k in of_text[which].tolist()], pa.int64()),
-                "line": number[which].astype(np.int32),
-                "sig": sig.view(np.int64),
-                "bits": bits.view(np.int64),
-                "n": n.astype(np.int32),
-                "prefix": pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens)),
-            })
+            tokens = (word[ragged(starts, length)] >> np.uint64(HASH_BITS - 32)).astype(np.uint32).view(np.int32)
+            yield which[of_text[at]], number[at], sig, bits, n, length, tokens
+
+    known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.coalesce(text, F.lit("")).alias("text"))
+    return known.mapInArrow(prepare, "doc long, line int, sig long, bits long, n int, gone boolean, prefix array<int>")
+
+
+def marked(cells: DataFrame) -> np.ndarray:
+    """A bit for each ``cell``, a number below 2**MAP_BITS; the map has a fixed size."""
+    # Spark counts the positions of its bitmaps from one
+    at = F.col("cell").cast("long") + 1
+    parts = cells.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    whole = np.zeros((1 << MAP_BITS) // 8, np.uint8)
+    for row in parts.toLocalIterator():
+        at = (row["part"] - 1) * 4096
+        whole[at : at + len(row["bits"])] = np.frombuffer(row["bits"], np.uint8)
+    return whole
 
-    known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text"))
-    return known.mapInArrow(prepare, "doc long, line int, sig long, bits long, n int, prefix array<int>")
+
+def has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def prefix_rows(unique: DataFrame, shared: np.ndarray) -> DataFrame:
+    """``token, doc, line, bits, n, i``: the prefix words that more than one line has, with their places."""
+    sent = unique.sparkSession.sparkContext.broadcast(shared)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(4)
+            token = lists.flatten().to_numpy()
+            of = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            i = ragged(np.zeros(len(lists), np.int64), np.bincount(of, minlength=len(lists)))
+            keep = has(sent.value, (token.view(np.uint32) >> np.uint32(32 - MAP_BITS)).astype(np.int64))
+            token, of, i = token[keep], of[keep], i[keep]
+            doc, line, bits, n = (batch.column(c).to_numpy()[of] for c in range(4))
+            yield pa.RecordBatch.from_pydict({"token": token, "doc": doc, "line": line, "bits": bits, "n": n, "i": i.astype(np.int32)})
+
+    rows = unique.where("prefix is not null").select("doc", "line", "bits", "n", "prefix")
+    return rows.mapInArrow(run, "token int, doc long, line int, bits long, n int, i int")
 
 
 def best_earlier(rows: DataFrame, similarity: float) -> DataFrame:
-    """``doc, line, other_doc, other_line``: for each line and block the earlier line with the highest bound on similarity."""
+    """``doc, line, other_doc, other_line``: for each line the earlier line with the highest bound on similarity."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["token", "block"]):
@@ -159,14 +245,13 @@ def best_earlier(rows: DataFrame, similarity: float) -> DataFrame:
                 end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS)))
                 a = np.repeat(np.arange(at, end), behind[at:end])
                 b = ragged(np.arange(at, end) + 1, behind[at:end])
-                later_a = (doc[a] > doc[b]) | ((doc[a] == doc[b]) & (line[a] > line[b]))
-                a, b = np.where(later_a, a, b), np.where(later_a, b, a)
                 total = n[a] + n[b]
                 shared = np.minimum((total - np.bitwise_count(bits[a] ^ bits[b])) // 2, np.minimum(n[a] - i[a], n[b] - i[b]))
-                shared = np.minimum(shared, np.minimum(n[a], n[b]))
-                near = (shared >= overlap(similarity, total)) & ((doc[a] != doc[b]) | (line[a] != line[b]))
-                a, b = a[near], b[near]
-                score = shared[near] / (total[near] - shared[near])
+                near = shared >= overlap(similarity, total)
+                a, b, shared, total = a[near], b[near], shared[near], total[near]
+                later = (doc[a] > doc[b]) | ((doc[a] == doc[b]) & (line[a] > line[b]))
+                a, b = np.where(later, a, b), np.where(later, b, a)
+                score = shared / (total - shared)
                 order = np.lexsort((line[b], doc[b], -score, a))
                 first = order[np.append(True, a[order][1:] != a[order][:-1])] if len(order) else order
                 better = first[score[first] > best[a[first]]]
@@ -182,10 +267,8 @@ def best_earlier(rows: DataFrame, similarity: float) -> DataFrame:
     return found.agg(pick.alias("x")).select("doc", "line", "x.other_doc", "x.other_line")
 
 
-def sliced(rows: DataFrame) -> DataFrame:
+def sliced(rows: DataFrame, hot: DataFrame) -> DataFrame:
     """Prefix rows dealt by word; a word with many rows in pairs of slices."""
-    sizes = rows.groupBy("token").agg(F.count("*").alias("_rows")).where(F.col("_rows") > SLICE_ROWS)
-    hot = staged(sizes.select("token", F.ceil(F.col("_rows") / SLICE_ROWS).cast("int").alias("_slices")))
     own = F.pmod(F.xxhash64("doc", "line"), F.col("_slices")).cast("int")
     slices = F.transform(
         F.sequence(F.lit(0), F.col("_slices") - 1),
@@ -196,94 +279,108 @@ def sliced(rows: DataFrame) -> DataFrame:
     return dealt.repartition("token", "block").sortWithinPartitions("token", "block")
 
 
-def texts_of(base: DataFrame, id_col: str, text: str, pairs: DataFrame) -> DataFrame:
-    """``doc, line, words`` for the lines that pairs name."""
+def words_of(line: bytes) -> list[str]:
+    return sorted({w.decode("utf-8", "replace") for w in line.lower().split()})
+
+
+def verified(docs: DataFrame, id_col: str, text: str, pairs: DataFrame, similarity: float) -> DataFrame:
+    """``doc, line, same`` for each pair: whether the words of the two lines are that similar.
+
+    The texts are scanned once more; a map of fixed size of the lines in question lets
+    nearly no others leave the scan.
+    """
     ends = pairs.select("doc", "line").union(pairs.select(F.col("other_doc"), F.col("other_line")))
-    needed = ends.groupBy(F.col("doc").alias(id_col)).agg(F.collect_set("line").alias("_lines"))
+    spread = F.pmod("doc", F.lit(1 << MAP_BITS)) * 31_337 + F.col("line").cast("long") * 7_919
+    sent = docs.sparkSession.sparkContext.broadcast(marked(ends.select(F.pmod(spread, F.lit(1 << MAP_BITS)).alias("cell"))))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {"doc": [], "line": [], "words": []}
-            for doc, value, numbers in zip(*(column(batch, c) for c in (id_col, text, "_lines")), strict=True):
-                lines = (value or "").split("\n")
-                for k in numbers:
-                    if k < len(lines):
-                        out["doc"].append(doc)
-                        out["line"].append(k)
-                        out["words"].append(sorted(set(words_of(lines[k]))))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out["doc"], pa.int64()), pa.array(out["line"], pa.int32()), pa.array(out["words"], pa.list_(pa.string()))], names=list(out)
-            )
-
-    found = base.join(needed, id_col).mapInArrow(pick, "doc long, line int, words array<string>")
-    return found.groupBy("doc", "line").agg(F.first("words").alias("words"))
-
-
-def verified(base: DataFrame, id_col: str, text: str, pairs: DataFrame, similarity: float) -> DataFrame:
-    """``pairs`` with ``same``: whether the two lines' words are that similar."""
-    texts = texts_of(base, id_col, text, pairs)
+            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = value.as_py() or b""
+                at = doc % (1 << MAP_BITS) * 31_337 + np.arange(raw.count(b"\n") + 1) * 7_919
+                numbers = np.flatnonzero(has(sent.value, at & ((1 << MAP_BITS) - 1)))
+                lines = raw.split(b"\n") if len(numbers) else ()
+                for k in numbers.tolist():
+                    out["doc"].append(doc)
+                    out["line"].append(k)
+                    out["words"].append(words_of(lines[k]))
+            kinds = (pa.int64(), pa.int32(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
+
+    known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text).cast("binary").alias("text"))
+    texts = known.mapInArrow(pick, "doc long, line int, words array<string>")
+    left = pairs.join(texts, ["doc", "line"])
     right = texts.select(F.col("doc").alias("other_doc"), F.col("line").alias("other_line"), F.col("words").alias("others"))
-    both = pairs.join(texts, ["doc", "line"]).join(right, ["other_doc", "other_line"])
     shared = F.size(F.array_intersect("words", "others"))
-    return both.select("doc", "line", "other_doc", "other_line", (shared >= overlap(similarity, F.size("words") + F.size("others"))).alias("same"))
+    same = shared >= overlap(similarity, F.size("words") + F.size("others"))
+    return left.join(right, ["other_doc", "other_line"]).groupBy("doc", "line").agg(F.max(same).alias("same"))
 
 
-def repeated_lines(docs: DataFrame, base: DataFrame, *, id_col: str, text: str, similarity: float, least_words: int) -> DataFrame:
-    """``doc, line`` of every line that an earlier one matches, by id and line number."""
-    sets = staged(line_sets(docs, id_col, text, similarity, least_words))
-    firsts = sets.groupBy("sig", "bits").agg(F.min(F.struct("doc", "line")).alias("first"))
-    marked = sets.join(firsts, ["sig", "bits"])
-    is_first = (F.col("doc") == F.col("first.doc")) & (F.col("line") == F.col("first.line"))
-    equal = marked.where(~is_first).select("doc", "line")
-    rows = marked.where(is_first).select("doc", "line", "bits", "n", F.posexplode("prefix").alias("i", "token"))
-    rows = staged(rows)
+def repeated_lines(docs: DataFrame, *, id_col: str, text: str, similarity: float, least_words: int) -> DataFrame:
+    """``doc, line`` of every line that an earlier one matches, by id and line number.
 
-    tried = staged(best_earlier(sliced(rows), similarity))
-    checked = verified(base, id_col, text, tried, similarity)
-    near = checked.where("same").select("doc", "line")
+    Of equal sets at most one line a batch gets to the ranking, so a line that a third of
+    all documents share is no large group there.
+    """
+    sets = line_sets(docs, id_col, text, similarity, least_words)
+    key = ("sig", "bits", F.when(F.col("gone"), F.xxhash64("doc", "line")))
+    earliest = F.first(F.struct("doc", "line")).over(Window.partitionBy(*key).orderBy("doc", "line"))
+    ranked = sets.withColumn("first", earliest).withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy("doc", "line")))
+    moved = (F.col("doc") != F.col("first.doc")) | (F.col("line") != F.col("first.line"))
+    prefix = F.when((F.col("place") == 1) & ~F.col("gone"), F.col("prefix"))
+    unique = staged(ranked.select("doc", "line", "bits", "n", prefix.alias("prefix"), (F.col("gone") | moved).alias("gone")))
+    equal = unique.where("gone").select("doc", "line")
+
+    counts = unique.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("rows"))
+    several = staged(counts.where("rows > 1"))
+    shared = marked(several.select(F.shiftrightunsigned("token", 32 - MAP_BITS).alias("cell")))
+    hot = several.where(F.col("rows") > SLICE_ROWS).select("token", F.ceil(F.col("rows") / SLICE_ROWS).cast("int").alias("_slices"))
+    tried = staged(best_earlier(sliced(prefix_rows(unique, shared), hot), similarity))
+    checked = staged(verified(docs, id_col, text, tried, similarity))
+    gone = equal.union(checked.where("same").select("doc", "line"))
+    open_ = checked.where("not same").select("doc", "line")
+    if open_.isEmpty():
+        return gone
 
     # lines whose best candidate failed meet all others
-    open_ = checked.where("not same").select("doc", "line")
-    asked = rows.join(open_, ["doc", "line"], "left_semi")
-    y = asked.select("token", "doc", "line", *(F.col(c).alias(f"y_{c}") for c in ("bits", "n", "i")))
+    rows = prefix_rows(unique, shared)
+    y = rows.join(open_, ["doc", "line"], "left_semi").select("token", "doc", "line", *(F.col(c).alias(f"y_{c}") for c in ("bits", "n", "i")))
     x = rows.select("token", F.col("doc").alias("other_doc"), F.col("line").alias("other_line"), "bits", "n", "i")
     earlier = (F.col("other_doc") < F.col("doc")) | ((F.col("other_doc") == F.col("doc")) & (F.col("other_line") < F.col("line")))
     total = F.col("n") + F.col("y_n")
-    bound = F.least(
-        F.floor((total - F.bit_count(F.col("bits").bitwiseXOR(F.col("y_bits")))) / 2), F.least(F.col("n") - F.col("i"), F.col("y_n") - F.col("y_i"))
-    )
+    differ = F.bit_count(F.col("bits").bitwiseXOR(F.col("y_bits")))
+    bound = F.least(F.floor((total - differ) / 2), F.least(F.col("n") - F.col("i"), F.col("y_n") - F.col("y_i")))
     others = y.join(x, "token").where(earlier & (bound >= overlap(similarity, total)))
-    others = others.select("doc", "line", "other_doc", "other_line").distinct()
-    others = others.join(tried, ["doc", "line", "other_doc", "other_line"], "left_anti")
-    late = verified(base, id_col, text, others, similarity).where("same").select("doc", "line")
-    return equal.union(near).union(late).distinct()
+    others = staged(others.select("doc", "line", "other_doc", "other_line").distinct())
+    return gone.union(verified(docs, id_col, text, others, similarity).where("same").select("doc", "line"))
 
 
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", similarity: float = 0.8, least_words: int = 5) -> DataFrame:
     """``docs`` without lines that match an earlier line, with ``n_lines`` and ``n_removed``.
 
     A line matches an earlier one, by (id, line number), where the Jaccard similarity of
-    their sets of lower-cased words is at least ``similarity``; whether the earlier line
-    is itself removed plays no part.  Lines of fewer than ``least_words`` different words
-    stay, as do blank ones.  A line at the same place of a repeated row is the same line.
-    Rows without an id keep all lines, and a null text stays null with no lines.  Other
-    columns stay; ``n_lines`` and ``n_removed`` are replaced.
+    their sets of words is at least ``similarity``; whether the earlier line is itself
+    removed plays no part.  Lines of fewer than ``least_words`` different words stay, as
+    do blank ones.  A line at the same place of a repeated row is the same line.  Rows
+    without an id keep all lines, and a null text stays null with no lines.  Other columns
+    stay; ``n_lines`` and ``n_removed`` are replaced.  Ids are whole numbers.
     """
     docs = docs.drop("n_lines", "n_removed")
-    base = docs.where(F.col(id_col).isNotNull()).repartition(id_col)
-    gone = repeated_lines(docs, base, id_col=id_col, text=text, similarity=similarity, least_words=least_words)
+    gone = repeated_lines(docs, id_col=id_col, text=text, similarity=similarity, least_words=least_words)
     by_doc = gone.groupBy(F.col("doc").alias(id_col)).agg(F.collect_set("line").alias("_lines"))
-    rows = base.join(by_doc, id_col, "left").unionByName(docs.where(F.col(id_col).isNull()).withColumn("_lines", F.lit(None).cast("array<int>")))
-    rows = rows.select(*docs.columns, "_lines")
+    rows = docs.join(by_doc, id_col, "left").select(*docs.columns, "_lines")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, total, removed = [], [], []
             for value, numbers in zip(column(batch, text), column(batch, "_lines"), strict=True):
-                lines = value.split("\n") if value else []
-                drop = set(numbers or ()) & set(range(len(lines)))
-                kept.append("\n".join(s for k, s in enumerate(lines) if k not in drop) if drop else value)
-                total.append(len(lines))
+                drop = set(numbers or ())
+                if drop:
+                    lines = value.split("\n")
+                    value = "\n".join(s for k, s in enumerate(lines) if k not in drop)
+                kept.append(value)
+                total.append((value.count("\n") + 1 if value else 0) if not drop else len(lines))
                 removed.append(len(drop))
             out = batch.drop_columns(["_lines"])
             out = out.set_column(out.schema.get_field_index(text), text, pa.array(kept, pa.string()))

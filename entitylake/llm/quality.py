@@ -75,6 +75,7 @@ class Model:
     tables: np.ndarray
     pairs: list[tuple[int, int]]
     pair_tables: np.ndarray
+    trained: bool = True
 
     def bins(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, f], side="right") for f, e in enumerate(self.edges)], 1)
@@ -142,7 +143,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
     """Cyclic boosting on a bounded sample; without rows, all scores are one half."""
     width = len(FEATURES)
     if not len(y):
-        return Model([np.empty(0)] * width, 0.0, np.zeros((width, BINS)), [], np.zeros((0, PAIR_BINS, PAIR_BINS)))
+        return Model([np.empty(0)] * width, 0.0, np.zeros((width, BINS)), [], np.zeros((0, PAIR_BINS, PAIR_BINS)), False)
     cuts = np.linspace(0, 1, BINS + 1)[1:-1]
     edges = [np.unique(np.quantile(x[:, f], cuts)) for f in range(width)]
     share = np.clip(y.mean(), 0.01, 0.99)

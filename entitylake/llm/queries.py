@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entitylake.llm import lines, packing, quality, simhash, tokens, topk, toxicity, wrappers
+from entitylake.llm import decontaminate, licenses, lines, packing, quality, simhash, tokens, topk, toxicity, wrappers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -79,3 +79,13 @@ def op9_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op4_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return lines.without_repeats(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query
+def op7_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op8_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf, "documents"))
