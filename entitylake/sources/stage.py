@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 SHARED_FOLDER = "spark.checkpoint.dir"
 
-_written: dict[str, list[str]] = {}  # application -> tables not yet removed
+_written: dict[tuple[str, str], list[str]] = {}  # application and owner -> tables not yet removed
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,29 +27,30 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{warehouse.rstrip('/')}/.staged"
 
 
-def staged(df: DataFrame) -> DataFrame:
+def staged(df: DataFrame, owner: str = "") -> DataFrame:
     """``df`` computed once, written to the shared folder and read back.
 
     For a small extract of large texts that is needed more than once: the texts
     are then scanned once, columns are still pruned, and a lost executor costs a
-    read, not a new computation.  ``release`` removes the tables of an application
-    when its results are written; the end of the program does so too.
+    read, not a new computation.  ``release`` removes an owner's tables when the
+    results are written; the end of the program removes all.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/stage-{uuid4().hex}"
-    tables = _written.setdefault(spark.sparkContext.applicationId, [])
-    if not _written[spark.sparkContext.applicationId]:
-        atexit.register(release, spark)
-    tables.append(path)
+    key = (spark.sparkContext.applicationId, owner)
+    if key not in _written:
+        _written[key] = []
+        atexit.register(release, spark, owner)
+    _written[key].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Remove the application's staged tables; frames that read them are void then."""
+def release(spark: SparkSession, owner: str = "") -> None:
+    """Remove an owner's staged tables; frames that read them are void then."""
     context = spark.sparkContext
     if context._jsc is None:  # the session has ended
         return
-    for path in _written.pop(context.applicationId, []):
+    for path in _written.pop((context.applicationId, owner), []):
         at = context._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
