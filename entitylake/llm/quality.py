@@ -27,7 +27,7 @@ FEATURES = (
 )
 BINS, PAIR_BINS = 32, 8
 ROUNDS, PAIR_ROUNDS, PAIRS = 150, 60, 8
-RATE, SHRINK, LEAST = 0.1, 1.0, 4.0
+RATE, SHRINK, LEAST = 0.1, 1.0, 0.5
 BLOCK_BYTES, BLOCK_WORDS = 512, 64
 
 _KINDS = np.zeros((5, 256), bool)  # letters, capitals, digits, marks, symbols, by byte

@@ -39,8 +39,9 @@ IDENTITY_TERMS = (
     (("musulmanes", "musulmán"), ("cristianos", "cristiano"), ("judíos", "judío")),
 )
 
-#: Lengths of the word beginnings that are features beside the words.
-BEGINNINGS = (4, 5, 6)
+#: Lengths of the word beginnings that are features beside the words, and how often
+#: different words with one are told apart.
+BEGINNINGS, TIMES = (4, 5, 6, 7, 8), 3
 #: Features kept at most, documents that must have one, and the least chi-squared of its
 #: table with the classes: what chance gives in a few of 100,000 features.
 KEPT, LEAST_DOCS, LEAST_CHI2 = 4_096, 3, 15.0
@@ -50,10 +51,13 @@ WORD = re.compile(r"\w+")
 
 
 def keys(words: set[str]) -> set[str]:
-    """The features of a set of words: each word, marked, and its beginnings."""
+    """The features of a set of words: each word, marked, and beginnings that one, two or three of them have."""
     found = {f"={w}" for w in words}
     for n in BEGINNINGS:
-        found.update(w[:n] for w in words if len(w) > n)
+        begun = Counter([w[:n] for w in words if len(w) > n])
+        found.update(begun)
+        for times in range(2, TIMES + 1):
+            found.update(f"{times}{b}" for b, k in begun.items() if k >= times)
     return found
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from entitylake.llm.common import column
+from entitylake.sources.stage import staged
 
 #: Longest block, in folded tokens, that is looked for as a repetition.
 LONGEST_BLOCK = 16
@@ -224,6 +225,17 @@ def page_items(nodes: list[Node], texts: list[str]) -> list[list]:
     return out
 
 
+def block_numbers(shapes: list[str]) -> list[int]:
+    """For each leaf the number of its block; inline elements do not part blocks."""
+    found, block = [], 0
+    for symbol in re.findall(r"[^\s()+]+", " ".join(shapes)):
+        if symbol == "#":
+            found.append(block)
+        elif symbol.lstrip("</").split(".")[0] in BLOCKS:
+            block += 1
+    return found
+
+
 def paths(shapes: list[str]) -> list[list[str]]:
     """For each leaf of a wrapper or page the open elements above it."""
     found, open_ = [], []
@@ -261,7 +273,7 @@ def wanted(wrapper: dict) -> list[list[bool]]:
     """For each leaf of each item whether it is article text.
 
     Article elements decide where the wrapper has any; else the innermost element with
-    most of the varying text does, with a preference for one named as content.  A text
+    most of the varying text does, with a preference for one named as content.  A block
     that is the same on all pages, and several of them, is the template's, unless nothing
     in the article varies.
     """
@@ -284,6 +296,9 @@ def wanted(wrapper: dict) -> list[list[bool]]:
             keep = [k and tuple(p[: len(root)]) == root for k, p in zip(keep, above, strict=True)]
     always = [not i[1] for i in items for _ in i[2]]
     fixed = [wrapper["pages"] >= TEMPLATE_PAGES and a and c is not None for a, c in zip(always, constant, strict=True)]
+    block = block_numbers([i[0] for i in items])
+    varied = {b for b, f in zip(block, fixed, strict=True) if not f}
+    fixed = [b not in varied for b in block]
     if any(k and not f for k, f in zip(keep, fixed, strict=True)):
         keep = [k and not f for k, f in zip(keep, fixed, strict=True)]
     out, at = [], 0
@@ -401,7 +416,8 @@ def main_text(pages: DataFrame, *, url: str = "url", html: str = "html") -> Data
     """
     kept = pages.drop("text", "n_chars", "host", "wrapper")
     hosted = kept.withColumn("host", host(url))
-    wrappers = infer(hosted.select("host", F.col(html).alias("html")))
+    # written first, so that Spark knows their size when it plans the join
+    wrappers = staged(infer(hosted.select("host", F.col(html).alias("html"))))
     joined = hosted.join(wrappers, "host", "left").drop("host")
     names = [c for c in kept.columns if c != html]
 
