@@ -5,7 +5,7 @@ a Jaccard similarity of at least the threshold share a word of their prefixes.
 sets meet first, by a signature.  For the others, prefix words are the join key, and
 length, position in the prefix and a bitmap of the words bound the overlap before words
 are compared.  A line needs only one earlier match to go, so each line is verified
-against its most promising earlier line; only where that fails are all others tried.
+against its few most promising earlier lines; only where these fail are all others tried.
 
 Words are runs of bytes other than ASCII white space, with A-Z in lower case.  They are
 hashed by one pass of array operations over the bytes of many texts; what is removed is
@@ -28,11 +28,14 @@ from entitylake.sources.stage import staged
 RARITY_BITS = 17
 #: Bits of a word's hash that order it within a line, and of its rarity before them.
 HASH_BITS, CLASS_BITS = 38, 6
-#: Rows of a prefix word, beyond which its rows are sliced and the slices meet pairwise.
-SLICE_ROWS = 2_048
+#: Rows of a prefix word, beyond which its rows are sliced and the slices meet pairwise,
+#: and bits of a word that number the cells in which rows are counted first.
+SLICE_ROWS, CELL_BITS = 2_048, 16
+#: Earlier lines that a line is verified against first.
+FIRST_TRIED = 3
 #: Pairs compared at a time, and bytes of text hashed at a time (a longer text at once).
 PAIRS, CHUNK_BYTES = 2_000_000, 2_000_000
-#: Bits of the maps that say which words or lines can have a partner (2 MB, whatever the data).
+#: Bits of the maps that say which lines and documents are concerned (2 MB, whatever the data).
 MAP_BITS = 24
 
 FACTOR = 0x9E3779B97F4A7C15
@@ -132,7 +135,7 @@ def overlap(similarity: float, total):
 
 
 def line_sets(docs: DataFrame, id_col: str, text: str, similarity: float, least_words: int) -> DataFrame:
-    """``doc, line, sig, bits, n, gone, prefix`` for each line of at least ``least_words`` different words.
+    """``doc, line, sig, bits, more_bits, n, gone, prefix`` for each line of at least ``least_words`` different words.
 
     Of equal sets in one batch all lines but the first are ``gone`` and have no prefix.
     """
@@ -145,7 +148,7 @@ def line_sets(docs: DataFrame, id_col: str, text: str, similarity: float, least_
             found = [rows for raw, ends, which in chunks(batch.column(1)) for rows in sets(raw, ends, which)]
             if not found:
                 continue
-            text_at, number, sig, bits, n, length, tokens = (np.concatenate([r[k] for r in found]) for k in range(7))
+            text_at, number, sig, bits, more_bits, n, length, tokens = (np.concatenate([r[k] for r in found]) for k in range(8))
             doc = batch.column(0).to_numpy()[text_at]
             order = np.lexsort((number, doc, bits, sig))
             s, b, d, k = sig[order], bits[order], doc[order], number[order]
@@ -159,9 +162,10 @@ def line_sets(docs: DataFrame, id_col: str, text: str, similarity: float, least_
             mine = np.where(gone, 0, length)[keep]
             tokens = tokens[ragged(starts[keep], mine)]
             prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(mine)]).astype(np.int32)), pa.array(tokens))
-            columns = (doc, number.astype(np.int32), sig.view(np.int64), bits.view(np.int64), n.astype(np.int32), gone)
+            signs = (sig.view(np.int64), bits.view(np.int64), more_bits.view(np.int64))
+            columns = (doc, number.astype(np.int32), *signs, n.astype(np.int32), gone)
             arrays = [*(pa.array(c[keep]) for c in columns), prefix]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc", "line", "sig", "bits", "n", "gone", "prefix"])
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc", "line", "sig", "bits", "more_bits", "n", "gone", "prefix"])
 
     def sets(raw: np.ndarray, ends: np.ndarray, which: np.ndarray) -> Iterator[tuple]:
         h, line, of_text, number = hashed(raw, ends)
@@ -180,15 +184,17 @@ def line_sets(docs: DataFrame, id_col: str, text: str, similarity: float, least_
             n = np.diff(np.append(starts, len(key)))
             word = key & np.uint64((1 << HASH_BITS) - 1)
             sig = np.add.reduceat(mixed(word * np.uint64(FACTOR)), starts)
-            bits = np.bitwise_or.reduceat(np.uint64(1) << (word & np.uint64(63)), starts)
+            bit, half = np.uint64(1) << (word & np.uint64(63)), (word >> np.uint64(6)) & np.uint64(1)
+            bits = np.bitwise_or.reduceat(bit * (np.uint64(1) - half), starts)
+            more_bits = np.bitwise_or.reduceat(bit * half, starts)
             keep = n >= least_words
-            starts, n, sig, bits, at = starts[keep], n[keep], sig[keep], bits[keep], where[starts[keep]]
+            starts, n, sig, bits, more_bits, at = starts[keep], n[keep], sig[keep], bits[keep], more_bits[keep], where[starts[keep]]
             length = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
             tokens = (word[ragged(starts, length)] >> np.uint64(HASH_BITS - 32)).astype(np.uint32).view(np.int32)
-            yield which[of_text[at]], number[at], sig, bits, n, length, tokens
+            yield which[of_text[at]], number[at], sig, bits, more_bits, n, length, tokens
 
     known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.coalesce(text, F.lit("")).alias("text"))
-    return known.mapInArrow(prepare, "doc long, line int, sig long, bits long, n int, gone boolean, prefix array<int>")
+    return known.mapInArrow(prepare, "doc long, line int, sig long, bits long, more_bits long, n int, gone boolean, prefix array<int>")
 
 
 def marked(cells: DataFrame) -> np.ndarray:
@@ -207,84 +213,109 @@ def has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def prefix_rows(unique: DataFrame, shared: np.ndarray) -> DataFrame:
-    """``token, doc, line, bits, n, i``: the prefix words that more than one line has, with their places."""
-    sent = unique.sparkSession.sparkContext.broadcast(shared)
+def prefix_rows(unique: DataFrame) -> DataFrame:
+    """``token, doc, line, bits, more_bits, n, i``: a row per prefix word, with its place there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(4)
-            token = lists.flatten().to_numpy()
-            of = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
-            i = ragged(np.zeros(len(lists), np.int64), np.bincount(of, minlength=len(lists)))
-            keep = has(sent.value, (token.view(np.uint32) >> np.uint32(32 - MAP_BITS)).astype(np.int64))
-            token, of, i = token[keep], of[keep], i[keep]
-            doc, line, bits, n = (batch.column(c).to_numpy()[of] for c in range(4))
-            yield pa.RecordBatch.from_pydict({"token": token, "doc": doc, "line": line, "bits": bits, "n": n, "i": i.astype(np.int32)})
+            lists = batch.column(5)
+            length = lists.value_lengths().to_numpy(zero_copy_only=False)
+            of, i = np.repeat(np.arange(len(lists)), length), ragged(np.zeros(len(lists), np.int64), length)
+            doc, line, bits, more_bits, n = (batch.column(c).to_numpy()[of] for c in range(5))
+            yield pa.RecordBatch.from_pydict(
+                {"token": lists.flatten(), "doc": doc, "line": line, "bits": bits, "more_bits": more_bits, "n": n, "i": i.astype(np.int32)}
+            )
 
-    rows = unique.where("prefix is not null").select("doc", "line", "bits", "n", "prefix")
-    return rows.mapInArrow(run, "token int, doc long, line int, bits long, n int, i int")
+    rows = unique.where("prefix is not null").select("doc", "line", "bits", "more_bits", "n", "prefix")
+    return rows.mapInArrow(run, "token int, doc long, line int, bits long, more_bits long, n int, i int")
 
 
-def best_earlier(rows: DataFrame, similarity: float) -> DataFrame:
-    """``doc, line, other_doc, other_line``: for each line the earlier line with the highest bound on similarity."""
+def hot_words(unique: DataFrame) -> DataFrame:
+    """``token, _slices`` of the prefix words with more than ``SLICE_ROWS`` rows.
+
+    Rows are counted by cell first, in a table of fixed size; only in cells with so many
+    rows can such a word be, and only their words are counted one by one.
+    """
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << CELL_BITS, np.int64)
+        for batch in batches:
+            token = batch.column(0).flatten().to_numpy().view(np.uint32)
+            total += np.bincount(token >> np.uint32(32 - CELL_BITS), minlength=len(total))
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"cell": found.astype(np.int32), "n": total[found]})
+
+    prefixes = unique.where("prefix is not null").select("prefix")
+    cells = prefixes.mapInArrow(tally, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > SLICE_ROWS)
+    token = F.explode("prefix").alias("token")
+    words = prefixes.select(token).withColumn("cell", F.shiftrightunsigned("token", 32 - CELL_BITS))
+    some = words.join(F.broadcast(cells.select("cell")), "cell", "left_semi")
+    counts = some.groupBy("token").agg(F.count("*").alias("rows")).where(F.col("rows") > SLICE_ROWS)
+    # written, so that Spark knows the size when it plans the join
+    return staged(counts.select("token", F.ceil(F.col("rows") / SLICE_ROWS).cast("int").alias("_slices")))
+
+
+def sliced(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """Prefix rows dealt by word; a word with many rows in pairs of slices."""
+    own = F.pmod(F.xxhash64("doc", "line"), F.col("_slices")).cast("int")
+    slices = F.transform(
+        F.sequence(F.lit(0), F.col("_slices") - 1),
+        lambda s: (F.least(s, F.col("_own")) * F.col("_slices") + F.greatest(s, F.col("_own"))).cast("int"),
+    )
+    blocks = F.when(F.col("_slices").isNull(), F.array(F.lit(0))).otherwise(slices)
+    dealt = rows.join(hot, "token", "left").withColumn("_own", own).withColumn("block", F.explode(blocks)).drop("_own", "_slices")
+    return dealt.repartition("token", "block").sortWithinPartitions("token", "block")
+
+
+def promising(rows: DataFrame, similarity: float) -> DataFrame:
+    """``doc, line, other_doc, other_line, more``: the earlier lines with the highest bound on similarity.
+
+    Each block of rows gives ``FIRST_TRIED`` for a line at most; ``more`` says that some
+    block has further ones.
+    """
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["token", "block"]):
             bounds = group_bounds(table, ["token", "block"])
             size = np.diff(bounds)
-            doc, line, bits, n, i = (table.column(c).to_numpy() for c in ("doc", "line", "bits", "n", "i"))
-            bits = bits.view(np.uint64)
+            doc, line, bits, more_bits, n, i = (table.column(c).to_numpy() for c in ("doc", "line", "bits", "more_bits", "n", "i"))
+            bits, more_bits = bits.view(np.uint64), more_bits.view(np.uint64)
             # each row meets the rows behind it in its group
             behind = np.repeat(bounds[1:], size) - np.arange(len(doc)) - 1
             upto = np.cumsum(behind)
-            best = np.full(len(doc), -1.0)
-            other = np.full(len(doc), -1)
+            later_row = earlier_row = np.empty(0, np.int64)
+            score, more = np.empty(0), np.zeros(len(doc), bool)
             at = 0
             while at < len(doc):
                 end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS)))
                 a = np.repeat(np.arange(at, end), behind[at:end])
                 b = ragged(np.arange(at, end) + 1, behind[at:end])
+                at = end
                 total = n[a] + n[b]
-                shared = np.minimum((total - np.bitwise_count(bits[a] ^ bits[b])) // 2, np.minimum(n[a] - i[a], n[b] - i[b]))
+                differ = np.bitwise_count(bits[a] ^ bits[b]).astype(np.int64) + np.bitwise_count(more_bits[a] ^ more_bits[b])
+                shared = np.minimum((total - differ) // 2, np.minimum(n[a] - i[a], n[b] - i[b]))
                 near = shared >= overlap(similarity, total)
                 a, b, shared, total = a[near], b[near], shared[near], total[near]
                 later = (doc[a] > doc[b]) | ((doc[a] == doc[b]) & (line[a] > line[b]))
-                a, b = np.where(later, a, b), np.where(later, b, a)
-                score = shared / (total - shared)
-                order = np.lexsort((line[b], doc[b], -score, a))
-                first = order[np.append(True, a[order][1:] != a[order][:-1])] if len(order) else order
-                better = first[score[first] > best[a[first]]]
-                best[a[better]], other[a[better]] = score[better], b[better]
-                at = end
-            y = np.flatnonzero(other >= 0)
-            x = other[y]
-            yield pa.RecordBatch.from_pydict({"doc": doc[y], "line": line[y], "other_doc": doc[x], "other_line": line[x], "bound": best[y]})
-
-    schema = "doc long, line int, other_doc long, other_line int, bound double"
-    found = rows.mapInArrow(search, schema).groupBy("doc", "line")
-    pick = F.max_by(F.struct("other_doc", "other_line"), F.struct("bound", -F.col("other_doc"), -F.col("other_line")))
-    return found.agg(pick.alias("x")).select("doc", "line", "x.other_doc", "x.other_line")
-
-
-def sliced(rows: DataFrame, hot: DataFrame) -> DataFrame:
-    """Prefix rows dealt by word; a word with many rows in pairs of slices."""
-    own = F.pmod(F.xxhash64("doc", "line"), F.col("_slices")).cast("int")
-    slices = F.transform(
-        F.sequence(F.lit(0), F.col("_slices") - 1),
-        lambda s: (F.least(s, F.col("_own")) * F.col("_slices") + F.greatest(s, F.col("_own"))).cast("int"),
-    )
-    blocks = F.when(F.col("_slices").isNull(), F.array(F.lit(0))).otherwise(slices)
-    dealt = rows.join(hot, "token", "left").withColumn("_own", own).withColumn("block", F.explode(blocks)).drop("_own", "_slices")
-    return dealt.repartition("token", "block").sortWithinPartitions("token", "block")
-
-
-def words_of(line: bytes) -> list[str]:
-    return sorted({w.decode("utf-8", "replace") for w in line.lower().split()})
+                later_row = np.concatenate([later_row, np.where(later, a, b)])
+                earlier_row = np.concatenate([earlier_row, np.where(later, b, a)])
+                score = np.concatenate([score, shared / (total - shared)])
+                order = np.lexsort((line[earlier_row], doc[earlier_row], -score, later_row))
+                head = np.append(True, np.diff(later_row[order]) != 0)[: len(order)]
+                rank = np.arange(len(order)) - np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
+                more[later_row[order[rank >= FIRST_TRIED]]] = True
+                keep = order[rank < FIRST_TRIED]
+                later_row, earlier_row, score = later_row[keep], earlier_row[keep], score[keep]
+            yield pa.RecordBatch.from_pydict({
+                "doc": doc[later_row], "line": line[later_row], "other_doc": doc[earlier_row], "other_line": line[earlier_row], "more": more[later_row],
+            })
+
+    found = rows.mapInArrow(search, "doc long, line int, other_doc long, other_line int, more boolean")
+    return found.groupBy("doc", "line", "other_doc", "other_line").agg(F.max("more").alias("more"))
 
 
 def verified(docs: DataFrame, id_col: str, text: str, pairs: DataFrame, similarity: float) -> DataFrame:
-    """``doc, line, same`` for each pair: whether the words of the two lines are that similar.
+    """``doc, line, same, more`` for each line of the pairs: whether one is that similar, and the pairs' ``more``.
 
     The texts are scanned once more; a map of fixed size of the lines in question lets
     nearly no others leave the scan.
@@ -295,26 +326,30 @@ def verified(docs: DataFrame, id_col: str, text: str, pairs: DataFrame, similari
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {"doc": [], "line": [], "words": []}
+            out: dict[str, list] = {"doc": [], "line": [], "raw": []}
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = value.as_py() or b""
                 at = doc % (1 << MAP_BITS) * 31_337 + np.arange(raw.count(b"\n") + 1) * 7_919
-                numbers = np.flatnonzero(has(sent.value, at & ((1 << MAP_BITS) - 1)))
-                lines = raw.split(b"\n") if len(numbers) else ()
-                for k in numbers.tolist():
-                    out["doc"].append(doc)
-                    out["line"].append(k)
-                    out["words"].append(words_of(lines[k]))
-            kinds = (pa.int64(), pa.int32(), pa.list_(pa.string()))
+                numbers = np.flatnonzero(has(sent.value, at & ((1 << MAP_BITS) - 1))).tolist()
+                lines = raw.split(b"\n") if numbers else ()
+                out["doc"] += [doc] * len(numbers)
+                out["line"] += numbers
+                out["raw"] += [lines[k] for k in numbers]
+            kinds = (pa.int64(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (map(lambda raw: set(raw.lower().split()), column(batch, c)) for c in ("raw", "other_raw"))
+            same = [len(x & y) >= overlap(similarity, len(x) + len(y)) for x, y in zip(a, b, strict=True)]
+            yield batch.drop_columns(["raw", "other_raw"]).append_column("same", pa.array(same, pa.bool_()))
+
     known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text).cast("binary").alias("text"))
-    texts = known.mapInArrow(pick, "doc long, line int, words array<string>")
-    left = pairs.join(texts, ["doc", "line"])
-    right = texts.select(F.col("doc").alias("other_doc"), F.col("line").alias("other_line"), F.col("words").alias("others"))
-    shared = F.size(F.array_intersect("words", "others"))
-    same = shared >= overlap(similarity, F.size("words") + F.size("others"))
-    return left.join(right, ["other_doc", "other_line"]).groupBy("doc", "line").agg(F.max(same).alias("same"))
+    texts = staged(known.mapInArrow(pick, "doc long, line int, raw binary"))
+    others = texts.select(F.col("doc").alias("other_doc"), F.col("line").alias("other_line"), F.col("raw").alias("other_raw"))
+    both = pairs.join(texts, ["doc", "line"]).join(others, ["other_doc", "other_line"]).select("doc", "line", "more", "raw", "other_raw")
+    compared = both.mapInArrow(compare, "doc long, line int, more boolean, same boolean")
+    return compared.groupBy("doc", "line").agg(F.max("same").alias("same"), F.max("more").alias("more"))
 
 
 def repeated_lines(docs: DataFrame, *, id_col: str, text: str, similarity: float, least_words: int) -> DataFrame:
@@ -324,35 +359,31 @@ def repeated_lines(docs: DataFrame, *, id_col: str, text: str, similarity: float
     all documents share is no large group there.
     """
     sets = line_sets(docs, id_col, text, similarity, least_words)
-    key = ("sig", "bits", F.when(F.col("gone"), F.xxhash64("doc", "line")))
-    earliest = F.first(F.struct("doc", "line")).over(Window.partitionBy(*key).orderBy("doc", "line"))
-    ranked = sets.withColumn("first", earliest).withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy("doc", "line")))
+    key = ("sig", "bits", "more_bits", F.when(F.col("gone"), F.xxhash64("doc", "line")))
+    in_order = Window.partitionBy(*key).orderBy("doc", "line")
+    ranked = sets.withColumn("first", F.first(F.struct("doc", "line")).over(in_order)).withColumn("place", F.row_number().over(in_order))
     moved = (F.col("doc") != F.col("first.doc")) | (F.col("line") != F.col("first.line"))
     prefix = F.when((F.col("place") == 1) & ~F.col("gone"), F.col("prefix"))
-    unique = staged(ranked.select("doc", "line", "bits", "n", prefix.alias("prefix"), (F.col("gone") | moved).alias("gone")))
+    unique = staged(ranked.select("doc", "line", "bits", "more_bits", "n", prefix.alias("prefix"), (F.col("gone") | moved).alias("gone")))
     equal = unique.where("gone").select("doc", "line")
 
-    counts = unique.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("rows"))
-    several = staged(counts.where("rows > 1"))
-    shared = marked(several.select(F.shiftrightunsigned("token", 32 - MAP_BITS).alias("cell")))
-    hot = several.where(F.col("rows") > SLICE_ROWS).select("token", F.ceil(F.col("rows") / SLICE_ROWS).cast("int").alias("_slices"))
-    tried = staged(best_earlier(sliced(prefix_rows(unique, shared), hot), similarity))
+    tried = staged(promising(sliced(prefix_rows(unique), hot_words(unique)), similarity))
     checked = staged(verified(docs, id_col, text, tried, similarity))
     gone = equal.union(checked.where("same").select("doc", "line"))
-    open_ = checked.where("not same").select("doc", "line")
+    open_ = checked.where("more and not same").select("doc", "line")
     if open_.isEmpty():
         return gone
 
-    # lines whose best candidate failed meet all others
-    rows = prefix_rows(unique, shared)
-    y = rows.join(open_, ["doc", "line"], "left_semi").select("token", "doc", "line", *(F.col(c).alias(f"y_{c}") for c in ("bits", "n", "i")))
-    x = rows.select("token", F.col("doc").alias("other_doc"), F.col("line").alias("other_line"), "bits", "n", "i")
+    # lines of which all promising candidates failed meet all others
+    rows = prefix_rows(unique)
+    y = rows.join(open_, ["doc", "line"], "left_semi").select("token", "doc", "line", *(F.col(c).alias(f"y_{c}") for c in ("bits", "more_bits", "n", "i")))
+    x = rows.select("token", F.col("doc").alias("other_doc"), F.col("line").alias("other_line"), "bits", "more_bits", "n", "i")
     earlier = (F.col("other_doc") < F.col("doc")) | ((F.col("other_doc") == F.col("doc")) & (F.col("other_line") < F.col("line")))
     total = F.col("n") + F.col("y_n")
-    differ = F.bit_count(F.col("bits").bitwiseXOR(F.col("y_bits")))
+    differ = F.bit_count(F.col("bits").bitwiseXOR(F.col("y_bits"))) + F.bit_count(F.col("more_bits").bitwiseXOR(F.col("y_more_bits")))
     bound = F.least(F.floor((total - differ) / 2), F.least(F.col("n") - F.col("i"), F.col("y_n") - F.col("y_i")))
     others = y.join(x, "token").where(earlier & (bound >= overlap(similarity, total)))
-    others = staged(others.select("doc", "line", "other_doc", "other_line").distinct())
+    others = staged(others.select("doc", "line", "other_doc", "other_line", F.lit(False).alias("more")).distinct())
     return gone.union(verified(docs, id_col, text, others, similarity).where("same").select("doc", "line"))
 
 
@@ -368,8 +399,22 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     """
     docs = docs.drop("n_lines", "n_removed")
     gone = repeated_lines(docs, id_col=id_col, text=text, similarity=similarity, least_words=least_words)
-    by_doc = gone.groupBy(F.col("doc").alias(id_col)).agg(F.collect_set("line").alias("_lines"))
-    rows = docs.join(by_doc, id_col, "left").select(*docs.columns, "_lines")
+    by_doc = staged(gone.groupBy(F.col("doc").alias(id_col)).agg(F.collect_set("line").alias("_lines")))
+    # only documents that may lose a line are shuffled to meet their lines
+    sent = docs.sparkSession.sparkContext.broadcast(marked(by_doc.select(F.pmod(id_col, F.lit(1 << MAP_BITS)).alias("cell"))))
+
+    def concerned(yes: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column(batch.schema.get_field_index(id_col))
+                cells = ids.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False) % (1 << MAP_BITS)
+                found = has(sent.value, cells) & ids.is_valid().to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(found == yes))
+
+        return run
+
+    some = docs.mapInArrow(concerned(True), docs.schema).join(by_doc, id_col, "left").select(*docs.columns, "_lines")
+    rows = docs.mapInArrow(concerned(False), docs.schema).withColumn("_lines", F.lit(None).cast("array<int>")).unionByName(some)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

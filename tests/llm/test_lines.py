@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from entitylake.llm import lines
 from entitylake.llm.queries import QUERIES
@@ -55,6 +56,7 @@ def similar_documents(n, seed=0):
 @pytest.mark.parametrize("slice_rows", [3, 2_048])
 def test_equals_brute_force(spark, monkeypatch, slice_rows):
     monkeypatch.setattr(lines, "SLICE_ROWS", slice_rows)
+    monkeypatch.setattr(lines, "CELL_BITS", 4)
     documents = similar_documents(150)
     df = spark.createDataFrame(documents, "doc_id long, text string").repartition(4)
     expected = brute(documents)
@@ -62,16 +64,17 @@ def test_equals_brute_force(spark, monkeypatch, slice_rows):
     assert result(lines.without_repeats(df)) == expected
 
 
-def test_where_the_best_candidate_fails_others_are_tried(spark, monkeypatch):
-    # bitmaps of one bit bound nothing, so that the most promising candidate is often wrong
+def test_where_promising_candidates_fail_all_others_are_tried(spark, monkeypatch):
+    # without bitmaps the most promising candidates are often wrong
     documents = similar_documents(120, seed=3)
     df = spark.createDataFrame(documents, "doc_id long, text string")
-    right = lines.best_earlier
+    right = lines.promising
 
     def misled(rows, similarity):
-        return right(rows.withColumn("bits", rows["bits"] * 0), similarity)
+        return right(rows.withColumns({"bits": F.lit(0).cast("long"), "more_bits": F.lit(0).cast("long")}), similarity)
 
-    monkeypatch.setattr(lines, "best_earlier", misled)
+    monkeypatch.setattr(lines, "promising", misled)
+    monkeypatch.setattr(lines, "FIRST_TRIED", 1)
     assert result(lines.without_repeats(df)) == brute(documents)
 
 
