@@ -14,18 +14,20 @@ from pyspark.sql.types import DataType, StructType
 
 
 def worker_state(name: str, make: Callable[[], Any]) -> Any:
-    """A value that stays with the Python worker process from task to task."""
+    """A value that stays with the Python worker process from task to task, until another is asked for."""
     import sys
     import types
 
     held = sys.modules.setdefault("_entitylake_worker", types.ModuleType("_entitylake_worker"))
-    if not hasattr(held, name):
-        setattr(held, name, make())
-    return getattr(held, name)
+    if getattr(held, "name", None) != name:
+        held.value = None
+        held.value = make()
+        held.name = name
+    return held.value
 
 
 #: Words whose hashes a worker keeps.
-HASHES_KEPT = 400_000
+HASHES_KEPT = 200_000
 
 
 class Hashes(dict):

@@ -32,9 +32,9 @@ HASH_BITS, CLASS_BITS = 38, 6
 #: and bits of a word that number the cells in which rows are counted first.
 SLICE_ROWS, CELL_BITS = 2_048, 16
 #: Earlier lines that a line is verified against first.
-FIRST_TRIED = 3
+FIRST_TRIED = 1
 #: Pairs compared at a time, and bytes of text hashed at a time (a longer text at once).
-PAIRS, CHUNK_BYTES = 2_000_000, 2_000_000
+PAIRS, CHUNK_BYTES = 500_000, 500_000
 #: Bits of the maps that say which lines and documents are concerned (2 MB, whatever the data).
 MAP_BITS = 24
 
@@ -213,17 +213,37 @@ def has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def prefix_rows(unique: DataFrame) -> DataFrame:
-    """``token, doc, line, bits, more_bits, n, i``: a row per prefix word, with its place there."""
+def line_cell(doc, line):
+    """The number of a line's cell; for numbers, arrays and columns alike."""
+    size = 1 << MAP_BITS
+    if isinstance(doc, Column):
+        return F.pmod(F.pmod(doc, F.lit(size)) * 31_337 + line.cast("long") * 7_919, F.lit(size))
+    return (doc % size * 31_337 + line * 7_919) % size
+
+
+def prefix_rows(unique: DataFrame, *, of_lines: np.ndarray | None = None, of_words: np.ndarray | None = None) -> DataFrame:
+    """``token, doc, line, bits, more_bits, n, i``: a row per prefix word, with its place there.
+
+    Maps leave nearly nothing but rows of some lines or of some words.
+    """
+    broadcast = unique.sparkSession.sparkContext.broadcast
+    lines_sent, words_sent = (None if m is None else broadcast(m) for m in (of_lines, of_words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(5)
             length = lists.value_lengths().to_numpy(zero_copy_only=False)
             of, i = np.repeat(np.arange(len(lists)), length), ragged(np.zeros(len(lists), np.int64), length)
+            token = lists.flatten().to_numpy()
+            if words_sent is not None:
+                keep = has(words_sent.value, (token.view(np.uint32) >> np.uint32(32 - MAP_BITS)).astype(np.int64))
+                token, of, i = token[keep], of[keep], i[keep]
+            if lines_sent is not None:
+                keep = has(lines_sent.value, line_cell(batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)))[of]
+                token, of, i = token[keep], of[keep], i[keep]
             doc, line, bits, more_bits, n = (batch.column(c).to_numpy()[of] for c in range(5))
             yield pa.RecordBatch.from_pydict(
-                {"token": lists.flatten(), "doc": doc, "line": line, "bits": bits, "more_bits": more_bits, "n": n, "i": i.astype(np.int32)}
+                {"token": token, "doc": doc, "line": line, "bits": bits, "more_bits": more_bits, "n": n, "i": i.astype(np.int32)}
             )
 
     rows = unique.where("prefix is not null").select("doc", "line", "bits", "more_bits", "n", "prefix")
@@ -321,16 +341,14 @@ def verified(docs: DataFrame, id_col: str, text: str, pairs: DataFrame, similari
     nearly no others leave the scan.
     """
     ends = pairs.select("doc", "line").union(pairs.select(F.col("other_doc"), F.col("other_line")))
-    spread = F.pmod("doc", F.lit(1 << MAP_BITS)) * 31_337 + F.col("line").cast("long") * 7_919
-    sent = docs.sparkSession.sparkContext.broadcast(marked(ends.select(F.pmod(spread, F.lit(1 << MAP_BITS)).alias("cell"))))
+    sent = docs.sparkSession.sparkContext.broadcast(marked(ends.select(line_cell(F.col("doc"), F.col("line")).alias("cell"))))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {"doc": [], "line": [], "raw": []}
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = value.as_py() or b""
-                at = doc % (1 << MAP_BITS) * 31_337 + np.arange(raw.count(b"\n") + 1) * 7_919
-                numbers = np.flatnonzero(has(sent.value, at & ((1 << MAP_BITS) - 1))).tolist()
+                numbers = np.flatnonzero(has(sent.value, line_cell(doc, np.arange(raw.count(b"\n") + 1)))).tolist()
                 lines = raw.split(b"\n") if numbers else ()
                 out["doc"] += [doc] * len(numbers)
                 out["line"] += numbers
@@ -375,8 +393,10 @@ def repeated_lines(docs: DataFrame, *, id_col: str, text: str, similarity: float
         return gone
 
     # lines of which all promising candidates failed meet all others
-    rows = prefix_rows(unique)
-    y = rows.join(open_, ["doc", "line"], "left_semi").select("token", "doc", "line", *(F.col(c).alias(f"y_{c}") for c in ("bits", "more_bits", "n", "i")))
+    asked = prefix_rows(unique, of_lines=marked(open_.select(line_cell(F.col("doc"), F.col("line")).alias("cell"))))
+    asked = staged(asked.join(open_, ["doc", "line"], "left_semi"))
+    y = asked.select("token", "doc", "line", *(F.col(c).alias(f"y_{c}") for c in ("bits", "more_bits", "n", "i")))
+    rows = prefix_rows(unique, of_words=marked(asked.select(F.shiftrightunsigned("token", 32 - MAP_BITS).alias("cell"))))
     x = rows.select("token", F.col("doc").alias("other_doc"), F.col("line").alias("other_line"), "bits", "more_bits", "n", "i")
     earlier = (F.col("other_doc") < F.col("doc")) | ((F.col("other_doc") == F.col("doc")) & (F.col("other_line") < F.col("line")))
     total = F.col("n") + F.col("y_n")

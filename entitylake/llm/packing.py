@@ -29,7 +29,7 @@ PART_TOKENS = 256
 #: Rows that one task orders, and the most blocks whose sums one task adds up.
 BLOCK_ROWS, MOST_BLOCKS = 4_000, 8_192
 #: Entries of a worker's cache of encoded words, and the longest word it keeps.
-CACHED, CACHED_LENGTH = 400_000, 48
+CACHED, CACHED_LENGTH = 250_000, 48
 
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!&%$#*|?;:]*)")
 

@@ -28,7 +28,7 @@ TRIE_ROWS = 4_096
 #: A pair of nodes with at most so many fingerprint pairs is compared at once.
 LEAF_PAIRS = 16
 #: Node or fingerprint pairs held at a time.
-FRONTIER = 2_000_000
+FRONTIER = 500_000
 
 
 def fingerprint(text: str | None, size: int) -> int:

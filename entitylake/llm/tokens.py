@@ -21,7 +21,7 @@ from entitylake.llm.common import column, file_bytes, map_batches, widened, work
 #: Rows from which the table of frequent pre-tokens is fitted, and its entries.
 SAMPLE_ROWS, FREQUENT = 1_000, 50_000
 #: Entries of a worker's cache, and the longest pre-token it keeps.
-CACHED, CACHED_LENGTH = 300_000, 48
+CACHED, CACHED_LENGTH = 250_000, 48
 
 
 def pre_tokens(text: str) -> list[str]:
