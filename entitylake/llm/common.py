@@ -47,6 +47,28 @@ def file_bytes(path: str) -> bytes:
     return Path(path).read_bytes()
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run``, giving back what the worker process has freed when a task ends.
+
+    Python workers are kept for later tasks; without this each keeps the most memory
+    that any of its tasks had.
+    """
+
+    def whole(batches: Batches) -> Batches:
+        import ctypes
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return whole
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """``fn`` applied to each Arrow batch; rows stay where they are."""
 
@@ -55,7 +77,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
             if batch.num_rows:
                 yield fn(batch)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def column(batch: pa.RecordBatch, name: str) -> list:
@@ -100,7 +122,7 @@ def in_key_blocks(df: DataFrame, key: str, block_rows: int) -> DataFrame:
     return met.repartition(key, "block").sortWithinPartitions(key, "block")
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], by: list[str], rows: int = 200_000) -> Iterator[pa.Table]:
+def whole_groups(batches: Iterator[pa.RecordBatch], by: list[str], rows: int = 100_000) -> Iterator[pa.Table]:
     """Tables of many whole groups each, from batches sorted by ``by``."""
     held: list[pa.RecordBatch] = []
     count = 0

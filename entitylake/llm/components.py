@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from entitylake.llm.common import lean
 from entitylake.sources.stage import staged
 
 
@@ -43,7 +44,7 @@ def contracted(links: DataFrame) -> DataFrame:
         keep = node != least
         yield pa.RecordBatch.from_pydict({"a": node[keep], "b": least[keep]})
 
-    return links.select("a", "b").mapInArrow(run, "a long, b long")
+    return links.select("a", "b").mapInArrow(lean(run), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:

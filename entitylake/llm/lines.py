@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from entitylake.llm.common import column, group_bounds, ragged, whole_groups, widened, worker_state
+from entitylake.llm.common import column, group_bounds, lean, ragged, whole_groups, widened, worker_state
 from entitylake.sources.stage import staged
 
 #: Cells of the table of word counts; words that share one are taken as equally rare.
@@ -122,7 +122,7 @@ def rarity(docs: DataFrame, text: str) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"cell": found.astype(np.int32), "n": total[found]})
 
     texts = docs.select(F.coalesce(text, F.lit("")).alias("text"))
-    counts = texts.mapInArrow(tally, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = texts.mapInArrow(lean(tally), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(cells, np.int64)
     table[counts.column("cell").to_numpy()] = counts.column("n").to_numpy()
     return table
@@ -194,7 +194,7 @@ def line_sets(docs: DataFrame, id_col: str, text: str, similarity: float, least_
             yield which[of_text[at]], number[at], sig, bits, more_bits, n, length, tokens
 
     known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.coalesce(text, F.lit("")).alias("text"))
-    return known.mapInArrow(prepare, "doc long, line int, sig long, bits long, more_bits long, n int, gone boolean, prefix array<int>")
+    return known.mapInArrow(lean(prepare), "doc long, line int, sig long, bits long, more_bits long, n int, gone boolean, prefix array<int>")
 
 
 def marked(cells: DataFrame) -> np.ndarray:
@@ -247,7 +247,7 @@ def prefix_rows(unique: DataFrame, *, of_lines: np.ndarray | None = None, of_wor
             )
 
     rows = unique.where("prefix is not null").select("doc", "line", "bits", "more_bits", "n", "prefix")
-    return rows.mapInArrow(run, "token int, doc long, line int, bits long, more_bits long, n int, i int")
+    return rows.mapInArrow(lean(run), "token int, doc long, line int, bits long, more_bits long, n int, i int")
 
 
 def hot_words(unique: DataFrame) -> DataFrame:
@@ -266,7 +266,7 @@ def hot_words(unique: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_pydict({"cell": found.astype(np.int32), "n": total[found]})
 
     prefixes = unique.where("prefix is not null").select("prefix")
-    cells = prefixes.mapInArrow(tally, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > SLICE_ROWS)
+    cells = prefixes.mapInArrow(lean(tally), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > SLICE_ROWS)
     token = F.explode("prefix").alias("token")
     words = prefixes.select(token).withColumn("cell", F.shiftrightunsigned("token", 32 - CELL_BITS))
     some = words.join(F.broadcast(cells.select("cell")), "cell", "left_semi")
@@ -330,7 +330,7 @@ def promising(rows: DataFrame, similarity: float) -> DataFrame:
                 "doc": doc[later_row], "line": line[later_row], "other_doc": doc[earlier_row], "other_line": line[earlier_row], "more": more[later_row],
             })
 
-    found = rows.mapInArrow(search, "doc long, line int, other_doc long, other_line int, more boolean")
+    found = rows.mapInArrow(lean(search), "doc long, line int, other_doc long, other_line int, more boolean")
     return found.groupBy("doc", "line", "other_doc", "other_line").agg(F.max("more").alias("more"))
 
 
@@ -363,10 +363,10 @@ def verified(docs: DataFrame, id_col: str, text: str, pairs: DataFrame, similari
             yield batch.drop_columns(["raw", "other_raw"]).append_column("same", pa.array(same, pa.bool_()))
 
     known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text).cast("binary").alias("text"))
-    texts = staged(known.mapInArrow(pick, "doc long, line int, raw binary"))
+    texts = staged(known.mapInArrow(lean(pick), "doc long, line int, raw binary"))
     others = texts.select(F.col("doc").alias("other_doc"), F.col("line").alias("other_line"), F.col("raw").alias("other_raw"))
     both = pairs.join(texts, ["doc", "line"]).join(others, ["other_doc", "other_line"]).select("doc", "line", "more", "raw", "other_raw")
-    compared = both.mapInArrow(compare, "doc long, line int, more boolean, same boolean")
+    compared = both.mapInArrow(lean(compare), "doc long, line int, more boolean, same boolean")
     return compared.groupBy("doc", "line").agg(F.max("same").alias("same"), F.max("more").alias("more"))
 
 
@@ -433,8 +433,8 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
 
         return run
 
-    some = docs.mapInArrow(concerned(True), docs.schema).join(by_doc, id_col, "left").select(*docs.columns, "_lines")
-    rows = docs.mapInArrow(concerned(False), docs.schema).withColumn("_lines", F.lit(None).cast("array<int>")).unionByName(some)
+    some = docs.mapInArrow(lean(concerned(True)), docs.schema).join(by_doc, id_col, "left").select(*docs.columns, "_lines")
+    rows = docs.mapInArrow(lean(concerned(False)), docs.schema).withColumn("_lines", F.lit(None).cast("array<int>")).unionByName(some)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -452,4 +452,4 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
             out = out.append_column("n_lines", pa.array(total, pa.int64()))
             yield out.append_column("n_removed", pa.array(removed, pa.int64()))
 
-    return rows.mapInArrow(cut, widened(docs, n_lines="long", n_removed="long"))
+    return rows.mapInArrow(lean(cut), widened(docs, n_lines="long", n_removed="long"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from entitylake.llm.common import column, file_bytes, map_batches, widened, worker_state
+from entitylake.llm.common import column, file_bytes, lean, map_batches, widened, worker_state
 from entitylake.sources.stage import staged
 
 #: Tokens of a part of a document in its queue: long documents do not fill a window alone.
@@ -178,7 +178,7 @@ def pack(
 
     schema = f"doc {id_type}, start long, length long, crc long, n long, sequence long, offset long"
     names = (id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
-    return joined.mapInArrow(cut, schema).toDF(*names)
+    return joined.mapInArrow(lean(cut), schema).toDF(*names)
 
 
 def place(rows: DataFrame, window: int, shares: dict[str, float] | None) -> tuple[DataFrame, int]:

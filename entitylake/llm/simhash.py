@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entitylake.llm.common import column, group_bounds, in_key_blocks, map_batches, whole_groups, widened
+from entitylake.llm.common import column, group_bounds, in_key_blocks, lean, map_batches, whole_groups, widened
 from entitylake.llm.components import components, roots
 from entitylake.sources.stage import staged
 
@@ -184,7 +184,7 @@ def near_links(classes: DataFrame, radius: int) -> DataFrame:
             keep = node != least
             yield pa.RecordBatch.from_pydict({"a": node[keep], "b": least[keep]})
 
-    return in_key_blocks(tries, "key", TRIE_ROWS).select("id", "fp", "key", "block").mapInArrow(join, "a long, b long")
+    return in_key_blocks(tries, "key", TRIE_ROWS).select("id", "fp", "key", "block").mapInArrow(lean(join), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", size: int = 4, radius: int = 4) -> DataFrame:

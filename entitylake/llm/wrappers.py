@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entitylake.llm.common import column
+from entitylake.llm.common import column, lean
 from entitylake.sources.stage import staged
 
 #: Longest block, in folded tokens, that is looked for as a repetition.
@@ -401,7 +401,7 @@ def infer(pages: DataFrame) -> DataFrame:
         return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [json.dumps(total)]})
 
     schema = "host string, wrapper string"
-    found = pages.mapInArrow(local, schema).withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(FIRST_GROUPS)))
+    found = pages.mapInArrow(lean(local), schema).withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(FIRST_GROUPS)))
     found = found.groupBy("host", "part").applyInPandas(merge, schema)
     return found.groupBy("host").applyInPandas(merge, schema)
 
@@ -438,4 +438,4 @@ def main_text(pages: DataFrame, *, url: str = "url", html: str = "html") -> Data
             yield out.append_column("n_chars", pa.array([len(t) for t in texts], pa.int64()))
 
     schema = ", ".join([*(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in names), "text string", "n_chars long"])
-    return joined.select(*names, html, "wrapper").mapInArrow(extract, schema)
+    return joined.select(*names, html, "wrapper").mapInArrow(lean(extract), schema)
