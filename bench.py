@@ -9,9 +9,9 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
 import time
 from pathlib import Path
+from uuid import uuid4
 
 ROOT = Path(__file__).resolve().parent
 sys.path.insert(0, str(ROOT))
@@ -23,6 +23,7 @@ from bindings.derived import markup_pages  # noqa: E402
 from entitylake.operators.entities import extract_entities  # noqa: E402
 from entitylake.plans import jobs  # noqa: E402
 from entitylake.session import session  # noqa: E402
+from entitylake.sources.stage import shared_folder  # noqa: E402
 
 HEADLINE = (
     "wiki_entities",
@@ -66,6 +67,7 @@ def main() -> None:
         **{
             "spark.driver.memory": "16g",
             "spark.sql.shuffle.partitions": cpus,
+            "spark.entitylake.spread": cpus,  # the tables are single small files
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
         },
@@ -83,7 +85,7 @@ def main() -> None:
     pages = markup_pages(spark, sf_dir).select("title", "text", copies.alias("copy"))
     scaled = min(timed(lambda: extract_entities(pages)) for _ in range(2))
     # End to end: the same pages as an XML dump on disk, read, decoded, extracted and written.
-    folder = tempfile.mkdtemp(prefix="run-")
+    folder = f"{shared_folder(spark)}/bench-{uuid4().hex}"
     escaped = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     chunk = F.concat(F.lit("<page><title>"), "title", F.lit("</title><revision><text>"), escaped, F.lit("</text></revision>"))
     pages.select(chunk).write.option("lineSep", "</page>").text(f"{folder}/dump")

@@ -95,12 +95,16 @@ def infobox_fields(spark, sf):
 @query(
     "infobox_fields_whole",
     """SELECT doc_id, lang || ' music' AS genre, source || ', ' || lang AS origin,
-  '1990–2000n' AS years_active, source AS label, NULL::VARCHAR AS members,
+  '1990–2000n' AS years_active, source AS label, 'Ann; ' || source || '; ' || lang AS members,
   CASE WHEN doc_id % 2 = 0 THEN 'Name ' || doc_id END AS birth_name FROM documents""",
 )
 def infobox_fields_whole(spark, sf):
-    fields = markup.infobox_fields("text", whole_templates=True)
-    return markup_pages(spark, sf).select("doc_id", F.inline(F.array(fields)))
+    """Values read over links and templates; a horizontal list gives several."""
+    docs = markup_pages(spark, sf).join(table(spark, sf, "documents").select("doc_id", "source", "lang"), "doc_id")
+    listed = text_of("\n| members = {{hlist|[[Ann]]|", F.col("source"), "|<b>", F.col("lang"), "</b>}}\n| label =")
+    text = F.replace("text", F.lit("\n| label ="), listed)
+    fields = docs.select("doc_id", F.inline(F.array(markup.infobox_fields(text, whole_templates=True))))
+    return fields.select("doc_id", *[F.array_join(c, "; ").alias(c) for c in fields.columns if c != "doc_id"])
 
 
 LINE_SQL = S.squeeze(

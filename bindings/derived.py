@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bindings import table
-from entitylake.sources.readers import spread_by
 
 SITE = "https://music.example.org"
 
@@ -27,8 +26,17 @@ def numbers(n: Column, most: int) -> Column:
 
 
 def documents(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
-    """Columns of the documents, spread over the cores when the file is small."""
-    return spread_by(table(spark, sf, "documents").select("doc_id", *columns), F.hash("doc_id"))
+    """Columns of the documents."""
+    return spread(table(spark, sf, "documents").select("doc_id", *columns), "doc_id")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt over as many partitions as the session's ``spark.entitylake.spread`` asks for.
+
+    For tables of one small file, which is one task; unset, rows stay where they are.
+    """
+    partitions = df.sparkSession.conf.get("spark.entitylake.spread", None)
+    return df.repartition(int(partitions), F.hash(key)) if partitions else df
 
 
 # --- dump pages from documents ------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bindings import query, table
 from bindings import sqltext as S
 from bindings.derived import (
+    spread,
     SITE,
     profile_pages,
     recording_pages,
@@ -18,7 +19,6 @@ from bindings.derived import (
 )
 from entitylake.functions import text as X
 from entitylake.operators import html, rollup
-from entitylake.sources.readers import spread_by
 
 NAVIGATION = r"(?s)<nav>(.*?)</nav>"
 
@@ -38,6 +38,14 @@ def page_store(spark, sf) -> DataFrame:
 STORE_SQL = f"""store AS (SELECT page_id, {S.HOST} AS entity_id, {S.SECTION} AS kind, {S.PAGE_NO} AS page_no,
   url, html FROM pages)"""
 
+BEGUN_SQL = """begun AS (SELECT entity_id FROM store UNION SELECT 'shop-' || s_suppkey FROM supplier)"""
+
+
+def begun(spark, sf) -> DataFrame:
+    """Entities whose fetching has begun: those with pages, and suppliers of which no page came."""
+    shops = table(spark, sf, "supplier").select(F.concat(F.lit("shop-"), F.col("s_suppkey").cast("string")).alias("entity_id"))
+    return page_store(spark, sf).select("entity_id").union(shops)
+
 
 @query(
     "html_pages_scan",
@@ -141,11 +149,12 @@ def relationship_summary(spark, sf):
 
 @query(
     "parse_stats",
-    f"""WITH {STORE_SQL}, e AS (SELECT entity_id, bool_or(kind = 'en') AS parsed FROM store GROUP BY 1)
+    f"""WITH {STORE_SQL}, {BEGUN_SQL}, e AS (SELECT entity_id, coalesce(bool_or(kind = 'en'), false) AS parsed
+  FROM begun LEFT JOIN store USING (entity_id) GROUP BY 1)
 SELECT count(*) AS total, count(*) FILTER (parsed) AS parsed, count(*) FILTER (NOT parsed) AS skipped FROM e""",
 )
 def parse_stats(spark, sf):
-    return html.parse_stats(page_store(spark, sf).select("entity_id", "kind"), "en")
+    return html.parse_stats(page_store(spark, sf), "en", begun(spark, sf))
 
 
 @query(
@@ -170,7 +179,7 @@ def item_rows(spark, sf) -> DataFrame:
     items = table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount", "l_returnflag", "l_linestatus", "l_shipdate"
     )
-    items = spread_by(items, "l_orderkey")
+    items = spread(items, "l_orderkey")
     parts = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     return items.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("p_brand").alias("entity_id"),

@@ -15,7 +15,6 @@ from entitylake.operators import browse, link, quality
 from entitylake.operators.classify import classify, classify_stats, false_match
 from entitylake.operators.entities import entity_id, entity_url, lookup_rows
 from entitylake.rules import FalseMatchRules, TypeRules
-from entitylake.sources.stage import staged
 
 SITE = "https://example.org/wiki/"
 TITLE = r"<h1>([^<]+)</h1>"
@@ -27,8 +26,8 @@ def titled_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sources(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Both sides; titles are cut out of the HTML once for all branches that read them."""
-    pages = staged(titled_pages(spark, sf))
+    """Both sides: the pages fetched by https and those fetched by http."""
+    pages = titled_pages(spark, sf)
     secure = F.startswith("url", F.lit("https://"))
     left = pages.where(secure).select("page_id", F.col("title").alias("name"), "url")
     right = pages.where(~secure).select(F.col("page_id").alias("other_id"), "title", "url")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bindings import query, table
-from bindings.extraction import STORE_SQL, page_store
+from bindings.extraction import BEGUN_SQL, STORE_SQL, begun, page_store
 from entitylake.operators import frontier
 
 SECTIONS = ("en", "fr", "de", "es")
@@ -39,24 +39,24 @@ def set_compare(spark, sf):
 
 @query(
     "missing_parts",
-    f"""WITH {STORE_SQL} SELECT e.entity_id, k.kind FROM (SELECT DISTINCT entity_id FROM store) e,
+    f"""WITH {STORE_SQL}, {BEGUN_SQL} SELECT e.entity_id, k.kind FROM begun e,
   (VALUES ('en'), ('fr'), ('de'), ('es')) AS k(kind)
 WHERE NOT EXISTS (SELECT 1 FROM store s WHERE s.entity_id = e.entity_id AND s.kind = k.kind)""",
 )
 def missing_parts(spark, sf):
-    return frontier.missing_kinds(page_store(spark, sf), SECTIONS)
+    return frontier.missing_kinds(page_store(spark, sf), SECTIONS, begun(spark, sf))
 
 
 @query(
     "missing_counts",
-    f"""WITH {STORE_SQL}, p AS (SELECT DISTINCT entity_id, kind FROM store),
-e AS (SELECT count(DISTINCT entity_id) AS n FROM store)
+    f"""WITH {STORE_SQL}, {BEGUN_SQL}, p AS (SELECT DISTINCT entity_id, kind FROM store),
+e AS (SELECT count(*) AS n FROM begun)
 SELECT k.kind, (SELECT n FROM e) - (SELECT count(*) FROM p WHERE p.kind = k.kind) AS n
 FROM (VALUES ('en'), ('fr'), ('de'), ('es')) AS k(kind)
 WHERE (SELECT n FROM e) > (SELECT count(*) FROM p WHERE p.kind = k.kind)""",
 )
 def missing_counts(spark, sf):
-    return frontier.missing_counts(page_store(spark, sf), SECTIONS)
+    return frontier.missing_counts(page_store(spark, sf), SECTIONS, begun(spark, sf))
 
 
 # A page of the store links on where its address carries a page number; the link is put into the text.

@@ -108,35 +108,45 @@ def field_postings(spark, sf):
     return field_index(spark, sf)
 
 
-UPSERT_SQL = """old AS (SELECT doc_id, lang, 1 AS version FROM documents WHERE lang IN ('en', 'fr')),
-new AS (SELECT doc_id, lang, 2 AS version FROM documents WHERE source IN ('src1', 'src2') OR lang = 'es')"""
+# A refresh of the whole index: two sources come with new texts, one is emptied, conversations are added.
+AFTER_SQL = """after AS (SELECT doc_id, CASE WHEN source IN ('src1', 'src2') THEN text || ' refreshed words'
+    WHEN source = 'src3' THEN '- -' ELSE text END AS text FROM documents
+  UNION ALL SELECT 1000000000000 + conv_id * 1000 + turn, text FROM conversations)"""
 
 
 def _versions(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "source")
-    old = docs.where(F.col("lang").isin("en", "fr")).select("doc_id", "lang", F.lit(1).alias("version"))
-    new = docs.where(F.col("source").isin("src1", "src2") | (F.col("lang") == "es")).select(
-        "doc_id", "lang", F.lit(2).alias("version")
-    )
-    return old, new
+    """All documents as they were, and what comes: changed, emptied and added ones."""
+    docs = documents(spark, sf, "text", "source")
+    changed = docs.where(F.col("source").isin("src1", "src2")).select("doc_id", F.concat("text", F.lit(" refreshed words")).alias("text"))
+    emptied = docs.where("source = 'src3'").select("doc_id", F.lit("- -").alias("text"))
+    turns = table(spark, sf, "conversations")
+    added = turns.select((F.lit(10**12) + F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    return docs.select("doc_id", "text"), changed.union(emptied).union(added)
 
 
 @query(
     "index_upsert",
-    f"WITH {UPSERT_SQL} SELECT * FROM new UNION ALL SELECT * FROM old WHERE doc_id NOT IN (SELECT doc_id FROM new)",
+    f"""WITH {AFTER_SQL}, {collection_sql(S.tokens, source='after')}
+SELECT doc_id, term, tf::INTEGER AS tf, doc_len::INTEGER AS doc_len FROM tf JOIN lens USING (doc_id)""",
 )
 def index_upsert(spark, sf):
-    return index.upsert_documents(*_versions(spark, sf))
+    """Postings after the refresh, which has to equal an index built anew."""
+    old, coming = _versions(spark, sf)
+    return index.upsert_documents(index.postings(old), index.postings(coming), coming.select("doc_id").distinct())
 
 
 @query(
     "index_upsert_stats",
-    f"""WITH {UPSERT_SQL} SELECT (SELECT count(*) FROM new WHERE doc_id NOT IN (SELECT doc_id FROM old)) AS added,
-  (SELECT count(*) FROM new WHERE doc_id IN (SELECT doc_id FROM old)) AS replaced,
-  (SELECT count(*) FROM (SELECT doc_id FROM old UNION SELECT doc_id FROM new)) AS total""",
+    f"""WITH {AFTER_SQL}, a AS (SELECT doc_id, len({S.tokens('text')}) > 0 AS there FROM after),
+b AS (SELECT doc_id, source, len({S.tokens('text')}) > 0 AS there FROM documents)
+SELECT (SELECT count(*) FROM a LEFT JOIN b USING (doc_id) WHERE a.there AND NOT coalesce(b.there, false)) AS added,
+  (SELECT count(*) FROM a JOIN b USING (doc_id) WHERE a.there AND b.there AND source IN ('src1', 'src2')) AS replaced,
+  (SELECT count(*) FROM a JOIN b USING (doc_id) WHERE NOT a.there AND b.there) AS removed,
+  (SELECT count(*) FROM a WHERE there) AS total""",
 )
 def index_upsert_stats(spark, sf):
-    return index.upsert_stats(*_versions(spark, sf))
+    old, coming = _versions(spark, sf)
+    return index.upsert_stats(index.doc_lengths(old), index.doc_lengths(coming), coming.select("doc_id"))
 
 
 # --- ranked retrieval -----------------------------------------------------------
@@ -221,13 +231,13 @@ freq AS (SELECT doc_id, count(*)::INTEGER AS phrase_freq FROM pos a JOIN pos b U
   WHERE a.term = 'of' AND b.term = 'the' AND b.i = a.i + 1 GROUP BY 1)"""
 
 
-@query(
-    "phrase_search",
-    f"""WITH {PHRASE_SQL}, idf AS (SELECT sum(ln(1 + (n - df + 0.5) / (df + 0.5))) AS idf FROM df, n
+PHRASE_SCORES_SQL = f"""WITH {PHRASE_SQL}, idf AS (SELECT sum(ln(1 + (n - df + 0.5) / (df + 0.5))) AS idf FROM df, n
   WHERE term IN ('of', 'the'))
 SELECT doc_id, phrase_freq, round(idf * phrase_freq /
-  (phrase_freq + 1.2 * (0.25 + 0.75 * doc_len * n / total)), 6) AS score FROM freq JOIN lens USING (doc_id), n, idf""",
-)
+  (phrase_freq + 1.2 * (0.25 + 0.75 * doc_len * n / total)), 6) AS score FROM freq JOIN lens USING (doc_id), n, idf"""
+
+
+@query("phrase_search", PHRASE_SCORES_SQL)
 def phrase_search(spark, sf):
     return search.phrase_search(documents(spark, sf, "text"), PHRASE)
 
@@ -281,12 +291,48 @@ SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id)
 FROM scores QUALIFY rank <= 10""",
 )
 def field_search(spark, sf):
-    docs = build_field_documents(records(spark, sf)).select("doc_id", "genres")
-    counted = staged(index.count_terms(docs, "genres", X.words))
-    posts = index.postings_of(counted)
-    totals = search.collection_totals(counted)
-    terms = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return search.search_index(posts, terms, totals, ["cat 12 brand"], "bm25", tokenizer=X.words)
+    found = index.field_occurrences(build_field_documents(records(spark, sf)), FIELDS, EXACT)
+    return search.search_field(found, index.field_totals(found), ["cat 12 brand"], "genres")
+
+
+def positions(spark, sf) -> DataFrame:
+    """An index with positions of the documents, their text as the field ``content``."""
+    return index.field_occurrences(documents(spark, sf, "text").withColumnRenamed("text", "content"), ["content"])
+
+
+TOP_SQL = "SELECT row_number() OVER (ORDER BY score DESC, doc_id)::INTEGER AS rank, * FROM (%s) QUALIFY rank <= 10"
+
+
+@query(
+    "boolean_ranked",
+    TOP_SQL % (BOOLEAN_SQL % "list_contains(l, 'the') AND list_contains(l, 'and') AND NOT list_contains(l, 'for')"),
+)
+def boolean_ranked(spark, sf):
+    found = positions(spark, sf)
+    return search.boolean_index(found, index.field_totals(found), ["the", "and"], ["that"], ["for"])
+
+
+@query("phrase_ranked", TOP_SQL % PHRASE_SCORES_SQL)
+def phrase_ranked(spark, sf):
+    found = positions(spark, sf)
+    return search.phrase_index(found, index.field_totals(found), PHRASE)
+
+
+@query(
+    "benchmark_search",
+    f"""WITH {collection_sql(S.words)}, asked AS (SELECT query, term, count(*) AS qtf
+  FROM (SELECT text AS query, unnest({S.words('text')}) AS term FROM (SELECT DISTINCT text FROM benchmark)) GROUP BY 1, 2),
+scores AS (SELECT query, doc_id, round(sum(qtf * {WEIGHT_SQL['bm25']}), 6) AS score
+  FROM asked JOIN tf USING (term) JOIN df USING (term) JOIN lens USING (doc_id), n GROUP BY 1, 2)
+SELECT md5(query) AS query, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id)::INTEGER AS rank,
+  doc_id, score FROM scores QUALIFY rank <= 3""",
+)
+def benchmark_search(spark, sf):
+    """A table of queries: the passages of the benchmark, each with its best documents."""
+    found = positions(spark, sf)
+    asked = table(spark, sf, "benchmark").select(F.col("text").alias("query"))
+    ranked = search.search_field(found, index.field_totals(found), asked, top=3)
+    return ranked.withColumn("query", F.md5("query"))
 
 
 COMPARED = QUERIES[:2]

@@ -126,14 +126,16 @@ def infobox_fields(
 
     By default a value ends at the first ``|``, even inside a link or template:
     ``[[Rock music|Rock]]`` gives ``[[Rock music``.  ``whole_templates=True``
-    reads over links and templates instead.
+    reads over links and templates instead and gives each field as the list of its
+    values: several for a horizontal list, null when nothing is left.
     """
     value = FIELD_VALUE_WITH_TEMPLATES if whole_templates else FIELD_VALUE
 
     def read(block: Column) -> Column:
         raw = [X.first_match(block, rf"(?iU)\|\s*(?:{names})\s*=\s*{value}") for names in fields.values()]
         # One cleaning expression for all fields keeps the plan small.
-        cleaned = F.transform(F.array(*raw), lambda v: clean_value(X.strip(v)))
+        clean = clean_list if whole_templates else clean_value
+        cleaned = F.transform(F.array(*raw), lambda v: clean(X.strip(v)))
         return let(
             cleaned, lambda values: record(**{name: F.get(values, i) for i, name in enumerate(fields)})
         )

@@ -66,11 +66,19 @@ def extract_entities(
         entity_url("title", site).alias("url"),
         "categories",
         markup.abstract("text").alias("abstract"),
-        F.inline(F.array(markup.infobox_fields("text", whole_templates=whole_templates))),
+        F.inline(F.array(_infobox(whole_templates))),
     )
     return conform(described, ENTITY)
 
 
+def _infobox(whole_templates: bool) -> Column:
+    """The infobox fields as texts; a field with several values has them joined."""
+    fields = markup.infobox_fields("text", whole_templates=whole_templates)
+    if not whole_templates:
+        return fields
+    return let(fields, lambda f: record(**{name: F.array_join(f[name], ", ") for name in markup.INFOBOX_FIELDS}))
+
+
 def lookup_rows(entities: DataFrame) -> DataFrame:
     """Projection written by the lookup file: id, title, type, url."""
     return entities.select("id", "title", "type", "url")

@@ -51,14 +51,18 @@ def has_next_page(html: Column | str, page_no: Column | str) -> Column:
     return F.contains(X.col(html), following)
 
 
-def missing_kinds(pages: DataFrame, kinds: tuple[str, ...] = R.PAGE_KINDS) -> DataFrame:
+def missing_kinds(pages: DataFrame, kinds: tuple[str, ...] = R.PAGE_KINDS, ids: DataFrame | None = None) -> DataFrame:
     """(entity_id, kind) for each kind of page an entity lacks.
 
-    One flag per kind is aggregated and the absent ones are exploded; entities are
-    not multiplied by kinds and no page text is read.
+    ``ids`` lists the entities begun; one of which no page was fetched lacks all
+    kinds.  One flag per kind is aggregated and the absent ones are exploded;
+    entities are not multiplied by kinds and no page text is read.
     """
-    flags = pages.groupBy("entity_id").agg(
-        *[F.bool_or(F.col("kind") == k).alias(k) for k in kinds]
+    fetched = pages.select("entity_id", "kind")
+    if ids is not None:
+        fetched = fetched.unionAll(ids.select("entity_id", F.lit(None).cast("string")))
+    flags = fetched.groupBy("entity_id").agg(
+        *[F.coalesce(F.bool_or(F.col("kind") == k), F.lit(False)).alias(k) for k in kinds]
     )
     absent = F.filter(
         F.array(*[F.when(~F.col(k), F.lit(k)) for k in kinds]), lambda k: k.isNotNull()
@@ -66,9 +70,9 @@ def missing_kinds(pages: DataFrame, kinds: tuple[str, ...] = R.PAGE_KINDS) -> Da
     return flags.select("entity_id", F.explode(absent).alias("kind"))
 
 
-def missing_counts(pages: DataFrame, kinds: tuple[str, ...] = R.PAGE_KINDS) -> DataFrame:
-    """Number of entities lacking each kind."""
-    return missing_kinds(pages, kinds).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+def missing_counts(pages: DataFrame, kinds: tuple[str, ...] = R.PAGE_KINDS, ids: DataFrame | None = None) -> DataFrame:
+    """Number of entities lacking each kind; ``ids`` as in ``missing_kinds``."""
+    return missing_kinds(pages, kinds, ids).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 def pages_to_fetch(

@@ -193,13 +193,18 @@ def relationship_rows(pages: DataFrame, site: str, html: str = "html") -> DataFr
     return found.select(*others, F.inline(F.concat(*lists)))
 
 
-def parse_stats(pages: DataFrame, profile: str = "profile") -> DataFrame:
+def parse_stats(pages: DataFrame, profile: str = "profile", ids: DataFrame | None = None) -> DataFrame:
     """Entities seen, entities with a profile page, and those skipped for lack of one.
 
+    ``ids`` lists the entities begun; one of which no page was fetched is skipped.
     Two small counters per entity are aggregated before the shuffle, so an entity
     with very many pages costs no more than others.
     """
-    per_entity = pages.groupBy("entity_id").agg(F.bool_or(F.col("kind") == profile).alias("parsed"))
+    fetched = pages.select("entity_id", "kind")
+    if ids is not None:
+        fetched = fetched.unionAll(ids.select("entity_id", F.lit(None).cast("string")))
+    has_profile = F.coalesce(F.bool_or(F.col("kind") == profile), F.lit(False))
+    per_entity = fetched.groupBy("entity_id").agg(has_profile.alias("parsed"))
     return per_entity.agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if("parsed").alias("parsed"),

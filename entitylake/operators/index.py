@@ -78,6 +78,35 @@ def field_postings(
     ).select("field", "term", doc_id, "tf", "doc_len")
 
 
+def field_occurrences(
+    docs: DataFrame,
+    fields: list[str],
+    exact_fields: list[str] = (),
+    doc_id: str = "doc_id",
+    tokenizer: Tokenizer = X.words,
+) -> DataFrame:
+    """(field, term, doc_id, pos, doc_len): a row per occurrence of a term in a field.
+
+    The stored form of an index with positions: term frequencies are counts of its
+    rows, phrases are rows in a row.  One pass, without a shuffle.
+    """
+    sides = [record(field=F.lit(f), tokens=tokenizer(F.coalesce(f, F.lit("")))) for f in fields] + [
+        record(field=F.lit(f), tokens=F.array(F.col(f).cast("string"))) for f in exact_fields
+    ]
+    each = docs.select(doc_id, F.inline(F.array(*sides)))
+    found = each.select("field", doc_id, F.size("tokens").alias("doc_len"), F.posexplode("tokens").alias("pos", "term"))
+    return found.where("term IS NOT NULL").select("field", "term", doc_id, "pos", "doc_len")
+
+
+def field_totals(occurrences: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """(field, n_docs, total_len) of an index with positions: one row per field.
+
+    A document's length is taken from its first position, so nothing is made distinct.
+    """
+    first = F.col("pos") == 0
+    return occurrences.where(first).groupBy("field").agg(F.count(doc_id).alias("n_docs"), F.sum("doc_len").alias("total_len"))
+
+
 def positional_postings(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: Tokenizer = X.words
 ) -> DataFrame:
@@ -139,25 +168,34 @@ def terms_of_texts(
     )
 
 
-def upsert_documents(old: DataFrame, new: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+def upsert_documents(
+    old: DataFrame, new: DataFrame, ids: DataFrame | None = None, doc_id: str = "doc_id"
+) -> DataFrame:
     """``old`` with the documents of ``new`` added or wholly replaced.
 
     Also right for postings: all rows of a replaced document go, including those
-    of terms it no longer has.  ``new`` may repeat an id (postings do).
+    of terms it no longer has.  ``new`` may repeat an id (postings do).  ``ids``
+    lists all documents that come, also those of which nothing is left to store:
+    their old rows go as well.
     """
-    return old.join(new.select(doc_id).distinct(), doc_id, "left_anti").unionByName(new)
+    coming = new.select(doc_id).distinct() if ids is None else ids.select(doc_id)
+    return old.join(coming, doc_id, "left_anti").unionByName(new)
 
 
-def upsert_stats(old: DataFrame, new: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """One row: documents added, documents replaced and the total afterwards."""
-    marks = old.select(doc_id, F.lit(True).alias("was"), F.lit(False).alias("comes")).unionAll(
-        new.select(doc_id, F.lit(False), F.lit(True))
-    )
-    per_id = marks.groupBy(doc_id).agg(
-        F.bool_or("was").alias("was"), F.bool_or("comes").alias("comes")
-    )
+def upsert_stats(
+    old: DataFrame, new: DataFrame, ids: DataFrame | None = None, doc_id: str = "doc_id"
+) -> DataFrame:
+    """One row: documents added, replaced and removed, and the total afterwards."""
+
+    def marks(df: DataFrame, name: str) -> DataFrame:
+        return df.select(doc_id, *[F.lit(n == name).alias(n) for n in ("was", "comes", "named")])
+
+    rows = marks(old, "was").unionAll(marks(new, "comes")).unionAll(marks(new if ids is None else ids, "named"))
+    per_id = rows.groupBy(doc_id).agg(*[F.bool_or(n).alias(n) for n in ("was", "comes", "named")])
+    was, comes, gone = F.col("was"), F.col("comes"), F.col("named") & ~F.col("comes")
     return per_id.agg(
-        F.count_if(~F.col("was")).alias("added"),
-        F.count_if(F.col("was") & F.col("comes")).alias("replaced"),
-        F.count(F.lit(1)).alias("total"),
+        F.count_if(~was & comes).alias("added"),
+        F.count_if(was & comes).alias("replaced"),
+        F.count_if(was & gone).alias("removed"),
+        F.count_if(comes | (was & ~gone)).alias("total"),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from entitylake.functions import text as X
-from entitylake.operators.skew import HOT_FROM, join_skewed
+from entitylake.operators.skew import SLICE_ROWS, join_skewed
 
 
 def with_name_key(df: DataFrame, column: str, key: str) -> DataFrame:
@@ -25,14 +25,14 @@ def link(
     spread_left_by: list[str] | None = None,
     spread_right_by: list[str] | None = None,
     drop_empty_keys: bool = False,
-    hot_from: int = HOT_FROM,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Inner join, many to many, on the normalised names; null names drop out.
 
     All columns of both sides are kept; ``rename_right`` resolves collisions
     (``type`` and ``url`` by default).  Names without any ASCII letter or digit
     share the key ``''`` and match each other; ``drop_empty_keys`` leaves them out.
-    Rows of a hot key (such as ``''``; at least ``hot_from`` rows) are spread over
+    Rows of a hot key (such as ``''``; more than ``slice_rows`` rows) are spread over
     slices by ``spread_..._by``, by default all plain columns of the side.
     """
     renames = {"type": "wiki_type", "url": "wiki_url"} if rename_right is None else rename_right
@@ -44,7 +44,7 @@ def link(
         a = a.where(F.col(left_key) != "")
         b = b.where(F.col(right_key) != "")
     return join_skewed(
-        a, b, left_key, right_key, spread_left_by or _plain(a), spread_right_by or _plain(b), hot_from
+        a, b, left_key, right_key, spread_left_by or _plain(a), spread_right_by or _plain(b), slice_rows
     )
 
 

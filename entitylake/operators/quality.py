@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from entitylake.operators.skew import lookup_skewed
+from entitylake.operators.skew import SLICE_ROWS, lookup_skewed
 
 DEFAULT_TYPES = ("artist", "band")
 MISSING_TYPE = "unknown"
@@ -47,7 +47,9 @@ def filter_summary(
     )
 
 
-def dedupe_status(df: DataFrame, key: str, order_by: list[str], is_wrong: Column) -> DataFrame:
+def dedupe_status(
+    df: DataFrame, key: str, order_by: list[str], is_wrong: Column, slice_rows: int = SLICE_ROWS
+) -> DataFrame:
     """Each row with ``status``: kept, filtered or duplicate.
 
     Read in order, the rows of a key up to its first acceptable row are judged by
@@ -56,16 +58,11 @@ def dedupe_status(df: DataFrame, key: str, order_by: list[str], is_wrong: Column
 
     The first acceptable position is a minimum per key (merged on the map side),
     joined back to the rows.  No window gathers a key's rows in one task; the
-    rows of hot keys get theirs by broadcast.
+    rows of hot keys are spread.
     """
     order = F.struct(*order_by)
-    present = F.struct(F.col(key).isNull().alias("missing"), F.col(key).alias("value"))
-    rows = df.withColumn("_wrong", F.coalesce(is_wrong, F.lit(False))).withColumn("_key", present)
-    firsts = rows.groupBy("_key").agg(
-        F.min(F.when(~F.col("_wrong"), order)).alias("_first"), F.count(F.lit(1)).alias("_n")
-    )
-    total = df.agg(F.count(F.lit(1))).scalar()
-    judged = lookup_skewed(rows, firsts, "_key", "_first", "_n", total, order_by)
+    rows, firsts = _firsts(df, key, order, is_wrong)
+    judged = lookup_skewed(rows, firsts, "_key", "_first", "_n", order_by, slice_rows)
     status = (
         F.when(order > F.col("_first"), F.lit("duplicate"))
         .when(F.col("_wrong"), F.lit("filtered"))
@@ -74,6 +71,14 @@ def dedupe_status(df: DataFrame, key: str, order_by: list[str], is_wrong: Column
     return judged.withColumn("status", status).select(*df.columns, "status")
 
 
+def _firsts(df: DataFrame, key: str, order: Column, is_wrong: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows with their key and verdict, and each key with its first acceptable position and size."""
+    present = F.struct(F.col(key).isNull().alias("missing"), F.col(key).alias("value"))
+    rows = df.withColumn("_wrong", F.coalesce(is_wrong, F.lit(False))).withColumn("_key", present)
+    first = F.min(F.when(~F.col("_wrong"), order)).alias("_first")
+    return rows, rows.groupBy("_key").agg(first, F.count(F.lit(1)).alias("_n"))
+
+
 def dedupe(df: DataFrame, key: str, order_by: list[str], is_wrong: Column) -> DataFrame:
     """The kept rows only: the first acceptable row of each key.
 
@@ -95,11 +100,15 @@ def dedupe(df: DataFrame, key: str, order_by: list[str], is_wrong: Column) -> Da
 
 
 def dedupe_summary(df: DataFrame, key: str, order_by: list[str], is_wrong: Column) -> DataFrame:
-    """One row: total, kept, filtered and duplicates."""
-    status = F.col("status")
-    return dedupe_status(df, key, order_by, is_wrong).agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(status == "kept").alias("kept"),
-        F.count_if(status == "filtered").alias("filtered"),
-        F.count_if(status == "duplicate").alias("duplicates"),
-    )
+    """One row: total, kept, filtered and duplicates.
+
+    Every key with a first acceptable row keeps one; only wrong rows are looked up, to
+    tell those before it from those behind.
+    """
+    order = F.struct(*order_by)
+    rows, firsts = _firsts(df, key, order, is_wrong)
+    wrong = lookup_skewed(rows.where("_wrong"), firsts, "_key", "_first", "_n", order_by)
+    behind = F.coalesce(order > F.col("_first"), F.lit(False))
+    filtered = wrong.agg(F.count_if(~behind)).scalar()
+    counts = firsts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("total"), F.count("_first").alias("kept"))
+    return counts.withColumn("filtered", filtered).withColumn("duplicates", F.col("total") - F.col("kept") - F.col("filtered"))

@@ -26,8 +26,6 @@ from entitylake.operators.index import BUCKETS, Tokenizer, bucket_of
 from entitylake.rules import BM25_B, BM25_K1, MAX_EDITS
 
 DECIMALS = 6
-MAX_LITERAL_QUERIES = 1_000
-MAX_BROADCAST_TERMS = 100_000
 # Tokens are neither empty nor blank, so these keys can stand beside terms.
 NO_TERM = ""  # a document's length, the collection's totals
 PHRASE = " "  # a phrase's frequency
@@ -75,21 +73,27 @@ WEIGHTS: dict[str, Weight] = {
 
 
 def _literals(queries: Sequence[str]) -> Column:
-    if not 0 < len(queries) <= MAX_LITERAL_QUERIES:
-        raise ValueError(f"give 1 to {MAX_LITERAL_QUERIES} query texts, not {len(queries)}")
+    """The caller's texts; a large set of queries is a table, see ``query_table_terms``."""
+    if not queries:
+        raise ValueError("give at least one query text")
     return F.array(*[F.lit(q) for q in queries])
 
 
+def query_table_terms(queries: DataFrame, tokenizer: Tokenizer = X.tokens, text: str = "query") -> DataFrame:
+    """(query, term, qtf, n_terms) of a table of query texts of any size."""
+    each = queries.select(F.col(text).alias("query")).where("query IS NOT NULL").distinct()
+    counted = each.select("query", X.term_counts(tokenizer(F.col("query"))).alias("terms"))
+    return counted.select("query", F.size("terms").alias("n_terms"), F.inline("terms")).select(
+        "query", "term", F.col("tf").alias("qtf"), "n_terms"
+    )
+
+
 def query_terms(spark: SparkSession, queries: Sequence[str], tokenizer: Tokenizer = X.tokens) -> DataFrame:
     """(query, term, qtf, n_terms) of the given texts; repeated tokens count in ``qtf``.
 
     ``n_terms`` is the number of distinct terms of the query.
     """
-    each = spark.range(1).select(F.explode(_literals(queries)).alias("query")).distinct()
-    counted = each.select("query", X.term_counts(tokenizer(F.col("query"))).alias("terms"))
-    return counted.select("query", F.size("terms").alias("n_terms"), F.inline("terms")).select(
-        "query", "term", F.col("tf").alias("qtf"), "n_terms"
-    )
+    return query_table_terms(spark.range(1).select(F.explode(_literals(queries)).alias("query")), tokenizer)
 
 
 # --- on texts ---------------------------------------------------------------
@@ -190,6 +194,20 @@ def top_ranked(scores: DataFrame, top: int, doc_id: str = "doc_id", by: Sequence
     return ranked.select(*by, "rank", doc_id, "score")
 
 
+def _queries_by_term(parsed: list[tuple[str, list[str]]]) -> Callable[[Column], Column]:
+    """Looks up the queries that have a term, so a row meets only those of the terms it has."""
+    by_term: dict[str, list[Column]] = {}
+    for q, ts in parsed:
+        asked = F.struct(F.lit(q).alias("query"), _string_array(ts).alias("tokens"))
+        for t in dict.fromkeys(ts):
+            by_term.setdefault(t, []).append(asked)
+    nothing = F.array().cast("array<struct<query:string,tokens:array<string>>>")
+    if not by_term:
+        return lambda term: nothing
+    known = F.create_map(*[x for t, qs in by_term.items() for x in (F.lit(t), F.array(*qs))])
+    return lambda term: F.coalesce(F.element_at(known, term), nothing)
+
+
 def score_texts(
     docs: DataFrame,
     queries: Sequence[str],
@@ -206,11 +224,7 @@ def score_texts(
     weigh = WEIGHTS[weight] if isinstance(weight, str) else weight
     parsed = _parse(docs.sparkSession, queries, tokenizer)
     maps = _term_maps(docs, [t for _, ts in parsed for t in ts], doc_id, text, tokenizer)
-    asked = F.array(*[F.struct(F.lit(q).alias("query"), _string_array(ts).alias("tokens")) for q, ts in parsed])
-    concerned = let(
-        F.map_keys("tfs"),
-        lambda have: F.filter(asked, lambda q: F.arrays_overlap(q["tokens"], have)),
-    )
+    concerned = F.array_distinct(F.flatten(F.transform(F.map_keys("tfs"), _queries_by_term(parsed))))
     pairs = maps.select(doc_id, "tfs", F.explode(concerned).alias("q"))
     rows = pairs.select("*", _statistics(maps, doc_id).alias("stats"))
     return rows.select(
@@ -227,15 +241,8 @@ def search_texts(
     text: str = "text",
     tokenizer: Tokenizer = X.tokens,
 ) -> DataFrame:
-    """(query, rank, doc_id, score): the best ``top`` documents of each query.
-
-    A single query is cut to its best rows by a distributed top-n, without sorting
-    all of its matches; only those few rows are then numbered.
-    """
-    scores = score_texts(docs, queries, weight, doc_id, text, tokenizer)
-    if len(set(queries)) == 1:
-        scores = scores.orderBy(F.desc("score"), doc_id).limit(top)
-    return top_ranked(scores, top, doc_id)
+    """(query, rank, doc_id, score): the best ``top`` documents of each query."""
+    return top_ranked(score_texts(docs, queries, weight, doc_id, text, tokenizer), top, doc_id)
 
 
 def boolean_search(
@@ -373,36 +380,72 @@ def search_index(
     return top_ranked(scores, top, doc_id)
 
 
+def _cut(length: Column, pieces: int, i: int) -> Column:
+    """Where the i-th of so many nearly equal pieces of a word begins."""
+    return F.floor(length * i / pieces).cast("int")
+
+
+def fuzzy_candidates(terms: DataFrame, wanted: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
+    """(query_term, term, df): pairs among which are all within ``max_edits`` edits.
+
+    A word is cut into ``max_edits + 1`` pieces; so many edits leave one piece whole,
+    moved by at most as many places.  Both sides give keys (length of the wanted word,
+    number of the piece, piece): the wanted word its own pieces, a term what stands in
+    the places where a piece may be, for each length within reach.
+    """
+    pieces = max_edits + 1
+
+    def of_word(word: Column) -> Column:
+        n = F.length(word)
+        return F.array(*[
+            F.struct(n.alias("n"), F.lit(i).alias("i"), F.substring(word, _cut(n, pieces, i) + 1, _cut(n, pieces, i + 1) - _cut(n, pieces, i)).alias("piece"))
+            for i in range(pieces)
+        ])
+
+    def of_term(term: Column) -> Column:
+        def places(n: Column, i: int) -> Column:
+            start, size = _cut(n, pieces, i), _cut(n, pieces, i + 1) - _cut(n, pieces, i)
+            shifts = F.transform(F.array(*[F.lit(s) for s in range(-max_edits, max_edits + 1)]), lambda s: start + s)
+            inside = F.filter(shifts, lambda at: (at >= 0) & (at + size <= F.length(term)))
+            return F.transform(inside, lambda at: F.struct(n.alias("n"), F.lit(i).alias("i"), F.substring(term, at + 1, size).alias("piece")))
+
+        lengths = F.filter(F.array(*[F.length(term) + d for d in range(-max_edits, max_edits + 1)]), lambda n: n > 0)
+        return F.array_distinct(F.flatten(F.transform(lengths, lambda n: F.concat(*[places(n, i) for i in range(pieces)]))))
+
+    asked = wanted.select(F.col("term").alias("query_term")).distinct()
+    left = asked.select("query_term", F.inline(of_word(F.col("query_term"))))
+    right = terms.select("term", "df", F.inline(of_term(F.col("term"))))
+    return right.join(left, ["n", "i", "piece"]).select("query_term", "term", "df").distinct()
+
+
 def fuzzy_terms(
     terms: DataFrame,
-    queries: Sequence[str],
+    queries: Sequence[str] | DataFrame,
     max_edits: int = MAX_EDITS,
     tokenizer: Tokenizer = X.words,
 ) -> DataFrame:
     """(query, query_term, term, df, edits, boost): vocabulary terms within the edit distance.
 
-    The query terms are a short literal list checked against each vocabulary row
-    in place: the vocabulary is neither shuffled nor joined.  The length test
-    precedes the edit distance, which stops at the bound.  A swap of neighbours
+    ``queries`` are texts or a table with a column ``query``.  Candidates come from an
+    equi-join on pieces of the words, so the vocabulary is not multiplied by the query
+    terms; the edit distance, which stops at the bound, decides.  A swap of neighbours
     counts as two edits.  ``boost`` falls with the edits relative to the shorter word.
     """
-    parsed = _parse(terms.sparkSession, queries, tokenizer)
-    pairs = [
-        F.struct(F.lit(q).alias("query"), F.lit(t).alias("query_term"))
-        for q, ts in parsed
-        for t in dict.fromkeys(ts)
-    ]
-    each = terms.select("term", "df", F.inline(F.array(*pairs)))
-    close = F.abs(F.length("term") - F.length("query_term")) <= max_edits
+    if isinstance(queries, DataFrame):
+        wanted = query_table_terms(queries, tokenizer)
+    else:
+        wanted = query_terms(terms.sparkSession, queries, tokenizer)
     edits = F.levenshtein("term", "query_term", max_edits)
     shorter = F.least(F.length("term"), F.length("query_term"))
-    return (
-        each.where(close)
+    close = (
+        fuzzy_candidates(terms, wanted, max_edits)
         .withColumn("edits", edits)
         .where("edits >= 0")
-        .select("query", "query_term", "term", "df", "edits", (1 - F.col("edits") / shorter).alias("boost"))
+        .select("query_term", "term", "df", "edits", (1 - F.col("edits") / shorter).alias("boost"))
         .where("boost > 0")
     )
+    asked = wanted.select("query", F.col("term").alias("query_term"))
+    return close.join(asked, "query_term").select("query", "query_term", "term", "df", "edits", "boost")
 
 
 def fuzzy_search(
@@ -418,16 +461,123 @@ def fuzzy_search(
 ) -> DataFrame:
     """BM25 over all close terms, each scaled by its boost; none of them is cut off.
 
-    On stored postings the close terms are counted first: few of them are
-    broadcast, which lets the join prune the folders to read; many are joined as
-    Spark decides by size.
+    Spark decides by size how the close terms meet the postings.
     """
     close = fuzzy_terms(terms, queries, max_edits, tokenizer).withColumn("qtf", F.lit(1))
-    few = "bucket" in postings.columns and close.limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS
-    scores = score_index(postings, terms, totals, close, "bm25", doc_id, few, buckets)
+    scores = score_index(postings, terms, totals, close, "bm25", doc_id, False, buckets)
     return top_ranked(scores, top, doc_id)
 
 
+# --- on an index with positions -----------------------------------------------
+
+
+def _field_terms(occurrences: DataFrame, field: str, terms: Sequence[str], buckets: int) -> DataFrame:
+    """The occurrences of given terms in a field: of stored ones only their folders and row groups are read."""
+    found = occurrences.where((F.col("field") == field) & F.col("term").isin(list(terms)))
+    if "bucket" in occurrences.columns and terms:
+        found = found.where(F.col("bucket").isin([bucket_of(F.lit(t), buckets) for t in terms]))
+    return found
+
+
+def _field_statistics(per_term: DataFrame, totals: DataFrame, field: str) -> tuple[Column, Totals]:
+    """Scalar map term -> documents with it, bounded by the query terms, and the field's totals."""
+    counts = per_term.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = counts.agg(F.map_from_entries(F.collect_list(F.struct("term", "df")))).scalar()
+    whole = totals.where(F.col("field") == field).agg(F.struct(F.max("n_docs").alias("n"), F.max("total_len").alias("len"))).scalar()
+    return df, Totals(whole["n"], whole["len"])
+
+
+def boolean_index(
+    occurrences: DataFrame,
+    totals: DataFrame,
+    must: Sequence[str] = (),
+    should: Sequence[str] = (),
+    must_not: Sequence[str] = (),
+    field: str = "content",
+    top: int = 10,
+    doc_id: str = "doc_id",
+    buckets: int = BUCKETS,
+) -> DataFrame:
+    """(rank, doc_id, score): the best ``top`` documents by BM25 over must and should terms.
+
+    As ``boolean_search``, on ``index.field_occurrences`` and ``index.field_totals``.
+    """
+    wanted = list(dict.fromkeys([*must, *should]))
+    if not wanted:
+        raise ValueError("give at least one must or should term")
+    hits = _field_terms(occurrences, field, [*wanted, *must_not], buckets)
+    per_term = hits.groupBy(doc_id, "term").agg(F.count(F.lit(1)).alias("tf"), F.max("doc_len").alias("doc_len"))
+    df, whole = _field_statistics(per_term, totals, field)
+    weighted = per_term.withColumn("w", bm25(F.col("tf"), F.element_at(df, F.col("term")), F.col("doc_len"), whole))
+    times = F.element_at(F.create_map(*[x for t in wanted for x in (F.lit(t), F.lit([*must, *should].count(t)))]), F.col("term"))
+    term = F.col("term")
+    per_doc = weighted.groupBy(doc_id).agg(
+        F.round(F.sum(F.when(term.isin(wanted), F.col("w") * times)), DECIMALS).alias("score"),
+        F.count_if(term.isin(list(must))).alias("has"),
+        F.count_if(term.isin(list(must_not))).alias("barred"),
+    )
+    kept = per_doc.where((F.col("has") == len(set(must))) & (F.col("barred") == 0) & F.col("score").isNotNull())
+    return top_ranked(kept.withColumn("query", F.lit(0)), top, doc_id).drop("query")
+
+
+def phrase_index(
+    occurrences: DataFrame,
+    totals: DataFrame,
+    phrase: str,
+    field: str = "content",
+    top: int = 10,
+    doc_id: str = "doc_id",
+    tokenizer: Tokenizer = X.words,
+    buckets: int = BUCKETS,
+) -> DataFrame:
+    """(rank, doc_id, phrase_freq, score): the best ``top`` documents with the words in this order.
+
+    Positions come from the index: each hit is moved back to the phrase's start, and a
+    start with as many hits as the phrase has words is one occurrence.
+    """
+    ((_, words),) = _parse(occurrences.sparkSession, [phrase], tokenizer)
+    if not words:
+        raise ValueError("the phrase holds no word")
+    hits = _field_terms(occurrences, field, list(dict.fromkeys(words)), buckets)
+    per_term = hits.groupBy(doc_id, "term").agg(F.count(F.lit(1)).alias("tf"))
+    df, whole = _field_statistics(per_term, totals, field)
+    places = F.filter(
+        F.transform(_string_array(words), lambda w, i: F.when(w == F.col("term"), i)), lambda i: i.isNotNull()
+    )
+    starts = hits.select(doc_id, "doc_len", F.explode(F.transform(places, lambda i: F.col("pos") - i)).alias("start"))
+    whole_phrase = starts.groupBy(doc_id, "start").agg(F.count(F.lit(1)).alias("hits"), F.max("doc_len").alias("doc_len"))
+    found = whole_phrase.where(F.col("hits") == len(words)).groupBy(doc_id)
+    found = found.agg(F.count(F.lit(1)).cast("int").alias("phrase_freq"), F.max("doc_len").alias("doc_len"))
+    idf = sum((bm25_idf(F.element_at(df, F.lit(w)), whole.n_docs) for w in words), F.lit(0.0))
+    score = F.round(idf * bm25_norm(F.col("phrase_freq"), F.col("doc_len"), whole), DECIMALS)
+    scored = found.withColumn("score", score).withColumn("query", F.lit(0))
+    order = Window.partitionBy("query").orderBy(F.desc("score"), F.col(doc_id))
+    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return ranked.select("rank", doc_id, "phrase_freq", "score")
+
+
+def search_field(
+    occurrences: DataFrame,
+    totals: DataFrame,
+    queries: Sequence[str] | DataFrame,
+    field: str = "content",
+    weight: str | Weight = "bm25",
+    top: int = 10,
+    doc_id: str = "doc_id",
+    tokenizer: Tokenizer = X.words,
+) -> DataFrame:
+    """(query, rank, doc_id, score) of query texts, or of a table of them, in one field."""
+    if isinstance(queries, DataFrame):
+        asked = query_table_terms(queries, tokenizer)
+    else:
+        asked = query_terms(occurrences.sparkSession, queries, tokenizer)
+    here = occurrences.where(F.col("field") == field).join(asked.select("term").distinct(), "term", "left_semi")
+    posts = here.groupBy("term", doc_id).agg(F.count(F.lit(1)).alias("tf"), F.max("doc_len").alias("doc_len"))
+    terms = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    whole = totals.where(F.col("field") == field).agg(F.struct(F.max("n_docs").alias("n"), F.max("total_len").alias("len"))).scalar()
+    return top_ranked(score_index(posts, terms, Totals(whole["n"], whole["len"]), asked, weight, doc_id), top, doc_id)
+
+
 def phrase_postings(
     positions: DataFrame, spark: SparkSession, phrase: str, doc_id: str = "doc_id",
     tokenizer: Tokenizer = X.words,
@@ -452,11 +602,10 @@ def with_documents(
 ) -> DataFrame:
     """Ranked rows with document columns; a missing document or value gives ``default``.
 
-    ``ranked`` holds at most ``top`` rows per query, so its ids are broadcast to
-    pick the few documents needed: the documents are never shuffled.
+    Spark picks the join by the size of ``ranked``, ``top`` rows per query: few are
+    broadcast, and then the documents are not shuffled.
     """
-    wanted = docs.join(F.broadcast(ranked.select(doc_id).distinct()), doc_id, "left_semi")
-    joined = ranked.join(wanted.select(doc_id, *columns), doc_id, "left")
+    joined = docs.select(doc_id, *columns).join(ranked, doc_id, "right")
     return joined.select(
         *ranked.columns, *[F.coalesce(F.col(c).cast("string"), F.lit(default)).alias(c) for c in columns]
     )

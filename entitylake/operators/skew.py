@@ -1,10 +1,10 @@
 """Equi-joins in which one key may hold a large share of the rows.
 
-A key is *hot* when it holds more than one row in ``SHARE`` of its side.  By that
-definition a side has fewer than ``SHARE`` hot keys, so their list is safe to
-broadcast whatever the data size.  Rows of hot keys are spread over many hash
-buckets; all other rows are joined as usual.  Adaptive skew handling remains the
-second line of defence.
+A key is *hot* when it holds more rows than one task should, ``SLICE_ROWS``; it is cut
+into as many slices as that takes, so no task has more whatever the size of the data.
+How many keys are hot grows with the data, so their counts are joined as Spark decides by
+size and never broadcast by a hint.  All other rows are joined as usual.  Adaptive skew
+handling remains the second line of defence.
 """
 
 from __future__ import annotations
@@ -14,30 +14,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SHARE = 256
-SLICES = 512  # slices a key with all rows would get; others in proportion
+SLICE_ROWS = 100_000
 LOOKUP_SLICES = 4096
-HOT_FROM = 100_000  # a key with fewer rows than this never needs slices
 
 
-def hot_keys(rows: DataFrame, key: str, name: str, hot_from: int = HOT_FROM) -> DataFrame:
+def hot_keys(rows: DataFrame, key: str, name: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """(<name>_key, <name>_slices) of the hot keys, null left out.
 
     Counting reads the key column only and is pre-aggregated before the shuffle.
-    ``hot_from`` keeps a small table, in which every key has a large share, from
-    having its partner copied.
     """
     counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
-    return counts.where((F.col("n") >= hot_from) & (F.col("n") * SHARE > total)).select(
-        F.col(key).alias(f"{name}_key"),
-        F.ceil(F.col("n") * SLICES / total).cast("int").alias(f"{name}_slices"),
+    return counts.where(F.col("n") > slice_rows).select(
+        F.col(key).alias(f"{name}_key"), F.ceil(F.col("n") / slice_rows).cast("int").alias(f"{name}_slices")
     )
 
 
 def _sliced(rows: DataFrame, key: str, hot: DataFrame, name: str, by: Sequence[str] | None, slice_name: str) -> DataFrame:
     """Add the slice number within the key: one chosen by a hash of ``by``, or all of them."""
-    marked = rows.join(F.broadcast(hot), F.col(key) == F.col(f"{name}_key"), "left")
+    marked = rows.join(hot, F.col(key) == F.col(f"{name}_key"), "left")
     slices = F.col(f"{name}_slices")
     number: Column
     if by is not None:
@@ -56,18 +50,17 @@ def join_skewed(
     right_key: str,
     spread_left_by: Sequence[str],
     spread_right_by: Sequence[str],
-    hot_from: int = HOT_FROM,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Inner join, many to many, with hot keys of either side cut into slices.
 
     The column names of both sides must differ; ``spread_..._by`` names columns
     that vary among the rows of one key.  A row of a hot key sits in one slice of
     its own side and is copied to all slices of the other side, so every pair
-    meets exactly once.  A key that is hot on one side only has less than 1/SHARE
-    of the rows of the other: all copies together are at most three times that side.
+    meets exactly once, and copies number at most the pairs over ``slice_rows``.
     """
-    hot_left = hot_keys(left, left_key, "_hot_left", hot_from)
-    hot_right = hot_keys(right, right_key, "_hot_right", hot_from)
+    hot_left = hot_keys(left, left_key, "_hot_left", slice_rows)
+    hot_right = hot_keys(right, right_key, "_hot_right", slice_rows)
     a = _sliced(left, left_key, hot_left, "_hot_left", spread_left_by, "_l1")
     a = _sliced(a, left_key, hot_right, "_hot_right", None, "_l2")
     b = _sliced(right, right_key, hot_left, "_hot_left", None, "_r1")
@@ -86,19 +79,20 @@ def lookup_skewed(
     key: str,
     value: str,
     n: str,
-    total: Column,
     spread_by: Sequence[str],
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """``rows`` with the ``value`` that ``per_key`` (one row per key) holds for their key.
 
-    ``per_key(key, value, n)`` has the number of rows per key and ``total`` is their
-    sum.  The values of hot keys are broadcast: those rows need no partner and are
-    spread evenly instead of meeting in one task.  Keys must not be null.
+    ``per_key(key, value, n)`` has the number of rows per key.  The few hot keys meet
+    their rows in a join of its own, broadcast by size or split by adaptive skew
+    handling; those rows are spread evenly in the join with all others.  Keys must not
+    be null.
     """
-    hot = per_key.where(F.col(n) * SHARE > total).select(
+    hot = per_key.where(F.col(n) > slice_rows).select(
         F.col(key).alias("_hot_key"), F.struct(value).alias("_hot_value")
     )
-    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left").withColumn(
+    marked = rows.join(hot, F.col(key) == F.col("_hot_key"), "left").withColumn(
         "_slice",
         F.when(
             F.col("_hot_key").isNotNull(), F.pmod(F.xxhash64(*spread_by), F.lit(LOOKUP_SLICES))

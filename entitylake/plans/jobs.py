@@ -1,7 +1,7 @@
 """The stages as jobs: each reads files or tables, writes its result and returns counts.
 
 A result is written once and counted while it is written, or from what was
-written; no stage computes its input twice.  Executors may be lost at any time:
+written.  Executors may be lost at any time:
 between stages the state is the written table, within one it is Spark's lineage.
 """
 
@@ -89,10 +89,13 @@ def join(
     entities: DataFrame,
     out: str,
     sample: str | None = None,
-    drop_empty_keys: bool = False,
+    drop_empty_keys: bool = True,
 ) -> DataFrame:
     """Link both tables, write Parquet and an optional JSON sample; returns the statistics row.
 
+    Both inputs are read several times, for the counts of their keys, the join and the
+    statistics: give written tables.  Names without any letter or digit share the empty
+    key and would all be linked with each other, so they are left out unless asked for.
     The statistics are computed from key counts, not from the joined rows.
     """
     joined = link.link(artists, entities, spread_left_by=["uuid"], spread_right_by=["id"], drop_empty_keys=drop_empty_keys)

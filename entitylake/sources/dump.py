@@ -19,7 +19,9 @@ PAGE_TYPE = "title STRING, revision ARRAY<STRUCT<text: STRING>>"
 # Used only where the page is not well-formed XML.
 LOOSE_TITLE = r"(?s)<title>(.*?)</title>"
 LOOSE_TEXT = r"(?s)<revision>.*?<text[^>]*>(.*?)(?:</text>|</page>|\z)"
-EMPTY_TEXT = r"<text[^>]*/>"
+# The first text of a page stands in its first revision; a self-closing one has none.
+NO_FIRST_TEXT = r"(?s)\A(?:(?!<text[\s>/]).)*+<text(?:\s[^>]*)?/>"
+REFERENCE = r"&#(?:[xX]([0-9a-fA-F]{1,6})|([0-9]{1,7}));"
 XML_ESCAPES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}
 
 
@@ -62,7 +64,7 @@ def _page(xml: Column) -> Column:
         text = F.coalesce(first, _unescape(X.first_match(xml, LOOSE_TEXT)))
         return record(
             title=F.coalesce(parsed["title"], _unescape(X.first_match(xml, LOOSE_TITLE))),
-            text=F.when(~xml.rlike(EMPTY_TEXT), text),
+            text=F.when(~xml.rlike(NO_FIRST_TEXT), text),
         )
 
     return let(strict, pick)
@@ -72,7 +74,42 @@ def _is_complete(page: Column) -> Column:
     return (F.coalesce(page["title"], F.lit("")) != "") & (F.coalesce(page["text"], F.lit("")) != "")
 
 
+def _character(reference: Column) -> Column:
+    """The character of a numeric reference; one that names none is kept as it is."""
+    code = F.coalesce(
+        F.conv(F.nullif(F.regexp_extract(reference, REFERENCE, 1), F.lit("")), 16, 10),
+        F.nullif(F.regexp_extract(reference, REFERENCE, 2), F.lit("")),
+    ).cast("int")
+    named = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+
+    def utf8(code: Column) -> Column:
+        tail = lambda shift: F.shiftright(code, shift).bitwiseAND(0x3F) + 0x80
+        head = lambda shift, mark: F.shiftright(code, shift) + mark
+        octets = (
+            F.when(code < 0x80, F.array(code))
+            .when(code < 0x800, F.array(head(6, 0xC0), tail(0)))
+            .when(code < 0x10000, F.array(head(12, 0xE0), tail(6), tail(0)))
+            .otherwise(F.array(head(18, 0xF0), tail(12), tail(6), tail(0)))
+        )
+        return F.decode(F.unhex(F.array_join(F.transform(octets, lambda o: F.lpad(F.hex(o), 2, "0")), "")), "UTF-8")
+
+    return F.when(named, utf8(code)).otherwise(reference)
+
+
+def _numeric(c: Column) -> Column:
+    """Numeric references decoded: the text between them and the references take turns."""
+
+    def decoded(text: Column) -> Column:
+        between = F.split(text, REFERENCE)
+        found = F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), 0), _character)
+        turns = F.transform(between, lambda part, i: F.concat(part, F.coalesce(F.get(found, i), F.lit(""))))
+        return F.when(F.contains(text, F.lit("&#")), F.array_join(turns, "")).otherwise(text)
+
+    return let(c, decoded)
+
+
 def _unescape(c: Column) -> Column:
+    c = _numeric(c)
     for escape, char in XML_ESCAPES.items():
         c = F.replace(c, F.lit(escape), F.lit(char))
     return c

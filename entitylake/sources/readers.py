@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from entitylake.schemas import ARTIST, ENTITY
 
@@ -18,8 +18,19 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_artists(spark: SparkSession, path: str) -> DataFrame:
-    """A folder of pretty-printed JSON files, one record each."""
-    return spark.read.schema(ARTIST).option("multiLine", True).json(path)
+    """JSON lines of artist records, as ``jobs.parse`` writes them; any number per file."""
+    return spark.read.schema(ARTIST).json(path)
+
+
+def read_artist_files(spark: SparkSession, path: str) -> DataFrame:
+    """A folder of pretty-printed JSON files, one record each.
+
+    A file that holds anything else than one record fails the job when it is read:
+    a second record would otherwise be lost without a word.
+    """
+    files = spark.read.text(path, wholetext=True)
+    one = F.from_json(F.concat(F.lit("["), F.col("value"), F.lit("]")), ArrayType(ARTIST), {"mode": "FAILFAST"})
+    return files.select(F.inline(one))
 
 
 def read_entities(spark: SparkSession, path: str) -> DataFrame:
@@ -59,13 +70,3 @@ def limited(df: DataFrame, n: int | None, order_by: list[str] | None = None) ->
     if n is None:
         return df
     return (df.orderBy(*order_by) if order_by else df).limit(n)
-
-
-def spread_by(df: DataFrame, *keys: str | Column) -> DataFrame:
-    """Use all cores when the scan has fewer partitions than there are cores.
-
-    A small file in one block would be processed by one task.  Large inputs have
-    more partitions than cores and stay as they are, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

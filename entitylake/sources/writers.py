@@ -11,12 +11,14 @@ from entitylake.operators.index import (
     BUCKETS,
     bucket_of,
     count_terms,
+    field_occurrences,
+    field_totals,
     postings_of,
     term_table,
     upsert_documents,
     upsert_stats,
 )
-from entitylake.sources.stage import staged
+from entitylake.sources.stage import release, staged
 
 
 def write_json_lines(df: DataFrame, path: str, parts: int | None = None, mode: str = "overwrite") -> None:
@@ -64,23 +66,48 @@ def write_index(docs: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     range bounds take a sample first) and document table are made from that, term
     statistics from the written postings.
     """
-    counted = staged(count_terms(docs))
+    counted = staged(count_terms(docs), owner=path)
     _write_tables(counted.drop("counts"), postings_of(counted), path, buckets)
+    release(docs.sparkSession, owner=path)
+
+
+def write_field_index(
+    docs: DataFrame, path: str, fields: list[str], exact_fields: list[str] = (), buckets: int = BUCKETS
+) -> None:
+    """An index with positions of several fields: occurrences by field and bucket of terms, and totals.
+
+    Laid out as in ``write_index``, with a folder per field above the buckets.
+    """
+    order = ["field", "bucket", "term", "doc_id", "pos"]
+    rows = field_occurrences(docs, fields, exact_fields).withColumn("bucket", bucket_of("term", buckets))
+    laid_out = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    laid_out.write.mode("overwrite").partitionBy("field", "bucket").parquet(f"{path}/occurrences")
+    stored = docs.sparkSession.read.parquet(f"{path}/occurrences")
+    field_totals(stored).write.mode("overwrite").parquet(f"{path}/totals")
+
+
+def read_field_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(occurrences, totals) as written by ``write_field_index``."""
+    return spark.read.parquet(f"{path}/occurrences"), spark.read.parquet(f"{path}/totals")
 
 
 def update_index(docs: DataFrame, old: str, path: str, buckets: int = BUCKETS) -> dict[str, int]:
     """The index below ``old`` with ``docs`` added or wholly replaced, written below ``path``.
 
-    Only the new documents' texts are read; postings of replaced documents are
-    dropped by id.  A new version without tokens is not indexed: the old one stays.
-    Returns the numbers of added and replaced documents and the total.
+    Only the new documents' texts are read; what is stored of replaced documents is
+    dropped by id.  A new version without tokens is not indexed, so its document goes.
+    Returns the numbers of documents added, replaced and removed, and the total.
     """
-    stored, posts, _ = read_index(docs.sparkSession, old)
-    counted = staged(count_terms(docs))
-    merged = upsert_documents(posts.drop("bucket"), postings_of(counted))
-    kept = upsert_documents(stored, counted.drop("counts"))
+    spark = docs.sparkSession
+    stored, posts, _ = read_index(spark, old)
+    ids = docs.select("doc_id").where("doc_id IS NOT NULL").distinct()
+    counted = staged(count_terms(docs), owner=path)
+    merged = upsert_documents(posts.drop("bucket"), postings_of(counted), ids)
+    kept = upsert_documents(stored, counted.drop("counts"), ids)
     _write_tables(kept, merged, path, buckets)
-    return upsert_stats(stored, counted).first().asDict()
+    counts = upsert_stats(stored, counted, ids).first().asDict()
+    release(spark, owner=path)
+    return counts
 
 
 def _write_tables(docs: DataFrame, posts: DataFrame, path: str, buckets: int) -> None:

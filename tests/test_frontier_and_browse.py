@@ -53,6 +53,15 @@ def test_missing_kinds(pages):
     }
 
 
+def test_entities_without_any_page_lack_all_kinds(spark, pages):
+    begun = spark.createDataFrame([("a",), ("z",)], "entity_id string")
+    odd = pages.union(spark.createDataFrame([("y", None, 1, "")], "entity_id string, kind string, page_no int, html string"))
+    got = {(r.entity_id, r.kind) for r in frontier.missing_kinds(odd, ids=begun).collect()}
+    everything = {"profile", "releases", "recordings", "relationships"}
+    assert {k for e, k in got if e == "z"} == everything == {k for e, k in got if e == "y"}
+    assert {r.kind: r.n for r in frontier.missing_counts(odd, ids=begun).collect()}["profile"] == 3
+
+
 def test_progress(pages):
     timed = pages.withColumn("ts", F.timestamp_seconds(F.col("page_no")))
     got = {r.entity_id: (r.releases_pages, r.recordings_pages, r.last_ts.second) for r in frontier.progress(timed).collect()}

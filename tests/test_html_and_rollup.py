@@ -178,10 +178,32 @@ def test_parse_job_and_artist_files(spark, store, tmp_path):
 
 def test_pretty_printed_files_are_read(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"uuid": "u", "name": "N", "releases": [{"title": "T"}]}, indent=4))
-    row = readers.read_artists(spark, str(tmp_path)).first()
+    (tmp_path / "b.json").write_text(json.dumps({"uuid": "v"}))
+    rows = {r.uuid: r for r in readers.read_artist_files(spark, str(tmp_path)).collect()}
+    assert set(rows) == {"u", "v"}
+    row = rows["u"]
     assert (row.uuid, row.releases[0].title, row.recordings) == ("u", "T", None)
 
 
+def test_two_records_in_one_file_are_not_lost_silently(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"uuid": "u"}\n{"uuid": "v"}')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        readers.read_artist_files(spark, str(tmp_path)).collect()
+
+
+def test_artist_lines_of_one_part_are_all_read(spark, tmp_path):
+    out = str(tmp_path / "artists")
+    spark.range(10).selectExpr("concat('u', id) AS uuid").coalesce(1).write.json(out)
+    assert {r.uuid for r in readers.read_artists(spark, out).collect()} == {f"u{k}" for k in range(10)}
+
+
+def test_parse_stats_count_entities_without_pages_or_kinds(spark):
+    pages = spark.createDataFrame([("a", "profile"), ("b", None)], "entity_id string, kind string")
+    assert html.parse_stats(pages).first().asDict() == {"total": 2, "parsed": 1, "skipped": 1}
+    ids = spark.createDataFrame([("a",), ("c",)], "entity_id string")
+    assert html.parse_stats(pages, ids=ids).first().asDict() == {"total": 3, "parsed": 1, "skipped": 2}
+
+
 def test_join_clean_and_index_jobs(spark, store, tmp_path):
     artists = jobs.artists_of(readers.read_page_store(spark, store), SITE)
     assert artists.schema.simpleString() == ARTIST.simpleString()

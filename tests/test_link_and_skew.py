@@ -41,26 +41,34 @@ def test_link_equals_the_plain_join_with_hot_keys(spark, sort_merge):
     a = [(r.a, k) for r, k in zip(left_rows, keys([r.name for r in left_rows]))]
     b = [(r.b, k) for r, k in zip(right_rows, keys([r.title for r in right_rows]))]
     expected = Counter((x, y) for x, k in a for y, m in b if k is not None and k == m)
-    got = Counter((r.a, r.b) for r in link.link(left, right, hot_from=1).collect())
+    got = Counter((r.a, r.b) for r in link.link(left, right, slice_rows=100).collect())
     assert got == expected and sum(got.values()) > 100_000
 
 
-def test_hot_keys_are_found_and_bounded(spark):
+def test_hot_keys_are_found_by_their_rows(spark):
     left, _ = sides(spark)
     keyed = link.with_name_key(left, "name", "k")
-    hot = {r.x_key: r.x_slices for r in skew.hot_keys(keyed, "k", "x", hot_from=900).collect()}
-    assert hot == {"": 171, "hot": 171}
-    many = spark.range(100_000).select((F.col("id") % 1000).cast("string").alias("k"))
-    assert skew.hot_keys(many, "k", "x", hot_from=1).count() == 0
-    assert skew.hot_keys(keyed, "k", "x").count() == 0  # too few rows to matter
+    hot = {r.x_key: r.x_slices for r in skew.hot_keys(keyed, "k", "x", slice_rows=300).collect()}
+    assert hot == {"": 4, "hot": 4}
+    assert skew.hot_keys(keyed, "k", "x").count() == 0  # one task can hold them
+
+
+def test_many_large_keys_are_sliced_though_none_has_a_large_share(spark, sort_merge, no_adaptive):
+    left = spark.range(90_000).select(F.col("id").alias("a"), F.concat(F.lit("key "), F.col("id") % 300).alias("name"))
+    right = spark.range(300).select(F.col("id").alias("b"), F.concat(F.lit("key "), F.col("id")).alias("title"))
+    assert {r.x_slices for r in skew.hot_keys(left, "name", "x", slice_rows=100).collect()} == {3}
+    joined = link.link(left, right, slice_rows=100)
+    assert joined.count() == 90_000
+    parts = rows_per_task(joined)
+    assert len(parts) == 8 and max(parts) < 1.5 * min(parts)
 
 
 def test_slices_are_join_keys(spark, sort_merge):
     left, right = sides(spark)
-    plan = plan_of(link.link(left, right, hot_from=1))
+    plan = plan_of(link.link(left, right, slice_rows=100))
     assert re.search(r"SortMergeJoin \[name_norm#\d+, _l1#\d+, _l2#\d+\]", plan)
     rows = left.select("a", "name", (F.col("a") % 5 == 0).alias("w"))
-    plan = plan_of(quality.dedupe_status(rows, "name", ["a"], F.col("w")))
+    plan = plan_of(quality.dedupe_status(rows, "name", ["a"], F.col("w"), slice_rows=100))
     assert re.search(r"SortMergeJoin \[_key#\d+, _slice#\d+L\]", plan)
     assert "Window" not in plan
 
@@ -79,10 +87,10 @@ def rows_per_task(df):
 
 def test_hot_rows_are_spread_evenly(spark, sort_merge, no_adaptive):
     left, right = sides(spark, 6000)
-    parts = rows_per_task(link.link(left, right.where("b < 9"), hot_from=1).where("name_norm = ''"))
+    parts = rows_per_task(link.link(left, right.where("b < 9"), slice_rows=4).where("name_norm = ''"))
     assert len(parts) == 8 and max(parts) < 2 * min(parts)
     rows = left.select("a", "name", (F.col("a") % 5 == 0).alias("w"))
-    parts = rows_per_task(quality.dedupe_status(rows, "name", ["a"], F.col("w")).where("name = '椎名'"))
+    parts = rows_per_task(quality.dedupe_status(rows, "name", ["a"], F.col("w"), slice_rows=100).where("name = '椎名'"))
     assert len(parts) == 8 and max(parts) < 2 * min(parts)
 
 

