@@ -127,10 +127,13 @@ def term_table(postings: DataFrame, n_docs: Column, by: list[str] = ("term",)) -
 
     ``n_docs`` is a scalar, e.g. ``lengths.agg(count(lit(1))).scalar()``.
     """
-    df = postings.groupBy(*by).agg(F.count(F.lit(1)).alias("df"))
+    return with_idf(postings.groupBy(*by).agg(F.count(F.lit(1)).alias("df")), n_docs)
+
+
+def with_idf(df: DataFrame, n_docs: Column) -> DataFrame:
+    """Document frequencies with both inverse document frequencies."""
     return df.select(
-        *by,
-        "df",
+        "*",
         F.log10(n_docs / F.col("df")).alias("idf_basic"),
         F.log10(1 + n_docs / (1 + F.col("df"))).alias("idf_smooth"),
     )

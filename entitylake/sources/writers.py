@@ -15,6 +15,7 @@ from entitylake.operators.index import (
     field_totals,
     postings_of,
     term_table,
+    with_idf,
     upsert_documents,
     upsert_stats,
 )
@@ -110,6 +111,51 @@ def update_index(docs: DataFrame, old: str, path: str, buckets: int = BUCKETS) -
     return counts
 
 
+def refresh_index(docs: DataFrame, path: str, buckets: int = BUCKETS) -> dict[str, int]:
+    """The index below ``path`` with ``docs`` added or wholly replaced, in place.
+
+    Only the bucket folders with a term that a changed document has or had are
+    rewritten; all others keep their files.  New rows of those folders are staged before
+    the first file is replaced, so a failed refresh can be repeated.  Returns the counts
+    of ``update_index`` and the number of folders rewritten.
+    """
+    spark = docs.sparkSession
+    stored, posts, terms = read_index(spark, path)
+    ids = docs.select("doc_id").where("doc_id IS NOT NULL").distinct()
+    counted = staged(count_terms(docs), owner=path)
+    coming = postings_of(counted).withColumn("bucket", bucket_of("term", buckets))
+    going = posts.join(ids, "doc_id", "left_semi").select("bucket").distinct()
+    touched = sorted(r["bucket"] for r in coming.select("bucket").distinct().union(going).distinct().collect())
+    counts = upsert_stats(stored, counted, ids).first().asDict() | {"folders": len(touched)}
+
+    here = F.col("bucket").isin(touched)
+    order = ["bucket", "term", "doc_id"]
+    fresh = upsert_documents(posts.where(here), coming.select(posts.columns), ids)
+    fresh = staged(fresh.repartitionByRange(*order).sortWithinPartitions(*order), owner=path)
+    kept = staged(upsert_documents(stored, counted.drop("counts"), ids), owner=path)
+    changed = fresh.select("term").union(posts.where(here).select("term")).distinct()
+    df = terms.select("term", "df").join(changed, "term", "left_anti").union(
+        fresh.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    )
+    n_docs = kept.agg(F.count(F.lit(1))).scalar()
+    renewed = staged(with_idf(df, n_docs), owner=path)
+
+    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/postings")
+    left = {r["bucket"] for r in fresh.select("bucket").distinct().collect()}
+    for bucket in touched:
+        if bucket not in left:  # nothing is written to a folder that lost all rows
+            _delete(spark, f"{path}/postings/bucket={bucket}")
+    kept.write.mode("overwrite").parquet(f"{path}/docs")
+    renewed.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    release(spark, owner=path)
+    return counts
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _write_tables(docs: DataFrame, posts: DataFrame, path: str, buckets: int) -> None:
     spark = docs.sparkSession
     order = ["bucket", "term", "doc_id"]

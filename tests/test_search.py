@@ -308,6 +308,32 @@ def test_fuzzy_candidates_hold_all_close_terms(spark):
         assert near <= pairs
 
 
+def test_refresh_rewrites_only_folders_with_changed_terms(spark, tmp_path):
+    def table(*rows):
+        return spark.createDataFrame(rows, "doc_id int, name string, text string")
+
+    path, rebuilt = str(tmp_path / "index"), str(tmp_path / "rebuilt")
+    old = [(k, "n", f"word{k} common{k % 3} other{k % 7}") for k in range(40)]
+    coming = [(3, "new", "fresh words"), (4, "gone", "- -"), (99, "added", "common1 unheard")]
+    writers.write_index(table(*old), path, buckets=64)
+
+    def files():
+        return {str(f): f.stat().st_mtime_ns for f in (tmp_path / "index" / "postings").glob("bucket=*/*.parquet")}
+
+    before = files()
+    counts = writers.refresh_index(table(*coming), path, buckets=64)
+    assert counts["added"] == 1 and counts["replaced"] == 1 and counts["removed"] == 1 and counts["total"] == 40
+    after = files()
+    folder = lambda f: f.split("bucket=")[1].split("/")[0]
+    kept = {folder(f) for f in before if f in after and before[f] == after[f]}
+    changed = {folder(f) for f in before} - kept
+    assert len(kept) > len(changed) > 0 and counts["folders"] >= len(changed)
+    writers.write_index(table(*[d for d in old if d[0] not in (3, 4)], coming[0], coming[2]), rebuilt, buckets=64)
+    for new, fresh in zip(writers.read_index(spark, path), writers.read_index(spark, rebuilt), strict=True):
+        columns = sorted(fresh.columns)
+        assert sorted(map(tuple, new.select(columns).collect())) == sorted(map(tuple, fresh.select(columns).collect()))
+
+
 def test_fields(spark):
     docs = spark.createDataFrame([("d1", "U2", None, "Group one")], "doc_id string, name string, area string, type string")
     rows = {(r.field, r.term, r.tf, r.doc_len) for r in index.field_postings(docs, ["name", "area"], ["type"]).collect()}
