@@ -3,7 +3,7 @@
 A line is its set of words.  Words are ordered by rarity in the whole corpus; two sets of
 a Jaccard similarity of at least the threshold share a word of their prefixes.  Equal
 sets meet first, by a signature.  For the others, prefix words are the join key, and
-length, position in the prefix and a bitmap of the words bound the overlap before words
+length, position in the prefix and a bitmap of parities bound the overlap before words
 are compared.  A line needs only one earlier match to go, so each line is verified
 against its few most promising earlier lines; only where these fail are all others tried.
 
@@ -185,8 +185,9 @@ def line_sets(docs: DataFrame, id_col: str, text: str, similarity: float, least_
             word = key & np.uint64((1 << HASH_BITS) - 1)
             sig = np.add.reduceat(mixed(word * np.uint64(FACTOR)), starts)
             bit, half = np.uint64(1) << (word & np.uint64(63)), (word >> np.uint64(6)) & np.uint64(1)
-            bits = np.bitwise_or.reduceat(bit * (np.uint64(1) - half), starts)
-            more_bits = np.bitwise_or.reduceat(bit * half, starts)
+            # parities: where two sets' bits differ, some word is in one of them only
+            bits = np.bitwise_xor.reduceat(bit * (np.uint64(1) - half), starts)
+            more_bits = np.bitwise_xor.reduceat(bit * half, starts)
             keep = n >= least_words
             starts, n, sig, bits, more_bits, at = starts[keep], n[keep], sig[keep], bits[keep], more_bits[keep], where[starts[keep]]
             length = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
@@ -401,9 +402,15 @@ def repeated_lines(docs: DataFrame, *, id_col: str, text: str, similarity: float
     earlier = (F.col("other_doc") < F.col("doc")) | ((F.col("other_doc") == F.col("doc")) & (F.col("other_line") < F.col("line")))
     total = F.col("n") + F.col("y_n")
     differ = F.bit_count(F.col("bits").bitwiseXOR(F.col("y_bits"))) + F.bit_count(F.col("more_bits").bitwiseXOR(F.col("y_more_bits")))
-    bound = F.least(F.floor((total - differ) / 2), F.least(F.col("n") - F.col("i"), F.col("y_n") - F.col("y_i")))
-    others = y.join(x, "token").where(earlier & (bound >= overlap(similarity, total)))
-    others = staged(others.select("doc", "line", "other_doc", "other_line", F.lit(False).alias("more")).distinct())
+    met = y.join(x, "token").where(earlier & (F.floor((total - differ) / 2) >= overlap(similarity, total)))
+    met = met.groupBy("doc", "line", "other_doc", "other_line").agg(
+        F.count("*").alias("shared"), *(F.min(c).alias(c) for c in ("n", "y_n", "i", "y_i"))
+    )
+    # of the prefix that ends first, words in both sets are in both prefixes
+    behind = lambda n: F.ceil(similarity * n - 1e-9) - 1
+    bound = F.least(F.col("n") - F.col("i"), F.col("y_n") - F.col("y_i"), F.col("shared") + F.greatest(behind(F.col("n")), behind(F.col("y_n"))))
+    others = met.where(bound >= overlap(similarity, total))
+    others = staged(others.select("doc", "line", "other_doc", "other_line", F.lit(False).alias("more")))
     return gone.union(verified(docs, id_col, text, others, similarity).where("same").select("doc", "line"))
 
 
