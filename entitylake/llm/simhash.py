@@ -200,5 +200,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     classes = known.where("id is not null").groupBy("fp").agg(F.min("id").alias("id"))
     found = components(near_links(classes, radius))
     named = classes.join(found, classes["id"] == found["node"], "left")
-    named = named.select("fp", F.coalesce("component", "id").alias("component_id"))
+    # written first: Spark then knows its size, and can split the rows of a fingerprint that many share
+    named = staged(named.select("fp", F.coalesce("component", "id").alias("component_id")))
     return known.join(named, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
