@@ -403,18 +403,21 @@ def fuzzy_candidates(terms: DataFrame, wanted: DataFrame, max_edits: int = MAX_E
         ])
 
     def of_term(term: Column) -> Column:
-        def places(n: Column, i: int) -> Column:
-            start, size = _cut(n, pieces, i), _cut(n, pieces, i + 1) - _cut(n, pieces, i)
-            shifts = F.transform(F.array(*[F.lit(s) for s in range(-max_edits, max_edits + 1)]), lambda s: start + s)
-            inside = F.filter(shifts, lambda at: (at >= 0) & (at + size <= F.length(term)))
-            return F.transform(inside, lambda at: F.struct(n.alias("n"), F.lit(i).alias("i"), F.substring(term, at + 1, size).alias("piece")))
-
-        lengths = F.filter(F.array(*[F.length(term) + d for d in range(-max_edits, max_edits + 1)]), lambda n: n > 0)
-        return F.array_distinct(F.flatten(F.transform(lengths, lambda n: F.concat(*[places(n, i) for i in range(pieces)]))))
+        """Only the places that the edits before and behind a piece allow: 19 for two edits."""
+        keys = []
+        for longer in range(-max_edits, max_edits + 1):
+            n = F.length(term) - longer
+            for i in range(pieces):
+                start, size = _cut(n, pieces, i), _cut(n, pieces, i + 1) - _cut(n, pieces, i)
+                for shift in range(max(-i, longer - (max_edits - i)), min(i, longer + max_edits - i) + 1):
+                    inside = (n > 0) & (start + shift >= 0) & (start + shift + size <= F.length(term))
+                    piece = F.when(inside, F.substring(term, start + shift + 1, size))
+                    keys.append(F.struct(n.alias("n"), F.lit(i).alias("i"), piece.alias("piece")))
+        return F.array(*keys)
 
     asked = wanted.select(F.col("term").alias("query_term")).distinct()
     left = asked.select("query_term", F.inline(of_word(F.col("query_term"))))
-    right = terms.select("term", "df", F.inline(of_term(F.col("term"))))
+    right = terms.select("term", "df", F.inline(of_term(F.col("term")))).where("piece IS NOT NULL")
     return right.join(left, ["n", "i", "piece"]).select("query_term", "term", "df").distinct()
 
 
