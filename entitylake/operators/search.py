@@ -385,13 +385,16 @@ def _cut(length: Column, pieces: int, i: int) -> Column:
     return F.floor(length * i / pieces).cast("int")
 
 
-def fuzzy_candidates(terms: DataFrame, wanted: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
+def fuzzy_candidates(
+    terms: DataFrame, wanted: DataFrame, max_edits: int = MAX_EDITS, lengths: Sequence[int] | None = None
+) -> DataFrame:
     """(query_term, term, df): pairs among which are all within ``max_edits`` edits.
 
     A word is cut into ``max_edits + 1`` pieces; so many edits leave one piece whole,
     moved by at most as many places.  Both sides give keys (length of the wanted word,
     number of the piece, piece): the wanted word its own pieces, a term what stands in
-    the places where a piece may be, for each length within reach.
+    the places where a piece may be, for each length within reach.  ``lengths`` are those
+    of the wanted words, where the caller knows them: terms far from all of them give no key.
     """
     pieces = max_edits + 1
 
@@ -405,18 +408,22 @@ def fuzzy_candidates(terms: DataFrame, wanted: DataFrame, max_edits: int = MAX_E
     def of_term(term: Column) -> Column:
         """Only the places that the edits before and behind a piece allow: 19 for two edits."""
         keys = []
+        known = (lambda n: n.isin(sorted(set(lengths)))) if lengths is not None else (lambda n: n > 0)
         for longer in range(-max_edits, max_edits + 1):
             n = F.length(term) - longer
             for i in range(pieces):
                 start, size = _cut(n, pieces, i), _cut(n, pieces, i + 1) - _cut(n, pieces, i)
                 for shift in range(max(-i, longer - (max_edits - i)), min(i, longer + max_edits - i) + 1):
-                    inside = (n > 0) & (start + shift >= 0) & (start + shift + size <= F.length(term))
+                    inside = known(n) & (start + shift >= 0) & (start + shift + size <= F.length(term))
                     piece = F.when(inside, F.substring(term, start + shift + 1, size))
                     keys.append(F.struct(n.alias("n"), F.lit(i).alias("i"), piece.alias("piece")))
         return F.array(*keys)
 
     asked = wanted.select(F.col("term").alias("query_term")).distinct()
     left = asked.select("query_term", F.inline(of_word(F.col("query_term"))))
+    if lengths is not None:
+        near = sorted({n + d for n in lengths for d in range(-max_edits, max_edits + 1)})
+        terms = terms.where(F.length("term").isin(near))
     right = terms.select("term", "df", F.inline(of_term(F.col("term")))).where("piece IS NOT NULL")
     return right.join(left, ["n", "i", "piece"]).select("query_term", "term", "df").distinct()
 
@@ -434,14 +441,16 @@ def fuzzy_terms(
     terms; the edit distance, which stops at the bound, decides.  A swap of neighbours
     counts as two edits.  ``boost`` falls with the edits relative to the shorter word.
     """
+    lengths = None
     if isinstance(queries, DataFrame):
         wanted = query_table_terms(queries, tokenizer)
     else:
         wanted = query_terms(terms.sparkSession, queries, tokenizer)
+        lengths = [len(t) for _, ts in _parse(terms.sparkSession, queries, tokenizer) for t in ts]
     edits = F.levenshtein("term", "query_term", max_edits)
     shorter = F.least(F.length("term"), F.length("query_term"))
     close = (
-        fuzzy_candidates(terms, wanted, max_edits)
+        fuzzy_candidates(terms, wanted, max_edits, lengths)
         .withColumn("edits", edits)
         .where("edits >= 0")
         .select("query_term", "term", "df", "edits", (1 - F.col("edits") / shorter).alias("boost"))

@@ -306,6 +306,8 @@ def test_fuzzy_candidates_hold_all_close_terms(spark):
             for r in wanted.select(F.col("term").alias("q")).join(terms.select(F.col("term").alias("t")), F.levenshtein("q", "t") <= edits).collect()
         }
         assert near <= pairs
+        few = {(r.query_term, r.term) for r in search.fuzzy_candidates(terms, wanted, edits, [len(t) for t in asked]).collect()}
+        assert few == pairs
 
 
 def test_refresh_rewrites_only_folders_with_changed_terms(spark, tmp_path):
