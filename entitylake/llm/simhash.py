@@ -31,21 +31,26 @@ LEAF_PAIRS = 16
 FRONTIER = 500_000
 
 
-def fingerprint(text: str | None, size: int) -> int:
-    """SimHash of a text: a bit is set where more than half of the shingles' hashes have it."""
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    """Hashes of the runs of ``size`` words; a text of fewer words is one, one without words none."""
     import xxhash
 
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= size:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     digest = xxhash.xxh64_intdigest
     spans = zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)
-    hashes = np.fromiter((digest(joined[s:e], SEED) for s, e in spans), np.uint64, len(words) - size + 1)
+    return np.fromiter((digest(joined[s:e], SEED) for s, e in spans), np.uint64, len(words) - size + 1)
+
+
+def fingerprint(text: str | None, size: int) -> int:
+    """SimHash of a text: a bit is set where more than half of the shingles' hashes have it."""
+    hashes = shingle_hashes(text, size)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65_536):
         part = hashes[at : at + 65_536]
