@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 from html import unescape
 
 import pandas as pd
@@ -30,8 +31,8 @@ LONGEST_BLOCK = 16
 HOSTS_HELD, FIRST_GROUPS = 2_000, 64
 #: Pages a text has to be the same on before it counts as part of the template.
 TEMPLATE_PAGES = 3
-#: Longest constant text kept to be compared.
-CONSTANT_LENGTH = 200
+#: Bytes of the hash by which whole constant texts are compared.
+HASH_BYTES = 16
 
 #: Fixed values of HTML: elements whose content is no markup, elements without content,
 #: elements that end a block, and those that belong to no article.
@@ -142,7 +143,7 @@ def parts(shape: str) -> list[str]:
     return found
 
 
-# A wrapper is {"pages": n, "items": [[shape, optional, [constant text or None], [characters]]]};
+# A wrapper is {"pages": n, "items": [[shape, optional, [hash of the constant text or None], [characters]]]};
 # an item that is not optional is on all its pages.
 
 
@@ -213,10 +214,14 @@ def align(a: dict, b: dict) -> dict:
     return {"pages": a["pages"] + b["pages"], "items": items}
 
 
+def hashed(text: str) -> str:
+    return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=HASH_BYTES).hexdigest()
+
+
 def page_items(nodes: list[Node], texts: list[str]) -> list[list]:
     def leaf(at: list[int]) -> tuple[str | None, int]:
         own = {texts[i].strip() for i in at}
-        return own.pop()[:CONSTANT_LENGTH] if len(own) == 1 else None, sum(len(texts[i]) for i in at)
+        return hashed(own.pop()) if len(own) == 1 else None, sum(len(texts[i]) for i in at)
 
     out = []
     for shape, leaves in nodes:

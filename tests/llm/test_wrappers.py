@@ -50,6 +50,13 @@ def test_template_texts_inside_the_article_go(spark):
     assert {r["text"] for r in wrappers.main_text(df).collect()} == {f"Own text {n}" for n in range(5)}
 
 
+def test_long_texts_that_differ_late_are_no_template(spark):
+    opening = "The company announced today that " * 10
+    rows = [(n, "http://h/", f"<article><h1>Title {n}</h1><p>{opening}{n} is next.</p></article>") for n in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["text"] for r in wrappers.main_text(df).collect()} == {f"Title {n}\n\n{opening}{n} is next." for n in range(4)}
+
+
 def test_odd_pages(spark):
     rows = [
         (1, "http://a/", None), (2, None, ""), (3, "no url", "plain text only"), (4, "http://b/", "<article><p>Cut off &am"), (None, "http://a/", "<p>x"),
