@@ -48,6 +48,7 @@ BOILERPLATE = frozenset(
     "navigation newsletter notice pagination popup promo promotion related reply replies search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 ARTICLE = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ARTICLE_NAMES = frozenset("article content entry main post story".split())
 
 TOKEN = re.compile(
@@ -280,15 +281,18 @@ def wanted(wrapper: dict) -> list[list[bool]]:
     Article elements decide where the wrapper has any; else the innermost element with
     most of the varying text does, with a preference for one named as content.  A block
     that is the same on all pages, and several of them, is the template's, unless nothing
-    in the article varies.
+    in the article varies.  Inside article elements only headings can be, as near copies
+    and articles of one series share passages.
     """
     items = wrapper["items"]
     above = paths([i[0] for i in items])
     constant = [c for i in items for c in i[2]]
     size = [n for i in items for n in i[3]]
     keep = [not outside(p) for p in above]
+    cut = [True] * len(above)
     if any(k and in_article(p) for k, p in zip(keep, above, strict=True)):
         keep = [k and in_article(p) for k, p in zip(keep, above, strict=True)]
+        cut = [any(e.split(".")[0] in HEADINGS for e in p) for p in above]
     else:
         mass: dict[tuple, int] = {}
         for p, n, k in zip(above, size, keep, strict=True):
@@ -303,7 +307,7 @@ def wanted(wrapper: dict) -> list[list[bool]]:
     fixed = [wrapper["pages"] >= TEMPLATE_PAGES and a and c is not None for a, c in zip(always, constant, strict=True)]
     block = block_numbers([i[0] for i in items])
     varied = {b for b, f in zip(block, fixed, strict=True) if not f}
-    fixed = [b not in varied for b in block]
+    fixed = [c and b not in varied for c, b in zip(cut, block, strict=True)]
     if any(k and not f for k, f in zip(keep, fixed, strict=True)):
         keep = [k and not f for k, f in zip(keep, fixed, strict=True)]
     out, at = [], 0

@@ -57,6 +57,13 @@ def test_long_texts_that_differ_late_are_no_template(spark):
     assert {r["text"] for r in wrappers.main_text(df).collect()} == {f"Title {n}\n\n{opening}{n} is next." for n in range(4)}
 
 
+@pytest.mark.parametrize("pages", [2, 3, 5])
+def test_passages_that_articles_share_stay(spark, pages):
+    article = "<article><p>First passage.</p><blockquote>Shared quote.</blockquote><p>Third.</p><ul><li>Own {n}</li></ul></article>"
+    df = spark.createDataFrame([(n, "http://h/", article.format(n=n)) for n in range(pages)], "page_id long, url string, html string")
+    assert {r["text"] for r in wrappers.main_text(df).collect()} == {f"First passage.\n\nShared quote.\n\nThird.\n\nOwn {n}" for n in range(pages)}
+
+
 def test_odd_pages(spark):
     rows = [
         (1, "http://a/", None), (2, None, ""), (3, "no url", "plain text only"), (4, "http://b/", "<article><p>Cut off &am"), (None, "http://a/", "<p>x"),
