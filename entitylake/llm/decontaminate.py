@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entitylake.llm.common import Hashes, column, map_batches, widened, worker_state
+from entitylake.llm.common import Hashes, column, lean, map_batches, widened, worker_state
 
 #: Words of a shingle, the least similarity, and the differing bits within which
 #: fingerprints are looked up: at a similarity of 0.8 about 10 of 64 bits are expected to
@@ -76,12 +76,18 @@ class Index:
     seen: np.ndarray
     similarity: float
     radius: int
+    common: np.ndarray
+    common_weights: np.ndarray
 
     def weight(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The weight of each shingle and its place among the known ones, or -1."""
         at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
         hit = self.known[at] == h
-        return np.where(hit, self.weights[at], self.unknown_weight), np.where(hit, at, -1)
+        other = np.full(len(h), self.unknown_weight)
+        if len(self.common):
+            place = np.minimum(np.searchsorted(self.common, h), len(self.common) - 1)
+            other = np.where(self.common[place] == h, self.common_weights[place], other)
+        return np.where(hit, self.weights[at], other), np.where(hit, at, -1)
 
     def matches(self, text: str | None, hashes: Hashes) -> list[dict]:
         """The best window of the text for each item that it contains."""
@@ -125,13 +131,20 @@ class Index:
         self.mass = [sum(c * known[s] for s, c in item.items()) for item in self.shingle_sets]
 
 
-def index(items: list[tuple], similarity: float, radius: int) -> Index:
-    """Items (id, text) with words, as an index."""
+def index(items: list[tuple], similarity: float, radius: int, total: int, common: np.ndarray, counts: np.ndarray) -> Index:
+    """Items (id, text) with words, as an index.
+
+    Weights are those of all ``total`` items: shingles of several items come sorted, with
+    their ``counts``; any other is in one item.
+    """
     hashes = Hashes()
     kept = [(i, w) for i, text in items if len(w := words(text, hashes))]
     prepared = [(i, len(w), shingles(w, min(WORDS, len(w)))) for i, w in kept]
-    known, df = np.unique(np.concatenate([np.unique(h) for _, _, h in prepared]), return_counts=True) if prepared else (np.zeros(0, np.uint64), np.zeros(0))
-    weights = np.log1p(len(prepared) / np.maximum(df, 1))
+    known = np.unique(np.concatenate([h for _, _, h in prepared])) if prepared else np.zeros(0, np.uint64)
+    df = np.ones(len(known))
+    _, at, place = np.intersect1d(known, common, assume_unique=True, return_indices=True)
+    df[at] = counts[place]
+    weights = np.log1p(total / df)
     sizes_of: dict[int, set[int]] = {}
     lookup: dict[tuple[int, int, int], list[int]] = {}
     prints, sets = [], []
@@ -147,16 +160,41 @@ def index(items: list[tuple], similarity: float, radius: int) -> Index:
     seen = np.zeros(1 << max(16, (8 * len(known)).bit_length()), bool)
     seen[(known & np.uint64(len(seen) - 1)).astype(np.int64)] = True
     return Index(
-        [i for i, _, _ in prepared], [s for _, s, _ in prepared], sets, prints, known, weights, float(np.log1p(max(1, len(prepared)))),
-        [tuple(sorted(sizes_of[s])) for s in known.tolist()], lookup, sorted({min(WORDS, s) for _, s, _ in prepared}), seen, similarity, radius,
+        [i for i, _, _ in prepared], [s for _, s, _ in prepared], sets, prints, known, weights, float(np.log1p(max(1, total))),
+        [tuple(sorted(sizes_of[s])) for s in known.tolist()], lookup, sorted({min(WORDS, s) for _, s, _ in prepared}), seen, similarity, radius, common, np.log1p(total / counts),
     )
 
 
+def usable(benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    return benchmark.select(item_id, item_text).where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).distinct()
+
+
+def shared_shingles(benchmark: DataFrame, item_id: str, item_text: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """The number of items with words, and the shingles of several items with how many have them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for batch in batches:
+            own = [w for t in column(batch, item_text) if len(w := words(t, hashes))]
+            found = [np.unique(shingles(w, min(WORDS, len(w)))) for w in own]
+            h = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
+            # a row without a shingle for each item counts the items
+            h = pa.concat_arrays([pa.array(h, pa.int64()), pa.nulls(len(own), pa.int64())])
+            yield pa.RecordBatch.from_arrays([h], names=["h"])
+
+    rows = usable(benchmark, item_id, item_text).mapInArrow(lean(run), "h long").groupBy("h").agg(F.count("*").alias("n"))
+    found = rows.where("h is null or n > 1").toArrow()
+    h, n = found.column("h"), found.column("n").to_numpy()
+    null = h.is_null().to_numpy()
+    common = h.fill_null(0).to_numpy()[~null].view(np.uint64)
+    order = np.argsort(common)
+    return int(n[null].sum()), common[order], n[~null][order]
+
+
 def item_blocks(benchmark: DataFrame, item_id: str, item_text: str, size: int) -> Iterator[list[tuple]]:
     """Items in blocks of ``size``: the driver holds one at a time."""
     block: list[tuple] = []
-    usable = benchmark.select(item_id, item_text).where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).distinct()
-    for row in usable.orderBy(item_id, item_text).toLocalIterator():
+    for row in usable(benchmark, item_id, item_text).orderBy(item_id, item_text).toLocalIterator():
         block.append((row[0], row[1]))
         if len(block) == size:
             yield block
@@ -180,7 +218,7 @@ def with_matches(
 
     A window has as many words (runs of word characters in lower case) as the item and
     matches where the weighted Jaccard similarity of their shingles is at least
-    ``similarity``; a shingle weighs ln(1 + items / items with it).  An item or text of
+    ``similarity``; a shingle weighs ln(1 + items / items with it), over all items.  An item or text of
     fewer words than a shingle is one shingle, one without words matches nothing.  Items
     come in blocks that are broadcast, ``block_items`` at a time.  Null texts match
     nothing; all rows and columns stay, a column ``matches`` is replaced.
@@ -190,13 +228,14 @@ def with_matches(
     context, columns = docs.sparkSession.sparkContext, list(docs.columns)
     found = docs
     names = []
+    weighed = context.broadcast(shared_shingles(benchmark, item_id, item_text))
     for number, items in enumerate(item_blocks(benchmark, item_id, item_text, block_items)):
         sent = context.broadcast(items)
         names.append(f"_matches_{number}")
         key = f"items_{context.applicationId}_{sent._jbroadcast.id()}"
 
         def search(batch: pa.RecordBatch, sent=sent, name=names[-1], key=key) -> pa.RecordBatch:
-            items, hashes = worker_state(key, lambda: (index(sent.value, similarity, radius), Hashes()))
+            items, hashes = worker_state(key, lambda: (index(sent.value, similarity, radius, *weighed.value), Hashes()))
             found = []
             for value in column(batch, text):
                 own = items.matches(value, hashes) if len(items.known) else []

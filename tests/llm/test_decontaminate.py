@@ -74,6 +74,17 @@ def test_equals_brute_force(spark):
     same(result(decontaminate.contaminated(docs, bench)), expected)
 
 
+def test_similarity_does_not_depend_on_blocks(spark):
+    documents, items = changed(1)
+    items = [(i, f"{t} as all items of this table say") for i, t in items]
+    documents += [(1_000 + i, f"{t} but not here") for i, t in items]
+    docs = spark.createDataFrame(documents, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    expected = brute(documents, items)
+    assert any(v < 1 for v in expected.values())
+    same(result(decontaminate.contaminated(docs, bench, block_items=7)), expected)
+
+
 def test_blocks_of_items(spark):
     documents, items = changed(1)
     docs = spark.createDataFrame(documents, "doc_id long, text string")
