@@ -8,7 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entitylake.llm import decontaminate, licenses, lines, packing, quality, simhash, tokens, topk, toxicity, wrappers
+from entitylake.llm import (
+    decontaminate,
+    licenses,
+    lines,
+    merkle,
+    oracles,
+    packing,
+    passages,
+    quality,
+    simhash,
+    tokens,
+    topk,
+    toxicity,
+    whitening,
+    wrappers,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +104,28 @@ def op7_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op8_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf, "documents"))
+
+
+@query
+def op11_embedding_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf, "embeddings"))
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    proven = merkle.document_manifest(table(spark, sf, "documents"))
+    proof = F.sha2(merkle.proof_text(F.col("path")), 256).alias("proof_sha256")
+    return proven.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", "verified")
+
+
+ORACLES["op12_merkle_manifest"] = oracles.merkle_sql()
+
+
+@query
+def op13_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = passages.without_repeated_passages(table(spark, sf, "documents").select("doc_id", "text"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, span: n + span["length"]).alias("n_removed")
+    return found.select("doc_id", "n_words", gone, F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op13_substring_dedup"] = oracles.PASSAGES
