@@ -11,13 +11,14 @@
 5. Each block removes the words of its ranges.
 
 Hashes only route; words decide.  The texts are shuffled once, for all three readings of
-the blocks.  An anchor that many blocks have is replaced by the hashes of its windows, each
+the blocks.  An anchor that many documents have is replaced by the hashes of its windows, each
 of which a block sends once, so no group grows with the occurrences of a passage.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import ahocorasick
@@ -26,15 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from entitylake.llm.common import lean, widened
+from entitylake.llm.common import lean, ragged, widened
 
 WINDOW = 13
 #: Words of an anchor.
 GRAM = 4
 #: Bytes of text of a block, on average.
 BLOCK_BYTES = 2_000_000
-#: Blocks from which an anchor is split into its windows.
-HOT_BLOCKS = 64
+#: Documents of an anchor from which it is split into its windows.
+HOT_DOCS = 200
 #: Rows of passages for which a shard compiles one automaton.
 SHARD_ROWS = 20_000
 #: Words that are hashed at once, and bytes.
@@ -145,7 +146,7 @@ def signed(h: np.ndarray) -> np.ndarray:
 
 
 def block_anchors(table: pa.Table, named: Named, window: int, gram: int) -> pa.Table:
-    """``key, block, several``: the different anchors of a block, and whether several of its documents have them."""
+    """``key, block, docs``: the different anchors of a block, and how many of its documents have them."""
     block = named.number(table)
     table, words = named.read(table)
     _, at, grams = words.anchors(window, gram)
@@ -156,11 +157,11 @@ def block_anchors(table: pa.Table, named: Named, window: int, gram: int) -> pa.T
     keys, docs = grams[at], ids.fill_null(0).to_numpy()[words.doc[at]]
     order = np.lexsort((docs, keys))
     keys, docs = keys[order], docs[order]
-    first = np.flatnonzero(np.diff(keys, prepend=keys[:1] ^ np.uint64(1)) != 0) if len(keys) else np.empty(0, np.int64)
-    last = np.append(first[1:], len(keys)) - 1 if len(keys) else first
-    return pa.table({
-        "key": signed(keys[first]), "block": np.full(len(first), block, np.int64), "several": docs[first] != docs[last]
-    })
+    new_key = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+    new = new_key | np.append(True, docs[1:] != docs[:-1])[: len(keys)]
+    first = np.flatnonzero(new_key)
+    count = np.add.reduceat(new.astype(np.int64), first) if len(first) else np.empty(0, np.int64)
+    return pa.table({"key": signed(keys[first]), "block": np.full(len(first), block, np.int64), "docs": count})
 
 
 PASSAGES = "key long, first long, block long, passage binary, starts array<int>, docs array<long>"
@@ -208,7 +209,7 @@ def block_passages(table: pa.Table, confirmed: pa.Table, named: Named, window: i
 
 
 class Shard:
-    """Passages that arrive by key and first document, located window by window.
+    """Passages that arrive by key and first document, located by automata over word numbers.
 
     Only the windows of the last key are kept from one batch to the next.
     """
@@ -218,85 +219,100 @@ class Shard:
         self.key: int | None = None
         self.firsts: dict[bytes, int] = {}  # windows of ``key`` and the first document that has them
 
-    def locate(self, keys: list[int], texts: list[bytes], firsts: list[int], docs: list[list[int]]) -> list[tuple[int, list[int], list[int]]]:
-        """(row, windows, first document of each): the windows that some document of the row has not first."""
-        size = self.window
+    def windows(self, words: Sequence) -> Iterator:
+        return (words[i : i + self.window] for i in range(len(words) - self.window + 1))
+
+    def locate(self, keys: list[int], texts: list[bytes], firsts: list[int], several: list[bool]) -> list[list[tuple[int, int, int]]]:
+        """For each different text, in order of appearance, spans of words (low, high) and the first document that has them.
+
+        Rows come by key and first document, so the first row of a text or window has it first.
+        """
         numbers: dict[bytes, int] = {}
-        passages = [tuple([numbers.setdefault(w, len(numbers)) for w in t.split(b" ")]) for t in texts]
+        words = [tuple([numbers.setdefault(w, len(numbers)) for w in t.split(b" ")]) for t in texts]
+        crowded = {k for k, n in Counter(keys).items() if n > 1} | {self.key}
         first: dict[tuple[int, ...], int] = {}
-        if self.key is not None and self.key == keys[0]:
+        if self.key == keys[0]:
             for window, doc in self.firsts.items():
                 first[tuple([numbers.setdefault(w, len(numbers)) for w in window.split(b" ")])] = doc
-        # confirm: rows come by their first document, so the row that brings a window has it first
+        # confirm: a passage that stands alone recurs as a whole, others may share windows
         confirmed: dict[tuple[int, ...], int] = {}
-        for words, doc, all_docs in zip(passages, firsts, docs):
-            alone = len(all_docs) == 1 or max(all_docs) == doc
-            for i in range(len(words) - size + 1):
-                window = words[i : i + size]
+        for key, passage, doc, shared in zip(keys, words, firsts, several):
+            if key not in crowded:
+                if shared:
+                    confirmed[passage] = doc
+                continue
+            for window in self.windows(passage):
                 earliest = first.setdefault(window, doc)
-                if earliest != doc or not alone:
+                if earliest != doc or shared:
                     confirmed[window] = earliest
-        found = []
+        found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
         if confirmed:
             automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-            for window, doc in confirmed.items():
-                automaton.add_word(window, doc)
+            for phrase, doc in confirmed.items():
+                automaton.add_word(phrase, (len(phrase), doc))
             automaton.make_automaton()
-            for row, words in enumerate(passages):
-                hits = list(automaton.iter(words))
-                if hits:
-                    found.append((row, [end - size + 1 for end, _ in hits], [doc for _, doc in hits]))
+            for spans, passage, key, shared in zip(found, words, keys, several):
+                if not shared and key not in crowded:
+                    continue
+                for end, (size, doc) in automaton.iter(passage):
+                    low = end - size + 1
+                    if spans and spans[-1][2] == doc and low <= spans[-1][1]:
+                        low = spans.pop()[0]
+                    spans.append((low, end + 1, doc))
         self.carry(keys, texts, firsts)
         return found
 
     def carry(self, keys: list[int], texts: list[bytes], firsts: list[int]) -> None:
         if keys[-1] != self.key:
             self.key, self.firsts = keys[-1], {}
-        row = len(keys) - 1
-        while row > 0 and keys[row - 1] == keys[-1]:
-            row -= 1
-        for text, doc in zip(texts[row:], firsts[row:]):
-            words = text.split(b" ")
-            for i in range(len(words) - self.window + 1):
-                self.firsts.setdefault(b" ".join(words[i : i + self.window]), doc)
+        at = len(keys) - 1
+        while at > 0 and keys[at - 1] == keys[-1]:
+            at -= 1
+        for text, doc in zip(texts[at:], firsts[at:]):
+            for window in self.windows(text.split(b" ")):
+                self.firsts.setdefault(b" ".join(window), doc)
 
 
 def shard_ranges(batches: Iterator[pa.RecordBatch], window: int, rows: int) -> Iterator[pa.RecordBatch]:
     """``block, low, high``: ranges of a block's words that an earlier document has."""
     shard = Shard(window)
-    held: list[pa.RecordBatch] = []
 
-    def ranges() -> pa.RecordBatch:
-        table = pa.Table.from_batches(held)
-        keys, texts, firsts, blocks, starts, docs = (table.column(c).to_pylist() for c in ("key", "passage", "first", "block", "starts", "docs"))
-        out: tuple[list[int], list[int], list[int]] = ([], [], [])
-        for row, windows, earliest in shard.locate(keys, texts, firsts, docs):
-            for start, doc in zip(starts[row], docs[row]):
-                low = high = -1
-                for at, first in zip(windows, earliest):
-                    if first >= doc:
-                        continue
-                    if start + at > high:
-                        if high > 0:
-                            out[0].append(blocks[row]), out[1].append(low), out[2].append(high)
-                        low = start + at
-                    high = start + at + window
-                if high > 0:
-                    out[0].append(blocks[row]), out[1].append(low), out[2].append(high)
+    def ranges(table: pa.Table) -> pa.RecordBatch:
+        keys, texts, firsts = (table.column(c).to_pylist() for c in ("key", "passage", "first"))
+        starts, docs = (table.column(c).combine_chunks() for c in ("starts", "docs"))
+        places = np.diff(starts.offsets.to_numpy())
+        # each different text is located once; ``text_of`` has its number for each row
+        numbers: dict[bytes, int] = {}
+        text_of = np.array([numbers.setdefault(t, len(numbers)) for t in texts])
+        _, own = np.unique(text_of, return_index=True)
+        several = np.bincount(text_of, places) > 1
+        spans = shard.locate([keys[r] for r in own], list(numbers), [firsts[r] for r in own], several.tolist())
+        flat = np.array([s for of_text in spans for s in of_text], np.int64).reshape(-1, 3)
+        counts = np.array([len(of_text) for of_text in spans])
+        # every place of a text meets every span of it
+        row = np.repeat(np.arange(len(texts)), places)
+        met = counts[text_of[row]]
+        span = ragged((np.cumsum(counts) - counts)[text_of[row]], met)
+        place = np.repeat(np.arange(len(row)), met)
+        low, high, earliest = flat[span].T
+        later = earliest < docs.flatten().to_numpy()[place]
+        start = starts.flatten().to_numpy()[place]
+        block = table.column("block").to_numpy()[row[place]]
         return pa.RecordBatch.from_pydict({
-            "block": pa.array(out[0], pa.int64()), "low": pa.array(out[1], pa.int32()), "high": pa.array(out[2], pa.int32())
+            "block": block[later], "low": (start + low)[later].astype(np.int32), "high": (start + high)[later].astype(np.int32)
         })
 
+    held: list[pa.RecordBatch] = []
     count = 0
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             held.append(batch.slice(at, rows))
             count += held[-1].num_rows
             if count >= rows:
-                yield ranges()
+                yield ranges(pa.Table.from_batches(held))
                 held, count = [], 0
-    if held and count:
-        yield ranges()
+    if count:
+        yield ranges(pa.Table.from_batches(held))
 
 
 SPAN = pa.struct([pa.field("start", pa.int64()), pa.field("length", pa.int64())])
@@ -363,7 +379,7 @@ def without_repeated_passages(
     n_words: str = "n_words",
     removed: str = "removed",
     block_bytes: int = BLOCK_BYTES,
-    hot_blocks: int = HOT_BLOCKS,
+    hot_docs: int = HOT_DOCS,
     shard_rows: int = SHARD_ROWS,
 ) -> DataFrame:
     """``docs`` with the words left (joined by blanks), the number of words and the removed spans of words.
@@ -384,11 +400,11 @@ def without_repeated_passages(
     blocks = blocks_of(docs.select(*fields, *{id_col, text}.difference(fields)), named, block_bytes)
     # all three readings have the same columns, so that Spark shuffles the texts once
     anchors = blocks.groupBy(named.block).applyInArrow(
-        lambda table: block_anchors(table, named, window, gram), "key long, block long, several boolean"
+        lambda table: block_anchors(table, named, window, gram), "key long, block long, docs long"
     )
     key = Window.partitionBy("key")
-    shared = anchors.withColumns({"blocks": F.count("*").over(key), "several": F.max("several").over(key)})
-    shared = shared.where("blocks > 1 or several").select("key", "block", (F.col("blocks") >= hot_blocks).alias("hot"))
+    shared = anchors.withColumn("docs", F.sum("docs").over(key)).where("docs > 1")
+    shared = shared.select("key", "block", (F.col("docs") >= hot_docs).alias("hot"))
     passages = (
         blocks.groupBy(named.block)
         .cogroup(shared.groupBy("block"))
