@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindings import query, table
+from bindings import ORACLES, query, table
 from bindings import sqltext as S
 from bindings.derived import documents, records
 from bindings.records import DOCUMENT_SQL
 from entitylake.functions import text as X
-from entitylake.operators import evaluate, index, search
+from entitylake.operators import blocks, evaluate, index, search
 from entitylake.operators.documents import build_field_documents
-from entitylake.sources.stage import staged
+from entitylake.sources import segments, writers
+from entitylake.sources.stage import fresh_folder, staged
 
 QUERIES = ("the and that", "les des pour les", "der die und", "thereat other ertion", "nowhere zzz", "los las para")
 FUZZY = ("therat", "mentoi")
@@ -149,6 +150,15 @@ def index_upsert_stats(spark, sf):
     return index.upsert_stats(index.doc_lengths(old), index.doc_lengths(coming), coming.select("doc_id"))
 
 
+@query("index_refresh", ORACLES["index_upsert"])
+def index_refresh(spark, sf):
+    """Postings of a stored index after its refresh by a segment."""
+    path = fresh_folder(spark)
+    for docs in _versions(spark, sf):
+        segments.refresh(docs, path, buckets=8)
+    return segments.read(spark, path)[1].drop("bucket")
+
+
 # --- ranked retrieval -----------------------------------------------------------
 
 
@@ -368,7 +378,7 @@ TRUTH_SQL = ", ".join(
     f"('{q}', {repr(name) if name else 'NULL'})" for q, names in TRUTH.items() for name in (names or (None,))
 )
 PART_TEXT_SQL = "parts AS (SELECT p_partkey AS doc_id, p_name || ' ' || p_brand || ' ' || p_type AS text FROM part)"
-JUDGED_SQL = f"""{PART_TEXT_SQL}, truth AS (SELECT * FROM (VALUES {TRUTH_SQL}) AS v(query, relevant)),
+NAMES_SQL = f"""{PART_TEXT_SQL}, truth AS (SELECT * FROM (VALUES {TRUTH_SQL}) AS v(query, relevant)),
 smooth AS (WITH {ranked_sql('tfidf_smooth', S.tokens, TRUTH, 1, source='parts')} SELECT * FROM ranked),
 okapi AS (WITH {ranked_sql('bm25', S.words, TRUTH, 1, source='parts')} SELECT * FROM ranked),
 firsts AS (SELECT method, query, p_name AS first_result FROM (
@@ -379,7 +389,7 @@ judged AS (SELECT m.method, q.query, f.first_result, q.total_relevant,
     (VALUES ('smooth'), ('bm25')) AS m(method) LEFT JOIN firsts f ON f.method = m.method AND f.query = q.query)"""
 
 
-def judged(spark, sf) -> DataFrame:
+def judged_names(spark, sf) -> DataFrame:
     parts = table(spark, sf, "part").select(
         F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("name"),
         F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("text"),
@@ -396,9 +406,82 @@ def judged(spark, sf) -> DataFrame:
     return evaluate.top1({"smooth": run("tfidf_smooth", X.tokens), "bm25": run("bm25", X.words)}, truth)
 
 
-@query("eval_top1", f"WITH {JUDGED_SQL} SELECT * FROM judged")
+@query("eval_names_top1", f"WITH {NAMES_SQL} SELECT * FROM judged")
+def eval_names_top1(spark, sf):
+    return judged_names(spark, sf)
+
+
+@query(
+    "eval_names_summary",
+    f"""WITH {NAMES_SQL} SELECT method, round(avg(correct::INT), 6) AS accuracy, count(*) FILTER (correct) AS correct_count,
+  count(*) AS total_queries, round(avg(correct::INT), 6) AS avg_precision, round(avg(correct::INT), 6) AS avg_recall
+FROM judged GROUP BY 1""",
+)
+def eval_names_summary(spark, sf):
+    return evaluate.summary(judged_names(spark, sf))
+
+
+@query(
+    "eval_names_compare",
+    f"""WITH {NAMES_SQL}, a AS (SELECT avg(correct::INT) FILTER (method = 'smooth') AS b,
+    avg(correct::INT) FILTER (method = 'bm25') AS o FROM judged)
+SELECT round(b, 6) AS base_accuracy, round(o, 6) AS other_accuracy,
+  CASE WHEN o > b THEN 'bm25' WHEN b > o THEN 'smooth' ELSE 'tie' END AS winner,
+  round(CASE WHEN b > 0 THEN (o - b) / b * 100 ELSE 0 END, 6) AS improvement FROM a""",
+)
+def eval_names_compare(spark, sf):
+    return evaluate.compare(judged_names(spark, sf), "smooth", "bm25")
+
+
+# --- evaluation: passages looked up in the documents that hold them -----------------
+
+METHODS = {"smooth": ("tfidf_smooth", X.tokens, S.tokens), "bm25": ("bm25", X.words, S.words)}
+
+
+def _firsts_sql(method: str) -> str:
+    weight, _, tokens = METHODS[method]
+    return f"""(WITH {collection_sql(tokens)}, asked AS (SELECT query, term, count(*) AS qtf
+  FROM (SELECT query, unnest({tokens('query')}) AS term FROM passages) GROUP BY 1, 2),
+scores AS (SELECT query, doc_id, round(sum(qtf * {WEIGHT_SQL[weight]}), 6) AS score
+  FROM asked JOIN tf USING (term) JOIN df USING (term) JOIN lens USING (doc_id), n GROUP BY 1, 2)
+SELECT '{method}' AS method, query, doc_id::VARCHAR AS first_result FROM scores
+QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) = 1)"""
+
+
+def _padded(c: str) -> str:
+    return f"' ' || array_to_string({S.words(c)}, ' ') || ' '"
+
+
+JUDGED_SQL = f"""passages AS MATERIALIZED (SELECT DISTINCT text AS query FROM benchmark WHERE text IS NOT NULL),
+truth AS (SELECT query, doc_id::VARCHAR AS relevant FROM (SELECT query, {_padded('query')} AS phrase FROM passages)
+  LEFT JOIN (SELECT doc_id, {_padded('text')} AS padded FROM documents) ON trim(phrase) <> '' AND contains(padded, phrase)),
+firsts AS ({' UNION ALL '.join(map(_firsts_sql, METHODS))}),
+judged AS (SELECT m.method, q.query, f.first_result, q.total_relevant,
+    coalesce(EXISTS (SELECT 1 FROM truth t WHERE t.query = q.query AND t.relevant = f.first_result), false) AS correct
+  FROM (SELECT query, count(relevant) AS total_relevant FROM truth GROUP BY 1) q,
+    (VALUES ('smooth'), ('bm25')) AS m(method) LEFT JOIN firsts f ON f.method = m.method AND f.query = q.query)"""
+
+
+def judged(spark, sf) -> DataFrame:
+    """Each benchmark passage as a query of both methods; documents that hold it are relevant."""
+    docs = documents(spark, sf, "text")
+    passages = table(spark, sf, "benchmark").select(F.col("text").alias("query"))
+
+    def run(weight, tokenizer):
+        asked = search.query_table_terms(passages, tokenizer)
+        counted = staged(index.count_terms(docs, tokenizer=tokenizer))
+        posts = index.postings_of(counted).join(asked.select("term").distinct(), "term", "left_semi")
+        terms = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        scores = search.score_index(posts, terms, search.collection_totals(counted), asked, weight)
+        return search.top_ranked(scores, 1).select("query", "rank", F.col("doc_id").cast("string").alias("name"))
+
+    results = {method: run(weight, tokenizer) for method, (weight, tokenizer, _) in METHODS.items()}
+    return evaluate.top1(results, evaluate.containing(passages, docs))
+
+
+@query("eval_top1", f"WITH {JUDGED_SQL} SELECT * REPLACE (md5(query) AS query) FROM judged")
 def eval_top1(spark, sf):
-    return judged(spark, sf)
+    return judged(spark, sf).withColumn("query", F.md5("query"))
 
 
 @query(
@@ -421,3 +504,28 @@ SELECT round(b, 6) AS base_accuracy, round(o, 6) AS other_accuracy,
 )
 def eval_compare(spark, sf):
     return evaluate.compare(judged(spark, sf), "smooth", "bm25")
+
+
+# --- retrieval over stored blocks with score bounds ----------------------------------
+
+
+def block_index(spark, sf) -> blocks.BlockIndex:
+    """The documents as an index in blocks, written to the shared folder."""
+    path = fresh_folder(spark)
+    writers.write_block_index(documents(spark, sf, "text").withColumnRenamed("text", "content"), path, ["content"], buckets=8)
+    return writers.read_block_index(spark, path, buckets=8)
+
+
+@query("block_search", f"WITH {ranked_sql('bm25', S.words, QUERIES)} SELECT * FROM ranked")
+def block_search(spark, sf):
+    """Queries of frequent words, whose blocks without a chance are not opened."""
+    return blocks.search_blocks(block_index(spark, sf), QUERIES)
+
+
+@query("block_benchmark_search", ORACLES["benchmark_search"])
+def block_benchmark_search(spark, sf):
+    """The passages of the benchmark as a table of queries."""
+    stored = block_index(spark, sf)
+    passages = table(spark, sf, "benchmark").select(F.col("text").alias("query"))
+    bounds = staged(blocks.query_bounds(stored, blocks.asked_terms(stored, passages, "content", X.words), "content", "bm25"))
+    return blocks.search_blocks(stored, passages, top=3, bounds=bounds).withColumn("query", F.md5("query"))

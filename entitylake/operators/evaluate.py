@@ -7,9 +7,43 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from entitylake.functions import text as X
+from entitylake.functions.binding import let, record
+from entitylake.operators.index import Tokenizer
+
 TIE = "tie"
 
 
+def _phrase(tokens: Column) -> Column:
+    """Tokens with a blank before, between and behind them, so that parts of words don't match."""
+    return F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
+
+
+def containing(
+    queries: DataFrame, docs: DataFrame, query: str = "query", doc_id: str = "doc_id", text: str = "text", tokenizer: Tokenizer = X.words
+) -> DataFrame:
+    """(query, relevant) for ``top1``: the documents that hold all tokens of a query in a row.
+
+    A query that none holds has one row with null; one without tokens is in no document.
+    Each query meets only the documents with its rarest token: those are an equi-join, and
+    the texts of that few are then compared.
+    """
+    asked = queries.select(F.col(query).alias("query")).where("query IS NOT NULL").distinct()
+    cut = asked.select("query", let(tokenizer(F.col("query")), lambda t: record(phrase=_phrase(t), tokens=F.array_distinct(t))).alias("q"))
+    asked_tokens = cut.select("query", F.explode("q.tokens").alias("token"))
+    has = docs.select(F.col(doc_id).alias("_doc"), F.explode(F.array_distinct(tokenizer(F.col(text)))).alias("token"))
+    frequency = has.join(asked_tokens.select("token").distinct(), "token").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    # a token that no document has rules its query out
+    counted = asked_tokens.join(frequency, "token", "left")
+    rarest = counted.groupBy("query").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token")).alias("least"))
+    anchors = rarest.where("least.df > 0").select("query", F.col("least.token").alias("token"))
+    near = has.join(anchors, "token").select("_doc", "query").join(cut.select("query", "q.phrase"), "query")
+    texts = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text"))
+    held = near.join(texts, "_doc").where(F.contains(_phrase(tokenizer(F.col("_text"))), F.col("phrase")))
+    found = held.select("query", F.col("_doc").cast("string").alias("relevant"))
+    return asked.join(found, "query", "left")
+
+
 def top1(results: dict[str, DataFrame], truth: DataFrame) -> DataFrame:
     """(method, query, first_result, total_relevant, correct) for each method and query.
 

@@ -27,6 +27,17 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{warehouse.rstrip('/')}/.staged"
 
 
+def fresh_folder(spark: SparkSession, owner: str = "") -> str:
+    """A folder of its own in the shared one, removed with the owner's tables."""
+    path = f"{shared_folder(spark).rstrip('/')}/stage-{uuid4().hex}"
+    key = (spark.sparkContext.applicationId, owner)
+    if key not in _written:
+        _written[key] = []
+        atexit.register(release, spark, owner)
+    _written[key].append(path)
+    return path
+
+
 def staged(df: DataFrame, owner: str = "") -> DataFrame:
     """``df`` computed once, written to the shared folder and read back.
 
@@ -36,12 +47,7 @@ def staged(df: DataFrame, owner: str = "") -> DataFrame:
     results are written; the end of the program removes all.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/stage-{uuid4().hex}"
-    key = (spark.sparkContext.applicationId, owner)
-    if key not in _written:
-        _written[key] = []
-        atexit.register(release, spark, owner)
-    _written[key].append(path)
+    path = fresh_folder(spark, owner)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from entitylake.functions.text import words
+from entitylake.operators.blocks import (
+    BLOCK_DOCS,
+    BlockIndex,
+    block_bounds,
+    block_terms,
+    block_totals,
+    counted_fields,
+    in_blocks,
+    posting_blocks,
+)
 from entitylake.operators.entities import lookup_rows
 from entitylake.operators.evaluate import compare, summary
 from entitylake.operators.index import (
     BUCKETS,
+    Tokenizer,
     bucket_of,
     count_terms,
     field_occurrences,
@@ -92,6 +104,46 @@ def read_field_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     return spark.read.parquet(f"{path}/occurrences"), spark.read.parquet(f"{path}/totals")
 
 
+def write_block_index(
+    docs: DataFrame,
+    path: str,
+    fields: list[str],
+    exact_fields: list[str] = (),
+    block_docs: int = BLOCK_DOCS,
+    buckets: int = BUCKETS,
+    tokenizer: Tokenizer = words,
+) -> None:
+    """An index in blocks with score bounds (``operators.blocks``) of several fields below ``path``.
+
+    Term counts are staged once in blocks of documents; from there on only postings move.
+    """
+    spark = docs.sparkSession
+    counted = staged(in_blocks(counted_fields(docs, fields, exact_fields, tokenizer=tokenizer), block_docs), owner=path)
+    block_totals(counted).write.mode("overwrite").parquet(f"{path}/totals")
+    order = ["field", "bucket", "term", "block"]
+    laid_out = posting_blocks(counted, buckets=buckets).repartitionByRange(*order).sortWithinPartitions(*order)
+    laid_out.write.mode("overwrite").partitionBy("field", "bucket").parquet(f"{path}/blocks")
+    bounds = block_bounds(_blocks(spark, path, docs.schema["doc_id"].dataType.simpleString()), spark.read.parquet(f"{path}/totals"))
+    bounds.repartitionByRange("field", "term", "block").sortWithinPartitions("field", "term", "block").write.mode(
+        "overwrite"
+    ).parquet(f"{path}/bounds")
+    terms = block_terms(spark.read.parquet(f"{path}/bounds"))
+    terms.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{path}/terms")
+    release(spark, owner=path)
+
+
+def _blocks(spark: SparkSession, path: str, doc_id: str) -> DataFrame:
+    """Posting blocks; their fields and buckets come from folders' names, of which there may be none."""
+    postings = f"array<struct<doc_id:{doc_id},tf:int,doc_len:int>>"
+    return spark.read.schema(f"term string, block int, postings {postings}, field string, bucket int").parquet(f"{path}/blocks")
+
+
+def read_block_index(spark: SparkSession, path: str, buckets: int = BUCKETS) -> BlockIndex:
+    """The index as written by ``write_block_index``."""
+    bounds, terms, totals = (spark.read.parquet(f"{path}/{t}") for t in ("bounds", "terms", "totals"))
+    return BlockIndex(_blocks(spark, path, bounds.schema["first_doc"].dataType.simpleString()), bounds, terms, totals, buckets)
+
+
 def update_index(docs: DataFrame, old: str, path: str, buckets: int = BUCKETS) -> dict[str, int]:
     """The index below ``old`` with ``docs`` added or wholly replaced, written below ``path``.
 
@@ -115,9 +167,9 @@ def refresh_index(docs: DataFrame, path: str, buckets: int = BUCKETS) -> dict[st
     """The index below ``path`` with ``docs`` added or wholly replaced, in place.
 
     Only the bucket folders with a term that a changed document has or had are
-    rewritten; all others keep their files.  New rows of those folders are staged before
-    the first file is replaced, so a failed refresh can be repeated.  Returns the counts
-    of ``update_index`` and the number of folders rewritten.
+    rewritten; all others keep their files.  Files are replaced where they lie: a refresh that
+    stops half-way leaves an index to be built anew.  ``sources.segments`` refreshes without
+    that risk.  Returns the counts of ``update_index`` and the number of folders rewritten.
     """
     spark = docs.sparkSession
     stored, posts, terms = read_index(spark, path)
