@@ -284,9 +284,20 @@ FROM scores QUALIFY rank <= 10""",
 def fuzzy_search(spark, sf):
     counted = staged(index.count_terms(documents(spark, sf, "text")))
     posts = index.postings_of(counted)
-    terms = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    totals = search.collection_totals(counted)
-    return search.fuzzy_search(posts, terms, totals, FUZZY, tokenizer=X.tokens)
+    terms = counted.select(F.explode("counts.term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    close = staged(search.fuzzy_terms(terms, FUZZY, tokenizer=X.tokens))
+    return search.fuzzy_search(posts, terms, search.collection_totals(counted), FUZZY, close=close)
+
+
+@query("fuzzy_variants", ORACLES["fuzzy_terms"])
+def fuzzy_variants(spark, sf):
+    """A table of queries against the stored deletion variants of the vocabulary."""
+    path = fresh_folder(spark)
+    vocabulary = staged(index.terms_of_texts(documents(spark, sf, "text")).select("term", "df"))
+    writers.write_variants(vocabulary, path)
+    asked = spark.range(1).select(F.explode(F.array(*map(F.lit, FUZZY))).alias("query"))
+    close = search.fuzzy_terms(vocabulary, asked, tokenizer=X.tokens, variants=spark.read.parquet(path))
+    return close.drop("df").withColumn("boost", F.round("boost", 6))
 
 
 @query(
@@ -467,16 +478,18 @@ def judged(spark, sf) -> DataFrame:
     docs = documents(spark, sf, "text")
     passages = table(spark, sf, "benchmark").select(F.col("text").alias("query"))
 
-    def run(weight, tokenizer):
-        asked = search.query_table_terms(passages, tokenizer)
-        counted = staged(index.count_terms(docs, tokenizer=tokenizer))
-        posts = index.postings_of(counted).join(asked.select("term").distinct(), "term", "left_semi")
-        terms = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        scores = search.score_index(posts, terms, search.collection_totals(counted), asked, weight)
+    counted = {method: staged(index.count_terms(docs, tokenizer=tokenizer)) for method, (_, tokenizer, _) in METHODS.items()}
+
+    def first(method):
+        weight, tokenizer, _ = METHODS[method]
+        asked = staged(search.query_table_terms(passages, tokenizer))
+        posts = index.postings_of(counted[method]).join(asked.select("term").distinct(), "term", "left_semi")
+        terms = staged(posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+        scores = search.score_index(posts, terms, search.collection_totals(counted[method]), asked, weight)
         return search.top_ranked(scores, 1).select("query", "rank", F.col("doc_id").cast("string").alias("name"))
 
-    results = {method: run(weight, tokenizer) for method, (weight, tokenizer, _) in METHODS.items()}
-    return evaluate.top1(results, evaluate.containing(passages, docs))
+    truth = evaluate.containing(passages, docs, postings=index.postings_of(counted["bm25"]))
+    return evaluate.top1({method: first(method) for method in METHODS}, truth)
 
 
 @query("eval_top1", f"WITH {JUDGED_SQL} SELECT * REPLACE (md5(query) AS query) FROM judged")

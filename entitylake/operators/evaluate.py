@@ -20,18 +20,28 @@ def _phrase(tokens: Column) -> Column:
 
 
 def containing(
-    queries: DataFrame, docs: DataFrame, query: str = "query", doc_id: str = "doc_id", text: str = "text", tokenizer: Tokenizer = X.words
+    queries: DataFrame,
+    docs: DataFrame,
+    query: str = "query",
+    doc_id: str = "doc_id",
+    text: str = "text",
+    tokenizer: Tokenizer = X.words,
+    postings: DataFrame | None = None,
 ) -> DataFrame:
     """(query, relevant) for ``top1``: the documents that hold all tokens of a query in a row.
 
     A query that none holds has one row with null; one without tokens is in no document.
     Each query meets only the documents with its rarest token: those are an equi-join, and
-    the texts of that few are then compared.
+    the texts of that few are then compared.  ``postings`` (``term``, ``doc_id``) by the same
+    tokenizer save cutting the texts for the join.
     """
     asked = queries.select(F.col(query).alias("query")).where("query IS NOT NULL").distinct()
     cut = asked.select("query", let(tokenizer(F.col("query")), lambda t: record(phrase=_phrase(t), tokens=F.array_distinct(t))).alias("q"))
     asked_tokens = cut.select("query", F.explode("q.tokens").alias("token"))
-    has = docs.select(F.col(doc_id).alias("_doc"), F.explode(F.array_distinct(tokenizer(F.col(text)))).alias("token"))
+    if postings is None:
+        has = docs.select(F.col(doc_id).alias("_doc"), F.explode(F.array_distinct(tokenizer(F.col(text)))).alias("token"))
+    else:
+        has = postings.select(F.col(doc_id).alias("_doc"), F.col("term").alias("token"))
     frequency = has.join(asked_tokens.select("token").distinct(), "token").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     # a token that no document has rules its query out
     counted = asked_tokens.join(frequency, "token", "left")

@@ -428,34 +428,84 @@ def fuzzy_candidates(
     return right.join(left, ["n", "i", "piece"]).select("query_term", "term", "df").distinct()
 
 
+#: Letters of a word that its deletion variants are made of: more give more variants, fewer more candidates.
+VARIANT_LETTERS = 7
+
+
+def variants_of(word: Column, max_edits: int = MAX_EDITS, letters: int = VARIANT_LETTERS) -> Column:
+    """The strings left of a word's first letters when up to ``max_edits`` of them are deleted.
+
+    Words within so many edits have one in common: what both keep of their beginnings, in
+    order, when each drops the letters that the other lacks.
+    """
+
+    def shorter(words: Column) -> Column:
+        def each(w: Column) -> Column:
+            places = F.slice(F.sequence(F.lit(1), F.lit(letters)), F.lit(1), F.length(w))
+            return F.transform(places, lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+
+        return F.array_distinct(F.flatten(F.transform(words, each)))
+
+    found = [F.array(F.left(word, F.lit(letters)))]
+    for _ in range(max_edits):
+        found.append(let(found[-1], shorter))
+    return F.array_distinct(F.concat(*found))
+
+
+def deletion_variants(terms: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
+    """(variant, term, df): the table by which fuzzy queries find vocabulary terms, 29 rows a term at most.
+
+    To be stored with the vocabulary (``writers.write_variants``): a query then looks up
+    its own variants and nothing else of it.
+    """
+    return terms.select(F.explode(variants_of(F.col("term"), max_edits)).alias("variant"), "term", "df")
+
+
+def _close_to(terms: DataFrame, wanted: Sequence[str], max_edits: int) -> DataFrame:
+    """(query_term, term, df, edits) for the caller's few words, found in one pass over the vocabulary without a join."""
+
+    def edits(word: str) -> Column:
+        near = F.abs(F.length("term") - len(word)) <= max_edits
+        return record(query_term=F.lit(word), edits=F.when(near, F.levenshtein("term", F.lit(word), max_edits)).otherwise(-1))
+
+    if not wanted:
+        return terms.select(F.lit("").alias("query_term"), "term", "df", F.lit(0).alias("edits")).limit(0)
+    found = F.filter(F.array(*map(edits, wanted)), lambda e: e["edits"] >= 0)
+    return terms.select("term", "df", F.inline(found)).select("query_term", "term", "df", "edits")
+
+
 def fuzzy_terms(
     terms: DataFrame,
     queries: Sequence[str] | DataFrame,
     max_edits: int = MAX_EDITS,
     tokenizer: Tokenizer = X.words,
+    variants: DataFrame | None = None,
 ) -> DataFrame:
     """(query, query_term, term, df, edits, boost): vocabulary terms within the edit distance.
 
-    ``queries`` are texts or a table with a column ``query``.  Candidates come from an
-    equi-join on pieces of the words, so the vocabulary is not multiplied by the query
-    terms; the edit distance, which stops at the bound, decides.  A swap of neighbours
-    counts as two edits.  ``boost`` falls with the edits relative to the shorter word.
+    ``queries`` are texts or a table with a column ``query``.  With ``variants``, the stored
+    ``deletion_variants`` for at least so many edits, the words look up their own; without,
+    the words of given texts are compared in one pass over the vocabulary, and those of a
+    table find candidates by an equi-join on pieces of words.  The edit distance, which
+    stops at the bound, decides.  A swap of neighbours counts as two edits.  ``boost`` falls
+    with the edits relative to the shorter word.
     """
-    lengths = None
-    if isinstance(queries, DataFrame):
-        wanted = query_table_terms(queries, tokenizer)
+    given = not isinstance(queries, DataFrame)
+    wanted = query_terms(terms.sparkSession, queries, tokenizer) if given else query_table_terms(queries, tokenizer)
+    if variants is not None:
+        asked = wanted.select(F.col("term").alias("query_term")).distinct()
+        asked = asked.select("query_term", F.explode(variants_of(F.col("query_term"), max_edits)).alias("variant"))
+        candidates = variants.join(asked, "variant").select("query_term", "term", "df").distinct()
+    elif given:
+        parsed = _parse(terms.sparkSession, queries, tokenizer)
+        candidates = _close_to(terms, list(dict.fromkeys(t for _, ts in parsed for t in ts)), max_edits)
     else:
-        wanted = query_terms(terms.sparkSession, queries, tokenizer)
-        lengths = [len(t) for _, ts in _parse(terms.sparkSession, queries, tokenizer) for t in ts]
-    edits = F.levenshtein("term", "query_term", max_edits)
+        candidates = fuzzy_candidates(terms, wanted, max_edits)
+    if "edits" not in candidates.columns:
+        candidates = candidates.withColumn("edits", F.levenshtein("term", "query_term", max_edits)).where("edits >= 0")
     shorter = F.least(F.length("term"), F.length("query_term"))
-    close = (
-        fuzzy_candidates(terms, wanted, max_edits, lengths)
-        .withColumn("edits", edits)
-        .where("edits >= 0")
-        .select("query_term", "term", "df", "edits", (1 - F.col("edits") / shorter).alias("boost"))
-        .where("boost > 0")
-    )
+    boost = (1 - F.col("edits") / shorter).alias("boost")
+    close = candidates.select("query_term", "term", "df", "edits", boost).where("boost > 0")
     asked = wanted.select("query", F.col("term").alias("query_term"))
     return close.join(asked, "query_term").select("query", "query_term", "term", "df", "edits", "boost")
 
@@ -470,13 +520,17 @@ def fuzzy_search(
     doc_id: str = "doc_id",
     tokenizer: Tokenizer = X.words,
     buckets: int = BUCKETS,
+    variants: DataFrame | None = None,
+    close: DataFrame | None = None,
 ) -> DataFrame:
     """BM25 over all close terms, each scaled by its boost; none of them is cut off.
 
-    Spark decides by size how the close terms meet the postings.
+    Spark decides by size how the close terms meet the postings; ``close`` are the
+    ``fuzzy_terms`` of the queries where the caller has written them, so that it knows it.
     """
-    close = fuzzy_terms(terms, queries, max_edits, tokenizer).withColumn("qtf", F.lit(1))
-    scores = score_index(postings, terms, totals, close, "bm25", doc_id, False, buckets)
+    if close is None:
+        close = fuzzy_terms(terms, queries, max_edits, tokenizer, variants)
+    scores = score_index(postings, terms, totals, close.withColumn("qtf", F.lit(1)), "bm25", doc_id, False, buckets)
     return top_ranked(scores, top, doc_id)
 
 

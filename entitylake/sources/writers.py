@@ -31,6 +31,7 @@ from entitylake.operators.index import (
     upsert_documents,
     upsert_stats,
 )
+from entitylake.operators.search import deletion_variants
 from entitylake.sources.stage import release, staged
 
 
@@ -104,6 +105,12 @@ def read_field_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     return spark.read.parquet(f"{path}/occurrences"), spark.read.parquet(f"{path}/totals")
 
 
+def write_variants(terms: DataFrame, path: str) -> None:
+    """The deletion variants of a vocabulary (``term``, ``df``), sorted so that given ones prune row groups."""
+    rows = deletion_variants(terms.select("term", "df"))
+    rows.repartitionByRange("variant", "term").sortWithinPartitions("variant", "term").write.mode("overwrite").parquet(path)
+
+
 def write_block_index(
     docs: DataFrame,
     path: str,

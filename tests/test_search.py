@@ -347,3 +347,37 @@ def test_query_texts_are_checked(spark, texts):
         search.search_texts(texts, [])
     with pytest.raises(ValueError):
         search.phrase_search(texts, "...")
+
+
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        row, last = [i], row
+        for j, d in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (c != d)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_words_find_their_close_terms_by_stored_variants(spark, tmp_path, edits):
+    import random
+
+    from entitylake.sources import writers
+
+    rng = random.Random(edits)
+    words = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 12))) for _ in range(150)}
+    asked = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 11))) for _ in range(25)]
+    terms = spark.createDataFrame([(w, len(w)) for w in words], "term string, df int")
+    writers.write_variants(terms, str(tmp_path / "v"))
+    stored = spark.read.parquet(str(tmp_path / "v"))
+    queries = spark.createDataFrame([(w,) for w in asked], "query string")
+    brute = {(q, w, _distance(q, w)) for q in asked for w in words if 0 <= _distance(q, w) <= edits and _distance(q, w) < min(len(q), len(w))}
+    for found in (
+        search.fuzzy_terms(terms, queries, edits, variants=stored),
+        search.fuzzy_terms(terms, queries, edits),
+        search.fuzzy_terms(terms, asked, edits),
+        search.fuzzy_terms(terms, asked, edits, variants=stored),
+    ):
+        rows = [(r.query, r.term, r.edits) for r in found.collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == brute
+    assert stored.groupBy("term").count().agg(F.max("count")).first()[0] <= 29
