@@ -5,14 +5,16 @@ fold into a repeated group.  Pages of a host are aligned one after the other wit
 has been inferred so far: what only one side has becomes optional, a block that the other
 side repeats becomes a repeated group, and texts that differ become slots.  Each task
 infers wrappers of the hosts it sees and wrappers are aligned with each other the same
-way, so all pages count and no task sees all pages of a host.  The slots that lie in the
-article are the text.
+way, so all pages count and no task sees all pages of a host.  Pages of one shape are summed up
+first and shapes are aligned in their own order, so the order of pages plays no part.  The
+texts that lie in the article are the text, whether they vary or not.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 from html import unescape
@@ -23,14 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from entitylake.llm.common import column, lean
+from entitylake.llm.licenses import increasing
+from entitylake.llm.passages import unused
 from entitylake.sources.stage import staged
 
 #: Longest block, in folded tokens, that is looked for as a repetition.
 LONGEST_BLOCK = 16
-#: Hosts that a task holds wrappers of at a time, and groups in which a host's wrappers are first aligned.
-HOSTS_HELD, FIRST_GROUPS = 2_000, 64
-#: Pages a text has to be the same on before it counts as part of the template.
-TEMPLATE_PAGES = 3
+#: Page shapes that a task holds at a time, and groups in which a host's shapes are first aligned.
+SHAPES_HELD, FIRST_GROUPS = 2_000, 64
+#: Wrappers that a task keeps at hand.
+HOSTS_HELD = 2_000
 #: Bytes of the hash by which whole constant texts are compared.
 HASH_BYTES = 16
 
@@ -48,7 +52,6 @@ BOILERPLATE = frozenset(
     "navigation newsletter notice pagination popup promo promotion related reply replies search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 ARTICLE = frozenset("article main".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ARTICLE_NAMES = frozenset("article content entry main post story".split())
 
 TOKEN = re.compile(
@@ -176,29 +179,44 @@ def grouped(items: list[list], shapes: set[str]) -> list[list]:
 
 
 def matches(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """A longest common subsequence, as index pairs."""
-    start = 0
-    while start < min(len(a), len(b)) and a[start] == b[start]:
-        start += 1
-    end = 0
-    while end < min(len(a), len(b)) - start and a[-1 - end] == b[-1 - end]:
-        end += 1
-    x, y = a[start : len(a) - end], b[start : len(b) - end]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        row, below = best[i], best[i + 1]
-        for j in range(len(y) - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if x[i] == y[j] else max(below[j], row[j + 1])
-    found, i, j = [(k, k) for k in range(start)], 0, 0
-    while i < len(x) and j < len(y):
-        if x[i] == y[j]:
-            found.append((start + i, start + j))
+    """A common subsequence, as index pairs, without a table of all pairs.
+
+    Equal beginnings and ends match.  Between them, symbols that both sides have once are
+    anchors, of which a longest increasing run is kept, and the gaps are matched the same
+    way.  In a gap without such symbols the first occurrence of a symbol stands for the
+    other side's first, the second for its second, and so on.
+    """
+    found: list[tuple[int, int]] = []
+    gaps = [(0, len(a), 0, len(b), True)]
+    while gaps:
+        i, m, j, n, further = gaps.pop()
+        while i < m and j < n and a[i] == b[j]:
+            found.append((i, j))
             i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
-        else:
-            j += 1
-    return found + [(len(a) - k, len(b) - k) for k in range(end, 0, -1)]
+        while i < m and j < n and a[m - 1] == b[n - 1]:
+            m, n = m - 1, n - 1
+            found.append((m, n))
+        if i == m or j == n or not further:
+            continue
+        once = {s for s, c in Counter(a[i:m]).items() if c == 1} & {s for s, c in Counter(b[j:n]).items() if c == 1}
+        numbered = not once
+        place = {}
+        seen: Counter = Counter()
+        for k, s in enumerate(b[j:n], j):
+            if numbered or s in once:
+                place[s, seen[s]] = k
+                seen[s] += 1
+        anchors = []
+        seen = Counter()
+        for k, s in enumerate(a[i:m], i):
+            if (s, seen[s]) in place:
+                anchors.append((k, place[s, seen[s]]))
+            seen[s] += 1
+        anchors = [anchors[k] for k in increasing([y for _, y in anchors])]
+        found += anchors
+        ends = [(i - 1, j - 1), *anchors, (m, n)]
+        gaps += [(x + 1, u, y + 1, v, not numbered) for (x, y), (u, v) in zip(ends, ends[1:], strict=False)]
+    return sorted(found)
 
 
 def align(a: dict, b: dict) -> dict:
@@ -215,6 +233,11 @@ def align(a: dict, b: dict) -> dict:
     return {"pages": a["pages"] + b["pages"], "items": items}
 
 
+def same_shape(a: dict, b: dict) -> dict:
+    """The wrapper of the pages of two that have the same items."""
+    return {"pages": a["pages"] + b["pages"], "items": [join_leaves(x, y) for x, y in zip(a["items"], b["items"], strict=True)]}
+
+
 def hashed(text: str) -> str:
     return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=HASH_BYTES).hexdigest()
 
@@ -231,17 +254,6 @@ def page_items(nodes: list[Node], texts: list[str]) -> list[list]:
     return out
 
 
-def block_numbers(shapes: list[str]) -> list[int]:
-    """For each leaf the number of its block; inline elements do not part blocks."""
-    found, block = [], 0
-    for symbol in re.findall(r"[^\s()+]+", " ".join(shapes)):
-        if symbol == "#":
-            found.append(block)
-        elif symbol.lstrip("</").split(".")[0] in BLOCKS:
-            block += 1
-    return found
-
-
 def paths(shapes: list[str]) -> list[list[str]]:
     """For each leaf of a wrapper or page the open elements above it."""
     found, open_ = [], []
@@ -275,59 +287,61 @@ def in_article(path: list[str]) -> bool:
     return any(e.split(".")[0] in ARTICLE for e in path)
 
 
-def wanted(wrapper: dict) -> list[list[bool]]:
-    """For each leaf of each item whether it is article text.
+def article_root(above: list[list[str]], size: list[int], keep: list[bool]) -> list[str]:
+    """The innermost element with most of the text, with a preference for one named as content."""
+    mass: dict[tuple, int] = {}
+    for p, n, k in zip(above, size, keep, strict=True):
+        for depth in range(1, len(p) + 1) if k else ():
+            mass[tuple(p[:depth])] = mass.get(tuple(p[:depth]), 0) + n
+    whole = max(mass.values(), default=0)
+    holders = [p for p, n in mass.items() if 2 * n > whole and p[-1].split(".")[0] in BLOCKS - {"p", "li", "td", "tr"}]
+    named = [p for p in holders if ARTICLE_NAMES & set(p[-1].split(".")[1:])]
+    return list(max(named or holders, key=lambda p: (len(p), p), default=()))
+
+
+def wanted(wrapper: dict) -> tuple[list[list[bool]], list[str] | None]:
+    """For each leaf of each item whether it is article text, and the element that holds the article.
 
-    Article elements decide where the wrapper has any; else the innermost element with
-    most of the varying text does, with a preference for one named as content.  A block
-    that is the same on all pages, and several of them, is the template's, unless nothing
-    in the article varies.  Inside article elements only headings can be, as near copies
-    and articles of one series share passages.
+    Article elements decide where the wrapper has any (then there is no such element); else
+    the innermost element with most of the host's text does.  Texts that are the same on all
+    pages stay: near copies and articles of one series share passages and headings.
     """
     items = wrapper["items"]
     above = paths([i[0] for i in items])
-    constant = [c for i in items for c in i[2]]
     size = [n for i in items for n in i[3]]
     keep = [not outside(p) for p in above]
-    cut = [True] * len(above)
+    root: list[str] | None = None
     if any(k and in_article(p) for k, p in zip(keep, above, strict=True)):
         keep = [k and in_article(p) for k, p in zip(keep, above, strict=True)]
-        cut = [any(e.split(".")[0] in HEADINGS for e in p) for p in above]
     else:
-        mass: dict[tuple, int] = {}
-        for p, n, k in zip(above, size, keep, strict=True):
-            for depth in range(1, len(p) + 1) if k else ():
-                mass[tuple(p[:depth])] = mass.get(tuple(p[:depth]), 0) + n
-        whole = max(mass.values(), default=0)
-        holders = [p for p, n in mass.items() if 2 * n > whole and p[-1].split(".")[0] in BLOCKS - {"p", "li", "td", "tr"}]
-        named = [p for p in holders if ARTICLE_NAMES & set(p[-1].split(".")[1:])]
-        if root := max(named or holders, key=len, default=None):
-            keep = [k and tuple(p[: len(root)]) == root for k, p in zip(keep, above, strict=True)]
-    always = [not i[1] for i in items for _ in i[2]]
-    fixed = [wrapper["pages"] >= TEMPLATE_PAGES and a and c is not None for a, c in zip(always, constant, strict=True)]
-    block = block_numbers([i[0] for i in items])
-    varied = {b for b, f in zip(block, fixed, strict=True) if not f}
-    fixed = [c and b not in varied for c, b in zip(cut, block, strict=True)]
-    if any(k and not f for k, f in zip(keep, fixed, strict=True)):
-        keep = [k and not f for k, f in zip(keep, fixed, strict=True)]
+        root = article_root(above, size, keep)
+        keep = [k and p[: len(root)] == root for k, p in zip(keep, above, strict=True)]
     out, at = [], 0
     for i in items:
         out.append(keep[at : at + len(i[2])])
         at += len(i[2])
-    return out
+    return out, root
+
 
+def chosen(nodes: list[Node], texts: list[str], wrapper: dict, mask: list[list[bool]], root: list[str] | None) -> set[int]:
+    """The text tokens of a page that its host's wrapper has as article text.
 
-def chosen(nodes: list[Node], texts: list[str], wrapper: dict, mask: list[list[bool]]) -> set[int]:
-    """The text tokens of a page that its host's wrapper has as article text."""
+    What the wrapper doesn't know stays if it lies in the article.  A page without an article
+    element on a host that has them elsewhere goes by its own elements.
+    """
     # leaves are numbered, so that their tokens are found again after grouping
     items = [[shape, False, [[i] for i in leaves], [0] * len(leaves)] for shape, leaves in nodes]
     items = joined_groups(items, {i[0] for i in wrapper["items"]})
     pairs = dict((n, m) for m, n in matches([i[0] for i in wrapper["items"]], [i[0] for i in items]))
     above = paths([i[0] for i in items])
+    if root is None and any(in_article(p) for p in above):
+        inside = [in_article(p) and not outside(p) for p in above]
+    else:
+        inside = [p[: len(root or ())] == (root or []) and not outside(p) for p in above]
+        pairs = pairs if root is not None else {}
     found, at = set(), 0
-    article = any(in_article(p) for p in above)
     for n, item in enumerate(items):
-        own = mask[pairs[n]] if n in pairs else [not outside(p) and (in_article(p) or not article) for p in above[at : at + len(item[2])]]
+        own = mask[pairs[n]] if n in pairs else inside[at : at + len(item[2])]
         for yes, leaf in zip(own, item[2], strict=True):
             if yes:
                 found.update(i for tokens in leaf for i in tokens)
@@ -389,30 +403,39 @@ def infer(pages: DataFrame) -> DataFrame:
     """``host, wrapper`` (as JSON) from ``host, html``: a wrapper per host that all its pages shaped."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, dict] = {}
+        held: dict[tuple[str, str], dict] = {}
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"host": list(held), "wrapper": [json.dumps(w) for w in held.values()]})
+            return pa.RecordBatch.from_pydict({
+                "host": pa.array([h for h, _ in held], pa.string()), "shape": pa.array([s for _, s in held], pa.string()),
+                "wrapper": pa.array([json.dumps(w) for w in held.values()], pa.string()),
+            })
 
         for batch in batches:
             for h, html in zip(column(batch, "host"), column(batch, "html"), strict=True):
                 one = wrapper_of(html)
-                held[h] = align(held[h], one) if h in held else one
-                if len(held) >= HOSTS_HELD:
+                key = h, hashed(" ".join(i[0] for i in one["items"]))
+                held[key] = same_shape(held[key], one) if key in held else one
+                if len(held) >= SHAPES_HELD:
                     yield out()
                     held.clear()
         yield out()
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        """The rows of a group by shape: equal shapes are summed up, others aligned in the order of their hashes."""
+        shapes: dict[str, dict] = {}
+        for shape, text in zip(rows["shape"], rows["wrapper"], strict=True):
+            one = json.loads(text)
+            shapes[shape] = same_shape(shapes[shape], one) if shape in shapes else one
         total = None
-        for text in sorted(rows["wrapper"]):
-            total = align(total, json.loads(text)) if total else json.loads(text)
-        return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [json.dumps(total)]})
+        for _, one in sorted(shapes.items()):
+            total = align(total, one) if total else one
+        return pd.DataFrame({"host": [rows["host"].iloc[0]], "shape": [min(shapes)], "wrapper": [json.dumps(total)]})
 
-    schema = "host string, wrapper string"
-    found = pages.mapInArrow(lean(local), schema).withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(FIRST_GROUPS)))
+    schema = "host string, shape string, wrapper string"
+    found = pages.mapInArrow(lean(local), schema).withColumn("part", F.pmod(F.xxhash64("shape"), F.lit(FIRST_GROUPS)))
     found = found.groupBy("host", "part").applyInPandas(merge, schema)
-    return found.groupBy("host").applyInPandas(merge, schema)
+    return found.groupBy("host").applyInPandas(merge, schema).select("host", "wrapper")
 
 
 def main_text(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
@@ -421,30 +444,31 @@ def main_text(pages: DataFrame, *, url: str = "url", html: str = "html") -> Data
     Character references are decoded, white space within a block is one space, blocks are
     joined by an empty line.  A null html is empty; a page without a usable URL is one of
     the empty host; a page without an article has an empty text.  Repeated rows are
-    returned as often; columns named like a new one are replaced.
+    returned as often; columns ``text`` and ``n_chars`` are replaced, all others stay.
     """
-    kept = pages.drop("text", "n_chars", "host", "wrapper")
-    hosted = kept.withColumn("host", host(url))
+    kept = pages.drop("text", "n_chars")
+    of, by = unused("_host", kept.columns), unused("_wrapper", kept.columns)
+    hosted = kept.withColumn(of, host(url))
     # written first, so that Spark knows their size when it plans the join
-    wrappers = staged(infer(hosted.select("host", F.col(html).alias("html"))))
-    joined = hosted.join(wrappers, "host", "left").drop("host")
+    wrappers = staged(infer(hosted.select(F.col(of).alias("host"), F.col(html).alias("html"))))
+    joined = hosted.join(wrappers.select(F.col("host").alias(of), F.col("wrapper").alias(by)), of, "left").drop(of)
     names = [c for c in kept.columns if c != html]
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple] = {}
         for batch in batches:
             texts = []
-            for page, wrapper in zip(column(batch, html), column(batch, "wrapper"), strict=True):
+            for page, wrapper in zip(column(batch, html), column(batch, by), strict=True):
                 if wrapper not in known:
                     if len(known) >= HOSTS_HELD:
                         known.clear()
                     found = json.loads(wrapper)
-                    known[wrapper] = (found, wanted(found))
+                    known[wrapper] = (found, *wanted(found))
                 symbols, content = stream(page or "")
                 take = chosen(fold(symbols), content, *known[wrapper])
                 texts.append(written(symbols, content, take))
-            out = batch.drop_columns([html, "wrapper"]).append_column("text", pa.array(texts, pa.string()))
+            out = batch.drop_columns([html, by]).append_column("text", pa.array(texts, pa.string()))
             yield out.append_column("n_chars", pa.array([len(t) for t in texts], pa.int64()))
 
     schema = ", ".join([*(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in names), "text string", "n_chars long"])
-    return joined.select(*names, html, "wrapper").mapInArrow(lean(extract), schema)
+    return joined.select(*names, html, by).mapInArrow(lean(extract), schema)

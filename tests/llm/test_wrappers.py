@@ -4,6 +4,7 @@ import html as library
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from entitylake.llm import wrappers
 from entitylake.llm.queries import QUERIES
@@ -44,10 +45,48 @@ def test_pages_without_article_elements(spark):
         assert r["text"] == "\n\n".join([f"Title {n}", *body])
 
 
-def test_template_texts_inside_the_article_go(spark):
-    rows = [(n, "http://h/", f"<article><h4>Read more on this site</h4><p>Own <b>text</b> {n}</p></article>") for n in range(5)]
+@pytest.mark.parametrize("pages", [1, 2, 3, 6])
+def test_headings_that_all_articles_share_stay(spark, pages):
+    """The contract drops nothing of the article; this was a test that such a heading goes."""
+    rows = [(n, "http://h/", f"<article><h4>Conclusion</h4><p>Own <b>text</b> {n}</p></article>") for n in range(pages)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    assert {r["text"] for r in wrappers.main_text(df).collect()} == {f"Own text {n}" for n in range(5)}
+    assert {r["text"] for r in wrappers.main_text(df).collect()} == {f"Conclusion\n\nOwn text {n}" for n in range(pages)}
+
+
+@pytest.mark.parametrize("pages", [2, 3, 6])
+def test_paragraphs_that_pages_without_article_elements_share_stay(spark, pages):
+    body = "<body><div id=menu>Menu</div><div class=content><p>A shared paragraph of some length.</p><p>Own text number {n} here.</p></div></body>"
+    df = spark.createDataFrame([(n, "http://h/", body.format(n=n)) for n in range(pages)], "page_id long, url string, html string")
+    assert {r["text"] for r in wrappers.main_text(df).collect()} == {f"A shared paragraph of some length.\n\nOwn text number {n} here." for n in range(pages)}
+
+
+def test_the_order_of_pages_plays_no_part(spark):
+    import random
+
+    rng = random.Random(4)
+    parts = ["<p>a{n}</p>", "<ul><li>b{n}</li><li>c</li></ul>", "<h2>d</h2>", "<div class=box><p>e{n}</p></div>", "<table><tr><td>f{n}</td></tr></table>"]
+    rows = []
+    for n in range(60):
+        body = "".join(rng.choice(parts).format(n=n) for _ in range(rng.randint(1, 6)))
+        rows.append((n, f"http://h{n % 2}/", f"<body><div><a>Home</a></div><div>{body}</div></body>"))
+    results = []
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1 + 3 * seed)
+        results.append(sorted((r["page_id"], r["text"]) for r in wrappers.main_text(df).collect()))
+    assert results[0] == results[1] == results[2]
+
+
+def test_long_pages_align_in_a_short_time():
+    import time
+
+    rng = __import__("random").Random(1)
+    a, b = ([f"<{rng.choice('abcdefgh')}{rng.randrange(400)}" for _ in range(40_000)] for _ in range(2))
+    started = time.perf_counter()
+    pairs = wrappers.matches(a, b)
+    assert time.perf_counter() - started < 30
+    assert all(a[i] == b[j] for i, j in pairs) and all(p < q and r < s for (p, r), (q, s) in zip(pairs, pairs[1:]))
+    assert wrappers.matches(list("abcabc"), list("xabcy")) == [(0, 1), (1, 2), (2, 3)]
 
 
 def test_long_texts_that_differ_late_are_no_template(spark):
@@ -70,9 +109,10 @@ def test_odd_pages(spark):
         (5, "http://c/", "<article>" + "<p>long text</p>" * 5_000 + "</article>"), (6, "http://d/", "<nav>only a menu</nav>"), (7, "http://a/", "<p>x"),
         (7, "http://a/", "<p>x"), (8, "http://e/", "a < b <!-- never closed"),
     ]
-    df = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, host int")
+    df = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, host int").withColumn("wrapper", F.lit("kept"))
     found = wrappers.main_text(df)
-    assert found.columns == ["page_id", "url", "text", "n_chars"]
+    assert found.columns == ["page_id", "url", "host", "wrapper", "text", "n_chars"]
+    assert {(r["host"], r["wrapper"]) for r in found.collect()} == {(1, "kept")}
     got = [(r["page_id"], r["text"], r["n_chars"]) for r in found.collect()]
     by_id = {i: t for i, t, _ in got}
     assert len(got) == len(rows) and all(n == len(t) for _, t, n in got)
@@ -102,6 +142,4 @@ def test_alignment_makes_slots_options_and_repetitions():
 
 @pytest.mark.parametrize(("url", "host"), [("https://U:p@Www.Ex.org:80/a", "www.ex.org"), ("nothing", ""), (None, "")])
 def test_host(one, url, host):
-    from pyspark.sql import functions as F
-
     assert one(wrappers.host("u"), u=url) == host if url else one(F.coalesce(wrappers.host("u"), F.lit("?")), u="") == host
