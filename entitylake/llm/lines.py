@@ -191,6 +191,8 @@ def line_sets(docs: DataFrame, id_col: str, text: str, similarity: float, least_
             keep = n >= least_words
             starts, n, sig, bits, more_bits, at = starts[keep], n[keep], sig[keep], bits[keep], more_bits[keep], where[starts[keep]]
             length = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
+            # a set so short that one word more or less is too much has no match but equal sets
+            length[n < similarity * (n + 1) - 1e-9] = 0
             tokens = (word[ragged(starts, length)] >> np.uint64(HASH_BITS - 32)).astype(np.uint32).view(np.int32)
             yield which[of_text[at]], number[at], sig, bits, more_bits, n, length, tokens
 
@@ -414,7 +416,7 @@ def repeated_lines(docs: DataFrame, *, id_col: str, text: str, similarity: float
     return gone.union(verified(docs, id_col, text, others, similarity).where("same").select("doc", "line"))
 
 
-def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", similarity: float = 0.8, least_words: int = 5) -> DataFrame:
+def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", similarity: float = 0.8, least_words: int = 1) -> DataFrame:
     """``docs`` without lines that match an earlier line, with ``n_lines`` and ``n_removed``.
 
     A line matches an earlier one, by (id, line number), where the Jaccard similarity of

@@ -13,7 +13,7 @@ def words(line):
     return frozenset(line.encode().lower().split())
 
 
-def brute(documents, similarity=0.8, least=5):
+def brute(documents, similarity=0.8, least=1):
     """The text and number of removed lines of each document with an id, by comparing all lines."""
     places = {}
     for d, t in documents:
@@ -40,7 +40,7 @@ def result(df):
 def similar_documents(n, seed=0):
     rng = random.Random(seed)
     pool = [f"w{k}" for k in range(60)] + ["the", "of", "and"] * 10
-    base = [[rng.choice(pool) for _ in range(rng.choice([4, 5, 6, 10, 30]))] for _ in range(12)]
+    base = [[rng.choice(pool) for _ in range(rng.choice([1, 2, 3, 4, 5, 6, 10, 30]))] for _ in range(12)]
     documents = []
     for d in range(n):
         chosen = []
