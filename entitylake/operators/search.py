@@ -461,19 +461,6 @@ def deletion_variants(terms: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame
     return terms.select(F.explode(variants_of(F.col("term"), max_edits)).alias("variant"), "term", "df")
 
 
-def _close_to(terms: DataFrame, wanted: Sequence[str], max_edits: int) -> DataFrame:
-    """(query_term, term, df, edits) for the caller's few words, found in one pass over the vocabulary without a join."""
-
-    def edits(word: str) -> Column:
-        near = F.abs(F.length("term") - len(word)) <= max_edits
-        return record(query_term=F.lit(word), edits=F.when(near, F.levenshtein("term", F.lit(word), max_edits)).otherwise(-1))
-
-    if not wanted:
-        return terms.select(F.lit("").alias("query_term"), "term", "df", F.lit(0).alias("edits")).limit(0)
-    found = F.filter(F.array(*map(edits, wanted)), lambda e: e["edits"] >= 0)
-    return terms.select("term", "df", F.inline(found)).select("query_term", "term", "df", "edits")
-
-
 def fuzzy_terms(
     terms: DataFrame,
     queries: Sequence[str] | DataFrame,
@@ -485,9 +472,8 @@ def fuzzy_terms(
 
     ``queries`` are texts or a table with a column ``query``.  With ``variants``, the stored
     ``deletion_variants`` for at least so many edits, the words look up their own; without,
-    the words of given texts are compared in one pass over the vocabulary, and those of a
-    table find candidates by an equi-join on pieces of words.  The edit distance, which
-    stops at the bound, decides.  A swap of neighbours counts as two edits.  ``boost`` falls
+    candidates come from an equi-join on pieces of the words.  Either way the vocabulary is
+    not multiplied by the query terms.  The edit distance, which stops at the bound, decides.  A swap of neighbours counts as two edits.  ``boost`` falls
     with the edits relative to the shorter word.
     """
     given = not isinstance(queries, DataFrame)
@@ -496,13 +482,10 @@ def fuzzy_terms(
         asked = wanted.select(F.col("term").alias("query_term")).distinct()
         asked = asked.select("query_term", F.explode(variants_of(F.col("query_term"), max_edits)).alias("variant"))
         candidates = variants.join(asked, "variant").select("query_term", "term", "df").distinct()
-    elif given:
-        parsed = _parse(terms.sparkSession, queries, tokenizer)
-        candidates = _close_to(terms, list(dict.fromkeys(t for _, ts in parsed for t in ts)), max_edits)
     else:
-        candidates = fuzzy_candidates(terms, wanted, max_edits)
-    if "edits" not in candidates.columns:
-        candidates = candidates.withColumn("edits", F.levenshtein("term", "query_term", max_edits)).where("edits >= 0")
+        lengths = [len(t) for _, ts in _parse(terms.sparkSession, queries, tokenizer) for t in ts] if given else None
+        candidates = fuzzy_candidates(terms, wanted, max_edits, lengths)
+    candidates = candidates.withColumn("edits", F.levenshtein("term", "query_term", max_edits)).where("edits >= 0")
     shorter = F.least(F.length("term"), F.length("query_term"))
     boost = (1 - F.col("edits") / shorter).alias("boost")
     close = candidates.select("query_term", "term", "df", "edits", boost).where("boost > 0")
