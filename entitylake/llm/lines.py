@@ -30,7 +30,7 @@ RARITY_BITS = 17
 HASH_BITS, CLASS_BITS = 38, 6
 #: Rows of a prefix word, beyond which its rows are sliced and the slices meet pairwise,
 #: and bits of a word that number the cells in which rows are counted first.
-SLICE_ROWS, CELL_BITS = 2_048, 16
+SLICE_ROWS, CELL_BITS = 16_384, 16
 #: Earlier lines that a line is verified against first.
 FIRST_TRIED = 1
 #: Pairs compared at a time, and bytes of text hashed at a time (a longer text at once).
