@@ -78,13 +78,15 @@ ANCHOR_TEXT = r"<a [^>]*>([^<]+)</a>"
 EMPTY_LIST = r"(?i)\(none\)"
 
 TABLE_ROW = r"(?s)<tr.*?</tr>"
+# No ``.*?`` stands before an optional cell: what follows the cell is looked for from there on anyway,
+# and a row without it would be searched once for each character.
 RELEASE_ROW = (
     r'(?s)<a class="wrap-anywhere" href="([^"]+)"><bdi>([^<]+)</bdi></a>.*?'
     r"<td><bdi><a [^>]+>([^<]+)</a></bdi></td>.*?"
     r"<td>([^<]*)</td>.*?"
     r"<td>(\d+)</td>.*?"
     r'<abbr title="([^"]+)">.*?<span class="release-date">([^<]*)</span>.*?'
-    r'<a href="[^"]+"><bdi>([^<]+)</bdi></a>.*?'
+    r'<a href="[^"]+"><bdi>([^<]+)</bdi></a>'
     r'(?:<span class="catalog-number">([^<]+)</span>)?.*?'
     r'class="barcode-cell">([^<]*)</td>'
 )
@@ -94,7 +96,7 @@ RECORDING_ROW_MARK = "wrap-anywhere"
 RECORDING_ROW = (
     r"(?s)<tr[^>]*>.*?"
     r'<a class="wrap-anywhere" href="([^"]+)"><bdi>([^<]+)</bdi></a>.*?'
-    r"<td><bdi><a [^>]+>([^<]+)</a></bdi></td>.*?"
+    r"<td><bdi><a [^>]+>([^<]+)</a></bdi></td>"
     r'(?:<td class="c">.*?<span class="current-rating" style="width:\d+%">([\d.]+)</span>.*?</td>)?.*?'
     r"<td>([\d:]+)</td>.*?"
     r'<td>.*?<a href="[^"]+"><bdi>([^<]+)</bdi></a>'

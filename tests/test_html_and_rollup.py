@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -228,3 +229,16 @@ def test_join_clean_and_index_jobs(spark, store, tmp_path):
     jobs.build_index(spark.read.parquet(joined), idx, SITE)
     assert spark.read.parquet(f"{idx}/postings").where("term = 'beatles'").count() == 0
     assert spark.read.parquet(f"{idx}/terms").where("term = 'ann'").first().df >= 1
+
+
+def test_a_long_recording_row_without_length_is_given_up_soon(spark):
+    """The search for a missing cell is in proportion to the row, not to its square."""
+    row = (
+        '<tr><td><a class="wrap-anywhere" href="/recording/1"><bdi>T</bdi></a></td><td><bdi><a href="/artist/x">A</a></bdi></td>'
+        + "<td>?:??</td>" + "<i>filler</i>" * 40_000
+    )
+    pages = spark.createDataFrame([(1, f"<table>{row}</table>")], "entity_id int, html string")
+    begin = time.monotonic()
+    assert html.recording_rows(pages, "s").count() == 0
+    assert html.recording_rows(pages, "s").collect() == []
+    assert time.monotonic() - begin < 20
