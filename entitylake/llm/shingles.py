@@ -3,9 +3,11 @@
 A text is its set of shingles, as 64-bit hashes.  Copies of a set are told by 128 bits and
 one of them, the node, stands for all.
 
-First a sketch of each node (the least of its hashes under several permutations) brings
-likely partners together; each node is compared with at most ``PARENTS`` of those before
-it.  Groups of near copies are connected then, with comparisons in proportion to their size.
+First the SimHash fingerprints of the sets are joined within ``RADIUS`` bits, by the tries of
+``simhash``, and each pair found is compared in full.  These are the closest copies.  A sketch
+of each node (the least of its hashes under several permutations) brings further likely
+partners together; each node is compared with at most ``PARENTS`` of those before it.  Groups
+of near copies are connected then, with comparisons in proportion to their size.
 
 What is left are links between groups, and they are found without fail: two sets of at least the
 threshold's similarity share a hash of their prefixes, whatever common order the hashes
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from entitylake.llm.common import column, group_bounds, in_key_blocks, lean, map_batches, ragged, whole_groups, widened
 from entitylake.llm.components import components
 from entitylake.llm.lines import has, overlap
-from entitylake.llm.simhash import shingle_hashes
+from entitylake.llm.simhash import fingerprint_of, near_links, shingle_hashes
 from entitylake.sources.stage import staged
 
 #: Rows of a prefix hash, beyond which its rows are sliced and the slices meet pairwise.
@@ -39,6 +41,8 @@ PAIRS = 500_000
 #: Longs of parities of a set.
 PARITIES = 4
 BITS = [f"p{k}" for k in range(PARITIES)]
+#: Bits by which fingerprints of a first pair may differ; sets of the least similarity differ in more (see README).
+RADIUS = 4
 #: Least hashes of a sketch, and the odd factors that permute the hashes for them.
 SKETCH = 8
 MINS = [f"m{k}" for k in range(SKETCH)]
@@ -63,10 +67,10 @@ def parities(h: np.ndarray) -> list[int]:
 
 
 def sketches(docs: DataFrame, text: str, size: int) -> DataFrame:
-    """``docs`` without its text, with ``_hi``, ``_lo`` (a hash of the set), ``_n``, parities and least hashes."""
+    """``docs`` without its text, with ``_hi``, ``_lo`` (a hash of the set), ``_n``, ``fp`` (its fingerprint), parities and least hashes."""
     import xxhash
 
-    names = ["_hi", "_lo", *BITS, *MINS]
+    names = ["_hi", "_lo", "fp", *BITS, *MINS]
 
     def add(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, counts = [], []
@@ -74,7 +78,8 @@ def sketches(docs: DataFrame, text: str, size: int) -> DataFrame:
             h = np.unique(shingle_hashes(t, size))
             whole = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64).tolist()
             least = [int((h * f).min().view(np.int64)) if len(h) else 0 for f in FACTORS]
-            rows.append([*whole, *parities(h), *least])
+            print_ = int(np.uint64(fingerprint_of(h)).view(np.int64))
+            rows.append([*whole, print_, *parities(h), *least])
             counts.append(len(h))
         out = batch.drop_columns([text]).append_column("_n", pa.array(counts, pa.int32()))
         for name, values in zip(names, zip(*rows, strict=True), strict=True):
@@ -183,6 +188,18 @@ def prefixes(docs: DataFrame, nodes: DataFrame, row: str, text: str, size: int,
     return map_batches(rows, run, "node long, keys array<long>")
 
 
+def fingerprint_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``a, b``: nodes that connect all whose fingerprints differ in ``radius`` bits at most.
+
+    As in ``simhash.near_duplicates``: nodes of one fingerprint meet its least node, and
+    these meet each other in tries.  At most a row per node and trie.
+    """
+    filled = nodes.where("n > 0")
+    classes = staged(filled.groupBy("fp").agg(F.min("node").alias("id")))
+    same = filled.join(classes, "fp").where("node <> id").select(F.col("node").alias("a"), F.col("id").alias("b"))
+    return same.union(near_links(classes, radius))
+
+
 def likely(nodes: DataFrame, similarity: float) -> DataFrame:
     """``a, b``: for each node ``a`` up to ``PARENTS`` nodes before it that share a least hash and may be similar.
 
@@ -317,16 +334,18 @@ def similar_groups(docs: DataFrame, *, row: str | None = None, text: str = "text
     one shingle, null and blank texts are the same empty set.  All pairs of a Jaccard
     similarity of at least ``similarity`` are linked.  ``row`` names a column of different longs,
     the same in every scan of ``docs``; without one, ``docs`` is written with its rows numbered.
-    Every row is returned.  Columns ``_hi``, ``_lo``, ``_n`` and ``component`` of ``docs`` may not exist.
+    Every row is returned.  Columns ``_hi``, ``_lo``, ``_n``, ``fp`` and ``component`` of ``docs`` may not exist.
     """
     kept = [c for c in docs.columns if c != text]
     if row is None:
         row = "_number"
         docs = staged(docs.withColumn(row, F.monotonically_increasing_id()))
     scanned = staged(sketches(docs, text, size))
-    nodes = scanned.groupBy("_hi", "_lo").agg(F.min(row).alias("node"), *(F.first(c).alias(c.strip("_")) for c in ("_n", *BITS, *MINS)))
+    nodes = scanned.groupBy("_hi", "_lo").agg(F.min(row).alias("node"), *(F.first(c).alias(c.strip("_")) for c in ("_n", "fp", *BITS, *MINS)))
     nodes = staged(nodes)
-    links = similar(docs, staged(likely(nodes, similarity)), row, text, size, similarity)
+    first = fingerprint_links(nodes).union(likely(nodes, similarity))
+    first = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = similar(docs, staged(first), row, text, size, similarity)
     found = components(links)
     keys = staged(prefixes(docs, nodes, row, text, size, similarity))
 

@@ -50,7 +50,10 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
 
 def fingerprint(text: str | None, size: int) -> int:
     """SimHash of a text: a bit is set where more than half of the shingles' hashes have it."""
-    hashes = shingle_hashes(text, size)
+    return fingerprint_of(shingle_hashes(text, size))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65_536):
         part = hashes[at : at + 65_536]

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from entitylake.llm import shingles
+from entitylake.llm.simhash import fingerprint_of, near_links, shingle_hashes
 from entitylake.sources.stage import release
 
 
@@ -96,3 +97,29 @@ def test_stage_keeps_one_row_without_ids_and_of_repeated_rows(spark, sf):
     kept = [(r["doc_id"], r["text"][:3]) for r in corpus_pipeline.one_of_each(spark, docs, sf).collect()]
     assert sorted(kept, key=str) == [(7, "a0 "), (8, "ano"), (9, "c0 "), (None, "b0 ")]
     release(spark)
+
+
+def test_groups_come_from_simhash_tries_first(spark, monkeypatch):
+    """Nodes within the radius are connected by the fingerprints' links, which the stage compares in full."""
+    texts = near_copies(3)
+    own = {i: np.unique(shingle_hashes(t, 5)) for i, t in enumerate(texts)}
+    prints = {i: fingerprint_of(h) for i, h in own.items() if len(h)}
+    rows = [(i, len(own[i]), int(np.uint64(p).view(np.int64))) for i, p in prints.items()]
+    links = shingles.fingerprint_links(spark.createDataFrame(rows, "node long, n int, fp long")).collect()
+    root = dict(enumerate(range(len(texts))))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for link in links:
+        root[find(link["a"])] = find(link["b"])
+    near = [(i, j) for i in prints for j in prints if i < j and (prints[i] ^ prints[j]).bit_count() <= shingles.RADIUS]
+    assert near and all(find(i) == find(j) for i, j in near)
+
+    asked = []
+    monkeypatch.setattr(shingles, "near_links", lambda classes, radius: asked.append(radius) or near_links(classes, radius))
+    shingles.similar_groups(spark.createDataFrame(enumerate(texts), "doc_id long, text string"))
+    assert asked == [shingles.RADIUS]
+    release(spark)
