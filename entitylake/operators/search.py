@@ -24,6 +24,7 @@ from entitylake.functions import text as X
 from entitylake.functions.binding import keep_if, let, record
 from entitylake.operators.index import BUCKETS, Tokenizer, bucket_of
 from entitylake.rules import BM25_B, BM25_K1, MAX_EDITS
+from entitylake.sources.stage import staged
 
 DECIMALS = 6
 # Tokens are neither empty nor blank, so these keys can stand beside terms.
@@ -352,6 +353,41 @@ def score_index(
     )
 
 
+def score_by_document(
+    postings: DataFrame,
+    totals: Totals,
+    asked: DataFrame,
+    weight: str | Weight = "tfidf_smooth",
+    doc_id: str = "doc_id",
+) -> tuple[DataFrame, DataFrame]:
+    """(_query, doc_id, score) of a table of queries and (_query, query), its texts by number.
+
+    As ``score_index``, for pairs of queries and documents that are many more than postings.
+    A document's postings are brought together once, so that its pairs are made, added up
+    and ranked in its task: neither pairs nor the texts of queries are shuffled.
+    ``asked`` is a (query, term, qtf) table, ``postings`` those of its terms at least;
+    both are read several times.
+    """
+    weigh = WEIGHTS[weight] if isinstance(weight, str) else weight
+    # written, so that all scans see the same numbers and Spark knows the sizes
+    numbers = staged(asked.select("query").distinct().withColumn("_query", F.monotonically_increasing_id()))
+    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weighted = staged(asked.join(terms, "term").join(numbers, "query").select("_query", "term", "qtf", "df"))
+    hits = postings.select(doc_id, "term", "tf", "doc_len").repartition(doc_id).join(weighted, "term")
+    part = F.col("qtf") * weigh(F.col("tf"), F.col("df"), F.col("doc_len"), totals)
+    scores = hits.groupBy("_query", doc_id).agg(F.sum(part).alias("score"))
+    return scores.select("_query", doc_id, F.round("score", DECIMALS).alias("score")), numbers
+
+
+def search_by_document(
+    postings: DataFrame, totals: Totals, asked: DataFrame, weight: str | Weight = "tfidf_smooth", top: int = 10, doc_id: str = "doc_id"
+) -> DataFrame:
+    """(query, rank, doc_id, score): the best ``top`` documents of each query, by ``score_by_document``."""
+    scores, numbers = score_by_document(postings, totals, asked, weight, doc_id)
+    ranked = top_ranked(scores, top, doc_id, ["_query"])
+    return ranked.join(numbers, "_query").select("query", "rank", doc_id, "score")
+
+
 def search_index(
     postings: DataFrame,
     terms: DataFrame,
@@ -616,14 +652,14 @@ def search_field(
     tokenizer: Tokenizer = X.words,
 ) -> DataFrame:
     """(query, rank, doc_id, score) of query texts, or of a table of them, in one field."""
-    if isinstance(queries, DataFrame):
-        asked = query_table_terms(queries, tokenizer)
-    else:
-        asked = query_terms(occurrences.sparkSession, queries, tokenizer)
+    many = isinstance(queries, DataFrame)
+    asked = staged(query_table_terms(queries, tokenizer)) if many else query_terms(occurrences.sparkSession, queries, tokenizer)
     here = occurrences.where(F.col("field") == field).join(asked.select("term").distinct(), "term", "left_semi")
     posts = here.groupBy("term", doc_id).agg(F.count(F.lit(1)).alias("tf"), F.max("doc_len").alias("doc_len"))
-    terms = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     whole = totals.where(F.col("field") == field).agg(F.struct(F.max("n_docs").alias("n"), F.max("total_len").alias("len"))).scalar()
+    if many:
+        return search_by_document(staged(posts), Totals(whole["n"], whole["len"]), asked, weight, top, doc_id)
+    terms = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return top_ranked(score_index(posts, terms, Totals(whole["n"], whole["len"]), asked, weight, doc_id), top, doc_id)
 
 

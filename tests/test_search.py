@@ -381,3 +381,22 @@ def test_words_find_their_close_terms_by_stored_variants(spark, tmp_path, edits)
         rows = [(r.query, r.term, r.edits) for r in found.collect()]
         assert len(rows) == len(set(rows)) and set(rows) == brute
     assert stored.groupBy("term").count().agg(F.max("count")).first()[0] <= 29
+
+
+def test_pairs_of_a_table_of_queries_are_not_shuffled(spark):
+    """A document's pairs are summed and ranked in its task; the best of each query are those of ``score_index``."""
+    texts = [(i % 37, " ".join(f"w{(i * k) % 11}" for k in range(1, 9))) for i in range(60)] + [(None, "w1 w2"), (99, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, content string")
+    asked = spark.createDataFrame([("w1 w2 w2",), ("w3 W5 nowhere",), ("w1 w2 w2",), ("nowhere",), ("",), (None,)], "query string")
+    found = index.field_occurrences(docs, ["content"])
+    totals = index.field_totals(found)
+    ranked = search.search_field(found, totals, asked, top=5)
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(_?query#\d+L?, doc_id", plan)
+
+    posts = found.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.max("doc_len").alias("doc_len"))
+    terms = posts.groupBy("term").agg(F.count("*").alias("df"))
+    whole = totals.agg(F.struct(F.max("n_docs").alias("n"), F.max("total_len").alias("len"))).scalar()
+    scores = search.score_index(posts, terms, search.Totals(whole["n"], whole["len"]), search.query_table_terms(asked, X.words), "bm25")
+    expected = search.top_ranked(scores, 5).collect()
+    assert sorted(map(tuple, ranked.collect()), key=str) == sorted(map(tuple, expected), key=str) and len(expected) == 10
