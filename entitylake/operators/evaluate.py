@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from entitylake.functions import text as X
 from entitylake.functions.binding import let, record
 from entitylake.operators.index import Tokenizer
+from entitylake.sources.stage import staged
 
 TIE = "tie"
 
@@ -47,7 +48,8 @@ def containing(
     counted = asked_tokens.join(frequency, "token", "left")
     rarest = counted.groupBy("query").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token")).alias("least"))
     anchors = rarest.where("least.df > 0").select("query", F.col("least.token").alias("token"))
-    near = has.join(anchors, "token").select("_doc", "query").join(cut.select("query", "q.phrase"), "query")
+    # written, so that Spark knows its size: few rows are then broadcast, and the texts are not shuffled
+    near = staged(has.join(staged(anchors), "token").select("_doc", "query")).join(cut.select("query", "q.phrase"), "query")
     texts = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text"))
     held = near.join(texts, "_doc").where(F.contains(_phrase(tokenizer(F.col("_text"))), F.col("phrase")))
     found = held.select("query", F.col("_doc").cast("string").alias("relevant"))
