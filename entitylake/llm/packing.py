@@ -28,8 +28,8 @@ from entitylake.sources.stage import staged
 PART_TOKENS = 256
 #: Rows that one task orders, and the most blocks whose sums one task adds up.
 BLOCK_ROWS, MOST_BLOCKS = 4_000, 8_192
-#: Entries of a worker's cache of encoded words, and the longest word it keeps.
-CACHED, CACHED_LENGTH = 250_000, 48
+#: Entries of a worker's cache of encoded words, of those put together from others, and the longest it keeps.
+CACHED, CACHED_JOINED, CACHED_LENGTH = 250_000, 100_000, 48
 
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!&%$#*|?;:]*)")
 
@@ -42,16 +42,18 @@ def byte_level() -> dict[int, str]:
 
 
 class Encoded(dict):
-    """Token ids, as bytes, by what stands between two spaces.
+    """Token ids, as bytes, by what stands between two spaces or line breaks.
 
     The tokenizer drops white space before it merges, so such parts are independent.  A
     part of letters and a run of punctuation is split there as by the tokenizer's pattern
-    and goes to its model at once; any other part goes through the whole tokenizer.
+    and goes to its model at once; any other part goes through the whole tokenizer.  Words
+    have most of the room, as they are costly; how they are written and what stands behind
+    them makes many more parts, which are quickly joined from kept words.
     """
 
     def __init__(self, tokenizer, kind: str):
         super().__init__()
-        self.tokenizer, self.room = tokenizer, CACHED
+        self.tokenizer, self.room, self.joined_room = tokenizer, CACHED, CACHED_JOINED
         self.pack = lambda n, ids: struct.pack(f"<{n}{'H' if kind == '<u2' else 'I'}", *ids)
         self.bytes_as = byte_level()
         self[""] = b""
@@ -60,7 +62,11 @@ class Encoded(dict):
         if found := SIMPLE.fullmatch(part):
             word, marks = found[1].lower(), found[2]
             if marks or word != part:
-                return self.keep(part, self[word] + (self[marks] if marks else b""))
+                ids = self[word] + self[marks]
+                if self.joined_room and len(part) <= CACHED_LENGTH:
+                    self.joined_room -= 1
+                    self[part] = ids
+                return ids
             mapped = word if word.isascii() else "".join(self.bytes_as[b] for b in word.encode())
             ids = [t.id for t in self.tokenizer.model.tokenize(mapped)]
         else:
@@ -74,7 +80,7 @@ class Encoded(dict):
         return ids
 
     def text(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, text.split(" "))) if text else b""
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
 
 
 def encoder(spark, tokenizer_path: str) -> tuple[Callable[[], Encoded], str]:

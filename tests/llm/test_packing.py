@@ -54,6 +54,18 @@ def test_a_part_has_the_tokenizers_ids(part):
     assert packing.Encoded(LIBRARY, "<u4").text(part) == ids(part)[:-1].tobytes()
 
 
+def test_line_breaks_part_words_and_words_keep_the_room():
+    """Neither parts across a line break nor ways of writing a word take the room of words."""
+    encoded = packing.Encoded(LIBRARY, "<u4")
+    text = "Abc.\nabc, ABC!\n\nabc\n"
+    assert encoded.text(text) == ids(text)[:-1].tobytes()
+    assert "Abc.\nabc," not in encoded and "abc" in encoded
+    assert packing.CACHED - encoded.room == len({"abc", ".", ",", "!"})
+    assert packing.CACHED_JOINED - encoded.joined_room == len({"Abc.", "abc,", "ABC!"})
+    encoded.room = encoded.joined_room = 0
+    assert encoded.text("Wholly Unkept words.\nAbc. ABC?") == ids("Wholly Unkept words.\nAbc. ABC?")[:-1].tobytes()
+
+
 def test_query_fills_windows_in_proportion(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
     rows = QUERIES["op5_packing"](spark, sf).collect()
