@@ -33,11 +33,14 @@ from entitylake.operators.search import (
     query_terms,
     top_ranked,
 )
+from entitylake.sources.stage import staged
 
 #: Documents of a block, about.
 BLOCK_DOCS = 256
 #: Blocks of a slice of the table of bounds.
 SLICE_BLOCKS = 1 << 16
+#: Blocks of a range that one task lays out, for each bucket.
+RANGE_BLOCKS = 8
 
 
 @dataclass(frozen=True)
@@ -65,7 +68,7 @@ class BlockIndex:
 def counted_fields(
     docs: DataFrame, fields: Sequence[str], exact_fields: Sequence[str] = (), doc_id: str = "doc_id", tokenizer: Tokenizer = X.words
 ) -> DataFrame:
-    """(doc_id, fields): each document's terms and length per field, counted inside its row.
+    """(doc_id, block, fields): the terms and length per field of documents in blocks, counted inside their rows.
 
     An exact field is a single term as it is; a field without terms is left out.
     """
@@ -76,16 +79,18 @@ def counted_fields(
         return let(tokens, lambda t: record(field=F.lit(field), doc_len=F.size(t), counts=X.term_counts(t)))
 
     filled = F.filter(F.array(*[count(f, tokens) for f, tokens in sides]), lambda c: c["doc_len"] > 0)
-    return docs.select(doc_id, filled.alias("fields"))
+    return docs.select(doc_id, "block", filled.alias("fields"))
 
 
-def in_blocks(counted: DataFrame, block_docs: int = BLOCK_DOCS, doc_id: str = "doc_id") -> DataFrame:
-    """``counted`` with ``block``: ranges of ids with about so many documents each.
+def in_blocks(docs: DataFrame, block_docs: int = BLOCK_DOCS, doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` with ``block``: ranges of ids with about so many documents each.
 
-    To be written before it is read twice: the bounds of the ranges come from a sample.
+    What comes of it is to be written before it is read twice: the bounds of the ranges
+    come from a sample.  Taking it computes all that stands before, so terms are counted
+    behind it, where the blocks deal the work too.
     """
-    blocks = counted.count() // block_docs + 1
-    return counted.repartitionByRange(blocks, doc_id).withColumn("block", F.spark_partition_id())
+    blocks = docs.count() // block_docs + 1
+    return docs.repartitionByRange(blocks, doc_id).withColumn("block", F.spark_partition_id())
 
 
 def block_totals(counted: DataFrame) -> DataFrame:
@@ -96,32 +101,45 @@ def block_totals(counted: DataFrame) -> DataFrame:
     )
 
 
-def posting_blocks(counted: DataFrame, doc_id: str = "doc_id", buckets: int = BUCKETS) -> DataFrame:
-    """(field, bucket, term, block, postings) of documents in blocks; a row holds a block's documents at most."""
-    each = counted.select(doc_id, "block", F.inline("fields"))
-    posts = each.select("field", "block", F.col(doc_id).alias("doc_id"), "doc_len", F.inline("counts"))
-    grouped = posts.groupBy("field", "term", "block").agg(F.array_sort(F.collect_list(F.struct("doc_id", "tf", "doc_len"))).alias("postings"))
-    return grouped.select("field", bucket_of("term", buckets).alias("bucket"), "term", "block", "postings")
+def posting_blocks(counted: DataFrame, totals: DataFrame, doc_id: str = "doc_id", buckets: int = BUCKETS) -> DataFrame:
+    """(field, bucket, term, block, postings) of documents in blocks with the bounds of each, ordered as they are stored.
 
-
-def block_bounds(blocks: DataFrame, totals: DataFrame) -> DataFrame:
-    """The table of bounds of posting blocks.  ``max_norm`` is the largest BM25 part short of the term's weight."""
+    A row holds a block's documents at most.  Postings are shuffled once: a partition has
+    whole ranges of blocks of a bucket, so a frequent term is in many of them.  ``max_norm``
+    is the largest BM25 part short of the term's weight.
+    """
     whole = totals.select("field", F.col("n_docs").alias("_n"), F.col("total_len").alias("_len"))
-    rows = blocks.join(F.broadcast(whole), "field")  # a row per field
-    collection = Totals(F.col("_n"), F.col("_len"))
-    norms = F.transform("postings", lambda p: bm25_norm(p["tf"], p["doc_len"], collection))
-    return rows.select(
+    each = counted.select(F.col(doc_id).alias("doc_id"), "block", F.inline("fields")).join(F.broadcast(whole), "field")  # a row per field
+    posts = each.select("field", "block", "doc_id", "doc_len", "_n", "_len", F.inline("counts"))
+    posts = posts.withColumns({"bucket": bucket_of("term", buckets), "_range": F.floor(F.col("block") / (RANGE_BLOCKS * buckets)).cast("int")})
+    dealt = posts.repartition("field", "bucket", "_range")
+    grouped = dealt.groupBy("field", "bucket", "term", "block", "_range").agg(
+        F.sort_array(F.collect_list(F.struct("doc_id", "tf", "doc_len"))).alias("postings"),
+        F.max("tf").alias("max_tf"),
+        F.min("doc_len").alias("min_len"),
+        F.max(bm25_norm(F.col("tf"), F.col("doc_len"), Totals(F.col("_n"), F.col("_len")))).alias("max_norm"),
+    )
+    rows = grouped.select(
         "field",
+        "bucket",
         "term",
-        F.floor(F.col("block") / SLICE_BLOCKS).cast("int").alias("slice"),
         "block",
+        "postings",
         F.element_at("postings", 1)["doc_id"].alias("first_doc"),
         F.element_at("postings", -1)["doc_id"].alias("last_doc"),
         F.size("postings").alias("n"),
-        F.array_max(F.transform("postings", lambda p: p["tf"])).alias("max_tf"),
-        F.array_min(F.transform("postings", lambda p: p["doc_len"])).alias("min_len"),
-        F.array_max(norms).alias("max_norm"),
+        "max_tf",
+        "min_len",
+        "max_norm",
     )
+    return rows.sortWithinPartitions("field", "bucket", "term", "block")
+
+
+def block_bounds(blocks: DataFrame) -> DataFrame:
+    """The table of bounds of stored posting blocks; a partition has whole slices of terms, in order."""
+    slice_ = F.floor(F.col("block") / SLICE_BLOCKS).cast("int").alias("slice")
+    rows = blocks.select("field", "term", slice_, "block", "first_doc", "last_doc", "n", "max_tf", "min_len", "max_norm")
+    return rows.repartition("field", "term", "slice").sortWithinPartitions("field", "term", "block")
 
 
 def block_terms(bounds: DataFrame) -> DataFrame:
@@ -157,7 +175,11 @@ def score_blocks(index: BlockIndex, chosen: DataFrame, field: str, weight: str |
     """(query, doc_id, score) of all documents in the chosen (query, block, terms)."""
     weigh = WEIGHTS[weight] if isinstance(weight, str) else weight
     wanted = chosen.select("query", "block", F.inline("terms")).withColumn("bucket", bucket_of("term", index.buckets))
-    opened = index.blocks.where(F.col("field") == field).join(wanted, ["bucket", "term", "block"])
+    # written, so that Spark knows whether they are few: then no postings are shuffled
+    wanted = staged(wanted)
+    here = index.blocks.where(F.col("field") == field)
+    asked = staged(wanted.select("bucket", "term").distinct())
+    opened = here.join(asked, ["bucket", "term"], "left_semi").join(wanted, ["bucket", "term", "block"])
     hits = opened.select("query", "qtf", "df", F.inline("postings"))
     part = F.col("qtf") * weigh(F.col("tf"), F.col("df"), F.col("doc_len"), index.of(field))
     scores = hits.groupBy("query", "doc_id").agg(F.sum(part).alias("score"))
@@ -171,7 +193,8 @@ def asked_terms(index: BlockIndex, queries: Sequence[str] | DataFrame, field: st
     else:
         wanted = query_terms(index.terms.sparkSession, queries, tokenizer)
     known = index.terms.where(F.col("field") == field).drop("field")
-    return known.join(wanted.select("query", "term", "qtf"), "term")
+    # written, so that Spark knows whether they are few when they meet the bounds
+    return staged(known.join(wanted.select("query", "term", "qtf"), "term"))
 
 
 def promising(index: BlockIndex, bounds: DataFrame, field: str, weight: str | Weight, top: int) -> DataFrame:
@@ -201,10 +224,9 @@ def search_blocks(
 ) -> DataFrame:
     """(query, rank, doc_id, score): as ``search_field``, reading only blocks that can hold a result.
 
-    ``bounds`` are the ``query_bounds`` of these queries where the caller has written them;
-    otherwise they are computed for both passes.
+    ``bounds`` are the ``query_bounds`` of these queries where the caller has written them.
     """
     if bounds is None:
-        bounds = query_bounds(index, asked_terms(index, queries, field, tokenizer), field, weight)
+        bounds = staged(query_bounds(index, asked_terms(index, queries, field, tokenizer), field, weight))
     chosen = promising(index, bounds, field, weight, top)
     return top_ranked(score_blocks(index, chosen, field, weight), top)

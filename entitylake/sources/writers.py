@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from entitylake.functions.text import words
 from entitylake.operators.blocks import (
@@ -125,17 +126,15 @@ def write_block_index(
     Term counts are staged once in blocks of documents; from there on only postings move.
     """
     spark = docs.sparkSession
-    counted = staged(in_blocks(counted_fields(docs, fields, exact_fields, tokenizer=tokenizer), block_docs), owner=path)
+    texts = in_blocks(docs.select(*dict.fromkeys(["doc_id", *fields, *exact_fields])), block_docs)
+    counted = staged(counted_fields(texts, fields, exact_fields, tokenizer=tokenizer), owner=path)
     block_totals(counted).write.mode("overwrite").parquet(f"{path}/totals")
-    order = ["field", "bucket", "term", "block"]
-    laid_out = posting_blocks(counted, buckets=buckets).repartitionByRange(*order).sortWithinPartitions(*order)
+    laid_out = posting_blocks(counted, spark.read.parquet(f"{path}/totals"), buckets=buckets)
     laid_out.write.mode("overwrite").partitionBy("field", "bucket").parquet(f"{path}/blocks")
-    bounds = block_bounds(_blocks(spark, path, docs.schema["doc_id"].dataType.simpleString()), spark.read.parquet(f"{path}/totals"))
-    bounds.repartitionByRange("field", "term", "block").sortWithinPartitions("field", "term", "block").write.mode(
-        "overwrite"
-    ).parquet(f"{path}/bounds")
-    terms = block_terms(spark.read.parquet(f"{path}/bounds"))
-    terms.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{path}/terms")
+    of_blocks = StructType([f for f in laid_out.schema if f.name not in ("field", "bucket")]).add("field", "string").add("bucket", "integer")
+    block_bounds(spark.read.schema(of_blocks).parquet(f"{path}/blocks")).write.mode("overwrite").parquet(f"{path}/bounds")
+    terms = block_terms(spark.read.parquet(f"{path}/bounds")).sortWithinPartitions("field", "term")
+    terms.write.mode("overwrite").parquet(f"{path}/terms")
     release(spark, owner=path)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -112,3 +113,22 @@ def test_a_stop_word_is_cut_into_slices(spark, docs, monkeypatch, tmp_path):
 def test_no_documents(spark, docs, tmp_path):
     writers.write_block_index(docs.limit(0), str(tmp_path / "i"), ["content"])
     assert blocks.search_blocks(writers.read_block_index(spark, str(tmp_path / "i")), QUERIES).count() == 0
+
+
+def test_terms_are_counted_behind_the_blocks_and_postings_move_once(docs):
+    """The sample of a range computes all that stands before it, so no term is counted there."""
+    counted = blocks.counted_fields(blocks.in_blocks(docs, 20), ["content"])
+    found = counted._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in found and found.index("regexp_extract_all") < found.index("rangepartitioning")
+    plan = blocks.posting_blocks(counted, blocks.block_totals(counted))._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"hashpartitioning\(field, \w+", re.sub(r"#\d+L?", "", plan))
+    assert "rangepartitioning(field" not in plan and dealt.count("hashpartitioning(field, bucket") == 1
+    assert "hashpartitioning(field, term" not in dealt
+
+
+def test_few_asked_terms_leave_the_postings_where_they_are(stored):
+    """Only rows of asked terms go on from the scan; the table of postings is not shuffled."""
+    asked = blocks.asked_terms(stored, ["w0 rare3"], "content", X.words)
+    scores = blocks.score_blocks(stored, blocks.query_bounds(stored, asked, "content", "bm25"), "content", "bm25")
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 2
