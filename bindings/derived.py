@@ -39,6 +39,19 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(int(partitions), F.hash(key)) if partitions else df
 
 
+#: Rows of a table that a task makes records of.
+RECORD_ROWS = 10_000
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly over tasks of about ``RECORD_ROWS``; fewer than twice as many stay where they are.
+
+    For narrow rows that much is made of: a file of a megabyte is one task, whatever comes of its rows.
+    """
+    tasks = df.count() // RECORD_ROWS
+    return df.repartition(tasks) if tasks > 1 else df
+
+
 # --- dump pages from documents ------------------------------------------------
 
 
@@ -205,7 +218,7 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
         )
 
     members = F.array(F.struct(text_of("M", k).alias("name")), F.struct(F.lit("Zed").alias("name")))
-    return table(spark, sf, "part").select(
+    return dealt(table(spark, sf, "part")).select(
         "p_partkey",
         F.when(k % 50 != 7, text_of("p", k)).alias("uuid"),
         F.when(k % 31 != 0, F.col("p_name")).alias("name"),
