@@ -2,9 +2,10 @@
 
 A line is its set of words.  Words are ordered by rarity in the whole corpus; two sets of
 a Jaccard similarity of at least the threshold share a word of their prefixes.  Equal
-sets meet first, by a signature.  For the others, prefix words are the join key, and
-length, position in the prefix and a bitmap of parities bound the overlap before words
-are compared.  A line needs only one earlier match to go, so each line is verified
+sets meet first, by a signature.  For the others, prefix words are the join key: their
+postings are dealt in buckets, many to a row, and within a word the shorter set needs its
+first words only and meets no set that is too long.  Position in the prefix and a bitmap
+of parities bound the overlap before words are compared.  A line needs only one earlier match to go, so each line is verified
 against its few most promising earlier lines; only where these fail are all others tried.
 
 Words are runs of bytes other than ASCII white space, with A-Z in lower case.  They are
@@ -31,10 +32,12 @@ HASH_BITS, CLASS_BITS = 38, 6
 #: Rows of a prefix word, beyond which its rows are sliced and the slices meet pairwise,
 #: and bits of a word that number the cells in which rows are counted first.
 SLICE_ROWS, CELL_BITS = 16_384, 16
+#: Postings that a task gathers before it deals them, and that a bucket has on average.
+POSTED, BUCKET_ROWS = 1_000_000, 131_072
 #: Earlier lines that a line is verified against first.
 FIRST_TRIED = 1
 #: Pairs compared at a time, and bytes of text hashed at a time (a longer text at once).
-PAIRS, CHUNK_BYTES = 500_000, 500_000
+PAIRS, CHUNK_BYTES = 200_000, 125_000
 #: Bits of the maps that say which lines and documents are concerned (2 MB, whatever the data).
 MAP_BITS = 24
 
@@ -82,6 +85,16 @@ def chunks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
         at = end
 
 
+def begun(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where lines begin in the bytes of some texts, and for each line its text and number there."""
+    begins = np.concatenate([[0], ends[:-1]])
+    breaks = np.flatnonzero(raw == 10)
+    # lines begin at the beginning of a text and behind a line break
+    heads = np.unique(np.concatenate([begins[begins < len(raw)], breaks[breaks + 1 < len(raw)] + 1]))
+    of_text = np.searchsorted(ends, heads, side="right")
+    return heads, of_text, np.searchsorted(breaks, heads) - np.searchsorted(breaks, begins)[of_text]
+
+
 def hashed(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all words with their line, and for each line its text and number there."""
     if not len(raw):
@@ -98,14 +111,8 @@ def hashed(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     total = np.cumsum((lower_table()[raw].astype(np.uint64) + np.uint64(1)) * up[: len(raw)], dtype=np.uint64)
     before = np.where(starts > 0, total[starts - 1], np.uint64(0))
     words = mixed((total[stops] - before) * down[starts])
-    breaks = np.flatnonzero(raw == 10)
-    # lines begin at the beginning of a text and behind a line break
-    heads = np.unique(np.concatenate([begins[begins < len(raw)], breaks[breaks + 1 < len(raw)] + 1]))
-    line = np.searchsorted(heads, starts, side="right") - 1
-    of_text = np.searchsorted(ends, heads, side="right")
-    broken = np.searchsorted(breaks, heads)
-    number = broken - np.searchsorted(breaks, begins)[of_text]
-    return words, line, of_text, number
+    heads, of_text, number = begun(raw, ends)
+    return words, np.searchsorted(heads, starts, side="right") - 1, of_text, number
 
 
 def rarity(docs: DataFrame, text: str) -> np.ndarray:
@@ -253,11 +260,12 @@ def prefix_rows(unique: DataFrame, *, of_lines: np.ndarray | None = None, of_wor
     return rows.mapInArrow(lean(run), "token int, doc long, line int, bits long, more_bits long, n int, i int")
 
 
-def hot_words(unique: DataFrame) -> DataFrame:
-    """``token, _slices`` of the prefix words with more than ``SLICE_ROWS`` rows.
+def hot_words(unique: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """The prefix words with more than ``SLICE_ROWS`` rows, their numbers of slices, and the rows of all words.
 
     Rows are counted by cell first, in a table of fixed size; only in cells with so many
-    rows can such a word be, and only their words are counted one by one.
+    rows can such a word be, and only their words are counted one by one.  Of
+    ``SLICE_ROWS`` rows there is one such word at most.
     """
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,69 +277,154 @@ def hot_words(unique: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_pydict({"cell": found.astype(np.int32), "n": total[found]})
 
     prefixes = unique.where("prefix is not null").select("prefix")
-    cells = prefixes.mapInArrow(lean(tally), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > SLICE_ROWS)
-    token = F.explode("prefix").alias("token")
-    words = prefixes.select(token).withColumn("cell", F.shiftrightunsigned("token", 32 - CELL_BITS))
-    some = words.join(F.broadcast(cells.select("cell")), "cell", "left_semi")
-    counts = some.groupBy("token").agg(F.count("*").alias("rows")).where(F.col("rows") > SLICE_ROWS)
-    # written, so that Spark knows the size when it plans the join
-    return staged(counts.select("token", F.ceil(F.col("rows") / SLICE_ROWS).cast("int").alias("_slices")))
-
-
-def sliced(rows: DataFrame, hot: DataFrame) -> DataFrame:
-    """Prefix rows dealt by word; a word with many rows in pairs of slices."""
-    own = F.pmod(F.xxhash64("doc", "line"), F.col("_slices")).cast("int")
-    slices = F.transform(
-        F.sequence(F.lit(0), F.col("_slices") - 1),
-        lambda s: (F.least(s, F.col("_own")) * F.col("_slices") + F.greatest(s, F.col("_own"))).cast("int"),
-    )
-    blocks = F.when(F.col("_slices").isNull(), F.array(F.lit(0))).otherwise(slices)
-    dealt = rows.join(hot, "token", "left").withColumn("_own", own).withColumn("block", F.explode(blocks)).drop("_own", "_slices")
-    return dealt.repartition("token", "block").sortWithinPartitions("token", "block")
+    counted = prefixes.mapInArrow(lean(tally), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cell, n = counted.column("cell").to_numpy(), counted.column("n").to_numpy()
+    full = np.zeros(1 << CELL_BITS, bool)
+    full[cell[n > SLICE_ROWS]] = True
+    if not full.any():
+        return np.empty(0, np.uint32), np.empty(0, np.int64), int(n.sum())
+    sent = unique.sparkSession.sparkContext.broadcast(full)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            token = batch.column(0).flatten().to_numpy()
+            yield pa.RecordBatch.from_pydict({"token": token[sent.value[token.view(np.uint32) >> np.uint32(32 - CELL_BITS)]]})
+
+    words = prefixes.mapInArrow(lean(pick), "token int").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > SLICE_ROWS)
+    hot = words.toArrow()
+    token, rows = hot.column("token").to_numpy().view(np.uint32), hot.column("n").to_numpy()
+    order = np.argsort(token)
+    slices = -(-rows // SLICE_ROWS)
+    return token[order], slices[order], int(n.sum() + ((slices - 1) * rows).sum())
+
+
+def packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Runs of unsigned numbers as bytes, each number in as few as the largest needs."""
+    kind = np.min_scalar_type(values.max(initial=0))
+    buffers = [None, pa.py_buffer((bounds * kind.itemsize).astype(np.int32)), pa.py_buffer(values.astype(kind))]
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, buffers)
+
+
+def unpacked(runs: pa.ChunkedArray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of packed runs, one run after the other; a plain number is all of its run."""
+    if pa.types.is_integer(runs.type):
+        return np.repeat(runs.to_numpy().astype(np.uint64), sizes)
+    parts = [np.frombuffer(raw, f"u{len(raw) // size}") for raw, size in zip(runs.to_pylist(), sizes.tolist(), strict=True)]
+    return np.concatenate(parts, dtype=np.uint64)
+
+
+def postings(unique: DataFrame) -> DataFrame:
+    """``bucket, size, word, doc, line, bits, more_bits, n, i``: the rows of prefix words, dealt by word.
+
+    A row holds some rows of some words of one bucket, ``size`` of them, as packed numbers;
+    ``i`` is the place in the prefix.  A word with many rows is dealt in pairs of slices,
+    each a word of its own.  Words are hashes; where two are taken for one, lines meet
+    that need not.
+    """
+    token, slices, total = hot_words(unique)
+    buckets = np.uint64(max(1, -(-total // BUCKET_ROWS)))
+    sent = unique.sparkSession.sparkContext.broadcast((token, slices))
+
+    def posted(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        doc, line, bits, more_bits, n = (table.column(c).to_numpy() for c in range(5))
+        lists = table.column(5).chunk(0)
+        length = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        of, i = np.repeat(np.arange(len(lists)), length), ragged(np.zeros(len(lists), np.int64), length)
+        word = lists.flatten().to_numpy().view(np.uint32)
+        hot, times = sent.value
+        if len(hot):
+            at = np.minimum(np.searchsorted(hot, word), len(hot) - 1)
+            parts = np.where(hot[at] == word, times[at], 1)
+            own = (mixed(doc[of].view(np.uint64) * np.uint64(FACTOR) + line[of].astype(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
+            row, other = np.repeat(np.arange(len(word)), parts), ragged(np.zeros(len(word), np.int64), parts)
+            pair = np.minimum(own[row], other) * parts[row] + np.maximum(own[row], other)
+            word, of, i, alone = word[row], of[row], i[row], parts[row] == 1
+            word = np.where(alone, word, (mixed((word + (pair.astype(np.uint64) << np.uint64(32))) * np.uint64(FACTOR)) >> np.uint64(32)).astype(np.uint32))
+        bucket = mixed(word.astype(np.uint64) * np.uint64(FACTOR)) % buckets
+        order = np.argsort((bucket << np.uint64(32)) | word)
+        bucket, of = bucket[order], of[order]
+        bounds = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)]), len(bucket))
+        columns = {"word": word[order], "doc": doc[of].view(np.uint64), "line": line[of].view(np.uint32), "bits": bits[of].view(np.uint64)}
+        columns |= {"more_bits": more_bits[of].view(np.uint64), "n": n[of].view(np.uint32), "i": i[order].astype(np.uint32)}
+        numbers = {"bucket": bucket[bounds[:-1]].astype(np.int32), "size": np.diff(bounds).astype(np.int32)}
+        return pa.RecordBatch.from_pydict(numbers | {name: packed(values, bounds) for name, values in columns.items()})
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for batch in batches:
+            held.append(batch)
+            count += len(batch.column(5).flatten())
+            if count >= POSTED:
+                yield posted(held)
+                held, count = [], 0
+        if count:
+            yield posted(held)
+
+    rows = unique.where("size(prefix) > 0").select("doc", "line", "bits", "more_bits", "n", "prefix")
+    kinds = "bucket int, size int, word binary, doc binary, line binary, bits binary, more_bits binary, n binary, i binary"
+    return rows.mapInArrow(lean(deal), kinds).repartition("bucket").sortWithinPartitions("bucket")
 
 
 def promising(rows: DataFrame, similarity: float) -> DataFrame:
     """``doc, line, other_doc, other_line, more``: the earlier lines with the highest bound on similarity.
 
-    Each block of rows gives ``FIRST_TRIED`` for a line at most; ``more`` says that some
-    block has further ones.
+    Each word gives ``FIRST_TRIED`` for a line at most; ``more`` says that some word has
+    further ones.
     """
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["token", "block"]):
-            bounds = group_bounds(table, ["token", "block"])
-            size = np.diff(bounds)
-            doc, line, bits, more_bits, n, i = (table.column(c).to_numpy() for c in ("doc", "line", "bits", "more_bits", "n", "i"))
-            bits, more_bits = bits.view(np.uint64), more_bits.view(np.uint64)
-            # each row meets the rows behind it in its group
-            behind = np.repeat(bounds[1:], size) - np.arange(len(doc)) - 1
-            upto = np.cumsum(behind)
-            later_row = earlier_row = np.empty(0, np.int64)
-            score, more = np.empty(0), np.zeros(len(doc), bool)
-            at = 0
-            while at < len(doc):
-                end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS)))
-                a = np.repeat(np.arange(at, end), behind[at:end])
-                b = ragged(np.arange(at, end) + 1, behind[at:end])
-                at = end
-                total = n[a] + n[b]
-                differ = np.bitwise_count(bits[a] ^ bits[b]).astype(np.int64) + np.bitwise_count(more_bits[a] ^ more_bits[b])
-                shared = np.minimum((total - differ) // 2, np.minimum(n[a] - i[a], n[b] - i[b]))
-                near = shared >= overlap(similarity, total)
-                a, b, shared, total = a[near], b[near], shared[near], total[near]
-                later = (doc[a] > doc[b]) | ((doc[a] == doc[b]) & (line[a] > line[b]))
-                later_row = np.concatenate([later_row, np.where(later, a, b)])
-                earlier_row = np.concatenate([earlier_row, np.where(later, b, a)])
-                score = np.concatenate([score, shared / (total - shared)])
-                order = np.lexsort((line[earlier_row], doc[earlier_row], -score, later_row))
-                head = np.append(True, np.diff(later_row[order]) != 0)[: len(order)]
-                rank = np.arange(len(order)) - np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
-                more[later_row[order[rank >= FIRST_TRIED]]] = True
-                keep = order[rank < FIRST_TRIED]
-                later_row, earlier_row, score = later_row[keep], earlier_row[keep], score[keep]
-            yield pa.RecordBatch.from_pydict({
-                "doc": doc[later_row], "line": line[later_row], "other_doc": doc[earlier_row], "other_line": line[earlier_row], "more": more[later_row],
-            })
+        for table in whole_groups(batches, ["bucket"], 1):
+            bounds = group_bounds(table, ["bucket"])
+            for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                yield meet(table.slice(low, high - low))
+
+    def meet(bucket: pa.Table) -> pa.RecordBatch:
+        sizes = bucket.column("size").to_numpy()
+        word, n = unpacked(bucket.column("word"), sizes), unpacked(bucket.column("n"), sizes)
+        key = (word << np.uint64(32)) | n
+        order = np.argsort(key)
+        key, word, n = key[order], word[order], n[order].astype(np.int64)
+        doc, line, bits, more_bits, i = (unpacked(bucket.column(c), sizes)[order] for c in ("doc", "line", "bits", "more_bits", "i"))
+        doc, line, i = doc.view(np.int64), line.astype(np.int32), i.astype(np.int64)
+        # a row meets the rows behind it, of sets as long or longer; where the sets match, their
+        # first common word is among the words here that the shorter one has beyond the least overlap
+        longest = np.minimum(np.floor(n / similarity + 1e-6), 2**32 - 1).astype(np.uint64)
+        upto_row = np.searchsorted(key, (word << np.uint64(32)) | longest, side="right")
+        at_row = np.arange(len(key))
+        behind = np.where(i <= n - overlap(similarity, 2 * n), upto_row - at_row - 1, 0)
+        upto = np.cumsum(behind)
+        later_row = earlier_row = np.empty(0, np.int64)
+        score, more = np.empty(0), np.zeros(len(key), bool)
+        rest, at = n - i, 0
+        while at < len(key):
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS)))
+            a = np.repeat(at_row[at:end], behind[at:end])
+            b = ragged(at_row[at:end] + 1, behind[at:end])
+            at = end
+            total = n[a] + n[b]
+            need = overlap(similarity, total)
+            some = np.flatnonzero(np.minimum(rest[a], rest[b]) >= need)
+            a, b, total, need = a[some], b[some], total[some], need[some]
+            differ = np.bitwise_count(bits[a] ^ bits[b]).astype(np.int64) + np.bitwise_count(more_bits[a] ^ more_bits[b])
+            shared = np.minimum((total - differ) // 2, np.minimum(rest[a], rest[b]))
+            near = np.flatnonzero(shared >= need)
+            a, b, shared, total = a[near], b[near], shared[near], total[near]
+            later = (doc[a] > doc[b]) | ((doc[a] == doc[b]) & (line[a] > line[b]))
+            later_row = np.concatenate([later_row, np.where(later, a, b)])
+            earlier_row = np.concatenate([earlier_row, np.where(later, b, a)])
+            score = np.concatenate([score, shared / (total - shared)])
+            if len(later_row) < PAIRS and at < len(key):
+                continue
+            order = np.lexsort((line[earlier_row], doc[earlier_row], -score, later_row))
+            head = np.append(True, np.diff(later_row[order]) != 0)[: len(order)]
+            rank = np.arange(len(order)) - np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
+            more[later_row[order[rank >= FIRST_TRIED]]] = True
+            keep = order[rank < FIRST_TRIED]
+            later_row, earlier_row, score = later_row[keep], earlier_row[keep], score[keep]
+        return pa.RecordBatch.from_pydict({
+            "doc": doc[later_row], "line": line[later_row], "other_doc": doc[earlier_row], "other_line": line[earlier_row], "more": more[later_row],
+        })
 
     found = rows.mapInArrow(lean(search), "doc long, line int, other_doc long, other_line int, more boolean")
     return found.groupBy("doc", "line", "other_doc", "other_line").agg(F.max("more").alias("more"))
@@ -348,16 +441,17 @@ def verified(docs: DataFrame, id_col: str, text: str, pairs: DataFrame, similari
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {"doc": [], "line": [], "raw": []}
-            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = value.as_py() or b""
-                numbers = np.flatnonzero(has(sent.value, line_cell(doc, np.arange(raw.count(b"\n") + 1)))).tolist()
-                lines = raw.split(b"\n") if numbers else ()
-                out["doc"] += [doc] * len(numbers)
-                out["line"] += numbers
-                out["raw"] += [lines[k] for k in numbers]
-            kinds = (pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
+            ids = batch.column(0).to_numpy()
+            for raw, ends, which in chunks(batch.column(1)):
+                heads, of_text, number = begun(raw, ends)
+                doc = ids[which[of_text]]
+                mine = np.flatnonzero(has(sent.value, line_cell(doc, number)))
+                # up to the line break, or where the text ends
+                breaks = np.append(np.flatnonzero(raw == 10), len(raw))
+                stops = np.minimum(breaks[np.searchsorted(breaks, heads[mine])], ends[of_text[mine]])
+                lines = [raw[a:b].tobytes() for a, b in zip(heads[mine].tolist(), stops.tolist(), strict=True)]
+                columns = [pa.array(doc[mine]), pa.array(number[mine].astype(np.int32)), pa.array(lines, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc", "line", "raw"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -365,10 +459,12 @@ def verified(docs: DataFrame, id_col: str, text: str, pairs: DataFrame, similari
             same = [len(x & y) >= overlap(similarity, len(x) + len(y)) for x, y in zip(a, b, strict=True)]
             yield batch.drop_columns(["raw", "other_raw"]).append_column("same", pa.array(same, pa.bool_()))
 
-    known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text).cast("binary").alias("text"))
+    known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.coalesce(text, F.lit("")).alias("text"))
     texts = staged(known.mapInArrow(lean(pick), "doc long, line int, raw binary"))
-    others = texts.select(F.col("doc").alias("other_doc"), F.col("line").alias("other_line"), F.col("raw").alias("other_raw"))
-    both = pairs.join(texts, ["doc", "line"]).join(others, ["other_doc", "other_line"]).select("doc", "line", "more", "raw", "other_raw")
+    # both sides by alike projections, so that Spark shuffles the texts once for the two joins
+    own, others = (texts.select(F.col("doc").alias(f"{c}doc"), F.col("line").alias(f"{c}line"), F.col("raw").alias(f"{c}raw")) for c in ("own_", "other_"))
+    mine = own.withColumnsRenamed({"own_doc": "doc", "own_line": "line", "own_raw": "raw"})
+    both = pairs.join(mine, ["doc", "line"]).join(others, ["other_doc", "other_line"]).select("doc", "line", "more", "raw", "other_raw")
     compared = both.mapInArrow(lean(compare), "doc long, line int, more boolean, same boolean")
     return compared.groupBy("doc", "line").agg(F.max("same").alias("same"), F.max("more").alias("more"))
 
@@ -380,15 +476,16 @@ def repeated_lines(docs: DataFrame, *, id_col: str, text: str, similarity: float
     all documents share is no large group there.
     """
     sets = line_sets(docs, id_col, text, similarity, least_words)
-    key = ("sig", "bits", "more_bits", F.when(F.col("gone"), F.xxhash64("doc", "line")))
-    in_order = Window.partitionBy(*key).orderBy("doc", "line")
-    ranked = sets.withColumn("first", F.first(F.struct("doc", "line")).over(in_order)).withColumn("place", F.row_number().over(in_order))
+    # a column of its own and both numbers at once, so that the rows are shuffled once
+    keyed = sets.withColumn("_own", F.when(F.col("gone"), F.xxhash64("doc", "line")))
+    in_order = Window.partitionBy("sig", "bits", "more_bits", "_own").orderBy("doc", "line")
+    ranked = keyed.select("*", F.first(F.struct("doc", "line")).over(in_order).alias("first"), F.row_number().over(in_order).alias("place"))
     moved = (F.col("doc") != F.col("first.doc")) | (F.col("line") != F.col("first.line"))
     prefix = F.when((F.col("place") == 1) & ~F.col("gone"), F.col("prefix"))
     unique = staged(ranked.select("doc", "line", "bits", "more_bits", "n", prefix.alias("prefix"), (F.col("gone") | moved).alias("gone")))
     equal = unique.where("gone").select("doc", "line")
 
-    tried = staged(promising(sliced(prefix_rows(unique), hot_words(unique)), similarity))
+    tried = staged(promising(postings(unique), similarity))
     checked = staged(verified(docs, id_col, text, tried, similarity))
     gone = equal.union(checked.where("same").select("doc", "line"))
     open_ = checked.where("more and not same").select("doc", "line")
@@ -429,7 +526,7 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     docs = docs.drop("n_lines", "n_removed")
     gone = repeated_lines(docs, id_col=id_col, text=text, similarity=similarity, least_words=least_words)
     by_doc = staged(gone.groupBy(F.col("doc").alias(id_col)).agg(F.collect_set("line").alias("_lines")))
-    # only documents that may lose a line are shuffled to meet their lines
+    # only documents that may lose a line are shuffled to meet their lines, which grow with the input: no broadcast
     sent = docs.sparkSession.sparkContext.broadcast(marked(by_doc.select(F.pmod(id_col, F.lit(1 << MAP_BITS)).alias("cell"))))
 
     def concerned(yes: bool):
@@ -442,7 +539,7 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
 
         return run
 
-    some = docs.mapInArrow(lean(concerned(True)), docs.schema).join(by_doc, id_col, "left").select(*docs.columns, "_lines")
+    some = docs.mapInArrow(lean(concerned(True)), docs.schema).join(by_doc.hint("merge"), id_col, "left").select(*docs.columns, "_lines")
     rows = docs.mapInArrow(lean(concerned(False)), docs.schema).withColumn("_lines", F.lit(None).cast("array<int>")).unionByName(some)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

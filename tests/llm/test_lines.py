@@ -78,6 +78,46 @@ def test_where_promising_candidates_fail_all_others_are_tried(spark, monkeypatch
     assert result(lines.without_repeats(df)) == brute(documents)
 
 
+def test_sets_are_shuffled_once_to_find_equal_ones(spark, monkeypatch):
+    plans, write = [], lines.staged
+
+    def noted(df, owner=""):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, owner)
+
+    monkeypatch.setattr(lines, "staged", noted)
+    df = spark.createDataFrame(similar_documents(40), "doc_id long, text string")
+    lines.without_repeats(df).count()
+    assert sum("Exchange" in row for row in plans[0].split("\n")) == 1
+
+
+@pytest.mark.parametrize("slice_rows", [2, 16_384])
+def test_postings_hold_every_prefix_word_in_few_rows(spark, monkeypatch, slice_rows):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(lines, "SLICE_ROWS", slice_rows)
+    monkeypatch.setattr(lines, "BUCKET_ROWS", 200)
+    # ids and lengths that need all kinds of numbers
+    documents = [(-(2**60), "a b c d e"), (2**50, " ".join(f"v{k}" for k in range(400))), *similar_documents(200)]
+    df = spark.createDataFrame(documents, "doc_id long, text string").repartition(2)
+    sets = lines.staged(lines.line_sets(df, "doc_id", "text", 0.8, 1))
+    expected = sorted((r["token"] & 0xFFFFFFFF, *r[1:]) for r in lines.prefix_rows(sets).collect())
+    table = lines.postings(sets).toArrow()
+    found = []
+    for row in range(table.num_rows):
+        one = table.slice(row, 1)
+        size = one.column("size").to_numpy()
+        columns = [lines.unpacked(one.column(c), size) for c in ("word", "doc", "line", "bits", "more_bits", "n", "i")]
+        found += zip(*(c.view(np.int64).tolist() for c in columns), strict=True)
+    assert pa.types.is_binary(table.column("word").type) and table.num_rows < len(expected) / 5
+    if slice_rows > len(expected):
+        assert sorted(found) == expected
+    else:
+        # a row of a word with many rows is in a pair of slices for each slice
+        assert len(found) > len(expected) and {f[1:] for f in found} == {e[1:] for e in expected}
+
+
 def test_query_equals_brute_force(spark, sf):
     documents = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert result(QUERIES["op4_line_dedup"](spark, sf)) == brute(documents)
