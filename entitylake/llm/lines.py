@@ -231,36 +231,36 @@ def line_cell(doc, line):
     return (doc % size * 31_337 + line * 7_919) % size
 
 
-def prefix_rows(unique: DataFrame, *, of_lines: np.ndarray | None = None, of_words: np.ndarray | None = None) -> DataFrame:
-    """``token, doc, line, bits, more_bits, n, i``: a row per prefix word, with its place there.
+def length_class(n: np.ndarray, similarity: float) -> np.ndarray:
+    """A class of lengths; similar sets are in one class or in neighbouring ones."""
+    return np.floor(np.log(n) / -np.log(similarity - 1e-6)).astype(np.int64)
 
-    Maps leave nearly nothing but rows of some lines or of some words.
-    """
-    broadcast = unique.sparkSession.sparkContext.broadcast
-    lines_sent, words_sent = (None if m is None else broadcast(m) for m in (of_lines, of_words))
+
+def word_cell(token: np.ndarray, class_: np.ndarray) -> np.ndarray:
+    """The number of the cell of a word at some length."""
+    h = mixed((token.astype(np.uint64) + (class_.astype(np.uint64) << np.uint64(32))) * np.uint64(FACTOR))
+    return (h >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+
+
+def asked_cells(unique: DataFrame, of_lines: np.ndarray, similarity: float) -> DataFrame:
+    """``cell`` of the words and lengths that prefixes of some lines may meet; a map leaves nearly no other lines."""
+    lines_sent = unique.sparkSession.sparkContext.broadcast(of_lines)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(5)
-            length = lists.value_lengths().to_numpy(zero_copy_only=False)
-            of, i = np.repeat(np.arange(len(lists)), length), ragged(np.zeros(len(lists), np.int64), length)
-            token = lists.flatten().to_numpy()
-            if words_sent is not None:
-                keep = has(words_sent.value, (token.view(np.uint32) >> np.uint32(32 - MAP_BITS)).astype(np.int64))
-                token, of, i = token[keep], of[keep], i[keep]
-            if lines_sent is not None:
-                keep = has(lines_sent.value, line_cell(batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)))[of]
-                token, of, i = token[keep], of[keep], i[keep]
-            doc, line, bits, more_bits, n = (batch.column(c).to_numpy()[of] for c in range(5))
-            yield pa.RecordBatch.from_pydict(
-                {"token": token, "doc": doc, "line": line, "bits": bits, "more_bits": more_bits, "n": n, "i": i.astype(np.int32)}
-            )
-
-    rows = unique.where("prefix is not null").select("doc", "line", "bits", "more_bits", "n", "prefix")
-    return rows.mapInArrow(lean(run), "token int, doc long, line int, bits long, more_bits long, n int, i int")
-
-
-def hot_words(unique: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+            mine = has(lines_sent.value, line_cell(batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)))
+            lists, n = batch.column(3).filter(pa.array(mine)), batch.column(2).to_numpy()[mine]
+            class_ = np.repeat(length_class(n, similarity), lists.value_lengths().to_numpy(zero_copy_only=False))
+            token = lists.flatten().to_numpy().view(np.uint32)
+            yield pa.RecordBatch.from_pydict({"cell": np.unique(np.concatenate([word_cell(token, class_ + k) for k in (-1, 0, 1)])).astype(np.int32)})
+
+    return unique.where("size(prefix) > 0").select("doc", "line", "n", "prefix").mapInArrow(lean(run), "cell int")
+
+
+Hot = tuple[np.ndarray, np.ndarray, int]
+
+
+def hot_words(unique: DataFrame) -> Hot:
     """The prefix words with more than ``SLICE_ROWS`` rows, their numbers of slices, and the rows of all words.
 
     Rows are counted by cell first, in a table of fixed size; only in cells with so many
@@ -313,17 +313,17 @@ def unpacked(runs: pa.ChunkedArray, sizes: np.ndarray) -> np.ndarray:
     return np.concatenate(parts, dtype=np.uint64)
 
 
-def postings(unique: DataFrame) -> DataFrame:
+def postings(unique: DataFrame, hot_found: Hot, similarity: float, of_words: np.ndarray | None = None) -> DataFrame:
     """``bucket, size, word, doc, line, bits, more_bits, n, i``: the rows of prefix words, dealt by word.
 
     A row holds some rows of some words of one bucket, ``size`` of them, as packed numbers;
     ``i`` is the place in the prefix.  A word with many rows is dealt in pairs of slices,
     each a word of its own.  Words are hashes; where two are taken for one, lines meet
-    that need not.
+    that need not.  A map leaves nearly nothing but words at lengths that are asked for.
     """
-    token, slices, total = hot_words(unique)
+    token, slices, total = hot_found
     buckets = np.uint64(max(1, -(-total // BUCKET_ROWS)))
-    sent = unique.sparkSession.sparkContext.broadcast((token, slices))
+    sent = unique.sparkSession.sparkContext.broadcast((token, slices, of_words))
 
     def posted(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(held).combine_chunks()
@@ -332,7 +332,10 @@ def postings(unique: DataFrame) -> DataFrame:
         length = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         of, i = np.repeat(np.arange(len(lists)), length), ragged(np.zeros(len(lists), np.int64), length)
         word = lists.flatten().to_numpy().view(np.uint32)
-        hot, times = sent.value
+        hot, times, asked = sent.value
+        if asked is not None:
+            keep = has(asked, word_cell(word, length_class(n, similarity)[of]))
+            word, of, i = word[keep], of[keep], i[keep]
         if len(hot):
             at = np.minimum(np.searchsorted(hot, word), len(hot) - 1)
             parts = np.where(hot[at] == word, times[at], 1)
@@ -372,6 +375,16 @@ def promising(rows: DataFrame, similarity: float) -> DataFrame:
     Each word gives ``FIRST_TRIED`` for a line at most; ``more`` says that some word has
     further ones.
     """
+    return earlier_lines(rows, similarity, None)
+
+
+def all_near(rows: DataFrame, similarity: float, of_lines: np.ndarray) -> DataFrame:
+    """As ``promising``, with all earlier lines that the bound allows, for the lines of a map and hardly any others."""
+    return earlier_lines(rows, similarity, of_lines)
+
+
+def earlier_lines(rows: DataFrame, similarity: float, of_lines: np.ndarray | None) -> DataFrame:
+    sent = rows.sparkSession.sparkContext.broadcast(of_lines)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["bucket"], 1):
@@ -392,15 +405,23 @@ def promising(rows: DataFrame, similarity: float) -> DataFrame:
         longest = np.minimum(np.floor(n / similarity + 1e-6), 2**32 - 1).astype(np.uint64)
         upto_row = np.searchsorted(key, (word << np.uint64(32)) | longest, side="right")
         at_row = np.arange(len(key))
-        behind = np.where(i <= n - overlap(similarity, 2 * n), upto_row - at_row - 1, 0)
+        from_row = at_row + 1
+        met = i <= n - overlap(similarity, 2 * n)
+        if sent.value is not None:
+            # lines in question meet the shorter ones as well
+            shortest = np.ceil(n * similarity - 1e-6).astype(np.uint64)
+            from_row = np.searchsorted(key, (word << np.uint64(32)) | shortest)
+            met = has(sent.value, line_cell(doc, line.astype(np.int64)))
+        behind = np.where(met, upto_row - from_row, 0)
         upto = np.cumsum(behind)
         later_row = earlier_row = np.empty(0, np.int64)
         score, more = np.empty(0), np.zeros(len(key), bool)
+        found: list[tuple] = []
         rest, at = n - i, 0
         while at < len(key):
             end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS)))
             a = np.repeat(at_row[at:end], behind[at:end])
-            b = ragged(at_row[at:end] + 1, behind[at:end])
+            b = ragged(from_row[at:end], behind[at:end])
             at = end
             total = n[a] + n[b]
             need = overlap(similarity, total)
@@ -411,6 +432,9 @@ def promising(rows: DataFrame, similarity: float) -> DataFrame:
             near = np.flatnonzero(shared >= need)
             a, b, shared, total = a[near], b[near], shared[near], total[near]
             later = (doc[a] > doc[b]) | ((doc[a] == doc[b]) & (line[a] > line[b]))
+            if sent.value is not None:
+                found.append((a[later], b[later]))
+                continue
             later_row = np.concatenate([later_row, np.where(later, a, b)])
             earlier_row = np.concatenate([earlier_row, np.where(later, b, a)])
             score = np.concatenate([score, shared / (total - shared)])
@@ -422,6 +446,8 @@ def promising(rows: DataFrame, similarity: float) -> DataFrame:
             more[later_row[order[rank >= FIRST_TRIED]]] = True
             keep = order[rank < FIRST_TRIED]
             later_row, earlier_row, score = later_row[keep], earlier_row[keep], score[keep]
+        if found:
+            later_row, earlier_row = (np.concatenate(rows) for rows in zip(*found, strict=True))
         return pa.RecordBatch.from_pydict({
             "doc": doc[later_row], "line": line[later_row], "other_doc": doc[earlier_row], "other_line": line[earlier_row], "more": more[later_row],
         })
@@ -461,10 +487,8 @@ def verified(docs: DataFrame, id_col: str, text: str, pairs: DataFrame, similari
 
     known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.coalesce(text, F.lit("")).alias("text"))
     texts = staged(known.mapInArrow(lean(pick), "doc long, line int, raw binary"))
-    # both sides by alike projections, so that Spark shuffles the texts once for the two joins
-    own, others = (texts.select(F.col("doc").alias(f"{c}doc"), F.col("line").alias(f"{c}line"), F.col("raw").alias(f"{c}raw")) for c in ("own_", "other_"))
-    mine = own.withColumnsRenamed({"own_doc": "doc", "own_line": "line", "own_raw": "raw"})
-    both = pairs.join(mine, ["doc", "line"]).join(others, ["other_doc", "other_line"]).select("doc", "line", "more", "raw", "other_raw")
+    others = texts.select(F.col("doc").alias("other_doc"), F.col("line").alias("other_line"), F.col("raw").alias("other_raw"))
+    both = pairs.join(texts, ["doc", "line"]).join(others, ["other_doc", "other_line"]).select("doc", "line", "more", "raw", "other_raw")
     compared = both.mapInArrow(lean(compare), "doc long, line int, more boolean, same boolean")
     return compared.groupBy("doc", "line").agg(F.max("same").alias("same"), F.max("more").alias("more"))
 
@@ -485,7 +509,8 @@ def repeated_lines(docs: DataFrame, *, id_col: str, text: str, similarity: float
     unique = staged(ranked.select("doc", "line", "bits", "more_bits", "n", prefix.alias("prefix"), (F.col("gone") | moved).alias("gone")))
     equal = unique.where("gone").select("doc", "line")
 
-    tried = staged(promising(postings(unique), similarity))
+    hot = hot_words(unique)
+    tried = staged(promising(postings(unique, hot, similarity), similarity))
     checked = staged(verified(docs, id_col, text, tried, similarity))
     gone = equal.union(checked.where("same").select("doc", "line"))
     open_ = checked.where("more and not same").select("doc", "line")
@@ -493,24 +518,11 @@ def repeated_lines(docs: DataFrame, *, id_col: str, text: str, similarity: float
         return gone
 
     # lines of which all promising candidates failed meet all others
-    asked = prefix_rows(unique, of_lines=marked(open_.select(line_cell(F.col("doc"), F.col("line")).alias("cell"))))
-    asked = staged(asked.join(open_, ["doc", "line"], "left_semi"))
-    y = asked.select("token", "doc", "line", *(F.col(c).alias(f"y_{c}") for c in ("bits", "more_bits", "n", "i")))
-    rows = prefix_rows(unique, of_words=marked(asked.select(F.shiftrightunsigned("token", 32 - MAP_BITS).alias("cell"))))
-    x = rows.select("token", F.col("doc").alias("other_doc"), F.col("line").alias("other_line"), "bits", "more_bits", "n", "i")
-    earlier = (F.col("other_doc") < F.col("doc")) | ((F.col("other_doc") == F.col("doc")) & (F.col("other_line") < F.col("line")))
-    total = F.col("n") + F.col("y_n")
-    differ = F.bit_count(F.col("bits").bitwiseXOR(F.col("y_bits"))) + F.bit_count(F.col("more_bits").bitwiseXOR(F.col("y_more_bits")))
-    met = y.join(x, "token").where(earlier & (F.floor((total - differ) / 2) >= overlap(similarity, total)))
-    met = met.groupBy("doc", "line", "other_doc", "other_line").agg(
-        F.count("*").alias("shared"), *(F.min(c).alias(c) for c in ("n", "y_n", "i", "y_i"))
-    )
-    # of the prefix that ends first, words in both sets are in both prefixes
-    behind = lambda n: F.ceil(similarity * n - 1e-9) - 1
-    bound = F.least(F.col("n") - F.col("i"), F.col("y_n") - F.col("y_i"), F.col("shared") + F.greatest(behind(F.col("n")), behind(F.col("y_n"))))
-    others = met.where(bound >= overlap(similarity, total))
-    others = staged(others.select("doc", "line", "other_doc", "other_line", F.lit(False).alias("more")))
-    return gone.union(verified(docs, id_col, text, others, similarity).where("same").select("doc", "line"))
+    of_lines = marked(open_.select(line_cell(F.col("doc"), F.col("line")).alias("cell")))
+    of_words = marked(asked_cells(unique, of_lines, similarity))
+    met = all_near(postings(unique, hot, similarity, of_words), similarity, of_lines)
+    others = met.join(open_, ["doc", "line"], "left_semi").join(tried, ["doc", "line", "other_doc", "other_line"], "left_anti")
+    return gone.union(verified(docs, id_col, text, staged(others), similarity).where("same").select("doc", "line"))
 
 
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", similarity: float = 0.8, least_words: int = 1) -> DataFrame:

@@ -102,8 +102,9 @@ def test_postings_hold_every_prefix_word_in_few_rows(spark, monkeypatch, slice_r
     documents = [(-(2**60), "a b c d e"), (2**50, " ".join(f"v{k}" for k in range(400))), *similar_documents(200)]
     df = spark.createDataFrame(documents, "doc_id long, text string").repartition(2)
     sets = lines.staged(lines.line_sets(df, "doc_id", "text", 0.8, 1))
-    expected = sorted((r["token"] & 0xFFFFFFFF, *r[1:]) for r in lines.prefix_rows(sets).collect())
-    table = lines.postings(sets).toArrow()
+    rows = sets.where("prefix is not null").collect()
+    expected = sorted((w & 0xFFFFFFFF, r["doc"], r["line"], r["bits"], r["more_bits"], r["n"], i) for r in rows for i, w in enumerate(r["prefix"]))
+    table = lines.postings(sets, lines.hot_words(sets), 0.8).toArrow()
     found = []
     for row in range(table.num_rows):
         one = table.slice(row, 1)
@@ -118,6 +119,20 @@ def test_postings_hold_every_prefix_word_in_few_rows(spark, monkeypatch, slice_r
         assert len(found) > len(expected) and {f[1:] for f in found} == {e[1:] for e in expected}
 
 
+def test_lines_in_question_meet_all_that_the_bound_allows_by_few_rows(spark):
+    df = spark.createDataFrame(similar_documents(150), "doc_id long, text string").repartition(3)
+    sets = lines.staged(lines.line_sets(df, "doc_id", "text", 0.8, 1))
+    hot = lines.hot_words(sets)
+    dealt = lines.postings(sets, hot, 0.8)
+    every_line = lines.marked(spark.range(1 << lines.MAP_BITS).withColumnRenamed("id", "cell"))
+    everything = {tuple(r[:4]) for r in lines.all_near(dealt, 0.8, every_line).collect()}
+    asked = max(everything)[0]
+    of_lines = lines.marked(sets.where(F.col("doc") == asked).select(lines.line_cell(F.col("doc"), F.col("line")).alias("cell")))
+    some = lines.postings(sets, hot, 0.8, lines.marked(lines.asked_cells(sets, of_lines, 0.8)))
+    assert {tuple(r[:4]) for r in lines.all_near(some, 0.8, of_lines).collect()} == {p for p in everything if p[0] == asked}
+    assert some.agg(F.sum("size")).first()[0] < dealt.agg(F.sum("size")).first()[0]
+
+
 def test_query_equals_brute_force(spark, sf):
     documents = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert result(QUERIES["op4_line_dedup"](spark, sf)) == brute(documents)
