@@ -26,6 +26,26 @@ def worker_state(name: str, make: Callable[[], Any]) -> Any:
     return held.value
 
 
+def forget_others(state: str = "") -> None:
+    """Drop what the worker process holds from tasks of another kind, unless it is this one."""
+    import sys
+
+    held = sys.modules.get("_entitylake_worker")
+    if getattr(held, "name", None) not in (None, state):
+        held.name = held.value = None
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 #: Words whose hashes a worker keeps.
 HASHES_KEPT = 200_000
 
@@ -58,24 +78,34 @@ def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     """
 
     def whole(batches: Batches) -> Batches:
-        import ctypes
-
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        give_back()
 
     return whole
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """``fn`` applied to each Arrow batch; rows stay where they are."""
+#: Texts whose Python values and results a worker holds at once.
+TEXTS_AT_ONCE = 500
+
+
+def cut_to(batch: pa.RecordBatch, rows: int) -> Batches:
+    """The batch in slices of at most so many rows."""
+    return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, *, rows: int | None = None, state: str = "") -> DataFrame:
+    """``fn`` applied to each Arrow batch; rows stay where they are.
+
+    With ``rows``, for an ``fn`` that takes each row alone, batches are cut to so many
+    rows.  ``state`` names the ``worker_state`` that ``fn`` asks for; any other that the
+    worker process holds is dropped before.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(state)
         for batch in batches:
             if batch.num_rows:
-                yield fn(batch)
+                yield from map(fn, cut_to(batch, rows or batch.num_rows))
 
     return df.mapInArrow(lean(run), schema)
 

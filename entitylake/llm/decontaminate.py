@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entitylake.llm.common import Hashes, column, lean, map_batches, widened, worker_state
+from entitylake.llm.common import TEXTS_AT_ONCE, Hashes, column, lean, map_batches, widened, worker_state
 
 #: Words of a shingle, the least similarity, and the differing bits within which
 #: fingerprints are looked up: at a similarity of 0.8 about 10 of 64 bits are expected to
@@ -243,7 +243,7 @@ def with_matches(
             kind = pa.list_(pa.struct([("item_id", item_type(batch, id_type)), ("similarity", pa.float64()), ("start_word", pa.int32()), ("n_words", pa.int32())]))
             return batch.append_column(name, pa.array(found, kind))
 
-        found = map_batches(found, search, widened(found, **{names[-1]: MATCHES.format(id_type)}))
+        found = map_batches(found, search, widened(found, **{names[-1]: MATCHES.format(id_type)}), rows=TEXTS_AT_ONCE, state=key)
     empty = F.array().cast(MATCHES.format(id_type))
     return found.select(*columns, reduce(lambda a, b: F.concat(a, b), [F.col(n) for n in names], empty).alias("matches"))
 

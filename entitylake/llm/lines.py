@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from entitylake.llm.common import column, group_bounds, lean, ragged, whole_groups, widened, worker_state
+from entitylake.llm.common import TEXTS_AT_ONCE, column, cut_to, group_bounds, lean, ragged, whole_groups, widened, worker_state
 from entitylake.sources.stage import staged
 
 #: Cells of the table of word counts; words that share one are taken as equally rare.
@@ -541,33 +541,42 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     # only documents that may lose a line are shuffled to meet their lines, which grow with the input: no broadcast
     sent = docs.sparkSession.sparkContext.broadcast(marked(by_doc.select(F.pmod(id_col, F.lit(1 << MAP_BITS)).alias("cell"))))
 
-    def concerned(yes: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids = batch.column(batch.schema.get_field_index(id_col))
-                cells = ids.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False) % (1 << MAP_BITS)
-                found = has(sent.value, cells) & ids.is_valid().to_numpy(zero_copy_only=False)
-                yield batch.filter(pa.array(found == yes))
+    def concerned(batch: pa.RecordBatch) -> np.ndarray:
+        ids = batch.column(batch.schema.get_field_index(id_col))
+        cells = ids.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False) % (1 << MAP_BITS)
+        return has(sent.value, cells) & ids.is_valid().to_numpy(zero_copy_only=False)
 
-        return run
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(concerned(batch)))
+
+    def counted(batch: pa.RecordBatch, total: list[int], removed: list[int]) -> pa.RecordBatch:
+        return batch.append_column("n_lines", pa.array(total, pa.int64())).append_column("n_removed", pa.array(removed, pa.int64()))
 
-    some = docs.mapInArrow(lean(concerned(True)), docs.schema).join(by_doc.hint("merge"), id_col, "left").select(*docs.columns, "_lines")
-    rows = docs.mapInArrow(lean(concerned(False)), docs.schema).withColumn("_lines", F.lit(None).cast("array<int>")).unionByName(some)
+    def n_lines(value: str | None) -> int:
+        return value.count("\n") + 1 if value else 0
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in cut_to(batch.filter(pa.array(~concerned(batch))), TEXTS_AT_ONCE):
+                yield counted(part, [n_lines(value) for value in column(part, text)], [0] * part.num_rows)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, total, removed = [], [], []
-            for value, numbers in zip(column(batch, text), column(batch, "_lines"), strict=True):
-                drop = set(numbers or ())
-                if drop:
-                    lines = value.split("\n")
-                    value = "\n".join(s for k, s in enumerate(lines) if k not in drop)
-                kept.append(value)
-                total.append((value.count("\n") + 1 if value else 0) if not drop else len(lines))
-                removed.append(len(drop))
-            out = batch.drop_columns(["_lines"])
-            out = out.set_column(out.schema.get_field_index(text), text, pa.array(kept, pa.string()))
-            out = out.append_column("n_lines", pa.array(total, pa.int64()))
-            yield out.append_column("n_removed", pa.array(removed, pa.int64()))
-
-    return rows.mapInArrow(lean(cut), widened(docs, n_lines="long", n_removed="long"))
+            for part in cut_to(batch, TEXTS_AT_ONCE):
+                kept, total, removed = [], [], []
+                for value, numbers in zip(column(part, text), column(part, "_lines"), strict=True):
+                    drop = set(numbers or ())
+                    total.append(value.count("\n") + 1 if drop else n_lines(value))
+                    if drop:
+                        value = "\n".join(s for k, s in enumerate(value.split("\n")) if k not in drop)
+                    kept.append(value)
+                    removed.append(len(drop))
+                out = part.drop_columns(["_lines"])
+                out = out.set_column(out.schema.get_field_index(text), text, pa.array(kept, pa.string()))
+                yield counted(out, total, removed)
+
+    schema = widened(docs, n_lines="long", n_removed="long")
+    some = docs.mapInArrow(lean(pick), docs.schema).join(by_doc.hint("merge"), id_col, "left").select(*docs.columns, "_lines")
+    # apart, so that no task has two Python workers
+    return docs.mapInArrow(lean(others), schema).unionByName(some.mapInArrow(lean(cut), schema))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from entitylake.llm.common import column, file_bytes, lean, map_batches, widened, worker_state
+from entitylake.llm.common import TEXTS_AT_ONCE, column, file_bytes, forget_others, lean, map_batches, widened, worker_state
 from entitylake.sources.stage import staged
 
 #: Tokens of a part of a document in its queue: long documents do not fill a window alone.
@@ -163,7 +163,7 @@ def pack(
         return out.append_column("ids", pa.array(ids, pa.binary()))
 
     plain = docs.select(F.col(id_col).alias("id"), queue_of(source).alias("queue"), F.col(text).alias("text"))
-    rows = map_batches(plain, encode, widened(plain.drop("text"), n="long", ids="binary"))
+    rows = map_batches(plain, encode, widened(plain.drop("text"), n="long", ids="binary"), rows=TEXTS_AT_ONCE, state=tier)
     rows = staged(rows.withColumn("row", F.monotonically_increasing_id()))
 
     placed, total = place(rows.select("row", "queue", "n"), window, shares)
@@ -172,6 +172,7 @@ def pack(
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         for batch in batches:
             out = {k: [] for k in ("doc", "start", "length", "crc", "n", "sequence", "offset")}
             for i, ids, n, parts in zip(*(column(batch, c) for c in ("id", "ids", "n", "parts")), strict=True):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entitylake.llm.common import column, map_batches, widened
+from entitylake.llm.common import TEXTS_AT_ONCE, column, map_batches, widened
 from entitylake.llm.labelled import held_out, labelled_texts
 
 FEATURES = (
@@ -189,7 +189,7 @@ def learn(
         return pa.RecordBatch.from_arrays([found, batch.column(1)], names=["x", "label"])
 
     sample = labelled_texts(docs, labels, label, folds, out, id_col=id_col, text=text)
-    rows = map_batches(sample, measure, "x array<double>, label int").toArrow()
+    rows = map_batches(sample, measure, "x array<double>, label int", rows=TEXTS_AT_ONCE).toArrow()
     order = sorted(zip(rows.column("x").to_pylist(), rows.column("label").to_pylist(), strict=True))
     return fit(np.array([r[0] for r in order], float).reshape(-1, len(FEATURES)), np.array([r[1] for r in order], float))
 
@@ -206,7 +206,7 @@ def scored(docs: DataFrame, model: Model, *, text: str = "text", score: str = "s
         x = np.array([features(t) for t in column(batch, text)], float)
         return batch.append_column(score, pa.array(model.score(x)))
 
-    return map_batches(docs, add, widened(docs, **{score: "double"}))
+    return map_batches(docs, add, widened(docs, **{score: "double"}), rows=TEXTS_AT_ONCE)
 
 
 def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str = "text", folds: int = 4, out: int = 2, threshold: float = 0.7) -> DataFrame:

@@ -112,4 +112,4 @@ def token_counts(docs: DataFrame, model_path: str, *, text: str = "text", token_
         out = out.append_column("n_tokens", pa.array(n_tokens, pa.int64()))
         return out.append_column("over_limit", pa.array([n > token_limit for n in n_tokens]))
 
-    return map_batches(docs, count, widened(docs, n_bytes="long", n_tokens="long", over_limit="boolean"))
+    return map_batches(docs, count, widened(docs, n_bytes="long", n_tokens="long", over_limit="boolean"), state=tier)
